@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dups import near_duplicates
 from .substring_dedup import dedup_substrings
 from .tables import table
 
@@ -41,3 +42,9 @@ WITH w AS (
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(kept) AS BIGINT) AS n_removed,
        sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
+
+
+@query
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", "class_size", "n_links")
