@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_leaks
+from .lexicon_bpe import bpe_codec
 from .near_dups import near_duplicates
 from .substring_dedup import dedup_substrings
 from .tables import table
@@ -54,3 +55,11 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pigeonhole_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_codec(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
