@@ -11,6 +11,7 @@ from .lexicon_bpe import bpe_codec
 from .near_dups import near_duplicates
 from .substring_dedup import dedup_substrings
 from .tables import table
+from .toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +64,8 @@ def op8_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_codec(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
+@query
+def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), only=["doc_id"])
