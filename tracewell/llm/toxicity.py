@@ -26,7 +26,7 @@ from .tables import fold, without
 #: Labelled rows that the dictionaries and the calibration learn from, at most.
 SAMPLE_ROWS = 12_000
 WINDOW_WORDS = 8
-ORDINARY_BYTES, TOXIC_BYTES = 4_096, 4_096
+ORDINARY_BYTES, TOXIC_BYTES = 12_288, 4_096
 #: Bytes saved from which a window counts; one pair of features each.
 STEPS = (1, 2, 3, 4)
 #: A passage is toxic from this log-odds ratio and standard score on.
