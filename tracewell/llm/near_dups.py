@@ -204,38 +204,38 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
     copies = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.max("bands").alias("bands"))
     deck = copies.groupBy("rep").agg(F.collect_set("bands").alias("b")).select(F.col("rep").alias("id"), F.explode("b").alias("bands")).mapInArrow(_deal, "id long, key long")
     by_key = Window.partitionBy("key")
-    members = cut(
-        deck.distinct()
-        .withColumn("rn", F.row_number().over(by_key.orderBy("id")))
-        .withColumn("n", F.count("*").over(by_key))
-        .where("n > 1")
-    )
-    wanted = members.select("id").distinct()
-    texts = cut(slim.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_squeeze, "id long, z binary"))
-
-    links = spark.createDataFrame([], "u long, v long")
-    labels = None
-    tested, centres = 0, 1
-    left = members
+    shared = cut(deck.distinct().withColumn("n", F.count("*").over(by_key)).where("n > 1"))
+    # the member with most company over all bands is everywhere the first centre: an original before its copies
+    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
+    first = by_key.orderBy(F.desc("w"), "id")
+    members = cut(shared.join(weight, "id").withColumn("rn", F.row_number().over(first)).withColumn("centre", F.first("id").over(first)).drop("w"))
+    texts = cut(slim.join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_squeeze, "id long, z binary"))
+
+    pairs = cut(members.where("centre <> id").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct())
+    tested = pairs
+    links = labels = None
+    done, centres = 1, 4
     while True:
-        if labels is not None:
-            left = members.join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).drop("least")
-            mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            left = left.join(mixed, "key", "left_semi").where(F.col("n") > tested + 1)
-        else:
-            left = left.withColumn("c", F.col("id"))
-        a = left.where((F.col("rn") > tested) & (F.col("rn") <= centres)).select("key", F.col("id").alias("u"), F.col("rn").alias("ru"), F.col("c").alias("cu"))
-        b = left.select("key", F.col("id").alias("v"), F.col("rn").alias("rv"), F.col("c").alias("cv"))
-        pairs = cut(a.join(b, "key").where("ru < rv AND cu <> cv").select("u", "v").distinct())
-        if pairs.isEmpty():
-            if labels is None or left.isEmpty():
-                break
-        else:
+        if not pairs.isEmpty():
             full = pairs.join(texts.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v").join(texts.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
             found = cut(full.select("u", "v", "zu", "zv").mapInArrow(_verify(least), "u long, v long"))
-            links = links.unionByName(found)
+            links = found if links is None else links.unionByName(found)
             labels = cut(components(links))
-        tested, centres = centres, centres * 4
+        if labels is None:
+            break
+        left = members.where(F.col("n") > done + 1).join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).select("key", "id", "rn", "n", "c")
+        mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        left = cut(left.join(mixed, "key", "left_semi"))
+        if left.isEmpty():
+            break
+        a = left.where((F.col("rn") > done) & (F.col("rn") <= centres)).select("key", F.col("id").alias("u"), F.col("rn").alias("ru"), F.col("c").alias("cu"))
+        b = left.where(F.col("rn") > done).select("key", F.col("id").alias("v"), F.col("rn").alias("rv"), F.col("c").alias("cv"))
+        new = a.join(b, "key").where("ru < rv AND cu <> cv").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        pairs = cut(new.join(tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"))
+        tested = tested.unionByName(pairs)
+        done, centres = centres, centres * 4
+    if links is None:
+        links = spark.createDataFrame([], "u long, v long")
 
     reps = copies.select("digest", "rep")
     known = signed.where("digest IS NOT NULL").select("id", "digest").join(reps, "digest").select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep"))
