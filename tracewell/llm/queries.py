@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import find_leaks
 from .lexicon_bpe import bpe_codec
 from .near_dups import near_duplicates
+from .quality_rules import STOP_WORDS, quality
 from .substring_dedup import dedup_substrings
 from .tables import table
 from .toxicity import score_toxicity
@@ -30,7 +31,7 @@ def op3_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op3_superkmer_dedup"] = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), g AS (
   SELECT doc_id, p, array_to_string(ws[p:p+12], ' ') AS win FROM w, unnest(generate_series(1, len(ws) - 12)) AS t(p)
 ), f AS (
@@ -40,7 +41,7 @@ WITH w AS (
 ), e AS (
   SELECT doc_id, list(q) AS gone FROM c GROUP BY doc_id
 ), k AS (
-  SELECT w.doc_id, ws, list_filter(ws, (x, i) -> NOT list_contains(coalesce(gone, []), i)) AS kept FROM w LEFT JOIN e USING (doc_id)
+  SELECT w.doc_id, ws, list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept FROM w LEFT JOIN e USING (doc_id)
 )
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(kept) AS BIGINT) AS n_removed,
        sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
@@ -69,3 +70,41 @@ def op8_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), only=["doc_id"])
+
+
+@query
+def op2_threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality(table(spark, sf_dir, "documents"), only=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op2_threshold_table"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS bare,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), g AS (
+  SELECT doc_id, p, array_to_string(ws[p:p+7], ' ') AS win FROM w, unnest(generate_series(1, len(ws) - 7)) AS u(p)
+), r AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g
+), c AS (
+  SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM r, unnest(generate_series(p, p + 7)) AS u(q) WHERE n > 1 GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(bare) AS BIGINT) AS word_chars,
+         CAST(length(bare) - length(translate(bare, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         length(regexp_replace(bare, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper,
+         len(list_filter(ws, lambda x: rtrim(lower(x), '.,;:!?') IN ({", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}))) AS n_stop
+  FROM w LEFT JOIN c USING (doc_id)
+), b AS (
+  SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars * 1000 >= 2000 * n_words AND word_chars * 1000 <= 14000 * n_words
+       AND n_symbols * 1000 <= 80 * word_chars AND n_stop * 1000 >= 30 * n_words
+       AND n_dup_lines * 1000 <= 500 * n_lines AND n_upper * 1000 <= 400 * word_chars AS kept
+FROM b
+"""
