@@ -41,6 +41,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def prefix_sums(arr: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(arr) + 1, np.uint64)
+    vals = arr.astype(np.uint64)
+    vals += np.uint64(1)
+    vals *= _power(_G, len(vals))
+    np.cumsum(vals, out=out[1:])
+    return out
+
+
+def hash_ranges(arr: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the byte ranges start..end of arr, a function of their bytes alone."""
+    p = prefix_sums(arr) if prefix is None else prefix
+    out = p[end] - p[start]
+    out *= _power(_G_INV, len(arr) + 1)[start]
+    out += (end - start).astype(np.uint64)
+    return mix64(out)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of characters other than space and \\x09-\\x0d, as UTF-8; null has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -69,21 +87,12 @@ class Flat:
 
     def prefix(self) -> np.ndarray:
         if not hasattr(self, "_prefix"):
-            out = np.zeros(len(self._arr) + 1, np.uint64)
-            vals = self._arr.astype(np.uint64)
-            vals += np.uint64(1)
-            vals *= _power(_G, len(vals))
-            np.cumsum(vals, out=out[1:])
-            self._prefix = out
+            self._prefix = prefix_sums(self._arr)
         return self._prefix
 
     def hash_bytes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte ranges, a function of the bytes alone."""
-        p = self.prefix()
-        out = p[end] - p[start]
-        out *= _power(_G_INV, len(self._arr) + 1)[start]
-        out += (end - start).astype(np.uint64)
-        return mix64(out)
+        return hash_ranges(self._arr, start, end, self.prefix())
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of n words inside one document."""

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_leaks
+from .language_id import identify_language
 from .lexicon_bpe import bpe_codec
 from .near_dups import near_duplicates
+from .quality_model import score_quality
 from .quality_rules import STOP_WORDS, quality
 from .substring_dedup import dedup_substrings
 from .tables import table
@@ -108,3 +110,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND n_dup_lines * 1000 <= 500 * n_lines AND n_upper * 1000 <= 400 * word_chars AS kept
 FROM b
 """
+
+
+@query
+def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), only=["doc_id"])
+
+
+@query
+def op9_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"), only=["doc_id"])
