@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_leaks
+from .kd_shard import shard
 from .language_id import identify_language
 from .lexicon_bpe import bpe_codec
 from .near_dups import near_duplicates
@@ -120,3 +121,8 @@ def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"), only=["doc_id"])
+
+
+@query
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
