@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .tables import cut
 
+#: Edges in one part of a round's table.
+PART_ROWS = 100_000
+
 
 def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """Links each neighbour of u to the least of u's neighbourhood: the larger neighbours, or the smaller ones and u."""
@@ -28,12 +31,13 @@ def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) of comparable ids -> (id, least): every id that has an edge, with the smallest id of its component."""
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+    mark, rows = None, now.count()
     while True:
-        now = cut(_toward_least(_toward_least(now, True), False))
+        # a small table in few parts: the rounds' files, not their rows, would be the cost
+        now = cut(_toward_least(_toward_least(now, True), False).coalesce(rows // PART_ROWS + 1))
         row = now.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         if (row["n"], row["h"]) == mark:
             break
-        mark = (row["n"], row["h"])
+        mark, rows = (row["n"], row["h"]), row["n"]
     stars = now.groupBy("u").agg(F.min("v").alias("least")).withColumnRenamed("u", "id")
     return stars.unionByName(stars.select(F.col("least").alias("id"), "least").distinct())

@@ -12,10 +12,12 @@ register.
 512 registers make 64 bands of 8: a pair at similarity 0.8 shares at least one
 band with probability 0.99999, a pair at 0.4 with 0.04. Documents of one word
 sequence are represented by the one with the smallest id before any band is
-dealt out. Inside a band the members are compared with a growing number of
-centres, one, four, sixteen and so on, until all members are of one class or every pair
-that is not has been verified; a large group of copies is resolved by its first
-centres and never becomes a table of all its pairs.
+dealt out. Inside a band the members are first compared with one centre, the member with most
+company, then with a few more, and last with each other; each pass leaves
+out pairs that are in one class by then and pairs whose distances to the first centre
+differ by more than the limit, which the triangle inequality rules out. So a
+large group of copies is resolved by its centres and never becomes a table of
+all its pairs, and no link between different classes is lost.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from .tables import cut, without
 SHINGLE, LEAST = 5, 0.8
 REGISTERS, ROWS = 512, 8
 BANDS = REGISTERS // ROWS
+#: Members of a bucket that serve as centres in each pass but the last, in which all that is still open is compared.
+CENTRES = (8,)
 OUT = ["class_id", "class_size", "n_links"]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = 0xD1B54A32D192ED03
@@ -171,20 +175,16 @@ def overlap(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
-def _verify(least: float):
-    def run(it):
-        last, held = None, Counter()
-        for batch in it:
-            u, v, zu, zv = (c.to_pylist() for c in batch.columns)
-            rows = []
-            for i in range(len(u)):
-                if u[i] != last:
-                    last, held = u[i], bag(zu[i])
-                if overlap(held, bag(zv[i])) >= least:
-                    rows.append((u[i], v[i]))
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["u", "v"])
-
-    return run
+def _verify(it):
+    last, held = None, Counter()
+    for batch in it:
+        u, _, zu, zv = (c.to_pylist() for c in batch.columns)
+        sim = []
+        for i in range(len(u)):
+            if u[i] != last:
+                last, held = u[i], bag(zu[i])
+            sim.append(overlap(held, bag(zv[i])))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], ["u", "v", "sim"])
 
 
 def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -212,28 +212,33 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
     texts = cut(slim.join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_squeeze, "id long, z binary"))
 
     pairs = cut(members.where("centre <> id").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct())
-    tested = pairs
-    links = labels = None
-    done, centres = 1, 4
-    while True:
-        if not pairs.isEmpty():
-            full = pairs.join(texts.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v").join(texts.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
-            found = cut(full.select("u", "v", "zu", "zv").mapInArrow(_verify(least), "u long, v long"))
-            links = found if links is None else links.unionByName(found)
-            labels = cut(components(links))
-        if labels is None:
+    near = tested = links = labels = None
+    done = 1
+    passes = [*CENTRES, None]
+    while not pairs.isEmpty():
+        full = pairs.join(texts.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v").join(texts.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
+        tried = cut(full.select("u", "v", "zu", "zv").mapInArrow(_verify, "u long, v long, sim double"))
+        found = tried.where(F.col("sim") >= least).select("u", "v")
+        if near is None:  # distance of each member to the first centre of its bucket
+            near = tried.select(F.col("u").alias("centre"), F.col("v").alias("id"), (1 - F.col("sim")).alias("d"))
+        tested = tried.select("u", "v") if tested is None else tested.unionByName(tried.select("u", "v"))
+        links = found if links is None else links.unionByName(found)
+        labels = cut(components(links))
+        if not passes:
             break
-        left = members.where(F.col("n") > done + 1).join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).select("key", "id", "rn", "n", "c")
+        centres = passes.pop(0)
+        left = members.where(F.col("n") > done + 1).join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).select("key", "id", "rn", "centre", "c")
         mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        left = cut(left.join(mixed, "key", "left_semi"))
-        if left.isEmpty():
-            break
-        a = left.where((F.col("rn") > done) & (F.col("rn") <= centres)).select("key", F.col("id").alias("u"), F.col("rn").alias("ru"), F.col("c").alias("cu"))
-        b = left.where(F.col("rn") > done).select("key", F.col("id").alias("v"), F.col("rn").alias("rv"), F.col("c").alias("cv"))
-        new = a.join(b, "key").where("ru < rv AND cu <> cv").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = cut(new.join(tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        done, centres = centres, centres * 4
+        left = cut(left.join(mixed, "key", "left_semi").where(F.col("rn") > done).join(near, ["centre", "id"]).select("key", "id", "rn", "c", "d"))
+        a = left.select("key", F.col("id").alias("u"), F.col("rn").alias("ru"), F.col("c").alias("cu"), F.col("d").alias("du"))
+        if centres is not None:
+            a = a.where(F.col("ru") <= centres)
+        b = left.select("key", F.col("id").alias("v"), F.col("rn").alias("rv"), F.col("c").alias("cv"), F.col("d").alias("dv"))
+        # texts whose distances to a common centre differ by more than the limit are no link
+        new = a.join(b, "key").where((F.col("ru") < F.col("rv")) & (F.col("cu") != F.col("cv")) & (F.abs(F.col("du") - F.col("dv")) <= 1 - least + 1e-9)).select("u", "v").distinct()
+        either = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        pairs = cut(new.join(either, ["u", "v"], "left_anti"))
+        done = centres or done
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
 
