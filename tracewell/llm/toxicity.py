@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .tables import fold, without
 
 #: Labelled rows that the dictionaries and the calibration learn from, at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 WINDOW_WORDS = 8
 ORDINARY_BYTES, TOXIC_BYTES = 12_288, 4_096
 #: Bytes saved from which a window counts; one pair of features each.
@@ -106,32 +106,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
 def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     """Trains dictionaries and calibration; without both classes every score is the share of toxic rows."""
     y = np.array(toxic, float)
-    words = [_words(t) for t in texts]
-    pos, neg = Counter(), Counter()
-    for w, t in zip(words, toxic):
-        (pos if t else neg).update({p for x in set(w) for p in _passages(x)})
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
+    pos: Counter = Counter()
+    for text, t in zip(texts, toxic):
+        if t:
+            pos.update({p for x in set(_words(text)) for p in _passages(x)})
+    pos = Counter({p: a for p, a in pos.items() if a >= max(3, 0.004 * n_pos)})
+    neg: Counter = Counter()
+    plain: list[bytes] = []
+    for text, t in zip(texts, toxic):
+        if not t:
+            words = _words(text)
+            neg.update({p for x in set(words) for p in _passages(x) if p in pos})
+            if len(plain) < 40_000:
+                plain += windows(words, 24)
     weight = {}
     for p, a in pos.items():
-        if a < max(3, 0.004 * n_pos):
-            continue
         b = neg[p]
         odds = math.log((a + 0.5) / (n_pos - a + 0.5)) - math.log((b + 0.5) / (n_neg - b + 0.5))
         if odds > LEAST_ODDS and odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > LEAST_SCORE:
             weight[p] = odds * math.sqrt(a)
-    spans: list[bytes] = []
-    for w, t in zip(words, toxic):
-        if t:
-            for x in w:
-                own = [p for p in _passages(x) if p in weight]
-                if own:
-                    spans.append(max(own, key=weight.__getitem__))
+    spans: Counter = Counter()
+    for text, t in zip(texts, toxic):
+        for x in _words(text) if t else ():
+            own = [p for p in _passages(x) if p in weight]
+            if own:
+                spans[max(own, key=weight.__getitem__)] += 1
     if not spans:
-        spans = [x for w, t in zip(words, toxic) if t for x in windows(w, 24)]
+        spans.update(x for text, t in zip(texts, toxic) if t for x in windows(_words(text), 24))
     # the most frequent passage stands last, nearest to the window
-    spans = [p for p, _ in sorted(Counter(spans).items(), key=lambda x: (x[1], x[0]))]
-    plain = [x for w, t in zip(words, toxic) if not t for x in windows(w, 24)][:40_000]
-    model = ToxicityModel(_dictionary(plain, ORDINARY_BYTES), _dictionary(spans, TOXIC_BYTES))
+    ordered = [p for p, _ in sorted(spans.items(), key=lambda x: (x[1], x[0]))]
+    model = ToxicityModel(_dictionary(plain, ORDINARY_BYTES), _dictionary(ordered, TOXIC_BYTES))
     x = np.array([model.features(t) for t in texts]) if texts else np.zeros((0, 3 * len(STEPS) + 1))
     model.mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
     model.scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(x.shape[1])
