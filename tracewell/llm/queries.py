@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_leaks
+from .html_extract import extract_main_text
 from .kd_shard import shard
 from .language_id import identify_language
 from .lexicon_bpe import bpe_codec
@@ -126,3 +127,8 @@ def op9_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_dom_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
