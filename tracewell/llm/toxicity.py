@@ -29,8 +29,8 @@ WINDOW_WORDS = 8
 ORDINARY_BYTES, TOXIC_BYTES = 12_288, 4_096
 #: Bytes saved from which a window counts; one pair of features each.
 STEPS = (1, 2, 3, 4)
-#: A passage is toxic from this log-odds ratio and standard score on.
-LEAST_ODDS, LEAST_SCORE = 1.5, 4.5
+#: A passage is toxic from this log-odds ratio on and, with 300 rows, this doubled log-likelihood ratio.
+LEAST_ODDS, LEAST_GAIN = 1.5, 20.0
 OUT = ["held_out", "score", "predicted"]
 _EDGE = b".,;:!?#*$%&|<>\"'()[]{}-"
 
@@ -120,11 +120,15 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
             neg.update({p for x in set(words) for p in _passages(x) if p in pos})
             if len(plain) < 40_000:
                 plain += windows(words, 24)
+    # more rows bring more passages to test, so the bar rises with them
+    bar = LEAST_GAIN * (1 + max(0.0, math.log10(max(1, len(y)) / 300)))
     weight = {}
     for p, a in pos.items():
         b = neg[p]
         odds = math.log((a + 0.5) / (n_pos - a + 0.5)) - math.log((b + 0.5) / (n_neg - b + 0.5))
-        if odds > LEAST_ODDS and odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > LEAST_SCORE:
+        share = (a + b) / (n_pos + n_neg)
+        gain = 2 * (a * math.log(a / (share * n_pos)) + (b * math.log(b / (share * n_neg)) if b else 0.0))
+        if odds > LEAST_ODDS and gain > bar:
             weight[p] = odds * math.sqrt(a)
     spans: Counter = Counter()
     for text, t in zip(texts, toxic):
