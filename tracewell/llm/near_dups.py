@@ -14,16 +14,18 @@ band with probability 0.99999, a pair at 0.4 with 0.04. Documents of one word
 sequence are represented by the one with the smallest id before any band is
 dealt out. Inside a band the members are first compared with one centre, the member with most
 company, then with a few more, and last with each other; each pass leaves
-out pairs that are in one class by then and pairs whose distances to the first centre
-differ by more than the limit, which the triangle inequality rules out. So a
-large group of copies is resolved by its centres and never becomes a table of
-all its pairs, and no link between different classes is lost.
+out pairs that are in one class by then, pairs whose distances to the first centre
+differ by more than the limit, which the triangle inequality rules out, and pairs whose
+registers agree less often than those of any link, but one in 100,000, do. So a large group of copies is
+resolved by its centres and never becomes a table of all its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -156,10 +158,38 @@ def _deal(it):
         yield pa.record_batch([pa.array(np.repeat(ids, BANDS)), pa.array(keys)], ["id", "key"])
 
 
+#: Long columns of a sketch: four bits of each register.
+SKETCH = [f"s{k}" for k in range(REGISTERS // 16)]
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(documents, REGISTERS / 16) integers that hold the lowest four bits of every register."""
+    low = (sig & np.uint64(15)).reshape(len(sig), -1, 16)
+    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def _alike(least: float):
+    """Sketches of (u, v) agree as often as texts at the limit do, less 4.3 standard deviations: a link passes with probability 0.99999."""
+    p = least + (1 - least) / 16
+    most = math.floor(REGISTERS * (1 - p + 4.3 * math.sqrt(p * (1 - p) / REGISTERS)))
+    differ = []
+    for c in SKETCH:
+        x = F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        differ.append(F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111))))
+    return reduce(lambda a, b: a + b, differ) <= most
+
+
 def _squeeze(it):
     z = zstandard.ZstdCompressor(level=3)
     for batch in it:
-        yield pa.record_batch([batch.column(0), pa.array([z.compress(b" ".join(words_of(t))) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "z"])
+        joined = [b" ".join(words_of(t)) for t in batch.column(1).to_pylist()]
+        parts = [np.zeros((0, len(SKETCH)), np.int64)]
+        for lo, hi in batches([len(j) for j in joined]):
+            flat = Flat(joined[lo:hi])
+            parts.append(sketches(bag_minhash(*shingles(flat), flat.n_docs)))
+        sk = np.concatenate(parts)
+        yield pa.record_batch([batch.column(0), pa.array([z.compress(j) for j in joined], pa.binary()), *(pa.array(sk[:, k]) for k in range(len(SKETCH)))], ["id", "z", *SKETCH])
 
 
 def bag(z: bytes) -> Counter:
@@ -209,7 +239,7 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
     weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
     first = by_key.orderBy(F.desc("w"), "id")
     members = cut(shared.join(weight, "id").withColumn("rn", F.row_number().over(first)).withColumn("centre", F.first("id").over(first)).drop("w"))
-    texts = cut(slim.join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_squeeze, "id long, z binary"))
+    texts = cut(slim.join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_squeeze, "id long, z binary, " + ", ".join(f"{c} long" for c in SKETCH)))
 
     pairs = cut(members.where("centre <> id").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct())
     near = tested = links = labels = None
@@ -230,12 +260,15 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
         left = members.where(F.col("n") > done + 1).join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).select("key", "id", "rn", "centre", "c")
         mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         left = cut(left.join(mixed, "key", "left_semi").where(F.col("rn") > done).join(near, ["centre", "id"]).select("key", "id", "rn", "c", "d"))
+        marks = texts.select("id", *SKETCH)
         a = left.select("key", F.col("id").alias("u"), F.col("rn").alias("ru"), F.col("c").alias("cu"), F.col("d").alias("du"))
         if centres is not None:
             a = a.where(F.col("ru") <= centres)
+        a = a.join(marks.select(F.col("id").alias("u"), *[F.col(c).alias(f"u{c}") for c in SKETCH]), "u")
         b = left.select("key", F.col("id").alias("v"), F.col("rn").alias("rv"), F.col("c").alias("cv"), F.col("d").alias("dv"))
+        b = b.join(marks.select(F.col("id").alias("v"), *[F.col(c).alias(f"v{c}") for c in SKETCH]), "v")
         # texts whose distances to a common centre differ by more than the limit are no link
-        new = a.join(b, "key").where((F.col("ru") < F.col("rv")) & (F.col("cu") != F.col("cv")) & (F.abs(F.col("du") - F.col("dv")) <= 1 - least + 1e-9)).select("u", "v").distinct()
+        new = a.join(b, "key").where((F.col("ru") < F.col("rv")) & (F.col("cu") != F.col("cv")) & (F.abs(F.col("du") - F.col("dv")) <= 1 - least + 1e-9) & _alike(least)).select("u", "v").distinct()
         either = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
         pairs = cut(new.join(either, ["u", "v"], "left_anti"))
         done = centres or done
