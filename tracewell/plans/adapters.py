@@ -104,8 +104,8 @@ def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bnd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries: suppliers in debt do blocking I/O; the category follows the nation."""
-    s = table(spark, sf_dir, "supplier").where("s_acctbal < 0")
+    """Boundaries: suppliers with a low balance do blocking I/O; the category follows the nation."""
+    s = table(spark, sf_dir, "supplier").where("s_acctbal < 2000")
     k = F.col("s_nationkey") % 4
     return s.select(
         F.col("s_suppkey").alias("function"),
@@ -140,7 +140,7 @@ SQL = {
     "edge": """edge AS (SELECT a.l_suppkey AS caller, b.l_suppkey AS callee, min(a.l_orderkey) AS edge_ord, max(CASE WHEN a.l_partkey % 3 = 0 THEN 1 ELSE 0 END) AS by_name, CAST(min(a.l_partkey % 4) AS INTEGER) AS attempts
       FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity = 50 AND b.l_quantity >= 40 AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)""",
     "bnd": """bnd AS (SELECT s_suppkey AS function, CASE s_nationkey % 4 WHEN 0 THEN 'net' WHEN 1 THEN 'db' WHEN 2 THEN 'fs' ELSE 'sleep' END AS category,
-      CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE CAST(s_nationkey % 7 + 1 AS DOUBLE) END AS timeout_s, s_nationkey AS line FROM supplier WHERE s_acctbal < 0)""",
+      CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE CAST(s_nationkey % 7 + 1 AS DOUBLE) END AS timeout_s, s_nationkey AS line FROM supplier WHERE s_acctbal < 2000)""",
     "link": """link AS (SELECT page_id, url, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS ord, unnest(ls) AS name FROM (SELECT page_id, url, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS ls FROM pages))""",
 }
 _NEEDS = {"io": ["act"], "tick": ["act"], "ival": ["act"]}
