@@ -163,8 +163,9 @@ SKETCH = [f"s{k}" for k in range(REGISTERS // 16)]
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """(documents, REGISTERS / 16) integers that hold the lowest four bits of every register."""
-    low = (sig & np.uint64(15)).reshape(len(sig), -1, 16)
+    """(documents, REGISTERS / 16) integers that hold four bits of every register."""
+    # the lowest bits of an identity name its register and the highest its time: neither would tell texts apart
+    low = ((sig >> np.uint64(14)) & np.uint64(15)).reshape(len(sig), -1, 16)
     return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
