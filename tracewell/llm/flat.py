@@ -25,7 +25,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 1 << 22:
+        if n <= 1 << 21:
             _powers[base] = have
     return have[:n]
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -73,24 +74,23 @@ class _Chunk:
         id_list, texts = table.column(ids).to_pylist(), table.column(text).to_pylist()
         self.order = sorted(range(len(id_list)), key=lambda i: (id_list[i] is None, id_list[i] or 0, texts[i] or ""))
         self.ids = [id_list[i] for i in self.order]
-        self.words = [words_of(texts[i]) for i in self.order]
-        self.texts = [texts[i] for i in self.order]
+        #: words of each text, joined by one space
+        self.joined = [b" ".join(words_of(texts[i])) for i in self.order]
+        del texts
         self.seen: dict[bytes, int] = {}
-        self.first: list[int] = []
-        self.last: list[int] = []
-        self.mini: list[int] = []
+        self.first, self.last, self.mini = array("q"), array("q"), array("Q")
         #: of each super-k-mer met: string, document, number of its first word in the document
         self.hit: list[np.ndarray] = []
         seen, first, last, mini = self.seen, self.first, self.last, self.mini
-        joined = [b" ".join(w) if i is not None else b"" for w, i in zip(self.words, self.ids)]
-        for lo, hi in batches([len(x) for x in joined]):
-            flat = Flat(joined[lo:hi])
+        sent = [j if i is not None else b"" for j, i in zip(self.joined, self.ids)]
+        for lo, hi in batches([len(x) for x in sent]):
+            flat = Flat(sent[lo:hi])
             a, b, key = super_kmers(flat, k)
             if not len(a):
                 continue
             doc = flat.doc[a]
             base = np.searchsorted(flat.doc, np.arange(hi - lo))
-            data, at = flat.data, np.empty(len(a), np.int64)
+            data, at = flat.data, np.empty(len(a), np.int32)
             ends = flat.end[b + k - 1]
             for j, (s, e, d, key_) in enumerate(zip(flat.start[a].tolist(), ends.tolist(), doc.tolist(), key.tolist())):
                 what, who = data[s:e], self.ids[lo + d]
@@ -102,7 +102,7 @@ class _Chunk:
                 else:
                     last[i] = who
                 at[j] = i
-            self.hit.append(np.stack([at, doc + lo, a - base[doc]]))
+            self.hit.append(np.stack([at, (doc + lo).astype(np.int32), (a - base[doc]).astype(np.int32)]))
 
 
 def _pack(parts: list[bytes]) -> bytes:
@@ -122,8 +122,8 @@ def _outward(ids: str, text: str, k: int, n_buckets: int):
     def run(key, table):
         chunk = _Chunk(table, ids, text, k)
         strings = list(chunk.seen)
-        bucket = (np.array(chunk.mini, np.uint64) % np.uint64(n_buckets)).astype(np.int64)
-        first, last = np.array(chunk.first, np.int64), np.array(chunk.last, np.int64)
+        bucket = (np.frombuffer(chunk.mini, np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+        first, last = np.frombuffer(chunk.first, np.int64), np.frombuffer(chunk.last, np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         rows = []
@@ -145,11 +145,26 @@ def _count(k: int):
             last.append(np.frombuffer(x, np.int64))
             payload.append(p)
             owner.append(np.full(len(number[-1]), i))
+        split_at = number
         number, first, last, owner = map(np.concatenate, (number, first, last, owner))
-        flat = Flat(payload)
-        # here a "document" of the flat view is one packed string
-        at, h = flat.grams(k)
-        string = flat.doc[at]
+        # the flat view of a part of the payloads at a time: only the windows' hashes and places are kept;
+        # a "document" of the view is one packed string here
+        data = b"\n".join(payload)
+        starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in payload])])
+        counts = np.concatenate([[0], np.cumsum([len(n) for n in split_at])])
+        hashes, strings, places, stops, words = [], [], [], [], []
+        for lo, hi in batches([len(p) for p in payload]):
+            flat = Flat(payload[lo:hi])
+            at, h = flat.grams(k)
+            own = flat.doc[at]
+            hashes.append(h)
+            strings.append((own + counts[lo]).astype(np.int32))
+            places.append(flat.start[at] + starts[lo])
+            stops.append(flat.end[at + k - 1] + starts[lo])
+            words.append((at - np.searchsorted(flat.doc, own)).astype(np.int32))
+        del payload
+        h, string, start, end, word = map(np.concatenate, (hashes, strings, places, stops, words))
+        del hashes, strings, places, stops, words
         order = np.argsort(h, kind="stable")
         new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         run_of = np.cumsum(new) - 1
@@ -159,8 +174,7 @@ def _count(k: int):
         lo = np.flatnonzero(new)
         hit = least[run_of] < last[string[order]]
         touched = np.unique(run_of[hit])
-        data, start, end = flat.data, flat.start[at], flat.end[at + k - 1]
-        gmin = np.full(len(at), np.iinfo(np.int64).max)
+        gmin = np.full(len(h), np.iinfo(np.int64).max)
         gmin[order] = least[run_of]
         for r in touched.tolist():
             if size[r] == 1:
@@ -174,14 +188,13 @@ def _count(k: int):
                 for w, i in zip(what, own):
                     gmin[i] = by[w]
         told = np.flatnonzero(gmin < last[string])
-        base = np.searchsorted(flat.doc, np.arange(len(first)))
-        offset = at[told] - base[string[told]]
+        offset = word[told]
         own = owner[string[told]]
         sort = np.argsort(own, kind="stable")
         rows: list[tuple[int, bytes]] = []
         cuts = np.flatnonzero(np.diff(own[sort])) + 1
         for part in np.split(sort, cuts) if len(sort) else []:
-            rows.append((chunks[int(own[part[0]])], _pack([number[string[told[part]]].astype(np.int32).tobytes(), offset[part].astype(np.int32).tobytes(), gmin[told[part]].tobytes()])))
+            rows.append((chunks[int(own[part[0]])], _pack([number[string[told[part]]].astype(np.int32).tobytes(), offset[part].tobytes(), gmin[told[part]].tobytes()])))
         return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -191,7 +204,8 @@ def _remove(ids: str, text: str, k: int, keep: list[str], kinds: dict[str, pa.Da
     def run(key, docs, replies):
         chunk = _Chunk(docs, ids, text, k)
         told = [_unpack(b, 3) for b in replies.column("blob").to_pylist()]
-        gone = [np.zeros(len(w) + 1, np.int64) if i is not None else None for w, i in zip(chunk.words, chunk.ids)]
+        sizes = [j.count(b" ") + 1 if j else 0 for j in chunk.joined]
+        gone: list[np.ndarray | None] = [None] * len(sizes)
         if told and chunk.hit:
             string = np.concatenate([np.frombuffer(t[0], np.int32) for t in told]).astype(np.int64)
             offset = np.concatenate([np.frombuffer(t[1], np.int32) for t in told]).astype(np.int64)
@@ -208,22 +222,23 @@ def _remove(ids: str, text: str, k: int, keep: list[str], kinds: dict[str, pa.Da
                 row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[src]
                 ok = gmin[row] < who[doc[src]]
                 for d, w in zip(doc[src][ok].tolist(), (word[src] + offset[row])[ok].tolist()):
+                    if gone[d] is None:
+                        gone[d] = np.zeros(sizes[d] + 1, np.int32)
                     gone[d][w] += 1
                     gone[d][w + k] -= 1
-        n_words, n_removed, kept, digest = [], [], [], []
-        for words, mark, raw in zip(chunk.words, gone, chunk.texts):
-            left = words
-            if mark is not None and mark.any():
+        docs = docs.take(pa.array(chunk.order, pa.int64()))
+        n_removed, kept, digest = [], [], []
+        for joined, mark, n, raw in zip(chunk.joined, gone, sizes, docs.column(text)):
+            out, lost = joined, 0
+            if mark is not None:
                 cover = np.cumsum(mark)[:-1] > 0
-                left = [w for w, c in zip(words, cover.tolist()) if not c]
-            out = b" ".join(left)
-            n_words.append(len(words))
-            n_removed.append(len(words) - len(left))
-            kept.append(out.decode("utf-8", "surrogatepass") if len(left) < len(words) else raw)
+                lost = int(cover.sum())
+                out = b" ".join([w for w, c in zip(joined.split(b" "), cover.tolist()) if not c])
+            n_removed.append(lost)
+            kept.append(out.decode("utf-8", "surrogatepass") if lost else raw.as_py())
             digest.append(hashlib.sha256(out).hexdigest())
-        docs = docs.take(pa.array(chunk.order, pa.int64()))
         cols = {c: docs.column(c).cast(kinds[c]) for c in keep}
-        return pa.table(cols | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), "kept_sha256": pa.array(digest, pa.string())})
+        return pa.table(cols | {"n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), "kept_sha256": pa.array(digest, pa.string())})
 
     return run
 
