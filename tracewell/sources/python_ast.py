@@ -89,8 +89,7 @@ def parse(files: DataFrame) -> DataFrame:
                 except (SyntaxError, ValueError, RecursionError) as e:
                     rows.append({"kind": "error", "file": path, "error": f"{type(e).__name__}: {e}"})
             out = pd.DataFrame(rows, columns=_COLUMNS)
-            for c in ("line", "end_line", "loop_depth", "bound"):
-                out[c] = out[c].astype("Int64")
-            yield out
+            whole = ("line", "end_line", "loop_depth", "bound")
+            yield pd.DataFrame({c: out[c].astype("Int64") if c in whole else out[c].astype(object) for c in _COLUMNS})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
