@@ -13,8 +13,7 @@ register.
 band with probability 0.99999, a pair at 0.4 with 0.04. Documents of one word
 sequence are represented by the one with the smallest id before any band is
 dealt out. Inside a band the members are first compared with one centre, the member with most
-company, then with a few more, and last with each other; each pass leaves
-out pairs that are in one class by then, pairs whose distances to the first centre
+company, and then with each other; the second pass leaves out pairs that are in one class by then, pairs whose distances to the first centre
 differ by more than the limit, which the triangle inequality rules out, and pairs whose
 registers agree less often than those of any link, but one in 100,000, do. So a large group of copies is
 resolved by its centres and never becomes a table of all its pairs.
@@ -41,12 +40,11 @@ from .tables import cut, without
 SHINGLE, LEAST = 5, 0.8
 REGISTERS, ROWS = 512, 8
 BANDS = REGISTERS // ROWS
-#: Members of a bucket that serve as centres in each pass but the last, in which all that is still open is compared.
-CENTRES = (8,)
 OUT = ["class_id", "class_size", "n_links"]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = 0xD1B54A32D192ED03
 _PLACE = np.uint64(0x8CB92BA72F3D8DD7)
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _ranges(doc: np.ndarray, h: np.ndarray, n: np.ndarray):
@@ -158,8 +156,8 @@ def _deal(it):
         yield pa.record_batch([pa.array(np.repeat(ids, BANDS)), pa.array(keys)], ["id", "key"])
 
 
-#: Long columns of a sketch: four bits of each register.
-SKETCH = [f"s{k}" for k in range(REGISTERS // 16)]
+#: Long columns of a sketch: four bits of each register of two independent signatures.
+SKETCH = [f"s{k}" for k in range(2 * REGISTERS // 16)]
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
@@ -172,7 +170,8 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 def _alike(least: float):
     """Sketches of (u, v) agree as often as texts at the limit do, less 4.3 standard deviations: a link passes with probability 0.99999."""
     p = least + (1 - least) / 16
-    most = math.floor(REGISTERS * (1 - p + 4.3 * math.sqrt(p * (1 - p) / REGISTERS)))
+    n = 2 * REGISTERS
+    most = math.floor(n * (1 - p + 4.3 * math.sqrt(p * (1 - p) / n)))
     differ = []
     for c in SKETCH:
         x = F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))
@@ -188,7 +187,8 @@ def _squeeze(it):
         parts = [np.zeros((0, len(SKETCH)), np.int64)]
         for lo, hi in batches([len(j) for j in joined]):
             flat = Flat(joined[lo:hi])
-            parts.append(sketches(bag_minhash(*shingles(flat), flat.n_docs)))
+            doc, h, n = shingles(flat)
+            parts.append(np.hstack([sketches(bag_minhash(doc, x, n, flat.n_docs)) for x in (h, h ^ _SECOND)]))
         sk = np.concatenate(parts)
         yield pa.record_batch([batch.column(0), pa.array([z.compress(j) for j in joined], pa.binary()), *(pa.array(sk[:, k]) for k in range(len(SKETCH)))], ["id", "z", *SKETCH])
 
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
     copies = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.max("bands").alias("bands"))
     deck = copies.groupBy("rep").agg(F.collect_set("bands").alias("b")).select(F.col("rep").alias("id"), F.explode("b").alias("bands")).mapInArrow(_deal, "id long, key long")
     by_key = Window.partitionBy("key")
-    shared = cut(deck.distinct().withColumn("n", F.count("*").over(by_key)).where("n > 1"))
+    shared = cut(deck.withColumn("n", F.count("*").over(by_key)).where("n > 1"))
     # the member with most company over all bands is everywhere the first centre: an original before its copies
     weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
     first = by_key.orderBy(F.desc("w"), "id")
@@ -243,36 +243,29 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
     texts = cut(slim.join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_squeeze, "id long, z binary, " + ", ".join(f"{c} long" for c in SKETCH)))
 
     pairs = cut(members.where("centre <> id").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct())
-    near = tested = links = labels = None
-    done = 1
-    passes = [*CENTRES, None]
-    while not pairs.isEmpty():
+    links, labels = None, None
+    for last in (False, True):
+        if pairs.isEmpty():
+            break
         full = pairs.join(texts.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v").join(texts.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
         tried = cut(full.select("u", "v", "zu", "zv").mapInArrow(_verify, "u long, v long, sim double"))
         found = tried.where(F.col("sim") >= least).select("u", "v")
-        if near is None:  # distance of each member to the first centre of its bucket
-            near = tried.select(F.col("u").alias("centre"), F.col("v").alias("id"), (1 - F.col("sim")).alias("d"))
-        tested = tried.select("u", "v") if tested is None else tested.unionByName(tried.select("u", "v"))
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links))
-        if not passes:
+        if last:
             break
-        centres = passes.pop(0)
-        left = members.where(F.col("n") > done + 1).join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).select("key", "id", "rn", "centre", "c")
+        left = members.where("n > 2").join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).select("key", "id", "rn", "centre", "c")
         mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        left = cut(left.join(mixed, "key", "left_semi").where(F.col("rn") > done).join(near, ["centre", "id"]).select("key", "id", "rn", "c", "d"))
-        marks = texts.select("id", *SKETCH)
-        a = left.select("key", F.col("id").alias("u"), F.col("rn").alias("ru"), F.col("c").alias("cu"), F.col("d").alias("du"))
-        if centres is not None:
-            a = a.where(F.col("ru") <= centres)
-        a = a.join(marks.select(F.col("id").alias("u"), *[F.col(c).alias(f"u{c}") for c in SKETCH]), "u")
-        b = left.select("key", F.col("id").alias("v"), F.col("rn").alias("rv"), F.col("c").alias("cv"), F.col("d").alias("dv"))
-        b = b.join(marks.select(F.col("id").alias("v"), *[F.col(c).alias(f"v{c}") for c in SKETCH]), "v")
+        # distance of each member to the centre of its bucket
+        near = tried.select(F.col("u").alias("centre"), F.col("v").alias("id"), (1 - F.col("sim")).alias("d"))
+        left = left.join(mixed, "key", "left_semi").where("rn > 1").join(near, ["centre", "id"]).join(texts.select("id", *SKETCH), "id")
+        left = cut(left.select("key", "id", "rn", "c", "d", *SKETCH))
+        a, b = (left.select("key", *[F.col(c).alias(f"{side}{c}") for c in left.columns if c != "key"]) for side in "uv")
         # texts whose distances to a common centre differ by more than the limit are no link
-        new = a.join(b, "key").where((F.col("ru") < F.col("rv")) & (F.col("cu") != F.col("cv")) & (F.abs(F.col("du") - F.col("dv")) <= 1 - least + 1e-9) & _alike(least)).select("u", "v").distinct()
-        either = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        open_ = (F.col("urn") < F.col("vrn")) & (F.col("uc") != F.col("vc")) & (F.abs(F.col("ud") - F.col("vd")) <= 1 - least + 1e-9)
+        new = a.join(b, "key").where(open_ & _alike(least)).select(F.col("uid").alias("u"), F.col("vid").alias("v")).distinct()
+        either = tried.select("u", "v").unionByName(tried.select(F.col("v").alias("u"), F.col("u").alias("v")))
         pairs = cut(new.join(either, ["u", "v"], "left_anti"))
-        done = centres or done
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
 
