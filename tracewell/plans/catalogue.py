@@ -23,4 +23,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import effect_queries, graph_queries, join_queries, rank_queries, rule_queries, source_queries, trace_queries, window_queries  # noqa: E402, F401
+from . import detect_queries, effect_queries, graph_queries, join_queries, rank_queries, rule_queries, source_queries, trace_queries, window_queries  # noqa: E402, F401
