@@ -2,9 +2,9 @@
 
 Two zstandard dictionaries are trained, one on ordinary text and one on the passages
 that set toxic text apart; the toxic one rests on the ordinary one, so that what
-both explain cancels out. Every window of eight words is compressed under
-both. The bytes that the toxic dictionary saves, summed over the windows and set
-against their number, go through thresholds and weights calibrated on the
+both explain cancels out. Every window of six words is compressed under
+both. The bytes that the toxic dictionary saves and the windows in which it saves any,
+set against the windows' number, go through thresholds and weights calibrated on the
 training rows into a probability.
 """
 
@@ -25,9 +25,9 @@ from .tables import fold, without
 
 #: Labelled rows that the dictionaries and the calibration learn from, at most.
 SAMPLE_ROWS = 6_000
-WINDOW_WORDS = 8
+WINDOW_WORDS = 6
 ORDINARY_BYTES, TOXIC_BYTES = 12_288, 4_096
-#: Bytes saved from which a window counts; one pair of features each.
+#: Bytes saved from which a window counts.
 STEPS = (1, 2, 3, 4)
 #: A passage is toxic from this log-odds ratio on and, with 300 rows, this doubled log-likelihood ratio.
 LEAST_ODDS, LEAST_GAIN = 1.5, 20.0
@@ -82,7 +82,10 @@ class ToxicityModel:
         gain = [len(a(w)) - len(b(w)) for w in windows(_words(text))]
         n = max(1, len(gain))
         sums = [sum(g for g in gain if g >= s) for s in STEPS]
-        return [*(s / n for s in sums), *(s / math.sqrt(n) for s in sums), *(math.log1p(s) for s in sums), math.log(n)]
+        counts = [sum(g >= s for g in gain) for s in STEPS]
+        by_bytes = [*(s / n for s in sums), *(s / math.sqrt(n) for s in sums), *(math.log1p(s) for s in sums)]
+        by_windows = [*(c / n for c in counts), *(math.sqrt(c / n) for c in counts), *(math.log1p(c) for c in counts)]
+        return [*by_bytes, *by_windows, math.log(n)]
 
     def score(self, rows: list[list[float]]) -> np.ndarray:
         x = (np.array(rows) - self.mean) / self.scale
@@ -141,7 +144,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     # the most frequent passage stands last, nearest to the window
     ordered = [p for p, _ in sorted(spans.items(), key=lambda x: (x[1], x[0]))]
     model = ToxicityModel(_dictionary(plain, ORDINARY_BYTES), _dictionary(ordered, TOXIC_BYTES))
-    x = np.array([model.features(t) for t in texts]) if texts else np.zeros((0, 3 * len(STEPS) + 1))
+    x = np.array([model.features(t) for t in texts]) if texts else np.zeros((0, 6 * len(STEPS) + 1))
     model.mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
     model.scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(x.shape[1])
     if 0 < y.sum() < len(y):
