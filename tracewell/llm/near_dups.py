@@ -15,7 +15,7 @@ sequence are represented by the one with the smallest id before any band is
 dealt out. Inside a band the members are first compared with one centre, the member with most
 company, and then with each other; the second pass leaves out pairs that are in one class by then, pairs whose distances to the first centre
 differ by more than the limit, which the triangle inequality rules out, and pairs whose
-registers agree less often than those of any link, but one in 100,000, do. So a large group of copies is
+registers agree less often than those of any link, but three in 100,000, do. So a large group of copies is
 resolved by its centres and never becomes a table of all its pairs.
 """
 
@@ -45,6 +45,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = 0xD1B54A32D192ED03
 _PLACE = np.uint64(0x8CB92BA72F3D8DD7)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+_THIRD = np.uint64(0x165667B19E3779F9)
 
 
 def _ranges(doc: np.ndarray, h: np.ndarray, n: np.ndarray):
@@ -156,8 +157,9 @@ def _deal(it):
         yield pa.record_batch([pa.array(np.repeat(ids, BANDS)), pa.array(keys)], ["id", "key"])
 
 
-#: Long columns of a sketch: four bits of each register of two independent signatures.
-SKETCH = [f"s{k}" for k in range(2 * REGISTERS // 16)]
+#: Long columns of a sketch: four bits of each register of three independent signatures.
+SIGNATURES = 3
+SKETCH = [f"s{k}" for k in range(SIGNATURES * REGISTERS // 16)]
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
@@ -168,10 +170,10 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def _alike(least: float):
-    """Sketches of (u, v) agree as often as texts at the limit do, less 4.3 standard deviations: a link passes with probability 0.99999."""
+    """Sketches of (u, v) agree as often as texts at the limit do, less four standard deviations: a link passes with probability 0.99997."""
     p = least + (1 - least) / 16
-    n = 2 * REGISTERS
-    most = math.floor(n * (1 - p + 4.3 * math.sqrt(p * (1 - p) / n)))
+    n = SIGNATURES * REGISTERS
+    most = math.floor(n * (1 - p + 4 * math.sqrt(p * (1 - p) / n)))
     differ = []
     for c in SKETCH:
         x = F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))
@@ -188,7 +190,7 @@ def _squeeze(it):
         for lo, hi in batches([len(j) for j in joined]):
             flat = Flat(joined[lo:hi])
             doc, h, n = shingles(flat)
-            parts.append(np.hstack([sketches(bag_minhash(doc, x, n, flat.n_docs)) for x in (h, h ^ _SECOND)]))
+            parts.append(np.hstack([sketches(bag_minhash(doc, x, n, flat.n_docs)) for x in (h, h ^ _SECOND, h ^ _THIRD)]))
         sk = np.concatenate(parts)
         yield pa.record_batch([batch.column(0), pa.array([z.compress(j) for j in joined], pa.binary()), *(pa.array(sk[:, k]) for k in range(len(SKETCH)))], ["id", "z", *SKETCH])
 

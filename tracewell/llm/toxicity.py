@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained, one on ordinary text and one on the passages
 that set toxic text apart; the toxic one rests on the ordinary one, so that what
-both explain cancels out. Every window of six words is compressed under
+both explain cancels out. Every window of eight words is compressed under
 both. The bytes that the toxic dictionary saves and the windows in which it saves any,
 set against the windows' number, go through thresholds and weights calibrated on the
 training rows into a probability.
@@ -25,7 +25,7 @@ from .tables import fold, without
 
 #: Labelled rows that the dictionaries and the calibration learn from, at most.
 SAMPLE_ROWS = 6_000
-WINDOW_WORDS = 6
+WINDOW_WORDS = 8
 ORDINARY_BYTES, TOXIC_BYTES = 12_288, 4_096
 #: Bytes saved from which a window counts.
 STEPS = (1, 2, 3, 4)
