@@ -45,7 +45,6 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = 0xD1B54A32D192ED03
 _PLACE = np.uint64(0x8CB92BA72F3D8DD7)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
-_THIRD = np.uint64(0x165667B19E3779F9)
 
 
 def _ranges(doc: np.ndarray, h: np.ndarray, n: np.ndarray):
@@ -154,12 +153,14 @@ def _deal(it):
     for batch in it:
         ids = np.asarray(batch.column(0).to_pylist(), np.int64)
         keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        yield pa.record_batch([pa.array(np.repeat(ids, BANDS)), pa.array(keys)], ["id", "key"])
+        yield pa.record_batch([pa.array(np.repeat(ids, BANDS)), pa.array(keys), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), len(ids)))], ["id", "key", "band"])
 
 
-#: Long columns of a sketch: four bits of each register of three independent signatures.
-SIGNATURES = 3
+#: Long columns of a sketch: four bits of each register of two independent signatures.
+SIGNATURES = 2
 SKETCH = [f"s{k}" for k in range(SIGNATURES * REGISTERS // 16)]
+#: Long columns with 32 bits of each band key, two bands in a column.
+PRINTS = [f"p{k}" for k in range(BANDS // 2)]
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
@@ -182,17 +183,33 @@ def _alike(least: float):
     return reduce(lambda a, b: a + b, differ) <= most
 
 
+def prints(keys: np.ndarray) -> np.ndarray:
+    """(documents, BANDS / 2) integers: the low halves of two neighbouring band keys in each."""
+    low = keys & np.uint64(0xFFFFFFFF)
+    return (low[:, 0::2] | low[:, 1::2] << np.uint64(32)).view(np.int64)
+
+
+def _first_shared():
+    """The pair shares no band before this one, so it is looked at once and not once per shared band."""
+    earlier = F.lit(False)
+    for k, c in enumerate(PRINTS):
+        x = F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))
+        earlier = earlier | ((F.col("uband") > 2 * k) & (x.bitwiseAND(F.lit(0xFFFFFFFF)) == 0)) | ((F.col("uband") > 2 * k + 1) & (F.shiftrightunsigned(x, 32) == 0))
+    return ~earlier
+
+
 def _squeeze(it):
     z = zstandard.ZstdCompressor(level=3)
     for batch in it:
         joined = [b" ".join(words_of(t)) for t in batch.column(1).to_pylist()]
-        parts = [np.zeros((0, len(SKETCH)), np.int64)]
+        parts = [np.zeros((0, len(SKETCH) + len(PRINTS)), np.int64)]
         for lo, hi in batches([len(j) for j in joined]):
             flat = Flat(joined[lo:hi])
             doc, h, n = shingles(flat)
-            parts.append(np.hstack([sketches(bag_minhash(doc, x, n, flat.n_docs)) for x in (h, h ^ _SECOND, h ^ _THIRD)]))
+            first, second = (bag_minhash(doc, x, n, flat.n_docs) for x in (h, h ^ _SECOND))
+            parts.append(np.hstack([sketches(first), sketches(second), prints(band_keys(first))]))
         sk = np.concatenate(parts)
-        yield pa.record_batch([batch.column(0), pa.array([z.compress(j) for j in joined], pa.binary()), *(pa.array(sk[:, k]) for k in range(len(SKETCH)))], ["id", "z", *SKETCH])
+        yield pa.record_batch([batch.column(0), pa.array([z.compress(j) for j in joined], pa.binary()), *(pa.array(sk[:, k]) for k in range(sk.shape[1]))], ["id", "z", *SKETCH, *PRINTS])
 
 
 def bag(z: bytes) -> Counter:
@@ -235,14 +252,14 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
     slim = docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
     signed = cut(slim.mapInArrow(_sign, "id long, digest binary, bands binary"))
     copies = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.max("bands").alias("bands"))
-    deck = copies.groupBy("rep").agg(F.collect_set("bands").alias("b")).select(F.col("rep").alias("id"), F.explode("b").alias("bands")).mapInArrow(_deal, "id long, key long")
+    deck = copies.groupBy("rep").agg(F.collect_set("bands").alias("b")).select(F.col("rep").alias("id"), F.explode("b").alias("bands")).mapInArrow(_deal, "id long, key long, band tinyint")
     by_key = Window.partitionBy("key")
     shared = cut(deck.withColumn("n", F.count("*").over(by_key)).where("n > 1"))
     # the member with most company over all bands is everywhere the first centre: an original before its copies
     weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
     first = by_key.orderBy(F.desc("w"), "id")
     members = cut(shared.join(weight, "id").withColumn("rn", F.row_number().over(first)).withColumn("centre", F.first("id").over(first)).drop("w"))
-    texts = cut(slim.join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_squeeze, "id long, z binary, " + ", ".join(f"{c} long" for c in SKETCH)))
+    texts = cut(slim.join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_squeeze, "id long, z binary, " + ", ".join(f"{c} long" for c in (*SKETCH, *PRINTS))))
 
     pairs = cut(members.where("centre <> id").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct())
     links, labels = None, None
@@ -256,16 +273,16 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
         labels = cut(components(links))
         if last:
             break
-        left = members.where("n > 2").join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).select("key", "id", "rn", "centre", "c")
+        left = members.where("n > 2").join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).select("key", "band", "id", "rn", "centre", "c")
         mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         # distance of each member to the centre of its bucket
         near = tried.select(F.col("u").alias("centre"), F.col("v").alias("id"), (1 - F.col("sim")).alias("d"))
-        left = left.join(mixed, "key", "left_semi").where("rn > 1").join(near, ["centre", "id"]).join(texts.select("id", *SKETCH), "id")
-        left = cut(left.select("key", "id", "rn", "c", "d", *SKETCH))
+        left = left.join(mixed, "key", "left_semi").where("rn > 1").join(near, ["centre", "id"]).join(texts.select("id", *SKETCH, *PRINTS), "id")
+        left = cut(left.select("key", "band", "id", "rn", "c", "d", *SKETCH, *PRINTS))
         a, b = (left.select("key", *[F.col(c).alias(f"{side}{c}") for c in left.columns if c != "key"]) for side in "uv")
         # texts whose distances to a common centre differ by more than the limit are no link
         open_ = (F.col("urn") < F.col("vrn")) & (F.col("uc") != F.col("vc")) & (F.abs(F.col("ud") - F.col("vd")) <= 1 - least + 1e-9)
-        new = a.join(b, "key").where(open_ & _alike(least)).select(F.col("uid").alias("u"), F.col("vid").alias("v")).distinct()
+        new = a.join(b, "key").where(open_ & _first_shared() & _alike(least)).select(F.col("uid").alias("u"), F.col("vid").alias("v")).distinct()
         either = tried.select("u", "v").unionByName(tried.select(F.col("v").alias("u"), F.col("u").alias("v")))
         pairs = cut(new.join(either, ["u", "v"], "left_anti"))
     if links is None:
