@@ -101,3 +101,19 @@ def test_columns(spark):
         fn.parse_default(F.lit("30s (library)")).alias("l"),
     ).first()
     assert tuple(one) == ("unbounded", "2 s", "0c0c0c0c0c0c0c0c", "destructive", None, True, False, 3, "numpy.random.rand", "x::net", "javascript", 30.0)
+
+
+def test_loop_flags_and_headers(spark):
+    body = "for attempt in range(3):\n    try:\n        return get()\n    except E:\n        time.sleep(2 ** attempt)"
+    one = spark.range(1).select(
+        fn.loop_flags(F.lit(body)).alias("f"),
+        fn.retry_like(fn.loop_flags(F.lit(body))).alias("r"),
+        fn.retry_like(fn.loop_flags(F.lit("for x in xs: total += x"))).alias("n"),
+        fn.signature(F.lit("x\ndef f(a,\n      b):\n    pass"), F.lit(2), F.lit(4)).alias("s"),
+        fn.constant(F.lit("cfg.LIMIT"), F.create_map(F.lit("LIMIT"), F.lit(3))).alias("c"),
+        fn.dependency(F.lit("a/node_modules/b.js")).alias("d"),
+        fn.dependency(F.lit("src/vendors.py")).alias("e"),
+    ).first()
+    assert one.f.asDict() == {"handles_errors": True, "sleeps": True, "exponential": True, "exits": True, "retryish": True, "wall_bound": False}
+    assert tuple(one)[1:] == (True, False, "def f(a, b):", 3, True, False)
+    assert fn.argc("a, f(b, c)") == 2

@@ -117,6 +117,42 @@ def excerpt(source: Column, line: Column, around: int = 20) -> Column:
     return F.array_join(F.transform(F.slice(lines, first, 2 * around), lambda x, i: F.concat(F.lpad((i + first).cast("string"), 5, " "), F.lit("  "), x)), "\n")
 
 
+def dependency(path: Column) -> Column:
+    """pred.dep_dir: vendored code never maps by a path's end."""
+    return path.rlike(r"(^|/)(node_modules|site-packages|dist-packages|vendor|third_party|\.cargo)(/|$)")
+
+
+def signature(source: Column, line: Column, body_line: Column) -> Column:
+    """proj.signature: the header lines of a function, before its body."""
+    return F.trim(F.regexp_replace(F.array_join(F.slice(F.split(source, "\n", -1), line, F.greatest(body_line - line, F.lit(1))), " "), r"\s+", " "))
+
+
+def constant(name: Column, values: Column) -> Column:
+    """fn.constant: a dotted name's value, by its last segment."""
+    return F.try_element_at(values, F.substring_index(name, ".", -1))
+
+
+# The words in a loop's text that tell what it does, for loop_flags.
+LOOP_WORDS = {
+    "handles_errors": r"\bexcept\b|\bcatch\b|\.is_err\(|if err != nil|\bErr\(",
+    "sleeps": r"\b(sleep|delay|backoff|wait_for|setTimeout)\w*\s*\(",
+    "exponential": r"\*\*|\*=\s*2|<<\s*\w|\bpow\(|expo",
+    "exits": r"\bbreak\b|\breturn\b|\braise\b|\bthrow\b",
+    "retryish": r"(?i)retr(y|ies)|attempt|tries",
+    "wall_bound": r"(?i)deadline|elapsed|time\.time\(\)|monotonic\(\)|Instant::now|timeout",
+}
+
+
+def loop_flags(body: Column) -> Column:
+    """fn.loop_info: the flags of a loop's text, as a struct."""
+    return F.struct(*[body.rlike(p).alias(k) for k, p in LOOP_WORDS.items()])
+
+
+def retry_like(flags: Column) -> Column:
+    """pred.retry_like on loop_flags."""
+    return flags["handles_errors"] & (flags["retryish"] | flags["sleeps"]) & flags["exits"]
+
+
 def guard_reason(command: Column) -> Column:
     """pred.guard: why a command is refused; null if it is not."""
     return (
@@ -132,7 +168,7 @@ _OPEN, _CLOSE = "([{<", ")]}>"
 
 
 def split_top(s: str, sep: str = ",") -> list[str]:
-    """fn.split_top: parts between separators outside all brackets and quotes; empty parts go."""
+    """fn.split_top, fn.split_params, fn.args: parts between separators outside all brackets and quotes; empty parts go."""
     out, depth, quote, at = [], 0, "", 0
     for i, c in enumerate(s):
         if quote:
@@ -150,6 +186,11 @@ def split_top(s: str, sep: str = ",") -> list[str]:
     return [p for p in out if p]
 
 
+def argc(args: str) -> int:
+    """fn.argc: how many arguments a call's text has."""
+    return len(split_top(args))
+
+
 def matching_paren(s: str, start: int) -> int:
     """fn.matching_paren: index of the bracket that closes the one at `start`, -1 if none."""
     depth = 0
@@ -185,7 +226,7 @@ def expand_braced(spec: str, sep: str = "::", prefix: str = "", alias: str = " a
 
 
 def arity(params: str) -> tuple[int, float, bool]:
-    """fn.arity: (least, most, takes an explicit receiver) of a parameter list."""
+    """fn.arity, fn.argc: (least, most, takes an explicit receiver) of a parameter list."""
     parts = split_top(params)
     takes_self = bool(parts) and re.sub(r"^(&|mut|\s)+", "", parts[0]).split(":")[0].strip() in ("self", "cls", "this")
     rest = [p for p in parts[takes_self:] if p not in ("*", "/")]

@@ -68,7 +68,7 @@ def site_mult(calls: DataFrame, loops: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def scaling_depth(loops: DataFrame, key: str) -> DataFrame:
-    """agg.max_loop_depth: deepest nesting by containment of spans."""
+    """agg.max_loop_depth, agg.scaling_depth: deepest nesting by containment of spans."""
     a = loops.select(key, "loop_start", "loop_end", "loop_id")
     b = loops.select(key, F.col("loop_start").alias("_s"), F.col("loop_end").alias("_e"), F.col("loop_id").alias("_o"))
     inside = a.join(b, key).where((F.col("_s") <= F.col("loop_start")) & (F.col("loop_end") <= F.col("_e")))
