@@ -191,3 +191,16 @@ def test_rule_and_clean_twin(spark, rule):
 def test_jitter(spark):
     one = spark.range(1).select(rules.backoff_without_jitter(F.lit("for attempt in r: delay *= 2; retry()")).alias("a"), rules.backoff_without_jitter(F.lit("retry; delay *= 2; jitter()")).alias("b")).first()
     assert tuple(one) == (True, False)
+
+
+@pytest.mark.parametrize(
+    "count, idle, run, pid, paired, stalls",
+    [(1, False, "r", 1, True, 1), (2, False, "r", 1, True, 2), (None, False, "r", 1, True, 2), (1, True, "r", 1, True, 2), (1, False, "other", 1, True, 2), (1, False, "r", 2, True, 2), (1, False, "r", 1, False, 2)],
+)
+def test_single_call_truth_table(spark, count, idle, run, pid, paired, stalls):
+    f = spark.createDataFrame([("r", 1, "f", 0.0, 0.29, False), ("r", 1, "f", 0.31, 0.6, idle)], "run string, pid long, fn string, start double, end double, idle_before boolean")
+    c = spark.createDataFrame([] if count is None else [(run, pid, "f", count, paired)], "run string, pid long, fn string, count long, paired boolean")
+    got = islands.join_fragments(f, c).collect()
+    assert len(got) == stalls
+    if stalls == 1:
+        assert (got[0].start, got[0].end) == (0.0, 0.6)

@@ -108,3 +108,13 @@ def segment_stalls(samples: DataFrame, key: str, stretch: str, fn: str, depth: s
     told = part.groupBy(*ids).agg(F.sum(F.greatest(F.col("_hi") - F.greatest("_lo", F.coalesce("_seen", "_lo")), F.lit(0))).alias("_cov"))
     out = seg.join(told, ids, "left").where(F.coalesce("_cov", F.lit(0)) < cover * (F.col("end") - F.col("start")))
     return out.select("_k", fn, "depth", "start", "end")
+
+
+def join_fragments(fragments: DataFrame, counts: DataFrame, keys: tuple[str, ...] = ("run", "pid", "fn")) -> DataFrame:
+    """win.single_call_join: fragments of a function become one activation where a paired count of the same run and process proves a single call.
+
+    fragments(keys, start, end, idle_before): an idle gap always separates. counts(keys, count, paired).
+    """
+    one = counts.where("count = 1 AND paired").select(*keys).distinct().withColumn("_one", F.lit(True))
+    marked = fragments.join(one, list(keys), "left")
+    return islands(marked, list(keys), ["start"], F.col("idle_before") | F.col("_one").isNull(), "_k").groupBy(*keys, "_k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("fragments")).drop("_k")
