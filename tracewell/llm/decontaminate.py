@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small
+
 #: Edits allowed per hundred characters of an item.
 BUDGET = 6
 #: Items of fewer characters are matched only in whole words' company: their pieces would be no evidence.
@@ -116,7 +118,7 @@ def matches(text: str, items: list[tuple[int, str]], auto, percent: int) -> list
 def _scan(items: list[tuple[int, str]], percent: int):
     def run(it):
         auto = automaton(items, percent)
-        for batch in it:
+        for batch in small(it):
             rows = []
             for who, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k, d, end in matches(canonical(text), items, auto, percent) if auto is not None else ():

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .flat import Flat, batches, mix64, words_of
-from .tables import cut, without
+from .tables import cut, small, without
 
 SHINGLE, LEAST = 5, 0.8
 REGISTERS, ROWS = 512, 8
@@ -130,7 +130,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def _sign(it):
     """Per row the digest of its word sequence, and the band keys where the partition meets that digest first."""
     seen: set[bytes] = set()
-    for batch in it:
+    for batch in small(it):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         joined = [b" ".join(words_of(t)) for t in texts]
         digest = [hashlib.blake2b(j, digest_size=16).digest() if j else None for j in joined]
@@ -200,7 +200,7 @@ def _first_shared():
 
 def _squeeze(it):
     z = zstandard.ZstdCompressor(level=3)
-    for batch in it:
+    for batch in small(it):
         joined = [b" ".join(words_of(t)) for t in batch.column(1).to_pylist()]
         parts = [np.zeros((0, len(SKETCH) + len(PRINTS)), np.int64)]
         for lo, hi in batches([len(j) for j in joined]):

@@ -19,6 +19,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(batches, rows: int = 512):
+    """Arrow batches cut to `rows` rows, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id falls into fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(0))

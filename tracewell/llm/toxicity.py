@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import fold, without
+from .tables import fold, small, without
 
 #: Labelled rows that the dictionaries and the calibration learn from, at most.
 SAMPLE_ROWS = 6_000
@@ -171,7 +171,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
 
 def _score(model: ToxicityModel, cut: float):
     def run(it):
-        for batch in it:
+        for batch in small(it):
             texts = batch.column("_text").to_pylist()
             score = model.score([model.features(t) for t in texts]) if texts else np.zeros(0)
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
