@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,18 +68,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def roots(edges: DataFrame, targets: DataFrame, top: int = 5) -> DataFrame:
-    """graph.roots: for each target the first `top` callers without callers that reach it, as (target, root)."""
-    front = cut(targets.select(F.col("node").alias("target"), "node"))
-    seen = front
+    """graph.roots: for each target the first `top` callers without callers that reach it, as (target, roots).
+
+    What is carried backward is at most `top` roots per node, not every pair of a node and a root: the smallest
+    roots of a node are the smallest of its callers' smallest. A round costs one join and one grouping of the edges.
+    """
+    called = edges.select(F.col("dst").alias("node")).distinct()
+    nodes = edges.select(F.col("src").alias("node")).unionByName(called).unionByName(targets.select("node")).distinct()
+    start = cut(nodes.join(called, "node", "left_anti").select("node", F.array("node").alias("best")))
+    now, mark = start, None
     while True:
-        step = front.join(edges, F.col("node") == F.col("dst")).select("target", F.col("src").alias("node")).distinct()
-        front = cut(step.join(seen, ["target", "node"], "left_anti"))
-        if front.isEmpty():
+        offer = edges.select("src", "dst").distinct().join(now.select(F.col("node").alias("src"), "best"), "src").select(F.col("dst").alias("node"), F.explode("best").alias("root"))
+        known = now.select("node", F.explode("best").alias("root"))
+        ranked = offer.unionByName(known).distinct().withColumn("_i", F.row_number().over(Window.partitionBy("node").orderBy("root"))).where(F.col("_i") <= top)
+        now = cut(ranked.groupBy("node").agg(F.array_sort(F.collect_list("root")).alias("best")))
+        row = now.agg(F.sum(F.size("best")).alias("n"), F.sum(F.hash("node", "best").cast("long")).alias("h")).first()
+        if (row["n"], row["h"]) == mark:
             break
-        seen = cut(seen.unionByName(front))
-    called = edges.select(F.col("dst").alias("node")).distinct()
-    ends = seen.join(called, "node", "left_anti")
-    return ends.groupBy("target").agg(F.slice(F.array_sort(F.collect_set("node")), 1, top).alias("roots"))
+        mark = (row["n"], row["h"])
+    return targets.select(F.col("node").alias("target")).distinct().join(now.select(F.col("node").alias("target"), F.col("best").alias("roots")), "target")
 
 
 def improve(start: DataFrame, edges: DataFrame, weight: Callable[[Column, str], Column] | None = None) -> DataFrame:
