@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def some(df: DataFrame, ids: str, whole: bool) -> DataFrame:
+    """The share of the rows that a query and its twin are fixed to by id, or all of them."""
+    return df if whole else df.where(ids)
+
+
 def micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 

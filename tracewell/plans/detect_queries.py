@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import detect, graph
 from ..sources import sinks
-from .adapters import bnd, edge, find, r, table, views
-from .catalogue import query
+from .adapters import bnd, edge, find, r, some, table, views
+from .catalogue import query, whole
 
 _CTX = "CASE function % 3 WHEN 0 THEN 'async' WHEN 1 THEN 'sync' ELSE 'offloaded' END"
 
@@ -141,12 +141,12 @@ def chain_keys(spark, sf):
 
 
 @query("SELECT DISTINCT o_orderkey AS finding, a.l_orderkey AS stall FROM orders JOIN lineitem a ON a.l_linenumber = 1 AND a.l_suppkey = o_custkey % 100 AND a.l_orderkey % 10 = 0 JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_suppkey = o_orderkey % 100 WHERE o_orderkey % 10 = 0")
-def stall_on_stack(spark, sf):
+def stall_on_stack(spark, sf, whole=False):
     """join.stall_on_stack"""
-    i = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    i = some(table(spark, sf, "lineitem"), "l_orderkey % 10 = 0", whole)
     stacks = i.groupBy(F.col("l_orderkey").alias("stall")).agg(F.collect_list("l_suppkey").alias("stack"), F.max("l_quantity").alias("dur"))
     stalls = i.where("l_linenumber = 1").select(F.col("l_orderkey").alias("stall"), F.col("l_suppkey").alias("leaf")).join(stacks, "stall")
-    f = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("finding"), (F.col("o_custkey") % 100).alias("leaf"), (F.col("o_orderkey") % 100).alias("function"))
+    f = some(table(spark, sf, "orders"), "o_orderkey % 10 = 0", whole).select(F.col("o_orderkey").alias("finding"), (F.col("o_custkey") % 100).alias("leaf"), (F.col("o_orderkey") % 100).alias("function"))
     return detect.stall_on_stack(stalls, f).select("finding", "stall").distinct()
 
 
@@ -172,10 +172,10 @@ def edges_with_names(spark, sf):
 
 
 @query("SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_suppkey) - 1 AS call_ord, l_suppkey AS callee FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 0 UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 20 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
-def flatten_calls(spark, sf):
+def flatten_calls(spark, sf, whole=False):
     """proj.flatten_calls: orders without lines keep one row"""
     i = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"]).alias("calls"))
-    o = table(spark, sf, "orders").where("o_orderkey % 20 = 0").join(i, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o = some(table(spark, sf, "orders"), "o_orderkey % 20 = 0", whole).join(i, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return sinks.flatten_calls(o.select(F.col("o_orderkey").alias("id"), "calls")).select("id", F.col("call_ord").cast("long").alias("call_ord"), F.col("call").alias("callee"))
 
 
@@ -187,9 +187,9 @@ def briefs(spark, sf):
 
 
 @query("SELECT l_partkey, round(l_extendedprice / 7, 4) + 0.0 AS x, l_orderkey FROM lineitem WHERE l_orderkey % 50 = 0")
-def rounding(spark, sf):
+def rounding(spark, sf, whole=False):
     """proj.rounding: half up on the decimal string in both engines"""
-    return table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select("l_partkey", r(F.col("l_extendedprice") / 7).alias("x"), "l_orderkey")
+    return some(table(spark, sf, "lineitem"), "l_orderkey % 50 = 0", whole).select("l_partkey", r(F.col("l_extendedprice") / 7).alias("x"), "l_orderkey")
 
 
 @query("SELECT page_id FROM pages WHERE substr(sha256(url), 1, 1) IN (SELECT substr(sha256(url), 1, 1) FROM pages WHERE page_id < 3)")
@@ -197,3 +197,8 @@ def scaffold_skip(spark, sf):
     """set.scaffold_skip: pages whose digest is registered, by its first digit"""
     p = table(spark, sf, "pages").select("page_id", F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 1).alias("h"))
     return p.join(p.where("page_id < 3").select("h").distinct(), "h", "left_semi").select("page_id")
+
+
+whole(stall_on_stack, "a.l_orderkey % 10 = 0", "o_orderkey % 10 = 0")
+whole(flatten_calls, "o_orderkey % 20 = 0")
+whole(rounding, "l_orderkey % 50 = 0")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import effects, graph
-from .adapters import bnd, edge, r, table, views
-from .catalogue import query
+from .adapters import bnd, edge, r, some, table, views
+from .catalogue import query, whole
 
 _INF = "CAST('Infinity' AS DOUBLE)"
 
@@ -42,25 +42,25 @@ def deadlines(spark, sf):
 _SITES = "s AS (SELECT l_suppkey AS function, l_linenumber AS line, l_orderkey AS site, CASE WHEN l_quantity >= 48 THEN NULL WHEN l_quantity >= 40 THEN 0 ELSE CAST(l_quantity AS INTEGER) % 6 END AS attempts, CASE l_returnflag WHEN 'N' THEN 'none' WHEN 'A' THEN 'fixed' ELSE 'exponential' END AS backoff FROM lineitem WHERE l_partkey % 20 = 0)"
 
 
-def _sites(spark, sf):
-    i = table(spark, sf, "lineitem").where("l_partkey % 20 = 0")
+def _sites(spark, sf, whole=False):
+    i = some(table(spark, sf, "lineitem"), "l_partkey % 20 = 0", whole)
     attempts = F.when(F.col("l_quantity") >= 48, F.lit(None).cast("int")).when(F.col("l_quantity") >= 40, F.lit(0)).otherwise(F.col("l_quantity").cast("int") % 6)
     backoff = F.when(F.col("l_returnflag") == "N", "none").when(F.col("l_returnflag") == "A", "fixed").otherwise("exponential")
     return i.select(F.col("l_suppkey").alias("function"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("site"), attempts.alias("attempts"), backoff.alias("backoff"))
 
 
 @query("WITH " + _SITES + " SELECT function, finding, count(*) AS n FROM (SELECT function, CASE WHEN attempts IS NULL AND backoff = 'none' THEN 'unbounded-retry/high' WHEN attempts IS NULL THEN 'unbounded-retry/medium' WHEN backoff = 'none' THEN 'retry-without-backoff/medium' END AS finding FROM s WHERE attempts IS NULL OR attempts <> 1) WHERE finding IS NOT NULL GROUP BY ALL")
-def retries(spark, sf):
+def retries(spark, sf, whole=False):
     """agg.retries, agg.retry_loops, rules unbounded-retry and retry-without-backoff; a single attempt is no retry"""
-    s = _sites(spark, sf).where("attempts IS NULL OR attempts <> 1").withColumn("finding", effects.retry_rule(F.col("attempts"), F.col("backoff")))
+    s = _sites(spark, sf, whole).where("attempts IS NULL OR attempts <> 1").withColumn("finding", effects.retry_rule(F.col("attempts"), F.col("backoff")))
     return s.where("finding IS NOT NULL").groupBy("function", "finding").agg(F.count("*").alias("n"))
 
 
 _LOOPS = "lp AS (SELECT l_orderkey AS function, l_partkey AS loop_id, l_linenumber AS loop_start, l_linenumber + CAST(l_quantity AS INTEGER) % 5 AS loop_end, l_returnflag <> 'N' AS retry_like, CASE WHEN l_quantity >= 49 THEN NULL ELSE CAST(l_quantity AS INTEGER) % 4 END AS attempts, l_tax AS backoff_s FROM lineitem WHERE l_orderkey % 10 = 0)"
 
 
-def _loops(spark, sf):
-    i = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+def _loops(spark, sf, whole=False):
+    i = some(table(spark, sf, "lineitem"), "l_orderkey % 10 = 0", whole)
     q = F.col("l_quantity").cast("int")
     return i.select(
         F.col("l_orderkey").alias("function"),
@@ -73,36 +73,36 @@ def _loops(spark, sf):
     )
 
 
-def _calls(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("function"), (F.col("o_custkey") % 7 + 1).cast("int").alias("line"))
+def _calls(spark, sf, whole=False):
+    return some(table(spark, sf, "orders"), "o_orderkey % 10 = 0", whole).select(F.col("o_orderkey").alias("function"), (F.col("o_custkey") % 7 + 1).cast("int").alias("line"))
 
 
 _CALLS = "c AS (SELECT o_orderkey AS function, CAST(o_custkey % 7 + 1 AS INTEGER) AS line FROM orders WHERE o_orderkey % 10 = 0)"
 
 
 @query(f"WITH {_LOOPS}, {_CALLS} SELECT c.function, c.line, count(*) AS loops FROM c JOIN lp USING (function) WHERE line BETWEEN loop_start AND loop_end GROUP BY ALL HAVING bool_and(retry_like)")
-def retry_only(spark, sf):
+def retry_only(spark, sf, whole=False):
     """pred.retry_only, pred.retry_like"""
-    return effects.retry_only(_calls(spark, sf), _loops(spark, sf), ["function", "line"])
+    return effects.retry_only(_calls(spark, sf, whole), _loops(spark, sf, whole), ["function", "line"])
 
 
 @query(f"WITH {_LOOPS}, {_CALLS} SELECT c.function, c.line, CASE WHEN count(*) > count(attempts) THEN NULL ELSE round(product(greatest(attempts, 1))) + 0.0 END AS mult, round(sum(coalesce(backoff_s, 0)), 4) + 0.0 AS backoff_s FROM c JOIN lp USING (function) WHERE retry_like AND line BETWEEN loop_start AND loop_end GROUP BY ALL")
-def site_mult(spark, sf):
+def site_mult(spark, sf, whole=False):
     """agg.site_mult; unbounded products are written as null"""
-    s = effects.site_mult(_calls(spark, sf), _loops(spark, sf), ["function", "line"])
+    s = effects.site_mult(_calls(spark, sf, whole), _loops(spark, sf, whole), ["function", "line"])
     return s.select("function", "line", F.when(F.col("mult") < effects.INFINITY, F.col("mult")).alias("mult"), r(F.col("backoff_s")).alias("backoff_s"))
 
 
 @query(f"WITH {_LOOPS}, n AS (SELECT a.function, a.loop_id, count(*) AS n FROM lp a JOIN lp b ON a.function = b.function AND b.loop_start <= a.loop_start AND a.loop_end <= b.loop_end GROUP BY ALL) SELECT function, max(n) AS depth FROM n GROUP BY function")
-def scaling_depth(spark, sf):
+def scaling_depth(spark, sf, whole=False):
     """agg.max_loop_depth, pred.scales, rule nested-loops"""
-    return effects.scaling_depth(_loops(spark, sf), "function")
+    return effects.scaling_depth(_loops(spark, sf, whole), "function")
 
 
 @query("WITH " + _SITES + ", a AS (SELECT function, line, CAST(round(product(greatest(coalesce(attempts, 1), 1))) AS DOUBLE) AS amp, count(*) FILTER (attempts >= 2) AS layers FROM s WHERE site % 5 = 0 GROUP BY ALL) SELECT line AS leaf, function, amp, CASE WHEN layers >= 2 AND amp >= 27 THEN 'high' WHEN layers >= 2 AND amp >= 9 THEN 'medium' END AS severity FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY amp DESC, function) AS i FROM a) WHERE i = 1")
-def amplification(spark, sf):
+def amplification(spark, sf, whole=False):
     """agg.best_by_leaf, rule retry-amplification"""
-    s = _sites(spark, sf).where("site % 5 = 0")
+    s = some(_sites(spark, sf, whole), "site % 5 = 0", whole)
     a = s.groupBy("function", "line").agg(F.round(F.product(F.greatest(F.coalesce("attempts", F.lit(1)), F.lit(1)).cast("double"))).alias("amp"), F.count_if(F.col("attempts") >= 2).alias("layers"))
     best = effects.best_by_leaf(a, "line", "amp", ["function", "layers"])
     return best.select(F.col("line").alias("leaf"), "function", "amp", effects.amplification(F.col("amp"), F.col("layers")).alias("severity"))
@@ -129,3 +129,11 @@ def io_without_timeout(spark, sf):
     k = F.col("c_custkey")
     ok = effects.bounded(k % 4 == 0, k % 3 == 0, k % 5 == 0)
     return c.groupBy(F.col("c_mktsegment").alias("category"), F.when(ok, "bounded").when(k % 7 == 0, "low").otherwise("medium").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+whole(retries, "l_partkey % 20 = 0")
+# its products leave the exact range of doubles, so the two engines would differ by their order
+whole(amplification, "l_partkey % 20 = 0", "site % 5 = 0", twin=False)
+whole(retry_only, "l_orderkey % 10 = 0", "o_orderkey % 10 = 0")
+whole(site_mult, "l_orderkey % 10 = 0", "o_orderkey % 10 = 0")
+whole(scaling_depth, "l_orderkey % 10 = 0")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals, resolve
-from .adapters import act, bnd, edge, find, fnrange, ival, line, link, table, tick, views
-from .catalogue import query
+from .adapters import act, bnd, edge, find, fnrange, ival, line, link, some, table, tick, views
+from .catalogue import query, whole
 from .window_queries import gap_windows
 
 _LICENSE = "regexp_matches(lower(line), 'licen[sc]e')"
@@ -167,9 +167,9 @@ def evidence_join(spark, sf):
 a AS (SELECT finding, count(*) FILTER (outcome <> 'skipped') AS n, count(*) FILTER (outcome = 'passed') AS p FROM t GROUP BY 1), b AS (SELECT file, count(*) FILTER (outcome = 'failed') AS f FROM t GROUP BY 1)
 SELECT o_orderkey AS finding, CASE WHEN a.n > 0 AND a.p = a.n THEN 'passed' WHEN a.n > 0 THEN 'failed' WHEN a.n = 0 THEN 'missing' WHEN coalesce(b.f, 0) > 0 THEN 'failed' ELSE 'missing' END AS status FROM orders LEFT JOIN a ON a.finding = o_orderkey LEFT JOIN b ON b.file = o_custkey"""
 )
-def repro_fallback(spark, sf):
+def repro_fallback(spark, sf, whole=False):
     """join.repro: all tests with the id must pass; without one the file can only say failed or missing"""
-    i = table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_orderkey % 3 = 0")
+    i = some(table(spark, sf, "lineitem"), "l_orderkey % 3 = 0", whole).where("l_linenumber = 1")
     t = i.select(F.col("l_orderkey").alias("finding"), F.col("l_suppkey").alias("file"), F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "passed").otherwise("skipped").alias("outcome"))
     a = t.groupBy("finding").agg(F.count_if(F.col("outcome") != "skipped").alias("n"), F.count_if(F.col("outcome") == "passed").alias("p"))
     b = t.groupBy("file").agg(F.count_if(F.col("outcome") == "failed").alias("f"))
@@ -224,3 +224,6 @@ def bench_coverage(spark, sf):
     grams = d.select("doc_id", "lang", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
     hit = grams.join(b, "key").where(F.contains("t", "item")).select("lang", "doc_id", "item_id").distinct()
     return hit.groupBy("lang").agg(F.count_distinct("item_id").alias("items_found"), F.count("*").alias("matches"))
+
+
+whole(repro_fallback, "l_orderkey % 3 = 0")

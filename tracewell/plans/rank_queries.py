@@ -5,41 +5,41 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rank
-from .adapters import find, r, table, views
-from .catalogue import query
+from .adapters import find, r, some, table, views
+from .catalogue import query, whole
 
 _SCORE = "round(CASE severity WHEN 'high' THEN 5.0 WHEN 'medium' THEN 3.0 WHEN 'low' THEN 1.0 ELSE 0.5 END::DOUBLE * CASE confidence WHEN 'exact' THEN 1.0 WHEN 'scip' THEN 1.0 WHEN 'unique' THEN 0.8 ELSE 0.5 END::DOUBLE * CASE status WHEN 'F' THEN 1.5 WHEN 'O' THEN 1.0 ELSE 0.7 END::DOUBLE * CASE WHEN rule < 'Brand#3' THEN 1.2 ELSE 1.0 END::DOUBLE + least(quantity / 10, 1.0::DOUBLE), 3) + 0.0"
 _FIND = views("find") + f", f AS (SELECT *, {_SCORE} AS score FROM find WHERE ord % 7 = 0)"
 
 
-def _scored(spark, sf):
-    f = find(spark, sf).where("ord % 7 = 0")
+def _scored(spark, sf, whole=False):
+    f = some(find(spark, sf), "ord % 7 = 0", whole)
     evidence = F.when(F.col("status") == "F", 1.5).when(F.col("status") == "O", 1.0).otherwise(0.7)
     rule = F.when(F.col("rule") < "Brand#3", 1.2).otherwise(1.0)
     return f.withColumn("score", rank.score(F.col("severity"), F.col("confidence"), evidence, rule, F.col("quantity")))
 
 
 @query(_FIND + " SELECT severity, confidence, status, round(min(score), 3) + 0.0 AS lo, round(max(score), 3) + 0.0 AS hi, count(*) AS n FROM f GROUP BY ALL")
-def score_queue(spark, sf):
+def score_queue(spark, sf, whole=False):
     """fn.score"""
-    return _scored(spark, sf).groupBy("severity", "confidence", "status").agg(r(F.min("score"), 3).alias("lo"), r(F.max("score"), 3).alias("hi"), F.count("*").alias("n"))
+    return _scored(spark, sf, whole).groupBy("severity", "confidence", "status").agg(r(F.min("score"), 3).alias("lo"), r(F.max("score"), 3).alias("hi"), F.count("*").alias("n"))
 
 
 _REASON = "CASE WHEN status = 'P' THEN 'recorded' WHEN confidence = 'name' AND severity = 'info' THEN 'low confidence' WHEN file % 10 = 0 THEN 'suppressed' WHEN severity = 'info' THEN 'info' END"
 
 
 @query(_FIND + f" SELECT coalesce({_REASON}, 'queued') AS reason, count(*) AS n, count(DISTINCT function) AS functions FROM f GROUP BY 1")
-def skip_reason(spark, sf):
+def skip_reason(spark, sf, whole=False):
     """fn.skip_reason"""
-    f = _scored(spark, sf)
+    f = _scored(spark, sf, whole)
     reason = rank.skip_reason([("recorded", F.col("status") == "P"), ("low confidence", (F.col("confidence") == "name") & (F.col("severity") == "info")), ("suppressed", F.col("file") % 10 == 0), ("info", F.col("severity") == "info")])
     return f.groupBy(F.coalesce(reason, F.lit("queued")).alias("reason")).agg(F.count("*").alias("n"), F.count_distinct("function").alias("functions"))
 
 
 @query(_FIND + " SELECT rule, file, ord, round(score, 3) + 0.0 AS score, covers FROM (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY rule, file) - 1 AS covers FROM f WINDOW w AS (PARTITION BY rule, file ORDER BY score DESC, ord, function)) WHERE i = 1")
-def same_effect(spark, sf):
+def same_effect(spark, sf, whole=False):
     """agg.same_effect"""
-    return rank.same_effect(_scored(spark, sf), ["rule", "file"], [F.desc("score"), "ord", "function"]).select("rule", "file", "ord", r(F.col("score"), 3).alias("score"), "covers")
+    return rank.same_effect(_scored(spark, sf, whole), ["rule", "file"], [F.desc("score"), "ord", "function"]).select("rule", "file", "ord", r(F.col("score"), 3).alias("score"), "covers")
 
 
 _UNIQUE = ", u AS (SELECT function, min(ord) AS id, score FROM f GROUP BY function, score)"
@@ -51,16 +51,16 @@ _UNIQUE = ", u AS (SELECT function, min(ord) AS id, score FROM f GROUP BY functi
     + """, n AS (SELECT *, row_number() OVER (PARTITION BY function ORDER BY score DESC, id) AS rn FROM u), g AS (SELECT function, arg_min(id, rn) AS id, count(*) AS n, list(score ORDER BY rn) AS ss FROM n WHERE rn <= 8 GROUP BY function)
 SELECT function, id, n, list_reduce(ss, lambda a, x: round(a + 0.25 * x, 3)) + 0.0 AS score FROM g UNION ALL SELECT function, id, 1, score FROM n WHERE rn > 8"""
 )
-def by_function(spark, sf):
+def by_function(spark, sf, whole=False):
     """agg.by_function: overflow findings are items of their own"""
-    u = _scored(spark, sf).groupBy("function", "score").agg(F.min("ord").alias("id"))
+    u = _scored(spark, sf, whole).groupBy("function", "score").agg(F.min("ord").alias("id"))
     return rank.by_function(u, "function", [F.desc("score"), "id"])
 
 
 @query(_FIND + _UNIQUE + " SELECT function, id, score FROM u ORDER BY CASE WHEN score < 2 THEN 1 ELSE 0 END, score DESC, id LIMIT 6")
-def take(spark, sf):
+def take(spark, sf, whole=False):
     """sort.queue, win.round_slots"""
-    u = _scored(spark, sf).groupBy("function", "score").agg(F.min("ord").alias("id"))
+    u = _scored(spark, sf, whole).groupBy("function", "score").agg(F.min("ord").alias("id"))
     return rank.take(u, F.col("score") < 2).select("function", "id", "score")
 
 
@@ -104,9 +104,9 @@ def mcp_preview(spark, sf):
 
 
 @query(views("find") + " SELECT DISTINCT rule || '@' || CAST(function AS VARCHAR) || ':' || CAST(line AS VARCHAR) AS id, function, line FROM find WHERE severity = 'high' AND ord % 5 = 0")
-def finding_ids(spark, sf):
+def finding_ids(spark, sf, whole=False):
     """proj.finding_id, proj.id_split, proj.rule_base: the id is made and taken apart again"""
-    f = find(spark, sf).where("severity = 'high' AND ord % 5 = 0")
+    f = some(find(spark, sf), "ord % 5 = 0", whole).where("severity = 'high'")
     ids = f.select(F.concat("rule", F.lit("@"), F.col("function").cast("string"), F.lit(":"), F.col("line").cast("string")).alias("id")).distinct()
     part = lambda k: F.regexp_extract("id", r"^(.*)@(\d+):(\d+)$", k)
     return ids.select("id", part(2).cast("long").alias("function"), part(3).cast("int").alias("line"))
@@ -185,8 +185,17 @@ def repro_counts(spark, sf):
 
 
 @query("SELECT c_custkey AS finding, c_acctbal < 0 AND c_custkey % 2 = 0 AS contradicts FROM customer WHERE c_custkey % 3 = 0")
-def contradicts(spark, sf):
+def contradicts(spark, sf, whole=False):
     """pred.contradicts: a confirmed stall without a measured lag is refused"""
-    c = table(spark, sf, "customer").where("c_custkey % 3 = 0")
+    c = some(table(spark, sf, "customer"), "c_custkey % 3 = 0", whole)
     state = F.when(F.col("c_custkey") % 2 == 0, "confirmed").otherwise("open")
     return c.select(F.col("c_custkey").alias("finding"), rank.confirmed_without_stall(state, F.when(F.col("c_acctbal") < 0, 0.0).otherwise(1.0)).alias("contradicts"))
+
+
+whole(score_queue, "ord % 7 = 0")
+whole(skip_reason, "ord % 7 = 0")
+whole(same_effect, "ord % 7 = 0")
+whole(by_function, "ord % 7 = 0")
+whole(take, "ord % 7 = 0")
+whole(finding_ids, "ord % 5 = 0")
+whole(contradicts, "c_custkey % 3 = 0")

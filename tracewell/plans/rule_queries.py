@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import rules
-from .adapters import line, r, table, views
-from .catalogue import query
+from .adapters import line, r, some, table, views
+from .catalogue import query, whole
 
 _LINES = views("line") + ", src AS (SELECT doc_id, line_no, line FROM line WHERE length(line) < 400 AND NOT regexp_matches(line, '^\\s*(//|#|\\*|/\\*|--)'))"
 
@@ -42,9 +42,9 @@ def jitter(spark, sf):
 
 
 @query("SELECT l_suppkey AS file, l_partkey % 30 AS name, count(*) FILTER (l_returnflag = 'N') AS grows, min(CASE WHEN l_returnflag = 'N' THEN l_linenumber END) AS line FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL HAVING count(*) FILTER (l_returnflag = 'N') > 0 AND count(*) FILTER (l_returnflag = 'R') = 0")
-def unbounded_container(spark, sf):
+def unbounded_container(spark, sf, whole=False):
     """rule unbounded-module-container"""
-    i = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    i = some(table(spark, sf, "lineitem"), "l_orderkey % 10 = 0", whole)
     op = F.when(F.col("l_returnflag") == "N", "grow").when(F.col("l_returnflag") == "R", "shrink").otherwise("read")
     ops = i.select(F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 30).alias("name"), op.alias("op"), F.col("l_linenumber").alias("line"))
     return rules.unbounded_container(ops).select("file", "name", "grows", "line")
@@ -90,11 +90,11 @@ def arity_fits(spark, sf):
 
 
 @query("SELECT s_suppkey AS cand, c_custkey AS caller FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_custkey % 50 = 0 AND (s_suppkey % 2 = 0 OR s_suppkey % 10 = c_custkey % 10 OR s_suppkey % 4 = c_custkey % 4)")
-def visible(spark, sf):
+def visible(spark, sf, whole=False):
     """pred.visible, pred.common_method"""
     from ..operators import resolve
 
-    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer").where("c_custkey % 50 = 0")
+    s, c = table(spark, sf, "supplier"), some(table(spark, sf, "customer"), "c_custkey % 50 = 0", whole)
     j = s.join(c, s["s_nationkey"] == c["c_nationkey"])
     a, b = F.col("s_suppkey"), F.col("c_custkey")
     return j.where(resolve.visible(a % 2 != 0, a % 10 == b % 10, a % 4 == b % 4)).select(a.alias("cand"), b.alias("caller"))
@@ -122,3 +122,7 @@ def overlong_lines(spark, sf):
 def excerpts(spark, sf):
     """proj.excerpt"""
     return table(spark, sf, "documents").select("doc_id", fn.excerpt(F.col("text"), F.lit(1), 2).alias("excerpt"))
+
+
+whole(unbounded_container, "l_orderkey % 10 = 0")
+whole(visible, "c_custkey % 50 = 0")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from .adapters import act, bnd, edge, find, io, r, table, views
-from .catalogue import query
+from .adapters import act, bnd, edge, find, io, r, some, table, views
+from .catalogue import query, whole
 
 _P95 = """SELECT {k}, sum(CASE WHEN n = 1 THEN v WHEN i = lo THEN v * (20 - (19 * (n + 1) - 20 * lo)) / 20 WHEN i = lo + 1 THEN v * (19 * (n + 1) - 20 * lo) / 20 ELSE 0.0 END) AS p95
  FROM (SELECT *, greatest(1, least(n - 1, (19 * (n + 1)) // 20)) AS lo FROM (SELECT {k}, dur AS v, row_number() OVER (PARTITION BY {k} ORDER BY dur) AS i, count(*) OVER (PARTITION BY {k}) AS n FROM {t})) GROUP BY {k}"""
@@ -113,15 +113,15 @@ def count_ratio(spark, sf):
 
 
 @query("SELECT p_brand AS name, min(p_size) AS value FROM part WHERE p_partkey % 40 = 0 GROUP BY p_brand HAVING min(p_size) = max(p_size)")
-def constants_consistent(spark, sf):
+def constants_consistent(spark, sf, whole=False):
     """agg.constants: part keys divisible by 40 are the definitions"""
-    return stats.constants(table(spark, sf, "part").where("p_partkey % 40 = 0").withColumnRenamed("p_brand", "name"), "name", "p_size")
+    return stats.constants(some(table(spark, sf, "part"), "p_partkey % 40 = 0", whole).withColumnRenamed("p_brand", "name"), "name", "p_size")
 
 
 @query("SELECT c_nationkey AS receiver, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN max(c_mktsegment) END AS cls FROM customer WHERE c_custkey % 29 = 0 GROUP BY 1")
-def instances_of(spark, sf):
+def instances_of(spark, sf, whole=False):
     """agg.instances"""
-    return stats.instances(table(spark, sf, "customer").where("c_custkey % 29 = 0").withColumnRenamed("c_nationkey", "receiver"), "receiver", "c_mktsegment")
+    return stats.instances(some(table(spark, sf, "customer"), "c_custkey % 29 = 0", whole).withColumnRenamed("c_nationkey", "receiver"), "receiver", "c_mktsegment")
 
 
 @query(
@@ -163,3 +163,7 @@ def fingerprint(spark, sf):
     p = table(spark, sf, "part").select("p_brand", "p_partkey", F.sha2(F.col("p_name").cast("binary"), 256).alias("h"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "h"))), lambda x: F.concat_ws(":", x["p_partkey"].cast("string"), x["h"]))
     return p.groupBy("p_brand").agg(F.sha2(F.array_join(rows, ",").cast("binary"), 256).alias("fingerprint"))
+
+
+whole(constants_consistent, "p_partkey % 40 = 0")
+whole(instances_of, "c_custkey % 29 = 0")
