@@ -1,11 +1,13 @@
 """The queries over all rows, where the queries of the same name are fixed to a share of the ids."""
 
 import math
+import random
 from collections import defaultdict
 
 import pytest
 
 from tests.oracle import ROOT
+from tracewell.operators import graph
 from tracewell.plans import catalogue
 
 SF = f"{ROOT}/sf0.001"
@@ -40,3 +42,74 @@ def test_amplification_whole(spark):
     for leaf, (f, a) in best.items():
         assert got[leaf].function == f and math.isclose(got[leaf].amp, a, rel_tol=1e-9)
         assert got[leaf].severity == ("high" if layers[leaf, f] >= 2 and a >= 27 else "medium" if layers[leaf, f] >= 2 and a >= 9 else None)
+
+
+def _reached(edges):
+    out = defaultdict(set)
+    for a in {x for e in edges for x in e[:2]}:
+        front = [a]
+        while front:
+            for s, d, _ in edges:
+                if s == front[0] and d not in out[a]:
+                    out[a].add(d)
+                    front.append(d)
+            front.pop(0)
+    return out
+
+
+def _walk(node, own, edges, reached, combine, running=()):
+    """The worst value of a node; a call back into a running node gives nothing, one inside a cycle counts once."""
+    best = own.get(node)
+    for s, d, w in edges:
+        if s == node and d not in running and d != node:
+            v = _walk(d, own, edges, reached, combine, (*running, node))
+            if v is not None:
+                v = combine(1 if s in reached[d] else w, v)
+                best = v if best is None else max(best, v)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_worst_with_cycles(spark, seed):
+    rnd = random.Random(seed)
+    edges = [(a, b, rnd.randint(1, 3)) for a in range(9) for b in range(9) if a != b and rnd.random() < 0.17]
+    edges += [(1, 7, 3), (7, 8, 2)]  # calls from a smaller to a larger id
+    edges = list({e[:2]: e for e in edges}.values())
+    own = {8: 5.0, rnd.randint(0, 6): 70.0}
+    combine = lambda w, v: min(v, 100.0) * w
+    reached = _reached(edges)
+    want = {n: v for n in range(9) if (v := _walk(n, own, edges, reached, combine)) is not None}
+    from pyspark.sql import functions as F
+
+    e = graph.once_in_cycles(spark.createDataFrame(edges, "src long, dst long, w int"))
+    got = graph.worst(spark.createDataFrame(list(own.items()), "node long, value double"), e, lambda w, v: F.least(v, F.lit(100.0)) * w)
+    assert {r.node: r.value for r in got.collect()} == want
+
+
+def test_worst_paths_take_every_edge(spark):
+    """Against a plain loop over all edges, by name and to a larger id too."""
+    from tracewell.plans.adapters import bnd, edge
+
+    edges = [(x.caller, x.callee, max(x.attempts, 1)) for x in edge(spark, SF).collect()]
+    reached = _reached(edges)
+    b = bnd(spark, SF).collect()
+    wait, amp = defaultdict(float), {}
+    for x in b:
+        wait[x.function] = max(wait[x.function], 60.0 if x.timeout_s is None else x.timeout_s)
+        if x.category in ("net", "db"):
+            amp[x.function] = 1
+    for own, combine, name, column in ((wait, lambda w, v: min(v, 100.0) * w, "wait_worst_whole", "wait_s"), (amp, lambda w, v: v * w, "amp_best_whole", "attempts")):
+        now = dict(own)
+        for _ in range(len(edges) + 1):
+            for s, d, w in edges:
+                if d in now:
+                    now[s] = max(now.get(s, 0), combine(1 if s in reached[d] else w, now[d]))
+        assert {r.node: r[column] for r in catalogue.QUERIES[name](spark, SF).collect()} == now
+
+
+def test_deadlines_whole(spark):
+    cut = {(r.caller, r.callee): r.status for r in catalogue.QUERIES["deadlines"](spark, SF).collect()}
+    got = {(r.caller, r.callee): r.status for r in catalogue.QUERIES["deadlines_whole"](spark, SF).collect()}
+    assert got.keys() == cut.keys()
+    # a wait only grows when more calls count
+    assert not [k for k in got if cut[k] in ("exceeded", "abandons-thread", "cannot-preempt") and got[k] == "ok"]

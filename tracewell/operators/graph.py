@@ -121,10 +121,17 @@ def witness_paths(best: DataFrame) -> DataFrame:
         paths = cut(paths.where("last IS NULL").unionByName(step.select("node", "path", "last")))
 
 
+def once_in_cycles(edges: DataFrame) -> DataFrame:
+    """edges (src, dst, w) with w = 1 where both ends are in one component: such a call passes the callee's value on and multiplies nothing."""
+    c = components(edges)
+    own, other = (c.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst"))
+    return cut(edges.join(own, "src", "left").join(other, "dst", "left").select("src", "dst", F.when(F.col("_src") == F.col("_dst"), F.lit(1)).otherwise(F.col("w")).alias("w")))
+
+
 def worst(values: DataFrame, edges: DataFrame, combine: Callable[[Column, Column], Column]) -> DataFrame:
     """graph.wait, graph.amp: (node, value) as the greatest of a node's own value and combine(edge, callee's value).
 
-    Edges must be acyclic: condense cycles first. A round settles one more level.
+    Edges must be acyclic, or inside a cycle add nothing (`once_in_cycles`). A round settles one more level.
     """
     now = cut(values.select("node", "value"))
     n = None

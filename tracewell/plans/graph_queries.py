@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from .adapters import act, bnd, edge, io, r, views
-from .catalogue import query
+from .catalogue import query, whole
 
 
 def _edges(spark, sf):
@@ -75,14 +75,20 @@ def block_path(spark, sf):
 _DAG = "SELECT caller, callee, attempts FROM edge WHERE caller > callee AND by_name = 0"
 
 
+def _weighted(spark, sf, w, whole):
+    """Certain edges to a smaller id, as the twins have it, or every edge with calls inside a cycle counted once."""
+    e = _edges(spark, sf).withColumn("w", w)
+    return graph.once_in_cycles(e) if whole else e.where("src > dst AND by_name = 0").select("src", "dst", "w")
+
+
 @query(
     views("edge", "bnd", recursive=True)
     + f""", dag AS ({_DAG}), own AS (SELECT function AS node, max(coalesce(timeout_s, 60.0)) AS value FROM bnd GROUP BY 1),
 p AS (SELECT node, value FROM own UNION SELECT caller, least(value, 100.0) * greatest(attempts, 1) FROM dag JOIN p ON callee = node) SELECT node, round(max(value), 4) + 0.0 AS wait_s FROM p GROUP BY node"""
 )
-def wait_worst(spark, sf):
+def wait_worst(spark, sf, whole=False):
     """graph.wait: the callee's wait under a deadline of 100 s, times the attempts at the call"""
-    e = _edges(spark, sf).where("src > dst AND by_name = 0").select("src", "dst", F.greatest(F.col("attempts"), F.lit(1)).alias("w"))
+    e = _weighted(spark, sf, F.greatest(F.col("attempts"), F.lit(1)), whole)
     own = bnd(spark, sf).groupBy(F.col("function").alias("node")).agg(F.max(F.coalesce("timeout_s", F.lit(60.0))).alias("value"))
     return graph.worst(own, e, lambda w, v: F.least(v, F.lit(100.0)) * w).select("node", r(F.col("value")).alias("wait_s"))
 
@@ -92,9 +98,9 @@ def wait_worst(spark, sf):
     + f""", dag AS ({_DAG}), own AS (SELECT DISTINCT function AS node, CAST(1 AS BIGINT) AS value FROM bnd WHERE category IN ('net', 'db')),
 p AS (SELECT node, value FROM own UNION SELECT caller, value * greatest(attempts, 1) FROM dag JOIN p ON callee = node) SELECT node, max(value) AS attempts FROM p GROUP BY node"""
 )
-def amp_best(spark, sf):
+def amp_best(spark, sf, whole=False):
     """graph.amp: the product of the attempts along the worst path to one I/O leaf"""
-    e = _edges(spark, sf).where("src > dst AND by_name = 0").select("src", "dst", F.greatest(F.col("attempts"), F.lit(1)).cast("long").alias("w"))
+    e = _weighted(spark, sf, F.greatest(F.col("attempts"), F.lit(1)).cast("long"), whole)
     own = bnd(spark, sf).where("category IN ('net', 'db')").select(F.col("function").alias("node")).distinct().withColumn("value", F.lit(1).cast("long"))
     return graph.worst(own, e, lambda w, v: v * w).select("node", F.col("value").alias("attempts"))
 
@@ -178,3 +184,7 @@ def cannot_preempt(spark, sf):
     e = _edges(spark, sf)
     blocks = graph.reach(bnd(spark, sf).select(F.col("function").alias("node")), e.where("by_name = 0")).withColumn("_b", F.lit(True))
     return e.where("attempts >= 2").join(blocks, e["dst"] == blocks["node"], "left").select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.coalesce("_b", F.lit(False)).alias("cannot_preempt"))
+
+
+whole(wait_worst, twin=False)
+whole(amp_best, twin=False)
