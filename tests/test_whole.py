@@ -113,3 +113,22 @@ def test_deadlines_whole(spark):
     assert got.keys() == cut.keys()
     # a wait only grows when more calls count
     assert not [k for k in got if cut[k] in ("exceeded", "abandons-thread", "cannot-preempt") and got[k] == "ok"]
+
+
+def test_field_chain_of_twenty(spark):
+    from tracewell.operators import detect
+
+    fields = spark.createDataFrame([(f"C{i}", f"f{i}", f"C{i + 1}") for i in range(20)], "cls string, field string, type string")
+    chains = [(k, "C0", [f"f{i}" for i in range(k)]) for k in (1, 4, 5, 6, 20)] + [(99, "C0", ["f0", "nothing"])]
+    got = detect.field_chain(spark.createDataFrame(chains, "call long, cls string, chain array<string>"), fields)
+    assert {r.call: r.type for r in got.collect()} == {k: f"C{k}" for k in (1, 4, 5, 6, 20)}
+
+
+def test_block_path_of_twenty(spark, monkeypatch):
+    from tracewell.plans import graph_queries
+
+    edges = spark.createDataFrame([(i + 1, i, i, 0, 1) for i in range(20)], "caller long, callee long, edge_ord long, by_name int, attempts int")
+    monkeypatch.setattr(graph_queries, "edge", lambda *_: edges)
+    monkeypatch.setattr(graph_queries, "bnd", lambda *_: spark.createDataFrame([(0, "net")], "function long, category string"))
+    got = {r.node: (r.hops, r.boundary) for r in catalogue.QUERIES["block_path_whole"](spark, SF).collect()}
+    assert got == {i: (i + 1, 0) for i in range(21)}

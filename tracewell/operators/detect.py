@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 # Boundary categories whose blocking is of medium severity, and per-language crash patterns.
 MEDIUM_CATEGORIES = ("fs", "cpu")
 CRASH = {"rust": r"\.(unwrap|expect)\(", "go": r",\s*_\s*:?="}
@@ -74,16 +76,17 @@ def typed_receiver(calls: DataFrame, instances: DataFrame, methods: DataFrame) -
     return out.select("call", "target", state.alias("state"))
 
 
-def field_chain(starts: DataFrame, fields: DataFrame, longest: int = 5) -> DataFrame:
-    """join.field_types: follows a chain of fields across classes, one join a step; a field bound to two types ends it."""
+def field_chain(starts: DataFrame, fields: DataFrame) -> DataFrame:
+    """join.field_types: follows a chain of fields across classes to its end, one join a step; a field bound to two types ends it."""
     once = fields.groupBy("cls", "field").agg(F.min("type").alias("type"), F.count_distinct("type").alias("_n")).where("_n = 1").drop("_n")
     now = starts.withColumn("_k", F.lit(1))
     done = None
-    for _ in range(longest):
+    while True:
         ready = now.where(F.col("_k") > F.size("chain")).select("call", F.col("cls").alias("type"))
         done = ready if done is None else done.unionByName(ready)
-        now = now.where(F.col("_k") <= F.size("chain")).withColumn("field", F.try_element_at("chain", F.col("_k"))).join(once, ["cls", "field"]).select("call", "chain", F.col("type").alias("cls"), (F.col("_k") + 1).alias("_k"))
-    return done
+        now = cut(now.where(F.col("_k") <= F.size("chain")).withColumn("field", F.try_element_at("chain", F.col("_k"))).join(once, ["cls", "field"]).select("call", "chain", F.col("type").alias("cls"), (F.col("_k") + 1).alias("_k")))
+        if now.isEmpty():
+            return done
 
 
 def frame_match(frames: DataFrame, functions: DataFrame) -> DataFrame:

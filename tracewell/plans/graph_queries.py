@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from .adapters import act, bnd, edge, io, r, views
+from .adapters import act, bnd, edge, io, r, some, views
 from .catalogue import query, whole
 
 
@@ -58,8 +58,8 @@ def blocks_stratified(spark, sf):
 w AS (SELECT caller AS node, callee AS via, row_number() OVER (PARTITION BY caller ORDER BY edge_ord, callee) AS i FROM edge JOIN m a ON a.node = caller JOIN m b ON b.node = callee AND b.d = a.d - 1),
 p AS (SELECT node, node AS last, 1 AS len FROM m WHERE d <= 6 UNION ALL SELECT p.node, via, len + 1 FROM p JOIN w ON w.node = p.last AND i = 1) SELECT node, CAST(max(len) AS INTEGER) AS hops, arg_max(last, len) AS boundary FROM p GROUP BY node"""
 )
-def block_path(spark, sf):
-    """graph.block_path, graph.io_chain: shortest witness chains to a boundary, of at most six calls"""
+def block_path(spark, sf, whole=False):
+    """graph.block_path, graph.io_chain: shortest witness chains to a boundary; of at most six calls as the twin has it, or of any length"""
     e = _edges(spark, sf)
     start = bnd(spark, sf).select(F.col("function").alias("node")).distinct().select("node", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("edge_ord"))
     best = graph.improve(start, e, lambda rk, _: rk + 1)
@@ -67,7 +67,7 @@ def block_path(spark, sf):
     lo = best.select(F.col("node").alias("dst"), F.col("rank").alias("rd"))
     near = e.join(best.select(F.col("node").alias("src"), F.col("rank").alias("rs")), "src").join(lo, "dst").where("rd = rs - 1")
     w = near.groupBy("src").agg(F.min(F.struct("edge_ord", "dst")).alias("o")).select(F.col("src").alias("node"), F.col("o.dst").alias("via"))
-    tree = best.where("rank <= 6").select("node").join(w, "node", "left")
+    tree = some(best, "rank <= 6", whole).select("node").join(w, "node", "left")
     paths = graph.witness_paths(tree.select("node", "via"))
     return paths.select("node", F.size("path").alias("hops"), F.element_at("path", -1).alias("boundary"))
 
@@ -186,5 +186,6 @@ def cannot_preempt(spark, sf):
     return e.where("attempts >= 2").join(blocks, e["dst"] == blocks["node"], "left").select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.coalesce("_b", F.lit(False)).alias("cannot_preempt"))
 
 
+whole(block_path, twin=False)
 whole(wait_worst, twin=False)
 whole(amp_best, twin=False)
