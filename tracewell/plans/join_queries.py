@@ -216,7 +216,7 @@ def path_warn(spark, sf):
 
 @query("WITH e AS (SELECT item_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM benchmark), d AS (SELECT doc_id, lang, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents) SELECT lang, count(DISTINCT e.item_id) AS items_found, count(*) AS matches FROM d JOIN e ON contains(d.t, e.t) GROUP BY lang")
 def bench_coverage(spark, sf):
-    """join.bench_match, agg.score_bench, src.corpus: items by an eight-word anchor, then in full"""
+    """Documents that hold a benchmark text: items by an anchor of four words, then in full; a bench is scored by operators.scoring"""
     fold = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
     first = lambda c: F.array_join(F.slice(F.split(c, " "), 2, 4), " ")
     b = table(spark, sf, "benchmark").select("item_id", fold("text").alias("item")).withColumn("key", first("item"))

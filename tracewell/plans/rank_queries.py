@@ -59,7 +59,7 @@ def by_function(spark, sf, whole=False):
 
 @query(_FIND + _UNIQUE + " SELECT function, id, score FROM u ORDER BY CASE WHEN score < 2 THEN 1 ELSE 0 END, score DESC, id LIMIT 6")
 def take(spark, sf, whole=False):
-    """sort.queue, win.round_slots"""
+    """sort.queue; the slots of a round are operators.scoring.round_slots"""
     u = _scored(spark, sf, whole).groupBy("function", "score").agg(F.min("ord").alias("id"))
     return rank.take(u, F.col("score") < 2).select("function", "id", "score")
 
@@ -162,7 +162,7 @@ def dedup_boundary(spark, sf):
 
 @query("SELECT l.lang AS rule, count(*) AS expected, count(*) FILTER (predicted) AS found, round(count(*) FILTER (predicted) / count(*), 4) + 0.0 AS recall FROM (SELECT d.doc_id, lang, contains(d.text, '###') OR contains(d.text, '!!') OR length(d.text) < 120 AS predicted FROM documents d JOIN labels b USING (doc_id) WHERE quality = 0) l GROUP BY l.lang")
 def eval_recall(spark, sf):
-    """agg.score_eval, join.eval_match: how many of the labelled documents a plain rule finds"""
+    """How many of the labelled documents a plain rule finds; expected findings are scored by operators.scoring"""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 0"), "doc_id")
     found = F.contains("text", F.lit("###")) | F.contains("text", F.lit("!!")) | (F.length("text") < 120)
     return d.groupBy(F.col("lang").alias("rule")).agg(F.count("*").alias("expected"), F.count_if(found).alias("found"), r(F.count_if(found) / F.count("*")).alias("recall"))

@@ -91,7 +91,7 @@ def arity_fits(spark, sf):
 
 @query("SELECT s_suppkey AS cand, c_custkey AS caller FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_custkey % 50 = 0 AND (s_suppkey % 2 = 0 OR s_suppkey % 10 = c_custkey % 10 OR s_suppkey % 4 = c_custkey % 4)")
 def visible(spark, sf, whole=False):
-    """pred.visible, pred.common_method"""
+    """pred.visible; generic names are operators.scoring.by_name"""
     from ..operators import resolve
 
     s, c = table(spark, sf, "supplier"), some(table(spark, sf, "customer"), "c_custkey % 50 = 0", whole)
