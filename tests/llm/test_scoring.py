@@ -149,3 +149,12 @@ def test_messages_equal_enumeration():
         total += v
         mass += v * np.array(x)
     assert np.allclose(f.marginals(w, e)[0], mass / total)
+
+
+def test_ordinary_dictionary_sees_every_clean_row(monkeypatch):
+    texts = [f"plain{k % 50} " * 24 for k in range(41_000)] + [f"später{k} Wort" for k in range(50)]
+    seen = []
+    monkeypatch.setattr(toxicity, "_dictionary", lambda samples, size: seen.append(len(samples)) or b"".join(dict.fromkeys(samples))[-size:])
+    model = toxicity.fit(texts, [0] * len(texts))
+    assert seen[0] == len(texts)
+    assert "später49".encode() in model.ordinary
