@@ -145,3 +145,12 @@ def test_shards_of_awkward_rows(spark):
     assert len(got) == len(rows) and {"lang", "source", "n_chars"} <= set(got[0].asDict())
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     assert kd_shard.shard(frame(spark, [])).count() == 0
+
+
+def test_short_items_cut_no_word(spark):
+    items = spark.createDataFrame([(1, "yes"), (2, "(a)"), (3, "北京")], "item_id long, text string")
+    texts = ["my eyes", "yesterday", "Yes.", "he said yes", "eyes, yes!", "yes_no", "ye\u0301s yes\u0301", "f(a)b", "我在北京住"]
+    docs = frame(spark, [(i, t, *[None] * 6) for i, t in enumerate(texts)])
+    got = {(g.doc_id, g.item_id, g.edits) for g in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(2, 1, 0), (3, 1, 0), (4, 1, 0), (7, 2, 0), (8, 3, 0)}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()} == {0, 1, 5, 6}

@@ -13,6 +13,7 @@ block is built on the driver and travels with the task.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 import ahocorasick
@@ -24,12 +25,14 @@ from .tables import small
 
 #: Edits allowed per hundred characters of an item.
 BUDGET = 6
-#: Items of fewer characters are matched only in whole words' company: their pieces would be no evidence.
+#: Items of fewer characters are matched exactly and as whole words only: their pieces would be no evidence.
 LEAST_CHARS = 40
 #: Characters of items in one block.
 BLOCK_CHARS = 4_000_000
 OUT = ["doc_id", "item_id", "edits", "at"]
 _SPACE = re.compile(r"\s+")
+#: Scripts that put no space between words: a hit beside their letters cuts no word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def canonical(text: str | None) -> str:
@@ -76,6 +79,15 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _joins(c: str) -> bool:
+    return (c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not _UNSPACED.match(c)
+
+
+def whole_words(text: str, begin: int, end: int) -> bool:
+    """No word of the text goes on over either end of text[begin:end]."""
+    return not (begin > 0 and _joins(text[begin - 1]) and _joins(text[begin])) and not (end < len(text) and _joins(text[end - 1]) and _joins(text[end]))
+
+
 def automaton(items: list[tuple[int, str]], percent: int):
     by: dict[str, list[tuple[int, int]]] = {}
     for k, (_, item) in enumerate(items):
@@ -90,8 +102,8 @@ def automaton(items: list[tuple[int, str]], percent: int):
     return auto if by else None
 
 
-def matches(text: str, items: list[tuple[int, str]], auto, percent: int) -> list[tuple[int, int, int]]:
-    """(item number, edits, end) of each item within its budget of some place of the text, at its best place."""
+def matches(text: str, items: list[tuple[int, str]], auto, percent: int, words: bool = False) -> list[tuple[int, int, int]]:
+    """(item number, edits, end) of each item within its budget of some place of the text, at its best place; with `words` an exact hit must not cut a word."""
     best: dict[int, tuple[int, int]] = {}
     tried: dict[int, list[tuple[int, int]]] = {}
     for end, (n, where) in auto.iter(text):
@@ -102,6 +114,8 @@ def matches(text: str, items: list[tuple[int, str]], auto, percent: int) -> list
             lo, hi = max(0, begin - e), min(len(text), begin + len(item) + e)
             if k in best and best[k][0] == 0:
                 continue
+            if words and not whole_words(text, begin, end + 1):
+                continue
             if any(a <= lo and hi <= b for a, b in tried.setdefault(k, [])):
                 continue
             tried[k].append((lo, hi))
@@ -115,13 +129,13 @@ def matches(text: str, items: list[tuple[int, str]], auto, percent: int) -> list
     return [(k, *v) for k, v in best.items()]
 
 
-def _scan(items: list[tuple[int, str]], percent: int):
+def _scan(items: list[tuple[int, str]], percent: int, words: bool = False):
     def run(it):
         auto = automaton(items, percent)
         for batch in small(it):
             rows = []
             for who, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, d, end in matches(canonical(text), items, auto, percent) if auto is not None else ():
+                for k, d, end in matches(canonical(text), items, auto, percent, words) if auto is not None else ():
                     rows.append((who, items[k][0], d, end))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], OUT)
@@ -145,7 +159,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text:
 
     Returns doc_id, item_id, edits (least distance met) and at (end of that place in the text after lower-casing
     and white-space folding). Items whose folded text is shorter than least_chars match exactly only, as
-    a whole; empty and null items match nothing, null and empty texts hold nothing.
+    whole words; empty and null items match nothing, null and empty texts hold nothing.
     A row with a null id is scanned and its id stays null. Repeated rows give repeated matches.
     """
     rows = benchmark.select(F.col(item_ids).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator()
@@ -154,7 +168,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text:
     long = [x for x in items if len(x[1]) >= least_chars]
     slim = docs.select(F.col(ids).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, edits long, at long"
-    parts = [slim.mapInArrow(_scan(b, p), schema) for group, p in ((long, percent), (short, 0)) if group for b in blocks(group)]
+    parts = [slim.mapInArrow(_scan(b, p, words), schema) for group, p, words in ((long, percent, False), (short, 0, True)) if group for b in blocks(group)]
     return reduce(DataFrame.unionByName, parts) if parts else slim.limit(0).mapInArrow(_scan([], 0), schema)
 
 
