@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import fold, without
+from .tables import beside, fold, small
 
 DIMENSION = 512
 #: Letter classes: 0 between words, 1-26 a-z, the others share the rest by a hash.
@@ -117,12 +117,12 @@ def fit(texts: list[tuple[str | None, str]]) -> Profiles:
     return Profiles(langs, (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32))
 
 
-def _predict(model: Profiles):
+def _predict(model: Profiles, at: int, n: int):
     def run(it):
-        for batch in it:
-            got = [model.predict(t) for t in batch.column("_text").to_pylist()]
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.record_batch([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+        for batch in small(it):
+            got = [model.predict(t) for t in batch.column(at).to_pylist()]
+            cols = [batch.column(i) for i in range(n)]
+            yield pa.record_batch([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names[:n], "lang_pred", "score"])
 
     return run
 
@@ -130,16 +130,17 @@ def _predict(model: Profiles):
 def identify_language(docs: DataFrame, ids: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS, only: list[str] | None = None) -> DataFrame:
     """docs (or the columns in `only`), plus held_out boolean, lang_pred string and score double (cosine, 0..1).
 
-    Learns from about sample_rows texts of each language, chosen by a hash of the id, outside the held-out fold and
-    with a language. A text that is null or has no letter gets `und` and 0, and so does every text where nothing
+    Learns from about sample_rows ids of each language, chosen by a hash of the id, outside the held-out fold and
+    with a language; an id that repeats gives its smallest text. A text that is null or has no letter gets `und` and 0, and so does every text where nothing
     could be learned. A null id is in fold 0. Equal cosines go to the first language in alphabetical order.
+    Repeated rows are told alike, an empty table gives none, and a text may be of any length.
     Input columns named like an output are replaced.
     """
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(ids, folds) != held))
-    share = usable.groupBy(F.col(lang).alias("_l")).agg(F.least(F.lit(1 << 20), F.lit(sample_rows * (1 << 20)) / F.count("*")).alias("_share"))
-    rows = usable.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), F.pmod(F.xxhash64(ids), F.lit(1 << 20)).alias("_h")).join(F.broadcast(share), "_l").where("_h < _share").select("_l", "_t").collect()
+    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(ids, folds) != held)).select(F.col(lang).alias("_l"), F.col(ids).alias("_i"), F.col(text).alias("_t"))
+    share = usable.groupBy("_l").agg(F.least(F.lit(1 << 20), F.lit(sample_rows * (1 << 20)) / F.count("*")).alias("_share"))
+    picked = usable.withColumn("_h", F.pmod(F.xxhash64("_i"), F.lit(1 << 20))).join(F.broadcast(share), "_l").where("_h < _share")
+    rows = picked.groupBy("_l", "_i").agg(F.min("_t").alias("_t")).collect()
     model = fit(sorted((r["_t"], r["_l"]) for r in rows))
-    keep = [c for c in without(docs, OUT) if only is None or c in only]
-    base = docs.select(*keep, (fold(ids, folds) == held).alias("held_out"), F.col(text).alias("_text"))
-    schema = T.StructType([*base.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return base.mapInArrow(_predict(model), schema)
+    base, at, n = beside(docs, OUT, text, only, ((fold(ids, folds) == held).alias("held_out"),))
+    schema = T.StructType([*base.schema.fields[:n], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return base.mapInArrow(_predict(model, at, n), schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import batches, hash_ranges, mix64
-from .tables import fold, without
+from .tables import beside, fold, small
 from .toxicity import labelled
 
 BITS = 18
@@ -126,12 +126,12 @@ def fit(texts: list[str | None], labels: list[int], bits: int = BITS, passes: in
 SCALE = 10.0
 
 
-def _score(model: QualityModel, cut: float):
+def _score(model: QualityModel, cut: float, at: int, n: int):
     def run(it):
-        for batch in it:
-            score = model.score(batch.column("_text").to_pylist())
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.record_batch([*cols, pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32())], [*batch.schema.names[:-1], "score", "predicted"])
+        for batch in small(it):
+            score = model.score(batch.column(at).to_pylist())
+            cols = [batch.column(i) for i in range(n)]
+            yield pa.record_batch([*cols, pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32())], [*batch.schema.names[:n], "score", "predicted"])
 
     return run
 
@@ -141,11 +141,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text:
 
     Learns from at most sample_rows labelled rows whose crc32 of the id modulo `folds` is not `held`. A null
     or empty text has no feature and gets the score of the constant. A null id is in fold 0. Without labels every score is 0.5.
+    Repeated rows are scored alike, an empty table gives none, and a text may be of any length.
     Input columns named like an output are replaced.
     """
     rows = labelled(docs, labels, label, folds, held, sample_rows, ids, text)
     model = fit([r[0] for r in rows], [r[1] for r in rows])
-    keep = [c for c in without(docs, OUT) if only is None or c in only]
-    base = docs.select(*keep, (fold(ids, folds) == held).alias("held_out"), F.col(text).alias("_text"))
-    schema = T.StructType([*base.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return base.mapInArrow(_score(model, cut), schema)
+    base, at, n = beside(docs, OUT, text, only, ((fold(ids, folds) == held).alias("held_out"),))
+    schema = T.StructType([*base.schema.fields[:n], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return base.mapInArrow(_score(model, cut, at, n), schema)

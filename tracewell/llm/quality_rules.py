@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import without
+from .tables import named, without
 
 # The word separator class, the symbols, and frequent function words of four languages.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
@@ -55,8 +55,8 @@ def words(text: Column) -> Column:
 def repeat_starts(df: DataFrame, array: str, window: int) -> DataFrame:
     """Adds _starts: sorted starts of the windows of `array` that occur twice or more in their row.
 
-    Windows are compared by 64-bit hashes of their words' 64-bit hashes. Rows without a repeat, nearly all, only pay
-    for a distinct count; the others sort (hash, start) once, so a long text costs n log n.
+    Windows are found by 64-bit hashes of their words' 64-bit hashes and confirmed on the words themselves. Rows without
+    a repeat, nearly all, only pay for a distinct count; the others sort (hash, start) once, so a long text costs n log n.
     """
     n = F.size(array)
     df = df.withColumn("_h", F.transform(array, lambda w: F.xxhash64(w)))
@@ -64,19 +64,24 @@ def repeat_starts(df: DataFrame, array: str, window: int) -> DataFrame:
     df = df.withColumn("_rep", F.size(F.array_distinct("_win")) < F.size("_win"))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     df = df.withColumn("_pairs", F.when(F.col("_rep"), F.array_sort(F.transform("_win", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).otherwise(none))
-    same = lambda a, b: F.coalesce(F.get(F.col("_pairs"), a)["h"] == F.get(F.col("_pairs"), b)["h"], F.lit(False))
-    df = df.withColumn("_starts", F.when(F.col("_rep"), F.array_sort(F.transform(F.filter(F.col("_pairs"), lambda x, i: (i > 0) & same(i, i - 1) | same(i, i + 1)), lambda x: x["i"]))).otherwise(F.array().cast("array<int>")))
-    return df.drop("_h", "_win", "_rep", "_pairs")
+    same = lambda of, by, i: F.coalesce(F.get(F.col(of), i)[by] == F.get(F.col(of), i - 1)[by], F.lit(False))
+    beside = lambda of, by: F.filter(F.col(of), lambda x, i: (i > 0) & same(of, by, i) | same(of, by, i + 1))
+    # windows of one hash, sorted by their words: equal ones are neighbours, even where two share a hash by chance
+    spelt = F.array_sort(F.transform(beside("_pairs", "h"), lambda x: F.struct(F.array_join(F.slice(array, x["i"] + 1, window), " ").alias("w"), x["i"].alias("i"))))
+    df = df.withColumn("_spelt", F.when(F.col("_rep"), spelt).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
+    df = df.withColumn("_starts", F.when(F.col("_rep"), F.array_sort(F.transform(beside("_spelt", "w"), lambda x: x["i"]))).otherwise(F.array().cast("array<int>")))
+    return df.drop("_h", "_win", "_rep", "_pairs", "_spelt")
 
 
 def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, only: list[str] | None = None) -> DataFrame:
     """docs (or the columns in `only`), plus the base counts, base_failed, kept and failed_rules array<string>.
 
     A null or wordless text has zero counts, fails the base (fewer than 20 words) and is not kept. A ratio whose
-    denominator is zero passes. Texts may be of any length. Input columns named like an output are replaced.
+    denominator is zero passes. Texts may be of any length, repeated rows are judged alike, an empty table gives none. Input columns named like an output are replaced.
     """
     keep = [c for c in without(docs, OUT) if only is None or c in only]
-    df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    held = F.struct(*map(named, keep)) if keep else F.lit(None).cast("string")
+    df = docs.select(held.alias("_held"), F.coalesce(named(text), F.lit("")).alias("_text"))
     df = df.withColumns({"_words": words(F.col("_text")), "_lines": F.filter(F.split("_text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
     bare = F.regexp_replace("_text", SEPARATORS, "")
     df = df.withColumn("_bare", bare)
@@ -102,4 +107,4 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     df = df.withColumns({"base_failed": base_failed, "failed_rules": F.filter(F.array(*broken), lambda x: x.isNotNull())})
     df = df.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return df.select(*keep, *OUT)
+    return df.select(*[F.col("_held").getField(c).alias(c) for c in keep], *OUT)
