@@ -1,27 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on the passages
+Two zstandard dictionaries are made, one trained on ordinary text and one of the passages
 that set toxic text apart; the toxic one rests on the ordinary one, so that what
 both explain cancels out. Every window of eight words is compressed under
 both. The bytes that the toxic dictionary saves and the windows in which it saves any,
 set against the windows' number, go through thresholds and weights calibrated on the
 training rows into a probability.
+
+A passage is the beginning of a word, of four bytes or more, or the whole word. A likelihood-ratio test over rows
+tells which passages set toxic rows apart; of those that a word has, the one that saves most bytes over all rows
+goes into the toxic dictionary, and the whole word too where it is common enough.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import fold, small, without
+from .tables import beside, fold, small
 
 #: Labelled rows that the dictionaries and the calibration learn from, at most.
 SAMPLE_ROWS = 6_000
@@ -31,6 +36,10 @@ ORDINARY_BYTES, TOXIC_BYTES = 12_288, 4_096
 STEPS = (1, 2, 3, 4)
 #: A passage is toxic from this log-odds ratio on and, with 300 rows, this doubled log-likelihood ratio.
 LEAST_ODDS, LEAST_GAIN = 1.5, 20.0
+#: Bytes that a match itself costs; share of the toxic rows from which a whole word is a passage of its own.
+MATCH_COST, WHOLE_SHARE = 3, 0.05
+#: Bytes of labelled texts that the driver takes for fitting, at most.
+SAMPLE_BYTES = 64 << 20
 OUT = ["held_out", "score", "predicted"]
 _EDGE = b".,;:!?#*$%&|<>\"'()[]{}-"
 
@@ -73,7 +82,7 @@ class ToxicityModel:
 
     def pair(self):
         if not hasattr(self, "_pair"):
-            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=15, hash_log=14, chain_log=14, search_log=4, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=15, hash_log=14, chain_log=15, search_log=6, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
             self._pair = tuple(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d.rjust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress for d in (self.ordinary, self.toxic + self.ordinary))
         return self._pair
 
@@ -106,8 +115,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
     return w
 
 
+def originals(texts: list[str | None]) -> list[int]:
+    """Numbers of the texts that share neither the least nor the greatest hash of their five-word runs with an earlier text.
+
+    A copied text would count every one of its words as often as it was copied.
+    """
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for i, text in enumerate(texts):
+        w = _words(text)
+        runs = [zlib.crc32(b" ".join(w[k : k + 5])) for k in range(max(1, len(w) - 4))]
+        own = {(0, min(runs)), (1, max(runs))}
+        if not own & seen:
+            out.append(i)
+        seen |= own
+    return out
+
+
 def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
-    """Trains dictionaries and calibration; without both classes every score is the share of toxic rows."""
+    """Trains dictionaries and calibration on the texts that are no copies; without both classes every score is the share of toxic rows."""
+    own = originals(texts)
+    texts, toxic = [texts[i] for i in own], [toxic[i] for i in own]
     y = np.array(toxic, float)
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     pos: Counter = Counter()
@@ -124,20 +152,23 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
             plain += windows(words, 24)
     # more rows bring more passages to test, so the bar rises with them
     bar = LEAST_GAIN * (1 + max(0.0, math.log10(max(1, len(y)) / 300)))
-    weight = {}
+    telling = set()
     for p, a in pos.items():
         b = neg[p]
         odds = math.log((a + 0.5) / (n_pos - a + 0.5)) - math.log((b + 0.5) / (n_neg - b + 0.5))
         share = (a + b) / (n_pos + n_neg)
         gain = 2 * (a * math.log(a / (share * n_pos)) + (b * math.log(b / (share * n_neg)) if b else 0.0))
         if odds > LEAST_ODDS and gain > bar:
-            weight[p] = odds * math.sqrt(a)
+            telling.add(p)
     spans: Counter = Counter()
     for text, t in zip(texts, toxic):
         for x in _words(text) if t else ():
-            own = [p for p in _passages(x) if p in weight]
+            own = [p for p in _passages(x) if p in telling]
             if own:
-                spans[max(own, key=weight.__getitem__)] += 1
+                spans[max(own, key=lambda p: pos[p] * (len(p) - MATCH_COST))] += 1
+                whole = max(own, key=len)
+                if pos[whole] >= WHOLE_SHARE * n_pos:
+                    spans[whole] += 1
     if not spans:
         spans.update(x for text, t in zip(texts, toxic) if t for x in windows(_words(text), 24))
     # the most frequent passage stands last, nearest to the window
@@ -154,8 +185,11 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, ids: str = "doc_id", text: str = "text") -> list[tuple[str | None, int]]:
-    """(text, label) of at most `rows` labelled documents outside the held-out fold, those with the smallest hashes of their ids."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, ids: str = "doc_id", text: str = "text", most_bytes: int = SAMPLE_BYTES) -> list[tuple[str | None, int]]:
+    """(text, label) of at most `rows` labelled ids outside the held-out fold, those with the smallest hashes, and no more than `most_bytes` of text.
+
+    An id that repeats gives its smallest text, so the driver takes one text per id.
+    """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col(ids).isNotNull())
         .where(fold(ids, folds) != held)
@@ -164,17 +198,20 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(rows)
     )
-    got = docs.select(F.col(ids).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id").collect()
+    texts = docs.select(F.col(ids).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    # the window is over at most `rows` rows
+    sized = texts.withColumn("_bytes", F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(Window.orderBy(F.xxhash64("_id"), "_id")))
+    got = sized.where(F.col("_bytes") <= most_bytes).select("_id", "_text", "_label").collect()
     return [(r["_text"], int(r["_label"])) for r in sorted(got, key=lambda r: (r["_id"], r["_text"] or ""))]
 
 
-def _score(model: ToxicityModel, cut: float):
+def _score(model: ToxicityModel, cut: float, at: int, n: int):
     def run(it):
         for batch in small(it):
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(at).to_pylist()
             score = model.score([model.features(t) for t in texts]) if texts else np.zeros(0)
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.record_batch([*cols, pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32())], [*batch.schema.names[:-1], "score", "predicted"])
+            cols = [batch.column(i) for i in range(n)]
+            yield pa.record_batch([*cols, pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32())], [*batch.schema.names[:n], "score", "predicted"])
 
     return run
 
@@ -184,11 +221,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text
 
     Learns from at most sample_rows labelled rows whose crc32 of the id modulo `folds` is not `held`. A null
     or wordless text is scored like any other text without savings. A null id is in fold 0. With no usable label, or one class
-    only, every row has the share of toxic rows as its score. Input columns named like an output are replaced.
+    only, every row has the share of toxic rows as its score. Repeated rows are scored alike, an empty table gives none, and a
+    text may be of any length. Input columns named like an output are replaced.
     """
     rows = labelled(docs, labels, label, folds, held, sample_rows, ids, text)
     model = fit([r[0] for r in rows], [r[1] for r in rows])
-    keep = [c for c in without(docs, OUT) if only is None or c in only]
-    base = docs.select(*keep, (fold(ids, folds) == held).alias("held_out"), F.col(text).alias("_text"))
-    schema = T.StructType([*base.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return base.mapInArrow(_score(model, cut), schema)
+    base, at, n = beside(docs, OUT, text, only, ((fold(ids, folds) == held).alias("held_out"),))
+    schema = T.StructType([*base.schema.fields[:n], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return base.mapInArrow(_score(model, cut, at, n), schema)
