@@ -70,29 +70,54 @@ def test_myers_equals_dynamic_programme():
         assert decontaminate.myers(p, t)[0] == edit_search(p, t)
 
 
+def whole_words_distance(item, text):
+    """Least edit distance of the item to any stretch of the text that cuts no word, by a plain table."""
+    best = len(item) + 1
+    for s in range(len(text) + 1):
+        if not decontaminate.between(text, s):
+            continue
+        part = text[s : s + 2 * len(item) + 2]
+        row = list(range(len(part) + 1))
+        for i, p in enumerate(item, 1):
+            new = [i]
+            for j, t in enumerate(part, 1):
+                new.append(min(row[j - 1] + (p != t), row[j] + 1, new[j - 1] + 1))
+            row = new
+        best = min([best] + [d for j, d in enumerate(row) if decontaminate.between(text, s + j)])
+    return best
+
+
 def test_leaks_equal_brute_force(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(r.randint(14, 30)))) for i in range(6)] + [(6, "short Item"), (7, None), (8, "")]
-    rows = [(i, " ".join(word() for _ in range(60)), *[None] * 6) for i in range(8)]
-    for n, (i, t) in enumerate(items[:6]):
-        s = list(t.upper())
-        for _ in range(n * len(t) // 60):
-            k = r.randrange(len(s))
-            s[k] = r.choice(("", "#", s[k] + "q"))
-        rows.append((100 + i, f"{word()} {word()}\n {''.join(s)}  {word()}", *[None] * 6))
-    rows += [(200, "has a short  item in it", *[None] * 6), (201, None, *[None] * 6), (202, "", *[None] * 6), (None, items[0][1], *[None] * 6), (100, items[0][1], *[None] * 6)]
-    got = decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    # items of 5 to 39 characters and longer ones, under the one law
+    items = [(i, " ".join(word() for _ in range(r.randint(14, 20)))) for i in range(3)] + [(10 + n, " ".join(word() for _ in range(n))[: 5 + 6 * n].strip()) for n in range(1, 6)] + [(6, "short Item"), (7, None), (8, "")]
+    rows = [(i, " ".join(word() for _ in range(30)), *[None] * 6) for i in range(4)]
+    for i, t in items[:8]:
+        for edits in range(3):
+            s = list(t.upper())
+            for _ in range(edits):
+                k = r.randrange(len(s))
+                s[k] = r.choice(("", "#", s[k] + "q"))
+            rows.append((100 + 10 * i + edits, f"{word()} {word()}\n {''.join(s)}  {word()}", *[None] * 6))
+    rows += [(900, f"glued{items[0][1]}", *[None] * 6), (901, f"{items[1][1]}ed on", *[None] * 6)]
+    rows += [(200, "has a short  item in it", *[None] * 6), (201, None, *[None] * 6), (202, "", *[None] * 6), (None, items[0][1], *[None] * 6), (100, items[0][1], *[None] * 6), (203, "noise " * 20_000 + items[2][1], *[None] * 6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
     want = set()
     for d, t, *_ in rows:
         for i, x in items:
-            c, x = decontaminate.canonical(t), decontaminate.canonical(x)
-            if x and (x in c if len(x) < decontaminate.LEAST_CHARS else edit_search(x, c) <= decontaminate.budget(len(x))):
+            c, x = decontaminate.canonical(t)[-500:], decontaminate.canonical(x)
+            if x and whole_words_distance(x, c) <= decontaminate.budget(len(x)):
                 want.add((d, i))
-    assert {(g.doc_id, g.item_id) for g in got} == want
-    clean = decontaminate.decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {c.doc_id for c in clean} == {d for d, *_ in rows} - {d for d, _ in want if d is not None}
-    assert decontaminate.find_leaks(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    for size in (60, 4_000_000):  # many blocks, one block
+        got = decontaminate.find_leaks(frame(spark, rows), bench, block_chars=size).collect()
+        assert {(g.doc_id, g.item_id) for g in got} == want
+    assert any(g.edits > 0 for g in got) and (203, 2) in want
+    docs = frame(spark, [*rows, rows[0]]).withColumnRenamed("score", "leak_id")
+    clean = decontaminate.decontaminate(docs, bench)
+    assert clean.columns == docs.columns
+    assert Counter(c.doc_id for c in clean.collect()) == Counter(d for d, *_ in [*rows, rows[0]] if d is None or d not in {d for d, _ in want})
+    assert decontaminate.find_leaks(frame(spark, []), bench).count() == 0
     assert decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
@@ -144,9 +169,18 @@ def test_shards_of_awkward_rows(spark):
     got = kd_shard.shard(frame(spark, rows)).collect()
     assert len(got) == len(rows) and {"lang", "source", "n_chars"} <= set(got[0].asDict())
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    check_shards(rows, got, max(len((r[1] or "").encode()) + 8 for r in rows)) if len({r.shard for r in got}) == 24 else None
+    assert all(r.law == "bytes" and r.grown_shard is None for r in got)
     assert kd_shard.shard(frame(spark, [])).count() == 0
 
 
+def test_shards_divide_a_heavy_group_without_ids(spark):
+    rows = [(None, "one text for all of them", None, "s", 1, None, None, None)] * 4800
+    got = kd_shard.shard(frame(spark, rows)).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 60
+
+
 def test_short_items_cut_no_word(spark):
     items = spark.createDataFrame([(1, "yes"), (2, "(a)"), (3, "北京")], "item_id long, text string")
     texts = ["my eyes", "yesterday", "Yes.", "he said yes", "eyes, yes!", "yes_no", "ye\u0301s yes\u0301", "f(a)b", "我在北京住"]

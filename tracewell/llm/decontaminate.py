@@ -5,6 +5,10 @@ edits do, one piece survives unchanged. One pass over each document finds all
 exact piece hits with an Aho-Corasick automaton; a hit fixes where the item
 would have to stand, and Myers' bit-parallel distance verifies that place.
 
+One law holds for items of every length: an item is in a text if its edit distance to some
+stretch of whole words of the text is within the budget. So `yes` is not found in
+`eyes`, and a long item that stands glued to some letters is.
+
 The items are a stated query set: they are dealt in blocks of a bounded number
 of characters, each block is one automaton and one pass over the documents. A
 block is built on the driver and travels with the task.
@@ -21,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small
+from .tables import fresh, lean, named, small
 
 #: Edits allowed per hundred characters of an item.
 BUDGET = 6
-#: Items of fewer characters are matched exactly and as whole words only: their pieces would be no evidence.
-LEAST_CHARS = 40
 #: Characters of items in one block.
 BLOCK_CHARS = 4_000_000
 OUT = ["doc_id", "item_id", "edits", "at"]
@@ -83,9 +85,43 @@ def _joins(c: str) -> bool:
     return (c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not _UNSPACED.match(c)
 
 
-def whole_words(text: str, begin: int, end: int) -> bool:
-    """No word of the text goes on over either end of text[begin:end]."""
-    return not (begin > 0 and _joins(text[begin - 1]) and _joins(text[begin])) and not (end < len(text) and _joins(text[end - 1]) and _joins(text[end]))
+def between(text: str, at: int) -> bool:
+    """No word of the text goes on over position `at`."""
+    return not (0 < at < len(text) and _joins(text[at - 1]) and _joins(text[at]))
+
+
+def anchored(pattern: str, text: str, begin: int, stop: int) -> tuple[int, int]:
+    """(least edit distance of the pattern to text[begin:end], that end) over the ends up to `stop` that cut no word."""
+    m = len(pattern)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score, best, end = full, 0, m, m + 1, begin
+    for j in range(begin, stop):
+        eq = masks.get(text[j], 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (~(xh | pv) & full)
+        mh = pv & xh
+        score += bool(ph & top) - bool(mh & top)
+        if score < best and between(text, j + 1):
+            best, end = score, j + 1
+        ph = (ph << 1 | 1) & full
+        mh = (mh << 1) & full
+        pv = mh | (~(xv | ph) & full)
+        mv = ph & xv
+    return best, end
+
+
+def place(item: str, text: str, begin: int, e: int) -> tuple[int, int]:
+    """(least edit distance of the item to whole words that begin within e of `begin`, their end); a distance beyond e where there is none within it."""
+    if 0 <= begin and text.startswith(item, begin) and between(text, begin) and between(text, begin + len(item)):
+        return 0, begin + len(item)
+    lo, hi = max(0, begin - e), min(len(text), begin + len(item) + e)
+    if myers(item, text[lo:hi])[0] > e:
+        return e + 1, 0
+    return min((anchored(item, text, s, min(len(text), s + len(item) + e)) for s in range(lo, min(len(text), begin + e + 1)) if between(text, s)), default=(e + 1, 0))
 
 
 def automaton(items: list[tuple[int, str]], percent: int):
@@ -102,40 +138,30 @@ def automaton(items: list[tuple[int, str]], percent: int):
     return auto if by else None
 
 
-def matches(text: str, items: list[tuple[int, str]], auto, percent: int, words: bool = False) -> list[tuple[int, int, int]]:
-    """(item number, edits, end) of each item within its budget of some place of the text, at its best place; with `words` an exact hit must not cut a word."""
+def matches(text: str, items: list[tuple[int, str]], auto, percent: int) -> list[tuple[int, int, int]]:
+    """(item number, edits, end) of each item within its budget of some whole words of the text, at its best place."""
     best: dict[int, tuple[int, int]] = {}
-    tried: dict[int, list[tuple[int, int]]] = {}
+    tried: set[tuple[int, int]] = set()
     for end, (n, where) in auto.iter(text):
         for k, at in where:
-            item = items[k][1]
-            e = budget(len(item), percent)
             begin = end - n + 1 - at
-            lo, hi = max(0, begin - e), min(len(text), begin + len(item) + e)
-            if k in best and best[k][0] == 0:
-                continue
-            if words and not whole_words(text, begin, end + 1):
-                continue
-            if any(a <= lo and hi <= b for a, b in tried.setdefault(k, [])):
+            if (k, begin) in tried or (k in best and best[k][0] == 0):
                 continue
-            tried[k].append((lo, hi))
-            if text.startswith(item, max(0, begin)) and begin >= 0:
-                found = (0, begin + len(item))
-            else:
-                d, stop = myers(item, text[lo:hi])
-                found = (d, lo + stop)
+            tried.add((k, begin))
+            e = budget(len(items[k][1]), percent)
+            found = place(items[k][1], text, begin, e)
             if found[0] <= e and (k not in best or found < best[k]):
                 best[k] = found
     return [(k, *v) for k, v in best.items()]
 
 
-def _scan(items: list[tuple[int, str]], percent: int, words: bool = False):
+def _scan(items: list[tuple[int, str]], percent: int):
     def run(it):
         auto = automaton(items, percent)
         for batch in small(it):
             rows = []
             for who, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, d, end in matches(canonical(text), items, auto, percent, words) if auto is not None else ():
+                for k, d, end in matches(canonical(text), items, auto, percent) if auto is not None else ():
                     rows.append((who, items[k][0], d, end))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], OUT)
@@ -154,25 +180,27 @@ def blocks(items: list[tuple[int, str]], most: int = BLOCK_CHARS) -> list[list[t
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text: str = "text", item_ids: str = "item_id", item_text: str = "text", percent: int = BUDGET, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """One row per (document, item) where some place of the text is within the item's budget.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text: str = "text", item_ids: str = "item_id", item_text: str = "text", percent: int = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per (document, item) where some whole words of the text are within the item's budget.
 
     Returns doc_id, item_id, edits (least distance met) and at (end of that place in the text after lower-casing
-    and white-space folding). Items whose folded text is shorter than least_chars match exactly only, as
-    whole words; empty and null items match nothing, null and empty texts hold nothing.
-    A row with a null id is scanned and its id stays null. Repeated rows give repeated matches.
+    and white-space folding; the first of equals). Empty and null items match nothing, null and empty texts hold nothing.
+    A row with a null id is scanned and its id stays null. Repeated rows and repeated items give repeated matches. A text may be
+    of any length; an empty table gives no row. Ids are integers: one that is no number counts as null.
     """
     rows = benchmark.select(F.col(item_ids).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator()
     items = [(r["i"], c) for r in rows if (c := canonical(r["t"]))]
-    short = [x for x in items if len(x[1]) < least_chars]
-    long = [x for x in items if len(x[1]) >= least_chars]
-    slim = docs.select(F.col(ids).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, item_id long, edits long, at long"
-    parts = [slim.mapInArrow(_scan(b, p, words), schema) for group, p, words in ((long, percent, False), (short, 0, True)) if group for b in blocks(group)]
-    return reduce(DataFrame.unionByName, parts) if parts else slim.limit(0).mapInArrow(_scan([], 0), schema)
+    slim = lean(docs.select(named(ids).cast("long").alias("doc_id"), named(text).alias("text")))
+    parts = [slim.mapInArrow(_scan(b, percent), "doc_id long, item_id long, edits long, at long") for b in blocks(items, block_chars)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", **kw) -> DataFrame:
-    """docs without the rows whose id has a leak; rows with a null id stay."""
-    hit = find_leaks(docs, benchmark, ids, **kw).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(hit, F.col(ids).cast("long") == F.col("_leak_id"), "left_anti")
+    """docs without the rows whose id has a leak.
+
+    Rows with a null id stay, and so do null and empty texts. All rows of an id go if one of them has a leak. Every column is
+    passed on under its name, an empty table gives none, and a text may be of any length.
+    """
+    own = fresh(docs, "leak_id")
+    hit = find_leaks(docs, benchmark, ids, **kw).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(hit, named(ids).cast("long") == F.col(own), "left_anti")
