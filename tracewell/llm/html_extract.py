@@ -20,10 +20,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import without
+from .tables import beside, small, without
 
 OUT = ["text", "n_chars"]
 #: Generated training pages, gradient steps.
@@ -36,7 +35,8 @@ BLOCKS = set(
     "html body main article section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "form fieldset legend blockquote pre figure figcaption details summary address hr center hgroup menu dialog search".split()
 )
-NO_TEXT = set("script style noscript template iframe object svg math canvas select textarea button title audio video map datalist".split())
+RAW_TEXT = set("script style title textarea iframe".split())
+NO_TEXT = RAW_TEXT | set("noscript template object svg canvas select button audio video map datalist".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -76,6 +76,23 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^
 _CUE_SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
+def ends(source: str, name: str) -> dict[int, int]:
+    """End of the content of each start tag of `name` that has its own end tag, by the end of the start tag.
+
+    Tags are paired by nesting in one pass; those in comments, scripts and styles are none.
+    """
+    out, open_ = {}, []
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?</\1\b|<(/?){name}(?=[\s/>])[^>]*>", source, re.S | re.I):
+        if m[2] is None:
+            continue
+        if m[2]:
+            if open_:
+                out[open_.pop()] = m.end()
+        elif not m[0].endswith("/>"):
+            open_.append(m.end())
+    return out
+
+
 @dataclass
 class Page:
     parent: list[int] = field(default_factory=list)
@@ -101,6 +118,7 @@ def parse(source: str) -> Page:
 
     add(-1, "html")
     stack, held, linked, in_link = [0], [], 0, False
+    paired: dict[str, dict[int, int]] = {}
 
     def flush():
         nonlocal held, linked
@@ -131,11 +149,15 @@ def parse(source: str) -> Page:
             continue
         closing = m[1] or m[4]
         if name in NO_TEXT and not closing:
-            if (m[3] or m[6] or "").endswith("/") and name not in ("script", "style", "title", "textarea"):
-                continue
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
-            # an element without an end takes the rest of the page, as a browser has it
-            at = end.end() if end else n
+            if name in RAW_TEXT:
+                # such an element without an end takes the rest of the page, as a browser has it
+                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
+                at = end.end() if end else n
+            elif not (m[3] or m[6] or "").endswith("/"):
+                # any other one without an end is nothing but its tag
+                if name not in paired:
+                    paired[name] = ends(source, name)
+                at = paired[name].get(at, at)
             continue
         if name == "a":
             in_link = not closing
@@ -507,12 +529,12 @@ def default_model() -> HtmlModel:
     return fit(training_pages())
 
 
-def _extract(model: HtmlModel):
+def _extract(model: HtmlModel, at: int, n: int):
     def run(it):
-        for batch in it:
-            got = model.extract(batch.column(batch.num_columns - 1).to_pylist())
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.record_batch([*cols, pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], [*batch.schema.names[:-1], *OUT])
+        for batch in small(it):
+            got = model.extract(batch.column(at).to_pylist())
+            cols = [batch.column(i) for i in range(n)]
+            yield pa.record_batch([*cols, pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], [*batch.schema.names[:n], *OUT])
 
     return run
 
@@ -521,9 +543,8 @@ def extract_main_text(pages: DataFrame, source: str = "html", model: HtmlModel |
     """pages but for the markup, plus text (main text, blocks joined by an empty line) and n_chars.
 
     A null or empty page gives an empty text, and so does one without content. Broken, truncated and very long pages are
-    read to their end; what cannot be a tag is text. Input columns named like an output are replaced.
+    read to their end; what cannot be a tag is text. Repeated rows are read alike, an empty table gives none. Input columns named like an output are replaced.
     """
-    keep = [c for c in without(pages, OUT) if c != source]
-    base = pages.select(*keep, F.col(source).alias("_html"))
-    schema = T.StructType([*base.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return base.mapInArrow(_extract(model or default_model()), schema)
+    base, at, n = beside(pages, OUT, source, without(pages, [source]))
+    schema = T.StructType([*base.schema.fields[:n], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return base.mapInArrow(_extract(model or default_model(), at, n), schema)
