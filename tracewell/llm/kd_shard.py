@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, without
+from .tables import cut, named, without
 
 SHARDS = 24
 #: Part of the target bytes that a cut may miss its quantile by, to leave a group of equal texts whole.
@@ -56,17 +56,18 @@ DIMENSIONS = ("log_size", "width", "line", "crc")
 
 def _points(docs: DataFrame, ids: str, text: str, keep: list[str]) -> DataFrame:
     """(other columns, id, size, crc, raw dimensions, tie) of every row; the text is read once and left behind."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(named(text), F.lit(""))
     size = F.octet_length(t).cast("long")
     return docs.select(
-        F.struct(*keep).alias("_extra") if keep else F.lit(None).cast("string").alias("_extra"),
-        F.col(ids).alias("_id"),
+        F.struct(*map(named, keep)).alias("_extra") if keep else F.lit(None).cast("string").alias("_extra"),
+        named(ids).alias("_id"),
         (size + 8).alias("size"),
         F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"),
         F.log2((size + 8).cast("double")).alias("log_size"),
         (size / F.greatest(F.length(t), F.lit(1))).alias("width"),
         F.log2(size / (F.length(t) - F.length(F.translate(t, "\n", "")) + 1) + 1).alias("line"),
-        F.shiftright(F.coalesce(F.col(ids).cast("long"), F.xxhash64(t)), 1).alias("_tie"),
+        # rows without an id are told apart by where they were read; the checkpoint keeps that
+        F.shiftright(F.coalesce(named(ids).cast("long"), F.xxhash64(F.monotonically_increasing_id())), 1).alias("_tie"),
     )
 
 
@@ -123,13 +124,12 @@ def _split_level(rows: DataFrame, nodes: dict[int, _Node], target: float) -> dic
                 continue
             lo, weight = n.lo + b * width[i], by[i][b]
             n.before, n.lo, n.hi = at, lo, min(n.hi, lo + width[i])
-            if width[i] > 1:
-                continue
-            # one key holds the quantile: leave it whole if that is near enough, else divide it by the ids
+            # an edge of the bin that is near enough to the quantile is the cut, and no point is divided by it
             left, right = n.want - at, at + weight - n.want
-            if n.tie or min(left, right) <= TOLERANCE * target:
-                n.cut = lo if left <= right else lo + 1
-            else:
+            if min(left, right) <= TOLERANCE * target or (n.tie and width[i] == 1):
+                n.cut = n.lo if left <= right else n.hi
+            elif width[i] == 1:
+                # one point holds the quantile and is heavy: divide it by the ids
                 n.tie, n.point = True, lo
                 n.lo, n.hi = -(1 << 62), 1 << 62
 
@@ -137,10 +137,10 @@ def _split_level(rows: DataFrame, nodes: dict[int, _Node], target: float) -> dic
 def shard(docs: DataFrame, ids: str = "doc_id", text: str = "text", n_shards: int = SHARDS) -> DataFrame:
     """One row per row of docs: its columns but for the text, size, text_crc32, law, shard, slot and grown_shard.
 
-    size is the UTF-8 bytes of the text plus 8; null and empty texts have size 8 and checksum 0. law is `bytes`: the shards' sizes
-    differ by little more than the heaviest row. slot numbers the rows of a shard from 0 without gaps, in order of a hash of the id.
+    size is the UTF-8 bytes of the text plus 8; null and empty texts have size 8 and checksum 0. law is `bytes`: a cut misses its
+    quantile by TOLERANCE of the target bytes or by a row at most, so the shards' sizes differ by little more than the heaviest row. slot numbers the rows of a shard from 0 without gaps, in order of a hash of the id.
     grown_shard is null under this law. A null id is allowed and returned. Rows that repeat an id and a text stay together.
-    An empty table gives an empty result. Input columns named like an output are replaced.
+    An empty table gives an empty result, and a text may be of any length. Equal sizes are cut anywhere: ties do not matter. Input columns named like an output are replaced.
     """
     keep = [c for c in without(docs, [*OUT, text]) if c != ids]
     rows = cut(_keys(cut(_points(docs, ids, text, keep))).withColumn("_node", F.lit(1)))
@@ -169,11 +169,11 @@ def shard(docs: DataFrame, ids: str = "doc_id", text: str = "text", n_shards: in
     placed = cut(placed.select("_id", "_tie", "size", "text_crc32", "shard", "_extra").withColumn("_bucket", F.pmod(F.xxhash64("_tie", "text_crc32"), F.lit(512)).cast("int")))
     counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("n"))
     offset = counts.withColumn("_off", F.sum("n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "_bucket", F.coalesce("_off", F.lit(0)).alias("_off"))
-    numbered = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_tie", "text_crc32")))
+    numbered = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_tie", "text_crc32", "_id", "size")))
     out = numbered.join(F.broadcast(offset), ["shard", "_bucket"])
     return out.select(
         F.col("_id").alias(ids),
-        *([F.col(f"_extra.{c}").alias(c) for c in keep]),
+        *[F.col("_extra").getField(c).alias(c) for c in keep],
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
