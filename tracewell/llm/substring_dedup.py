@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import Flat, batches, words_of
-from .tables import text_bytes, without
+from .tables import fresh, named, text_bytes, without
 
 WINDOW, MER = 13, 3
 CHUNK_BYTES = 8 << 20
+#: Chunks up to this number get a partition each.
+MIN_PARTS = 2_000
 #: Runs of three words with at most so many bytes are frequent; they serve as minimiser only where nothing else does.
 SHORT_MER = 14
 OUT = ["n_words", "n_removed", "kept_text", "kept_sha256"]
@@ -257,16 +259,20 @@ def dedup_substrings(docs: DataFrame, ids: str = "doc_id", text: str = "text", w
 
     A null text has no words and gives a null kept_text. A row with a null id neither removes nor loses words. Rows with
     equal ids are not smaller than each other, so they do not remove from each other. A text of
-    fewer words than the window is kept whole. Input columns named like an output are replaced.
+    fewer words than the window is kept whole. Repeated rows are treated alike, an empty table gives none, and a text may be of
+    any length. Ids are 64-bit integers. Input columns named like an output are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kept = [c for c in without(docs, [*OUT, text]) if only is None or c in only or c == ids]
     n_chunks = max(1, text_bytes(docs, text) // chunk_bytes + 1)
     n_buckets = 3 * n_chunks
-    base = docs.select(*kept, F.col(text)).withColumn("_chunk", F.pmod(F.xxhash64(F.col(ids), F.col(text)), F.lit(n_chunks))).repartition(n_chunks, "_chunk")
-    sent = base.groupBy("_chunk").applyInArrow(_outward(ids, text, window, n_buckets), "bucket long, chunk long, blob binary")
-    replies = sent.groupBy("bucket").applyInArrow(_count(window), "chunk long, blob binary").withColumnRenamed("chunk", "_chunk")
+    # many chunks share a partition where there are many: a group is one chunk at a time
+    n_parts = min(n_chunks, max(MIN_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    own = fresh(docs, "chunk")
+    base = docs.select(*map(named, kept), named(text)).withColumn(own, F.pmod(F.xxhash64(named(ids), named(text)), F.lit(n_chunks))).repartition(n_parts, own)
+    sent = base.groupBy(own).applyInArrow(_outward(ids, text, window, n_buckets), "bucket long, chunk long, blob binary")
+    replies = sent.groupBy("bucket").applyInArrow(_count(window), "chunk long, blob binary").withColumnRenamed("chunk", own)
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
     kinds = {c: to_arrow_type(docs.schema[c].dataType) for c in kept}
-    return base.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInArrow(_remove(ids, text, window, kept, kinds), schema)
+    return base.groupBy(own).cogroup(replies.groupBy(own)).applyInArrow(_remove(ids, text, window, kept, kinds), schema)
