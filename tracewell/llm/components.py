@@ -19,7 +19,8 @@ PART_ROWS = 100_000
 def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """Links each neighbour of u to the least of u's neighbourhood: the larger neighbours, or the smaller ones and u."""
     both = edges.select(F.col("u").alias("v"), F.col("v").alias("u")).unionByName(edges) if larger_only else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # grouped by more than the join's key, so that the join exchanges both sides and Spark can split the edges of a hub among tasks
+    least = both.groupBy("u", F.bitwise_not(F.col("u")).alias("_w")).agg(F.least(F.min("v"), F.col("u")).alias("m")).drop("_w")
     near = both.join(least, "u")
     if larger_only:
         out = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

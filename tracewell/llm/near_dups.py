@@ -29,13 +29,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
 from .flat import Flat, batches, mix64, words_of
-from .tables import cut, small, without
+from .tables import cut, fresh, lean, named, small, without
 
 SHINGLE, LEAST = 5, 0.8
 REGISTERS, ROWS = 512, 8
@@ -76,7 +76,7 @@ def bag_minhash(doc: np.ndarray, h: np.ndarray, n: np.ndarray, n_docs: int, m: i
         size = np.exp2(np.ceil(np.log2(np.maximum(1.0, 1.2 * expect + 1)))).astype(np.int64)
         for k in np.unique(size).tolist():
             rows = todo[size == k]
-            for part in np.array_split(rows, max(1, len(rows) * k >> 20)):
+            for part in np.array_split(rows, max(1, len(rows) * k >> 18)):
                 time, step = np.zeros(len(part)), 0
                 while len(part):
                     x = mix64(seed[part][:, None] + _STEP * np.arange(step + 1, step + k + 1, dtype=np.uint64)[None, :])
@@ -227,7 +227,7 @@ def overlap(a: Counter, b: Counter) -> float:
 
 def _verify(it):
     last, held = None, Counter()
-    for batch in it:
+    for batch in small(it):
         u, _, zu, zv = (c.to_pylist() for c in batch.columns)
         sim = []
         for i in range(len(u)):
@@ -237,6 +237,33 @@ def _verify(it):
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], ["u", "v", "sim"])
 
 
+def _per(df: DataFrame, key: str, *aggs) -> DataFrame:
+    """One row per key, grouped by the key and its complement.
+
+    A join of the result with df on the key alone then exchanges both sides, which lets Spark split the rows of a
+    frequent key among tasks; a plain grouping would pin them to the grouping's own task.
+    """
+    return df.groupBy(key, F.bitwise_not(F.col(key)).alias("_w")).agg(*aggs).drop("_w")
+
+
+def _crosswise(left: DataFrame, close: Column) -> DataFrame:
+    """Pairs (u, v) of members of one bucket in different classes for which `close` holds, each once.
+
+    The members of a bucket's largest class are only set against the others of the bucket, so one large class with a few
+    strangers costs their product and not the square of the class.
+    """
+    most = left.groupBy("key", "c").agg(F.count("*").alias("_k")).groupBy("key").agg(F.max_by("c", F.struct("_k", "c")).alias("_large"))
+    split = cut(left.join(most, "key").withColumn("_in", F.col("c") == F.col("_large")).drop("_large"))
+    names = [c for c in split.columns if c not in ("key", "_in")]
+    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{x}{c}") for c in names])
+    rest = split.where("NOT _in")
+    found = [
+        side(rest, "u").join(side(split.where("_in"), "v"), "key").where(close),
+        side(rest, "u").join(side(rest, "v"), "key").where((F.col("uid") < F.col("vid")) & (F.col("uc") != F.col("vc")) & close),
+    ]
+    return found[0].select("uid", "vid").unionByName(found[1].select("uid", "vid")).select(F.least("uid", "vid").alias("u"), F.greatest("uid", "vid").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document: its columns, class_id (smallest id of its class), class_size and n_links.
 
@@ -246,22 +273,24 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
     redundant are not searched for. Equal word sequences are one class without being compared.
 
     A null or wordless text is a class of its own, and so is a row with a null id (class_id null). Rows
-    with one id and different texts fall into one class. Input columns named like an output are replaced.
+    with one id and different texts fall into one class. Repeated rows share a class, an empty table gives none, and a text
+    may be of any length. Ids are integers: an id that is no number counts as null. Input columns named like an output are replaced.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    slim = lean(docs.select(named(ids).cast("long").alias("id"), named(text).alias("text")).where("id IS NOT NULL"))
     signed = cut(slim.mapInArrow(_sign, "id long, digest binary, bands binary"))
     copies = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.max("bands").alias("bands"))
-    deck = copies.groupBy("rep").agg(F.collect_set("bands").alias("b")).select(F.col("rep").alias("id"), F.explode("b").alias("bands")).mapInArrow(_deal, "id long, key long, band tinyint")
-    by_key = Window.partitionBy("key")
-    shared = cut(deck.withColumn("n", F.count("*").over(by_key)).where("n > 1"))
+    deck = copies.select(F.col("rep").alias("id"), "bands").mapInArrow(_deal, "id long, key long, band tinyint")
+    held = deck.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(deck.join(held, "key"))
     # the member with most company over all bands is everywhere the first centre: an original before its copies
-    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
-    first = by_key.orderBy(F.desc("w"), "id")
-    members = cut(shared.join(weight, "id").withColumn("rn", F.row_number().over(first)).withColumn("centre", F.first("id").over(first)).drop("w"))
+    weight = cut(shared.groupBy("id").agg(F.sum("n").alias("w")))
+    weighed = shared.join(weight, "id")
+    centres = _per(weighed, "key", F.min(F.struct((-F.col("w")).alias("w"), "id"))["id"].alias("centre"))
+    members = cut(shared.join(centres, "key").where("centre <> id"))
     texts = cut(slim.join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_squeeze, "id long, z binary, " + ", ".join(f"{c} long" for c in (*SKETCH, *PRINTS))))
 
-    pairs = cut(members.where("centre <> id").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct())
+    pairs = cut(members.select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct())
     links, labels = None, None
     for last in (False, True):
         if pairs.isEmpty():
@@ -273,16 +302,14 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
         labels = cut(components(links))
         if last:
             break
-        left = members.where("n > 2").join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).select("key", "band", "id", "rn", "centre", "c")
+        left = members.where("n > 2").join(labels, "id", "left").withColumn("c", F.coalesce("least", "id")).select("key", "band", "id", "centre", "c")
         mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         # distance of each member to the centre of its bucket
         near = tried.select(F.col("u").alias("centre"), F.col("v").alias("id"), (1 - F.col("sim")).alias("d"))
-        left = left.join(mixed, "key", "left_semi").where("rn > 1").join(near, ["centre", "id"]).join(texts.select("id", *SKETCH, *PRINTS), "id")
-        left = cut(left.select("key", "band", "id", "rn", "c", "d", *SKETCH, *PRINTS))
-        a, b = (left.select("key", *[F.col(c).alias(f"{side}{c}") for c in left.columns if c != "key"]) for side in "uv")
-        # texts whose distances to a common centre differ by more than the limit are no link
-        open_ = (F.col("urn") < F.col("vrn")) & (F.col("uc") != F.col("vc")) & (F.abs(F.col("ud") - F.col("vd")) <= 1 - least + 1e-9)
-        new = a.join(b, "key").where(open_ & _first_shared() & _alike(least)).select(F.col("uid").alias("u"), F.col("vid").alias("v")).distinct()
+        left = left.join(mixed, "key", "left_semi").join(near, ["centre", "id"]).join(texts.select("id", *SKETCH, *PRINTS), "id")
+        left = cut(left.select("key", "band", "id", "c", "d", *SKETCH, *PRINTS))
+        # one minus the weighted Jaccard similarity is a metric, so texts whose distances to a common centre differ by more than the limit are no link
+        new = _crosswise(left, (F.abs(F.col("ud") - F.col("vd")) <= 1 - least + 1e-9) & _first_shared() & _alike(least))
         either = tried.select("u", "v").unionByName(tried.select(F.col("v").alias("u"), F.col("u").alias("v")))
         pairs = cut(new.join(either, ["u", "v"], "left_anti"))
     if links is None:
@@ -295,8 +322,10 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
         known = known.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     else:
         known = known.withColumn("least", F.lit(None).cast("long")).withColumn("n_links", F.lit(None).cast("long"))
-    known = known.select("id", F.coalesce("least", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    size = known.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    known = cut(known.join(size, "class_id"))
-    out = docs.select(*without(docs, OUT)).join(known.withColumnRenamed("id", "_near_id"), F.col(ids).cast("long") == F.col("_near_id"), "left").drop("_near_id")
-    return out.withColumns({"class_id": F.coalesce("class_id", F.col(ids).cast("long")), "class_size": F.coalesce("class_size", F.lit(1)).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
+    known = cut(known.select("id", F.coalesce("least", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    sizes = _per(known, "class_id", F.count("*").alias("class_size"))
+    known = cut(known.join(sizes, "class_id"))
+    own = fresh(docs, "near_id")
+    out = docs.select(*map(named, without(docs, OUT))).join(known.withColumnRenamed("id", own), named(ids).cast("long") == F.col(own), "left").drop(own)
+    found = {"class_id": F.coalesce("class_id", named(ids).cast("long")), "class_size": F.coalesce("class_size", F.lit(1)).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}
+    return out.select(*map(named, without(docs, OUT)), *[found[c].alias(c) for c in OUT])
