@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -96,6 +97,49 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
 
 
+def test_planted_near_copies_are_all_found(spark):
+    """Edits of one to eight words in texts of 60 to 200: every link that brute force finds at 0.8 is met."""
+    r = random.Random(4)
+    rows, links = [], 0
+    for g in range(40):
+        base = [f"g{g}w{r.randrange(400)}" for _ in range(r.randrange(60, 200))]
+        for k in range(5):
+            w = list(base)
+            for _ in range(r.randrange(0, 4) if k else 0):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w), *[None] * 6))
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(frame(spark, rows)).collect()}
+    want = brute_classes(rows)
+    links = sum(a != b for a, b in want.items())
+    assert links > 80
+    assert got == want
+
+
+def test_one_large_class_among_strangers(spark):
+    """Texts at 0.6 to the group share bands with it; only true links join."""
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(50):
+        w = list(base)
+        w[i] = f"x{i}"
+        rows.append((i, " ".join(w), *[None] * 6))
+    for i in range(50, 60):
+        w = list(base)
+        for k in range(0, 100, 18):
+            w[k] = f"y{i}{k}"
+        rows.append((i, " ".join(w), *[None] * 6))
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_clashing_names_are_replaced_or_kept(spark):
+    rows = documents()
+    df = frame(spark, rows).withColumnsRenamed({"score": "_near_id", "size": "near_id", "lang": "n_links"})
+    got = near_dups.near_duplicates(df)
+    assert got.columns == ["doc_id", "text", "source", "n_chars", "_near_id", "near_id", "class_id", "class_size", "n_links"]
+    assert {r.doc_id: r.class_id for r in got.collect() if r.doc_id is not None} == brute_classes(rows)
+
+
 def test_signature_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**62, 400).astype(np.uint64)

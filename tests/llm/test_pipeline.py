@@ -1,4 +1,8 @@
+import pytest
+
 import corpus_pipeline as c
+from tests.llm.corpus import documents, frame
+from tests.llm.test_dedup import brute_classes
 from tests.oracle import ROOT
 from tracewell.llm import decontaminate, near_dups, toxicity
 
@@ -36,5 +40,31 @@ def test_stages_take_effect(spark, tmp_path):
     assert {"ids", "decoded", "n_tokens"} <= set(docs.columns)
 
 
+@pytest.mark.parametrize("name, stage", c.STAGES)
+def test_stage_on_awkward_rows(spark, tmp_path, name, stage):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names, then an empty table."""
+    spark.createDataFrame([(i, i % 2, int(i % 5 == 1)) for i in range(20)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "an item that no text holds at all"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = documents()
+    rows += [(700, "word " * 200_000, None, None, None, None, None, None), (None, None, None, None, None, None, None, None), rows[0]]
+    extra = frame(spark, rows).withColumnsRenamed({"score": "gone_id", "class_id": "predicted", "size": "ids"})
+    got = stage(spark, extra, str(tmp_path))
+    if name == "encode":
+        assert {"doc_id", "ids", "decoded", "n_tokens"} <= set(got.columns)
+    else:
+        assert got.columns == c.COLUMNS
+    out = got.collect()
+    ids = [r.doc_id for r in out]
+    assert set(ids) <= {r[0] for r in rows} and ids.count(None) == 2
+    if name in ("substring_dedup", "decontamination", "encode"):
+        assert len(out) == len(rows)
+    nulls = {i for i, t, *_ in rows if t is None}
+    assert nulls <= set(ids)
+    if name == "near_dedup":
+        want = brute_classes([r for r in rows if r[0] != 700])
+        assert set(ids) - {None, 700} == {i for i, k in want.items() if i == k}
+    assert stage(spark, extra.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run(spark):
     assert c.run(spark, f"{ROOT}/sf0.001").count() > 0
