@@ -35,11 +35,13 @@ from pyspark.sql import types as T
 
 from .components import components
 from .flat import Flat, batches, mix64, words_of
-from .tables import cut, fresh, lean, named, small, without
+from .tables import cut, fresh, gathered, lean, named, small, without
 
 SHINGLE, LEAST = 5, 0.8
 REGISTERS, ROWS = 512, 8
 BANDS = REGISTERS // ROWS
+#: Texts, or pairs of them, in one part of a table that workers read, at least.
+PART_TEXTS = 4_000
 OUT = ["class_id", "class_size", "n_links"]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = 0xD1B54A32D192ED03
@@ -76,7 +78,7 @@ def bag_minhash(doc: np.ndarray, h: np.ndarray, n: np.ndarray, n_docs: int, m: i
         size = np.exp2(np.ceil(np.log2(np.maximum(1.0, 1.2 * expect + 1)))).astype(np.int64)
         for k in np.unique(size).tolist():
             rows = todo[size == k]
-            for part in np.array_split(rows, max(1, len(rows) * k >> 18)):
+            for part in np.array_split(rows, max(1, len(rows) * k >> 20)):
                 time, step = np.zeros(len(part)), 0
                 while len(part):
                     x = mix64(seed[part][:, None] + _STEP * np.arange(step + 1, step + k + 1, dtype=np.uint64)[None, :])
@@ -253,7 +255,7 @@ def _crosswise(left: DataFrame, close: Column) -> DataFrame:
     strangers costs their product and not the square of the class.
     """
     most = left.groupBy("key", "c").agg(F.count("*").alias("_k")).groupBy("key").agg(F.max_by("c", F.struct("_k", "c")).alias("_large"))
-    split = cut(left.join(most, "key").withColumn("_in", F.col("c") == F.col("_large")).drop("_large"))
+    split = left.join(most, "key").withColumn("_in", F.col("c") == F.col("_large")).drop("_large")
     names = [c for c in split.columns if c not in ("key", "_in")]
     side = lambda df, x: df.select("key", *[F.col(c).alias(f"{x}{c}") for c in names])
     rest = split.where("NOT _in")
@@ -278,25 +280,28 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
     """
     spark = docs.sparkSession
     slim = lean(docs.select(named(ids).cast("long").alias("id"), named(text).alias("text")).where("id IS NOT NULL"))
-    signed = cut(slim.mapInArrow(_sign, "id long, digest binary, bands binary"))
+    n = slim.count()
+    signed = cut(gathered(slim, n, PART_TEXTS).mapInArrow(_sign, "id long, digest binary, bands binary"))
     copies = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.max("bands").alias("bands"))
     deck = copies.select(F.col("rep").alias("id"), "bands").mapInArrow(_deal, "id long, key long, band tinyint")
     held = deck.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(deck.join(held, "key"))
+    shared = cut(deck.join(held, "key"), n * BANDS)
+    n_shared = shared.count()
     # the member with most company over all bands is everywhere the first centre: an original before its copies
-    weight = cut(shared.groupBy("id").agg(F.sum("n").alias("w")))
+    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
     weighed = shared.join(weight, "id")
     centres = _per(weighed, "key", F.min(F.struct((-F.col("w")).alias("w"), "id"))["id"].alias("centre"))
-    members = cut(shared.join(centres, "key").where("centre <> id"))
-    texts = cut(slim.join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_squeeze, "id long, z binary, " + ", ".join(f"{c} long" for c in (*SKETCH, *PRINTS))))
+    members = cut(shared.join(centres, "key").where("centre <> id"), n_shared)
+    texts = cut(gathered(slim.join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]), n, PART_TEXTS).mapInArrow(_squeeze, "id long, z binary, " + ", ".join(f"{c} long" for c in (*SKETCH, *PRINTS))))
 
-    pairs = cut(members.select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct())
+    pairs = cut(members.select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), n_shared)
     links, labels = None, None
     for last in (False, True):
-        if pairs.isEmpty():
+        n_pairs = pairs.count()
+        if not n_pairs:
             break
         full = pairs.join(texts.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v").join(texts.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
-        tried = cut(full.select("u", "v", "zu", "zv").mapInArrow(_verify, "u long, v long, sim double"))
+        tried = cut(gathered(full.select("u", "v", "zu", "zv"), n_pairs, PART_TEXTS).mapInArrow(_verify, "u long, v long, sim double"))
         found = tried.where(F.col("sim") >= least).select("u", "v")
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links))
@@ -307,11 +312,12 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
         # distance of each member to the centre of its bucket
         near = tried.select(F.col("u").alias("centre"), F.col("v").alias("id"), (1 - F.col("sim")).alias("d"))
         left = left.join(mixed, "key", "left_semi").join(near, ["centre", "id"]).join(texts.select("id", *SKETCH, *PRINTS), "id")
-        left = cut(left.select("key", "band", "id", "c", "d", *SKETCH, *PRINTS))
+        left = cut(left.select("key", "band", "id", "c", "d", *SKETCH, *PRINTS), n_shared, 20_000)
         # one minus the weighted Jaccard similarity is a metric, so texts whose distances to a common centre differ by more than the limit are no link
         new = _crosswise(left, (F.abs(F.col("ud") - F.col("vd")) <= 1 - least + 1e-9) & _first_shared() & _alike(least))
         either = tried.select("u", "v").unionByName(tried.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        pairs = cut(new.join(either, ["u", "v"], "left_anti"))
+        # their number is not known before; a part is a bucket's share of the pairs
+        pairs = cut(new.join(either, ["u", "v"], "left_anti"), n_shared)
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
 
@@ -322,9 +328,9 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
         known = known.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     else:
         known = known.withColumn("least", F.lit(None).cast("long")).withColumn("n_links", F.lit(None).cast("long"))
-    known = cut(known.select("id", F.coalesce("least", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    known = cut(known.select("id", F.coalesce("least", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), n)
     sizes = _per(known, "class_id", F.count("*").alias("class_size"))
-    known = cut(known.join(sizes, "class_id"))
+    known = known.join(sizes, "class_id")
     own = fresh(docs, "near_id")
     out = docs.select(*map(named, without(docs, OUT))).join(known.withColumnRenamed("id", own), named(ids).cast("long") == F.col(own), "left").drop(own)
     found = {"class_id": F.coalesce("class_id", named(ids).cast("long")), "class_size": F.coalesce("class_size", F.lit(1)).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}

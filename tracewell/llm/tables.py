@@ -23,9 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that the cluster names."""
+def gathered(df: DataFrame, n: int, most: int) -> DataFrame:
+    """df in no more parts than n units of work at `most` a part ask for: tiny parts are put together, large tables stay as they are."""
+    return df.coalesce(n // most + 1)
+
+
+def cut(df: DataFrame, rows: int | None = None, most: int = 100_000) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the folder that the cluster names.
+
+    `rows` is a bound on df's rows, where one is known: each part is a file, so a small table is written in few.
+    """
     spark = df.sparkSession
+    df = df if rows is None else gathered(df, rows, most)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
@@ -44,7 +53,7 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
-def small(batches, rows: int = 256):
+def small(batches, rows: int = 512):
     """Arrow batches cut to `rows` rows, so that a worker holds few texts as Python objects at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
