@@ -16,20 +16,27 @@ from tracewell.llm.decontaminate import decontaminate
 from tracewell.llm.lexicon_bpe import bpe_codec
 from tracewell.llm.near_dups import near_duplicates
 from tracewell.llm.substring_dedup import dedup_substrings
-from tracewell.llm.tables import shared_folder, table
+from tracewell.llm.tables import gathered, shared_folder, table, text_bytes
 from tracewell.llm.toxicity import score_toxicity
 
+#: Bytes of text in one file between stages, at least, where the input comes in smaller parts.
+PART_BYTES = 4 << 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = "word_bpe_49k.json"
 
 
+def _parts(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The stage's rows in parts of PART_BYTES of its input's text at least, so that no stage leaves a crowd of tiny files to the next."""
+    return gathered(out, text_bytes(docs), PART_BYTES)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. The model learns from the labels of the documents at hand.
 
     Null and empty texts are scored without savings and stay; without labels all documents stay unless most labels are toxic.
     """
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*COLUMNS)
+    return _parts(scored.where("predicted = 0").select(*COLUMNS), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     slim = docs.select(*COLUMNS)
     classes = near_duplicates(slim.select("doc_id", "text"), ids="doc_id").select(F.col("doc_id").alias("gone_id"), "class_id")
     gone = classes.where("gone_id <> class_id").select("gone_id").distinct()
-    return slim.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return _parts(slim.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti"), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +56,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     No document goes, not even one that loses all of its words. A null text stays null, and its n_chars too; a row without an id loses nothing.
     """
     out = dedup_substrings(docs.select(*COLUMNS))
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    out = out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    return _parts(out, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; null and empty texts hold none, and rows without an id stay."""
-    return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return _parts(decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
