@@ -33,7 +33,7 @@ def blocking_chain(edges: DataFrame, blocks: DataFrame, is_async: DataFrame) ->
     c = is_async.select(F.col("node").alias("callee"), F.col("is_async").alias("_cc"))
     hit = edges.join(a, "caller").join(c, "callee").where("_ca AND NOT _cc").join(blocks.select(F.col("node").alias("callee"), "rank"), "callee")
     rank = F.least(F.col("rank") + F.col("by_name"), F.lit(2))
-    w = Window.partitionBy("caller", "line").orderBy("by_name", "edge_ord")
+    w = Window.partitionBy("caller", "line").orderBy("by_name", "edge_ord", "callee")
     return hit.withColumn("_i", F.row_number().over(w)).where("_i = 1").select("caller", "line", "callee", F.when(rank == 0, "high").when(rank == 1, "medium").otherwise("low").alias("severity"))
 
 

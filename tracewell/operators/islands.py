@@ -39,12 +39,21 @@ def presence_runs(df: DataFrame, key: str, fn: str, t: str, order: list[str], br
     return marked.groupBy(key, fn, "run").agg(F.count("*").alias("samples"), F.min(t).alias("start"), F.max(t).alias("end"))
 
 
-def sweep(intervals: DataFrame, key: str) -> DataFrame:
-    """win.peak_concurrency: the largest number of open intervals per key; an end counts before a start at one time."""
+def sweep(intervals: DataFrame, key: str, parts: int = 1024) -> DataFrame:
+    """win.peak_concurrency: the largest number of open intervals per key; an end counts before a start at one time.
+
+    A key's time is cut into `parts` equal bins. What is open when a bin begins is a running sum over the bins' totals; inside a
+    bin the events run on their own, so a key with most of the intervals is spread over many tasks.
+    """
     up = intervals.select(key, F.col("start").alias("at"), F.lit(1).alias("step"))
     events = up.unionByName(intervals.select(key, F.col("end").alias("at"), F.lit(-1).alias("step")))
-    w = Window.partitionBy(key).orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("_n", F.sum("step").over(w)).groupBy(key).agg(F.max("_n").alias("peak"))
+    ends = intervals.groupBy(key).agg(F.min("start").alias("_lo"), F.max("end").alias("_hi"))
+    binned = events.join(ends, key).withColumn("_bin", F.floor((F.col("at") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * parts).cast("int")).select(key, "_bin", "at", "step")
+    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    total = binned.groupBy(key, "_bin").agg(F.sum("step").alias("_t")).withColumn("_open", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    w = Window.partitionBy(key, "_bin").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
+    inside = binned.withColumn("_n", F.sum("step").over(w)).groupBy(key, "_bin").agg(F.max("_n").alias("_n"))
+    return inside.join(total, [key, "_bin"]).groupBy(key).agg(F.max(F.col("_open") + F.col("_n")).alias("peak"))
 
 
 def paired(events: DataFrame, keys: list[str], order: list, opens: Column, name: str, at: str) -> DataFrame:
@@ -61,11 +70,19 @@ def paired(events: DataFrame, keys: list[str], order: list, opens: Column, name:
 
 
 def self_of_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Inclusive time less that of the pairs one level deeper inside."""
-    p = pairs.withColumn("_up", F.col("depth") - 1)
-    child = p.select(*keys, F.col("_up").alias("depth"), F.col("start").alias("_cs"), (F.col("end") - F.col("start")).alias("_cd"))
-    hit = pairs.join(child, [*keys, "depth"], "left").where("_cs IS NULL OR (_cs >= start AND _cs < end)")
-    return hit.groupBy(*keys, *[c for c in pairs.columns if c not in keys]).agg(F.coalesce(F.sum("_cd"), F.lit(0)).alias("child"))
+    """pairs plus `child`: the time of the pairs one level deeper inside.
+
+    Parents and children of a level stand in one order of time, and a child belongs to the last parent that began
+    before it, so the cost is one sort and not the pairs of a level.
+    """
+    span = F.struct("start", "end")
+    parents = pairs.select(*keys, "depth", F.col("start").alias("_at"), F.lit(0).alias("_kind"), span.alias("_p"), F.lit(None).cast(pairs.schema["end"].dataType).alias("_d"))
+    inner = pairs.select(*keys, (F.col("depth") - 1).cast(pairs.schema["depth"].dataType).alias("depth"), F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(parents.schema["_p"].dataType).alias("_p"), (F.col("end") - F.col("start")).alias("_d"))
+    w = Window.partitionBy(*keys, "depth").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    owned = parents.unionByName(inner).withColumn("_o", F.last("_p", ignorenulls=True).over(w)).where("_kind = 1 AND _at < _o.end")
+    told = owned.groupBy(*keys, "depth", F.col("_o.start").alias("start"), F.col("_o.end").alias("end")).agg(F.sum("_d").alias("_c"))
+    out = pairs.join(told, [*keys, "depth", "start", "end"], "left")
+    return out.select(*pairs.columns, F.coalesce("_c", F.lit(0)).alias("child"))
 
 
 def next_after(events: DataFrame, keys: list[str], order: list, wanted: Column, at: str, out: str) -> DataFrame:

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 # The queue's weights, by severity, confidence and evidence.
 SEVERITY_WEIGHT = {"high": 5.0, "medium": 3.0, "low": 1.0, "info": 0.5}
-CONFIDENCE_WEIGHT = {"scip": 1.0, "exact": 1.0, "unique": 0.8, "heuristic": 0.7, "name": 0.5}
+CONFIDENCE_WEIGHT = {"exact": 1.0, "scip": 1.0, "unique": 0.9, "heuristic": 0.8, "name": 0.5}
+EVIDENCE_WEIGHT = {"confirmed": 1.5, "measured": 1.2, "not-verifiable": 1.0, "not-exercised": 1.0, "not-observed": 0.3}
+RULE_WEIGHT = {
+    "lock-across-await": 1.6, "lock-order-inversion": 1.6, "sql-injection": 1.5, "deadline-cannot-preempt": 1.4, "hang-reaches-entry": 1.4, "unbounded-retry": 1.3,
+    "retry-amplification": 1.3, "timeout-budget-exceeded": 1.2, "io-in-loop": 0.8, "nested-loops": 0.8,
+}
 SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2, "info": 3}
 STATUS_ORDER = ["proven", "observed", "unverified", "inconclusive", "not-observed", "rejected"]
 PER_ITEM, TOTAL, PER_ROUND = 8, 15, 6
@@ -34,6 +39,11 @@ def score(severity: Column, confidence: Column, evidence: Column, rule: Column,
     return round_half(lookup(severity, SEVERITY_WEIGHT, 1.0) * lookup(confidence, CONFIDENCE_WEIGHT, 0.5) * evidence * rule + F.least(hotspot / 10, F.lit(1.0)))
 
 
+def weighed(severity: Column, confidence: Column, evidence: Column, rule: Column, hotspot: Column) -> Column:
+    """fn.score from the names: the evidence's and the rule's weights come from their tables, 1 where a name is in none."""
+    return score(severity, confidence, lookup(evidence, EVIDENCE_WEIGHT, 1.0), lookup(rule, RULE_WEIGHT, 1.0), hotspot)
+
+
 def penalised(s: Column, pattern: Column) -> Column:
     """Half the score for a rejected pattern, rounded a second time."""
     return F.when(pattern, round_half(s * 0.5)).otherwise(s)

@@ -100,12 +100,12 @@ def find(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call edges between suppliers of consecutive lines of one order; the confidence follows the part."""
+    """Call edges between suppliers of consecutive lines of one order; the confidence follows the part. A caller's edges have ordinals of their own."""
     i = table(spark, sf_dir, "lineitem")
     a = i.where("l_quantity = 50").select("l_orderkey", F.col("l_suppkey").alias("caller"), (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("pa"))
     b = i.where("l_quantity >= 40").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("callee"))
     e = a.join(b, ["l_orderkey", "l_linenumber"]).where("caller <> callee")
-    return e.groupBy("caller", "callee").agg(F.min("l_orderkey").alias("edge_ord"), F.max(F.when(F.col("pa") % 3 == 0, 1).otherwise(0)).alias("by_name"), F.min(F.col("pa") % 4).cast("int").alias("attempts"))
+    return e.groupBy("caller", "callee").agg((F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000 + F.col("callee")).alias("edge_ord"), F.max(F.when(F.col("pa") % 3 == 0, 1).otherwise(0)).alias("by_name"), F.min(F.col("pa") % 4).cast("int").alias("attempts"))
 
 
 def bnd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,7 @@ SQL = {
       CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'exact' WHEN 'NO' THEN 'unique' WHEN 'RF' THEN 'scip' ELSE 'name' END AS confidence, l_suppkey AS function, CAST(l_partkey % 97 AS INTEGER) AS file,
       l_linenumber AS line, l_orderkey * 10 + l_linenumber AS ord, o_orderstatus AS status, l_quantity AS quantity, l_orderkey AS order_id
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)""",
-    "edge": """edge AS (SELECT a.l_suppkey AS caller, b.l_suppkey AS callee, min(a.l_orderkey) AS edge_ord, max(CASE WHEN a.l_partkey % 3 = 0 THEN 1 ELSE 0 END) AS by_name, CAST(min(a.l_partkey % 4) AS INTEGER) AS attempts
+    "edge": """edge AS (SELECT a.l_suppkey AS caller, b.l_suppkey AS callee, min(b.l_orderkey * 8 + b.l_linenumber) * 10000000 + b.l_suppkey AS edge_ord, max(CASE WHEN a.l_partkey % 3 = 0 THEN 1 ELSE 0 END) AS by_name, CAST(min(a.l_partkey % 4) AS INTEGER) AS attempts
       FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity = 50 AND b.l_quantity >= 40 AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)""",
     "bnd": """bnd AS (SELECT s_suppkey AS function, CASE s_nationkey % 4 WHEN 0 THEN 'net' WHEN 1 THEN 'db' WHEN 2 THEN 'fs' ELSE 'sleep' END AS category,
       CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE CAST(s_nationkey % 7 + 1 AS DOUBLE) END AS timeout_s, s_nationkey AS line FROM supplier WHERE s_acctbal < 2000)""",

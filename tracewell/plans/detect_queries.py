@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detect, graph
+from ..operators import detect, graph, ledger
 from ..sources import sinks
 from .adapters import bnd, edge, find, r, some, table, views
 from .catalogue import query, whole
@@ -27,7 +27,7 @@ def blocking_direct(spark, sf):
     views("edge", "bnd", recursive=True)
     + """, e AS (SELECT *, caller % 9 AS line FROM edge), b AS (SELECT function AS node, min(CASE WHEN category IN ('net', 'db', 'sleep') THEN 0 ELSE 1 END) AS rank FROM bnd WHERE function % 2 = 1 GROUP BY 1),
 s AS (SELECT node, rank FROM b UNION SELECT caller, rank FROM edge JOIN s ON callee = node WHERE by_name = 0 AND caller % 2 = 1), m AS (SELECT node, min(rank) AS rank FROM s GROUP BY node)
-SELECT caller, line, callee, CASE least(rank + by_name, 2) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT e.*, rank, row_number() OVER (PARTITION BY caller, line ORDER BY by_name, edge_ord) AS i FROM e JOIN m ON m.node = callee WHERE caller % 2 = 0 AND callee % 2 = 1) WHERE i = 1"""
+SELECT caller, line, callee, CASE least(rank + by_name, 2) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT e.*, rank, row_number() OVER (PARTITION BY caller, line ORDER BY by_name, edge_ord, callee) AS i FROM e JOIN m ON m.node = callee WHERE caller % 2 = 0 AND callee % 2 = 1) WHERE i = 1"""
 )
 def blocking_chain(spark, sf):
     """rule blocking-in-async (chain), sort.edges_by_conf, sort.boundaries_by_sev, sort.stable_ties: even suppliers are async"""
@@ -154,8 +154,7 @@ def stall_on_stack(spark, sf, whole=False):
 def wrong_pattern(spark, sf):
     """join.wrong_pattern"""
     f = find(spark, sf)
-    p = f.where("status = 'P' AND quantity = 50").select("rule").distinct().withColumn("_p", F.lit(True))
-    return f.join(p, "rule", "left").groupBy("severity", F.coalesce("_p", F.lit(False)).alias("wrong_pattern")).agg(F.count("*").alias("n"))
+    return ledger.wrong_pattern(f, f.where("status = 'P' AND quantity = 50")).groupBy("severity", "wrong_pattern").agg(F.count("*").alias("n"))
 
 
 @query("SELECT string_agg(m, ';' ORDER BY c) AS include FROM (SELECT p_brand AS c, p_brand || '[' || string_agg(DISTINCT split_part(p_type, ' ', 1), ',' ORDER BY split_part(p_type, ' ', 1)) || ']' AS m FROM part GROUP BY 1)")

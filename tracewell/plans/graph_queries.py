@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, ledger
 from .adapters import act, bnd, edge, io, r, some, views
 from .catalogue import query, whole
 
@@ -171,11 +171,8 @@ def io_under(spark, sf):
 @query(views("edge", "bnd") + ", c AS (SELECT caller AS function, callee, edge_ord, row_number() OVER (PARTITION BY callee ORDER BY by_name, attempts DESC, edge_ord, caller) AS i FROM edge JOIN bnd ON bnd.function = callee WHERE category = 'net') SELECT function, callee AS origin, i AS ord FROM c WHERE i <= 3")
 def derive_callers(spark, sf):
     """graph.derive, topk.derived3, rule propagated"""
-    from pyspark.sql import Window
-
-    e = edge(spark, sf).join(bnd(spark, sf).where("category = 'net'").select(F.col("function").alias("callee")), "callee")
-    w = Window.partitionBy("callee").orderBy("by_name", F.desc("attempts"), "edge_ord", "caller")
-    return e.withColumn("ord", F.row_number().over(w)).where("ord <= 3").select(F.col("caller").alias("function"), F.col("callee").alias("origin"), "ord")
+    net = bnd(spark, sf).where("category = 'net'").select(F.col("function").alias("callee"))
+    return ledger.derived(edge(spark, sf), net, ["by_name", F.desc("attempts"), "edge_ord", "caller"])
 
 
 @query(views("edge", "bnd", recursive=True) + ", r AS (SELECT function AS node FROM bnd UNION SELECT caller FROM edge JOIN r ON callee = node WHERE by_name = 0) SELECT caller, callee, callee IN (SELECT node FROM r) AS cannot_preempt FROM edge WHERE attempts >= 2")

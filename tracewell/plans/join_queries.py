@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, resolve
+from ..operators import intervals, ledger, resolve
 from .adapters import act, bnd, edge, find, fnrange, ival, line, link, some, table, tick, views
 from .catalogue import query, whole
 from .window_queries import gap_windows
@@ -157,9 +157,8 @@ def lint_corroborate(spark, sf):
 @query(views("find") + ", e AS (SELECT o_orderkey AS order_id, arg_max(o_orderstatus, o_orderkey) AS evidence FROM orders WHERE o_totalprice > 100000 GROUP BY 1) SELECT severity, coalesce(evidence, 'none') AS evidence, count(*) AS n FROM find LEFT JOIN e USING (order_id) GROUP BY ALL")
 def evidence_join(spark, sf):
     """join.evidence: the last evidence of an id wins"""
-    o = table(spark, sf, "orders").where("o_totalprice > 100000")
-    e = o.groupBy(F.col("o_orderkey").alias("order_id")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("evidence"))
-    return find(spark, sf).join(e, "order_id", "left").groupBy("severity", F.coalesce("evidence", F.lit("none")).alias("evidence")).agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("evidence"))
+    return ledger.with_evidence(find(spark, sf), o, "order_id", "seq", "evidence").groupBy("severity", "evidence").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -171,18 +170,15 @@ def repro_fallback(spark, sf, whole=False):
     """join.repro: all tests with the id must pass; without one the file can only say failed or missing"""
     i = some(table(spark, sf, "lineitem"), "l_orderkey % 3 = 0", whole).where("l_linenumber = 1")
     t = i.select(F.col("l_orderkey").alias("finding"), F.col("l_suppkey").alias("file"), F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "passed").otherwise("skipped").alias("outcome"))
-    a = t.groupBy("finding").agg(F.count_if(F.col("outcome") != "skipped").alias("n"), F.count_if(F.col("outcome") == "passed").alias("p"))
-    b = t.groupBy("file").agg(F.count_if(F.col("outcome") == "failed").alias("f"))
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("finding"), F.col("o_custkey").alias("file"))
-    status = F.when((F.col("n") > 0) & (F.col("p") == F.col("n")), "passed").when(F.col("n") > 0, "failed").when(F.col("n") == 0, "missing").when(F.coalesce("f", F.lit(0)) > 0, "failed").otherwise("missing")
-    return o.join(a, "finding", "left").join(b, "file", "left").select("finding", status.alias("status"))
+    return ledger.repro_status(o, t).select("finding", "status")
 
 
 @query(views("edge") + " SELECT callee % 20 AS name, count(*) AS n, array_to_string(list_transform(list_sort(list(caller * 100000 + attempts))[1:5], lambda x: CAST(x AS VARCHAR)), ',') AS callers FROM edge GROUP BY 1")
 def callers_of(spark, sf):
     """join.callers: names collide on purpose, their callers merge"""
-    e = edge(spark, sf)
-    return e.groupBy((F.col("callee") % 20).alias("name")).agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list(F.col("caller") * 100000 + F.col("attempts"))), 1, 5).cast("array<string>"), ",").alias("callers"))
+    e = edge(spark, sf).select((F.col("callee") % 20).alias("name"), (F.col("caller") * 100000 + F.col("attempts")).alias("c"))
+    return ledger.callers(e, "name", ["c"], F.col("c")).select("name", "n", F.array_join(F.col("callers").cast("array<string>"), ",").alias("callers"))
 
 
 @query(views("edge", "bnd") + ", b AS (SELECT caller % 50 AS line, min(edge_ord) AS first_edge FROM edge GROUP BY 1) SELECT function, category, first_edge FROM bnd LEFT JOIN b ON bnd.function % 50 = b.line")
@@ -209,9 +205,8 @@ def suppressed_pairs(spark, sf):
 @query("SELECT a.c_nationkey AS dir, a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND lower(substr(a.c_mktsegment, 1, 3)) || CAST(a.c_custkey % 40 AS VARCHAR) = lower(substr(b.c_mktsegment, 1, 3)) || CAST(b.c_custkey % 40 AS VARCHAR) AND a.c_custkey < b.c_custkey")
 def path_warn(spark, sf):
     """pred.path_warn: siblings whose names differ by case only"""
-    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("dir"), "c_custkey", F.concat(F.lower(F.substring("c_mktsegment", 1, 3)), (F.col("c_custkey") % 40).cast("string")).alias("name"))
-    x, y = c.withColumnRenamed("c_custkey", "a"), c.withColumnRenamed("c_custkey", "b")
-    return x.join(y, ["dir", "name"]).where("a < b").select("dir", "a", "b")
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("dir"), "c_custkey", F.concat(F.substring("c_mktsegment", 1, 3), (F.col("c_custkey") % 40).cast("string")).alias("name"))
+    return ledger.case_clashes(c, "dir", "name", "c_custkey")
 
 
 @query("WITH e AS (SELECT item_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM benchmark), d AS (SELECT doc_id, lang, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents) SELECT lang, count(DISTINCT e.item_id) AS items_found, count(*) AS matches FROM d JOIN e ON contains(d.t, e.t) GROUP BY lang")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rank
+from ..operators import ledger, rank
 from .adapters import find, r, some, table, views
 from .catalogue import query, whole
 
-_SCORE = "round(CASE severity WHEN 'high' THEN 5.0 WHEN 'medium' THEN 3.0 WHEN 'low' THEN 1.0 ELSE 0.5 END::DOUBLE * CASE confidence WHEN 'exact' THEN 1.0 WHEN 'scip' THEN 1.0 WHEN 'unique' THEN 0.8 ELSE 0.5 END::DOUBLE * CASE status WHEN 'F' THEN 1.5 WHEN 'O' THEN 1.0 ELSE 0.7 END::DOUBLE * CASE WHEN rule < 'Brand#3' THEN 1.2 ELSE 1.0 END::DOUBLE + least(quantity / 10, 1.0::DOUBLE), 3) + 0.0"
+_SCORE = "round(CASE severity WHEN 'high' THEN 5.0 WHEN 'medium' THEN 3.0 WHEN 'low' THEN 1.0 ELSE 0.5 END::DOUBLE * CASE confidence WHEN 'exact' THEN 1.0 WHEN 'scip' THEN 1.0 WHEN 'unique' THEN 0.9 ELSE 0.5 END::DOUBLE * CASE status WHEN 'F' THEN 1.5 WHEN 'O' THEN 1.0 ELSE 0.7 END::DOUBLE * CASE WHEN rule < 'Brand#3' THEN 1.2 ELSE 1.0 END::DOUBLE + least(quantity / 10, 1.0::DOUBLE), 3) + 0.0"
 _FIND = views("find") + f", f AS (SELECT *, {_SCORE} AS score FROM find WHERE ord % 7 = 0)"
 
 
@@ -25,6 +25,24 @@ def score_queue(spark, sf, whole=False):
     return _scored(spark, sf, whole).groupBy("severity", "confidence", "status").agg(r(F.min("score"), 3).alias("lo"), r(F.max("score"), 3).alias("hi"), F.count("*").alias("n"))
 
 
+_RULES = ("lock-across-await", "sql-injection", "unbounded-retry", "io-in-loop", "recursion")
+_EVIDENCE = ("confirmed", "measured", "not-verifiable", "not-exercised", "not-observed", "none")
+
+
+@query(
+    views("find")
+    + """, w AS (SELECT severity, confidence, file % 6 AS e, line % 5 AS k, quantity FROM find)
+SELECT severity, confidence, CAST(e AS INTEGER) AS e, CAST(k AS INTEGER) AS k, count(*) AS n, round(max(CASE severity WHEN 'high' THEN 5 WHEN 'medium' THEN 3 WHEN 'low' THEN 1 ELSE 0.5 END::DOUBLE * CASE confidence WHEN 'exact' THEN 1 WHEN 'scip' THEN 1 WHEN 'unique' THEN 0.9 ELSE 0.5 END::DOUBLE
+ * CASE e WHEN 0 THEN 1.5 WHEN 1 THEN 1.2 WHEN 4 THEN 0.3 ELSE 1 END::DOUBLE * CASE k WHEN 0 THEN 1.6 WHEN 1 THEN 1.5 WHEN 2 THEN 1.3 WHEN 3 THEN 0.8 ELSE 1 END::DOUBLE + least(quantity / 10, 1)), 3) + 0.0 AS hi FROM w GROUP BY ALL"""
+)
+def weighed_scores(spark, sf):
+    """fn.score from the tables of severities, confidences, evidence and rules"""
+    f = find(spark, sf).withColumns({"e": F.col("file") % 6, "k": (F.col("line") % 5).cast("int")})
+    name = lambda names, i: F.element_at(F.array(*map(F.lit, names)), F.col(i) + 1)
+    s = rank.weighed(F.col("severity"), F.col("confidence"), name(_EVIDENCE, "e"), name(_RULES, "k"), F.col("quantity"))
+    return f.groupBy("severity", "confidence", "e", "k").agg(F.count("*").alias("n"), r(F.max(s), 3).alias("hi"))
+
+
 _REASON = "CASE WHEN status = 'P' THEN 'recorded' WHEN confidence = 'name' AND severity = 'info' THEN 'low confidence' WHEN file % 10 = 0 THEN 'suppressed' WHEN severity = 'info' THEN 'info' END"
 
 
@@ -107,38 +125,38 @@ def mcp_preview(spark, sf):
 def finding_ids(spark, sf, whole=False):
     """proj.finding_id, proj.id_split, proj.rule_base: the id is made and taken apart again"""
     f = some(find(spark, sf), "ord % 5 = 0", whole).where("severity = 'high'")
-    ids = f.select(F.concat("rule", F.lit("@"), F.col("function").cast("string"), F.lit(":"), F.col("line").cast("string")).alias("id")).distinct()
-    part = lambda k: F.regexp_extract("id", r"^(.*)@(\d+):(\d+)$", k)
-    return ids.select("id", part(2).cast("long").alias("function"), part(3).cast("int").alias("line"))
+    ids = f.select(ledger.finding_id(F.col("rule"), F.col("function"), F.col("line")).alias("id")).distinct()
+    parts = ledger.id_parts(F.col("id"))
+    return ids.select("id", parts["function"].alias("function"), parts["line"].alias("line"))
 
 
 @query("SELECT user_id AS function FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 40) GROUP BY user_id")
 def unflagged(spark, sf):
     """set.unflagged, rule unflagged-hotspot"""
-    e = table(spark, sf, "events")
-    entries = e.where("event_type = 'signup'").select(F.col("user_id").alias("function")).distinct()
-    return entries.join(e.where("event_type = 'error' AND value > 40").select(F.col("user_id").alias("function")).distinct(), "function", "left_anti")
+    e = table(spark, sf, "events").withColumnRenamed("user_id", "function")
+    return ledger.without(e.where("event_type = 'signup'").select("function").distinct(), e.where("event_type = 'error' AND value > 40"), "function")
 
 
 @query("SELECT l_suppkey AS leaf, count(*) AS n, round(max(l_quantity), 2) + 0.0 AS worst_s FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000) GROUP BY 1")
 def unpredicted(spark, sf):
     """set.unpredicted, sort.stalls"""
-    s = table(spark, sf, "supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("l_suppkey"))
-    return table(spark, sf, "lineitem").where("l_returnflag = 'R'").join(s, "l_suppkey", "left_anti").groupBy(F.col("l_suppkey").alias("leaf")).agg(F.count("*").alias("n"), r(F.max("l_quantity"), 2).alias("worst_s"))
+    s = table(spark, sf, "supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("leaf"))
+    stalls = table(spark, sf, "lineitem").where("l_returnflag = 'R'").withColumnRenamed("l_suppkey", "leaf")
+    return ledger.without(stalls, s, "leaf").groupBy("leaf").agg(F.count("*").alias("n"), r(F.max("l_quantity"), 2).alias("worst_s"))
 
 
 @query("SELECT id FROM (SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'P' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0) EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def pending(spark, sf):
     """set.union_distinct, set.except: issued less recorded"""
     o = table(spark, sf, "orders")
-    issued = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")).union(table(spark, sf, "customer").where("c_acctbal < 0").select("c_custkey")).distinct()
-    return issued.exceptAll(o.where("o_orderstatus = 'F'").select("o_custkey").distinct())
+    issued = [o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")), table(spark, sf, "customer").where("c_acctbal < 0").select("c_custkey")]
+    return ledger.pending(issued, o.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT p_partkey FROM part WHERE p_size > 40")
 def planted_proven(spark, sf):
     """set.intersect"""
-    return table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id")).intersect(table(spark, sf, "part").where("p_size > 40").select("p_partkey"))
+    return ledger.proven(table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id")), table(spark, sf, "part").where("p_size > 40").select("p_partkey"))
 
 
 @query(views("act", "io") + " SELECT source, fn, count(*) AS n FROM (SELECT 'calls' AS source, fn, dur FROM act UNION ALL SELECT 'io', system, dur FROM io UNION ALL SELECT 'stalls', fn, dur FROM act WHERE dur > 100) GROUP BY ALL")
@@ -147,7 +165,7 @@ def collect_channels(spark, sf):
     from .adapters import act, io
 
     a = act(spark, sf)
-    out = a.select(F.lit("calls").alias("source"), "fn").unionByName(io(spark, sf).select(F.lit("io").alias("source"), F.col("system").alias("fn"))).unionByName(a.where("dur > 100").select(F.lit("stalls").alias("source"), "fn"))
+    out = ledger.collect({"calls": a.select("fn"), "io": io(spark, sf).select(F.col("system").alias("fn")), "stalls": a.where("dur > 100").select("fn")})
     return out.groupBy("source", "fn").agg(F.count("*").alias("n"))
 
 
@@ -171,17 +189,16 @@ def eval_recall(spark, sf):
 @query("SELECT l_linenumber AS rule, count(*) AS cases, count(*) FILTER (l_returnflag = 'R') AS confirmed, count(*) FILTER (l_returnflag = 'A') AS rejected, round(sum(l_extendedprice) / greatest(count(*) FILTER (l_returnflag = 'R'), 1), 2) + 0.0 AS cost_per_proof FROM lineitem GROUP BY 1")
 def score_investigation(spark, sf):
     """agg.score_invest"""
-    i = table(spark, sf, "lineitem")
-    proven = F.count_if(F.col("l_returnflag") == "R")
-    return i.groupBy(F.col("l_linenumber").alias("rule")).agg(F.count("*").alias("cases"), proven.alias("confirmed"), F.count_if(F.col("l_returnflag") == "A").alias("rejected"), r(F.sum("l_extendedprice") / F.greatest(proven, F.lit(1)), 2).alias("cost_per_proof"))
+    verdict = F.when(F.col("l_returnflag") == "R", "confirmed").when(F.col("l_returnflag") == "A", "rejected").otherwise("inconclusive")
+    i = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("rule"), verdict.alias("verdict"), "l_extendedprice")
+    return ledger.investigation(i, "rule", "verdict", "l_extendedprice")
 
 
 @query("SELECT o_orderpriority AS file, count(*) FILTER (o_orderstatus = 'F') AS passed, count(*) FILTER (o_orderstatus = 'O') AS failed, count(*) FILTER (o_orderstatus = 'P') AS skipped, CASE WHEN count(*) FILTER (o_orderstatus = 'O') > 0 THEN 1 ELSE 0 END AS exit_code FROM orders GROUP BY 1")
 def repro_counts(spark, sf):
     """agg.repro_counts"""
-    o = table(spark, sf, "orders")
-    n = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    return o.groupBy(F.col("o_orderpriority").alias("file")).agg(n("F").alias("passed"), n("O").alias("failed"), n("P").alias("skipped"), F.when(n("O") > 0, 1).otherwise(0).alias("exit_code"))
+    outcome = rank.lookup(F.col("o_orderstatus"), {"F": "passed", "O": "failed", "P": "skipped"})
+    return ledger.repro_counts(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("file"), outcome.alias("outcome")))
 
 
 @query("SELECT c_custkey AS finding, c_acctbal < 0 AND c_custkey % 2 = 0 AS contradicts FROM customer WHERE c_custkey % 3 = 0")

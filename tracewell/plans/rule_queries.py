@@ -26,19 +26,68 @@ def pattern_first_hits(spark, sf):
 @query(_LINES + " SELECT rule, severity, count(DISTINCT doc_id) AS docs, count(*) AS lines FROM (" + " UNION ALL ".join(map(_hit_sql, rules.DOCUMENT_RULES)) + ") GROUP BY ALL")
 def pattern_counts(spark, sf):
     """agg.map_stats over the rules"""
-    lines = rules.code_lines(table(spark, sf, "documents"))
-    hits = [lines.where(x.hit(F.col("line"))).select("doc_id", F.lit(x.name).alias("rule"), F.lit(x.severity).alias("severity")) for x in rules.DOCUMENT_RULES]
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
-    return out.groupBy("rule", "severity").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("lines"))
+    hits = rules.hits(rules.code_lines(table(spark, sf, "documents")), rules.DOCUMENT_RULES, ["doc_id"])
+    return hits.groupBy("rule", "severity").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("lines"))
+
+
+# Lines of source, some that show a rule and some that nearly do; each part is a line of a file.
+SNIPPETS = (
+    ("python", "jobs = asyncio.Queue()"), ("python", "jobs = asyncio.Queue(maxsize=40)"), ("rust", "let (tx, rx) = mpsc::channel();"), ("java", "var q = new LinkedBlockingQueue<Job>();"),
+    ("go", "work := make(chan int, 50000)"), ("go", "work := make(chan int, 50)"), ("typescript", "unitPrice: double"), ("python", "balance: float"), ("python", "balance: Decimal"),
+    ("python", "spent = time.time() - t0"), ("python", "spent = time.monotonic() - t0"), ("javascript", "const ms = Date.now() - began;"), ("java", "long d = System.currentTimeMillis() - begin;"), ("rust", "let d = SystemTime::now().elapsed();"),
+    ("rust", "let n: u32 = line.parse().unwrap();"), ("rust", "let n: u32 = line.parse()?;"), ("go", "n, _ := strconv.Atoi(arg)"), ("python", "P = re.compile('(a+)+b')"), ("python", "P = re.compile('a+b')"),
+    ("python", "rows = db.run('select id from orders')"), ("python", "rows = db.run('select id from orders where id = 3')"), ("rust", "let all = q.fetch_all(&pool);"), ("java", "return repo.findAll();"), ("javascript", "await users.find({})"),
+    ("python", "asyncio.create_task(poll())"), ("python", "task = asyncio.create_task(poll())"), ("rust", "tokio::spawn(run());"), ("java", "new Thread(job).start();"),
+    ("python", "cur.execute(f\"delete from t where k = {key}\")"), ("python", "cur.execute(\"delete from t where k = ?\", key)"), ("javascript", "db.query(`select * from t where k = ${key}`)"), ("java", "st.executeQuery(\"select 1 where k = \" + key)"), ("go", "db.Query(fmt.Sprintf(q, key))"),
+    ("python", "http.get(f\"/find?name={name}\")"), ("javascript", "fetch(`/find?name=${name}`)"), ("python", "conn.execute('update t set a = 1')"), ("python", "await asyncio.gather(*jobs)"), ("go", "  go handle(c)"),
+    ("python", "threading.Thread(target=run)"), ("go", "    defer f.Close()"), ("rust", "sock.read(&mut buf).unwrap();"), ("go", "res, _ := http.Get(url)"), ("python", "with requests.Session() as s:"), ("rust", "let c = reqwest::Client::new();"), ("python", "# asyncio.Queue()"),
+)
+_LIT = lambda x: "'" + x.replace("'", "''") + "'"
+_CODE = "code AS (SELECT p_partkey % 100 AS file, p_partkey AS line_no, [" + ", ".join(_LIT(g) for g, _ in SNIPPETS) + f"][1 + p_partkey % {len(SNIPPETS)}] AS lang, [" + ", ".join(_LIT(x) for _, x in SNIPPETS) + f"][1 + p_partkey % {len(SNIPPETS)}] AS line FROM part)"
+
+
+def _code(spark, sf):
+    """Source lines: a part is a line of one of a hundred files."""
+    p = table(spark, sf, "part")
+    pick = (F.col("p_partkey") % len(SNIPPETS) + 1).cast("int")
+    return p.select((F.col("p_partkey") % 100).alias("file"), F.col("p_partkey").alias("line_no"), F.element_at(F.array(*[F.lit(g) for g, _ in SNIPPETS]), pick).alias("lang"), F.element_at(F.array(*[F.lit(x) for _, x in SNIPPETS]), pick).alias("line"))
+
+
+def _rule_sql(x) -> str:
+    langs = f" AND lang IN ({', '.join(map(_LIT, x.langs))})" if x.langs else ""
+    unless = f" AND NOT regexp_matches(line, {_LIT(x.unless)})" if x.unless else ""
+    return f"SELECT file, {_LIT(x.name)} AS rule, {_LIT(x.severity)} AS severity, lang, line_no FROM code WHERE regexp_matches(line, {_LIT(x.pattern)}){unless}{langs} AND NOT regexp_matches(line, '^\\s*(//|#|\\*|/\\*|--)')"
+
+
+@query("WITH " + _CODE + " SELECT rule, severity, lang, count(*) AS n FROM (" + " UNION ".join(map(_rule_sql, rules.SOURCE_RULES)) + ") GROUP BY ALL")
+def source_rules(spark, sf):
+    """The pattern rules of every language over source lines: unbounded-channel to client-per-call"""
+    lines = _code(spark, sf).where(~F.col("line").rlike(rules.COMMENT))
+    return rules.hits(lines, rules.SOURCE_RULES, ["file", "lang"], "lang").groupBy("rule", "severity", "lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey % 50 AS file, p_partkey AS line_no, 'K' || (p_partkey % 7) AS name FROM part WHERE p_partkey % 3 = 0 AND EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 3 = 1 AND q.p_partkey % 2 = 0 AND q.p_partkey % 50 = part.p_partkey % 50 AND q.p_partkey % 7 = part.p_partkey % 7)")
+def regex_constants(spark, sf):
+    """rule redos-regex (module constant): a third of the lines set a pattern, a third compile one by its name"""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("K"), (k % 7).cast("string"))
+    text = F.when(k % 3 == 1, F.concat(name, F.when(k % 2 == 0, " = r'(x+)*y'").otherwise(" = r'x+y'"))).when(k % 3 == 0, F.concat(F.lit("P = re.compile("), name, F.lit(")"))).otherwise("pass")
+    return rules.regex_constants(table(spark, sf, "part").select((k % 50).alias("file"), k.alias("line_no"), text.alias("line")))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 3 = 0")
+def backoff_without_jitter(spark, sf):
+    """rule backoff-without-jitter with its own patterns, over bodies of which a third has no jitter, a third has one and a third never retries"""
+    k = F.col("p_size") % 3
+    body = F.when(k == 0, "for attempt in range(4): sleep(2 ** attempt)").when(k == 1, "for attempt in range(4): sleep(random() * 2 ** attempt)").otherwise("sleep(2)")
+    return table(spark, sf, "part").where(rules.backoff_without_jitter(body)).select("p_partkey")
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)tion') AND regexp_matches(text, '(?i)ing ') AND NOT regexp_matches(text, '(?i)the ')")
 def jitter(spark, sf):
     """rule backoff-without-jitter: two patterns present, a third absent, per body"""
     d = table(spark, sf, "documents")
-    return d.where(F.col("text").rlike("(?i)tion") & F.col("text").rlike("(?i)ing ") & ~F.col("text").rlike("(?i)the ")).select("doc_id")
+    return d.where(rules.backoff_without_jitter(F.col("text"), "(?i)tion", "(?i)ing ", "(?i)the ")).select("doc_id")
 
 
 @query("SELECT l_suppkey AS file, l_partkey % 30 AS name, count(*) FILTER (l_returnflag = 'N') AS grows, min(CASE WHEN l_returnflag = 'N' THEN l_linenumber END) AS line FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL HAVING count(*) FILTER (l_returnflag = 'N') > 0 AND count(*) FILTER (l_returnflag = 'R') = 0")
@@ -64,9 +113,9 @@ def format_seconds(spark, sf):
     return table(spark, sf, "documents").select("doc_id", fn.format_seconds(F.col("n_chars") / 1000).alias("label"))
 
 
-@query("SELECT p_partkey, CAST(p_size AS DOUBLE) * CASE p_size % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 1.0 WHEN 2 THEN 60.0 ELSE 3600.0 END AS seconds FROM part")
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) * CASE p_size % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 1.0 WHEN 2 THEN 60.0 ELSE NULL END AS seconds FROM part")
 def durations(spark, sf):
-    """fn.parse_default: sizes written with a unit"""
+    """fn.parse_default: sizes written with a unit; ms, s and min are known"""
     p = table(spark, sf, "part")
     unit = F.when(F.col("p_size") % 4 == 0, "ms").when(F.col("p_size") % 4 == 1, "s").when(F.col("p_size") % 4 == 2, "min").otherwise("hours")
     return p.select("p_partkey", fn.parse_default(F.concat(F.col("p_size").cast("string"), F.lit(" "), unit, F.lit(" (default)"))).alias("seconds"))
@@ -114,7 +163,7 @@ def io_info(spark, sf):
 
 @query(views("line") + " SELECT doc_id, min(line_no) AS line_no, max(length(line)) AS longest FROM line WHERE length(line) >= 400 GROUP BY doc_id")
 def overlong_lines(spark, sf):
-    """src.size_guard: what the rule engine passes over is recorded"""
+    """What the rule engine passes over is recorded: lines of 400 characters and more"""
     return line(spark, sf).where(F.length("line") >= 400).groupBy("doc_id").agg(F.min("line_no").alias("line_no"), F.max(F.length("line")).alias("longest"))
 
 
@@ -124,5 +173,62 @@ def excerpts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", fn.excerpt(F.col("text"), F.lit(1), 2).alias("excerpt"))
 
 
+# -- bracket-aware functions ------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_size % 5 + 1 AS argc, 6 + 9 * (p_size % 5 + 1) + 2 * (p_size % 5) AS closing FROM part")
+def call_arguments(spark, sf):
+    """fn.split_top, fn.argc, fn.matching_paren: f called with one to five calls"""
+    args = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 5), lambda i: F.concat(F.lit("g(1, '"), i.cast("string"), F.lit("')"))), ", ")
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("f.get("), args).alias("t"))
+    inner = F.substring("t", 7, 10_000)
+    return p.select("p_partkey", fn.vec_argc(inner).cast("int").alias("argc"), fn.vec_matching_paren(F.concat("t", F.lit(")")), F.lit(5)).cast("int").alias("closing"))
+
+
+@query("SELECT p_partkey, 'm' || p_size || '.run' AS callee, p_size % 3 AS least, CASE WHEN p_size % 2 = 0 THEN NULL ELSE CAST(p_size % 3 + 1 AS DOUBLE) END AS most FROM part")
+def callee_and_arity(spark, sf):
+    """fn.normalize, fn.arity, fn.split_params: type parameters and arguments go; a rest parameter has no upper bound"""
+    size = F.col("p_size")
+    raw = F.concat(F.lit("m"), size.cast("string"), F.lit("::<Vec<T>>::run(a, b(c))"))
+    must = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: i < size % 3), lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit(": Map<K, V>"))), ", ")
+    params = F.concat_ws(", ", F.lit("self"), F.when(size % 3 > 0, must), F.lit("q: int = 3"), F.when(size % 2 == 0, "*rest"))
+    a = fn.vec_arity(params)
+    return table(spark, sf, "part").select("p_partkey", fn.vec_normalize(raw).alias("callee"), a["least"].cast("int").alias("least"), a["most"].alias("most"))
+
+
+_FORMS = ("Duration::from_millis({})", "Duration.ofMinutes({})", "{} * time.Second", "await({}, TimeUnit.MILLISECONDS)", "timedelta(hours={})", "wait_for(x(1), {})", "get(u, timeout={})", "no time at all {}")
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) * CASE p_partkey % 8 WHEN 0 THEN 0.001 WHEN 1 THEN 60 WHEN 2 THEN 1 WHEN 3 THEN 0.001 WHEN 4 THEN 3600 WHEN 5 THEN 1 WHEN 6 THEN 1 END AS seconds, CAST(p_size AS DOUBLE) / CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000000 ELSE 1000 END AS sleep_s FROM part")
+def call_durations(spark, sf):
+    """fn.parse_duration, fn.sleep_duration: every form, and bare sleeps in seconds, micro- and milliseconds"""
+    size = F.col("p_size").cast("string")
+    text = F.element_at(F.array(*[F.concat(F.lit(x.split("{}")[0]), size, F.lit(x.split("{}")[1])) for x in _FORMS]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    nap = F.concat(F.element_at(F.array(F.lit("sleep("), F.lit("usleep("), F.lit("delay(")), (F.col("p_partkey") % 3 + 1).cast("int")), size, F.lit(")"))
+    return table(spark, sf, "part").select("p_partkey", r(fn.vec_duration(text, F.lit("python")), 6).alias("seconds"), r(fn.vec_sleep(nap, F.lit("python")), 6).alias("sleep_s"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'counted' WHEN 1 THEN 'counted' WHEN 2 THEN 'forever' ELSE 'collection' END AS kind, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size + 1 END AS bound, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS attempts, CASE WHEN p_partkey % 2 = 0 THEN 'exponential' END AS backoff FROM part")
+def loop_headers(spark, sf):
+    """fn.count, fn.const, fn.retry_decorator, fn.resolve_constants: headers with literal and named bounds, decorators with attempts"""
+    size = F.col("p_size").cast("string")
+    k = F.col("p_partkey")
+    known = F.create_map(F.lit("LIMIT"), F.col("p_size").cast("double"))
+    head = F.when(k % 4 == 0, fn.vec_resolve_constants(F.lit("for i in range(cfg.LIMIT):"), known)).when(k % 4 == 1, F.concat(F.lit("for (let i = 0; i <= "), size, F.lit("; i++)"))).when(k % 4 == 2, F.lit("while True:")).otherwise(F.lit("for x in rows:"))
+    c = fn.vec_loop_count(head)
+    d = fn.vec_retry_decorator(F.when(k % 2 == 0, F.concat(F.lit("@retry(stop=stop_after_attempt("), size, F.lit("), wait=wait_exponential())"))).otherwise("@cached"))
+    return table(spark, sf, "part").select("p_partkey", c["kind"].alias("kind"), c["bound"].cast("int").alias("bound"), d["attempts"].cast("int").alias("attempts"), d["backoff"].alias("backoff"))
+
+
+@query("SELECT p_partkey, 'a.b' || p_size || '=x.a.b' || p_size || ';c=x.q' AS names, p_size % 3 + 1 AS lines FROM part")
+def imports_and_lines(spark, sf):
+    """fn.expand_braced, proj.joined_lets: nested import lists, and calls over several lines as one"""
+    size = F.col("p_size").cast("string")
+    spec = F.concat(F.lit("x.{a.b"), size, F.lit(" as a.b"), size, F.lit(", q as c}"))
+    text = F.concat(F.lit("f("), F.array_join(F.array_repeat(F.lit("\n1,"), F.col("p_size") % 4), ""), F.lit("\n2)"), F.array_join(F.array_repeat(F.lit("\ng(3)"), F.col("p_size") % 3), ""))
+    pairs = fn.vec_expand_braced(spec, F.lit("."))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(pairs, lambda x: F.concat(x["alias"], F.lit("="), x["path"])), ";").alias("names"), F.size(fn.vec_joined_lines(text)).alias("lines"))
+
+
 whole(unbounded_container, "l_orderkey % 10 = 0")
 whole(visible, "c_custkey % 50 = 0")

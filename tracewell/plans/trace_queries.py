@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import ledger, stats
 from .adapters import act, bnd, edge, find, io, r, some, table, views
 from .catalogue import query, whole
 
@@ -107,9 +107,7 @@ def fanout(spark, sf):
 def count_ratio(spark, sf):
     """agg.count_ratio: exact counts of a leaf against those of its caller, over the users that have both"""
     a = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    x = a.select("user_id", F.col("event_type").alias("fn"), F.col("n").alias("nf"))
-    y = a.select("user_id", F.col("event_type").alias("leaf"), F.col("n").alias("nl"))
-    return x.join(y, "user_id").where("fn < leaf").groupBy("fn", "leaf").agg(r(F.sum("nl") / F.sum("nf")).alias("ratio"))
+    return ledger.count_ratio(a, "user_id", "event_type", "n", F.col("fn") < F.col("leaf"))
 
 
 @query("SELECT p_brand AS name, min(p_size) AS value FROM part WHERE p_partkey % 40 = 0 GROUP BY p_brand HAVING min(p_size) = max(p_size)")
@@ -148,13 +146,13 @@ def latest_verdict(spark, sf):
 @query(views("find") + " SELECT severity, confidence, count(*) AS n, count(DISTINCT function) AS functions, count(DISTINCT file) AS files FROM find GROUP BY ALL")
 def map_stats(spark, sf):
     """agg.map_stats"""
-    return find(spark, sf).groupBy("severity", "confidence").agg(F.count("*").alias("n"), F.count_distinct("function").alias("functions"), F.count_distinct("file").alias("files"))
+    return ledger.map_stats(find(spark, sf), ["severity", "confidence"])
 
 
 @query("SELECT page_id, substr(sha1(html), 1, 12) AS digest FROM pages")
 def file_digest(spark, sf):
     """agg.file_digest"""
-    return table(spark, sf, "pages").select("page_id", F.substring(F.sha1(F.col("html").cast("binary")), 1, 12).alias("digest"))
+    return table(spark, sf, "pages").select("page_id", ledger.file_digest(F.col("html")).alias("digest"))
 
 
 @query("SELECT p_brand, sha256(string_agg(CAST(p_partkey AS VARCHAR) || ':' || h, ',' ORDER BY p_partkey)) AS fingerprint FROM (SELECT p_brand, p_partkey, sha256(p_name) AS h FROM part) GROUP BY p_brand")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import islands, stats
+from ..operators import islands, ledger, stats
 from .adapters import act, ival, line, r, table, tick, views
 from .catalogue import query
 
@@ -43,13 +43,9 @@ def max_gap(spark, sf):
 @query(views("io") + ", g AS (SELECT system, target, error, t - lag(t) OVER (PARTITION BY target ORDER BY t, id) AS d FROM io) SELECT target, count(*) AS connects, count(*) FILTER (error) AS resets, min(d) AS min_gap, max(d) AS max_gap FROM g GROUP BY target")
 def conn_gaps(spark, sf):
     """win.conn_gaps, agg.conn_summary"""
-    from pyspark.sql import Window
-
     from .adapters import io
 
-    w = Window.partitionBy("target").orderBy("t", "id")
-    g = io(spark, sf).withColumn("d", F.col("t") - F.lag("t").over(w))
-    return g.groupBy("target").agg(F.count("*").alias("connects"), F.count_if("error").alias("resets"), F.min("d").alias("min_gap"), F.max("d").alias("max_gap"))
+    return ledger.connections(io(spark, sf), "target", "t", ["id"], "error")
 
 
 @query(views("tick") + ', m AS (SELECT *, sum(CAST(idle AS INTEGER)) OVER (PARTITION BY log ORDER BY t, ord ROWS UNBOUNDED PRECEDING) AS island FROM tick) SELECT log, CAST(island AS BIGINT) AS island, count(*) AS samples, min(t) AS "start", max(t) AS "end" FROM m WHERE NOT idle GROUP BY ALL')
@@ -110,6 +106,25 @@ def chrome_pairs(spark, sf):
     return out.select("thread", "fn", "depth", (F.col("end") - F.col("start") - F.col("child")).alias("self_time"))
 
 
+_SIBLINGS = """li AS (SELECT l_orderkey AS thread, l_suppkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS n, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem),
+q AS (SELECT thread, fn, 1 AS depth, (n // 2) * 1000 AS s, (n // 2) * 1000 + 500 + fn % 7 AS e FROM li WHERE n % 2 = 0 UNION ALL SELECT thread, fn, 2, ((n + 1) // 2) * 1000 + 10, ((n + 1) // 2) * 1000 + 100 + fn % 11 FROM li WHERE n % 2 = 1 AND n < m)"""
+
+
+@query("WITH " + _SIBLINGS + " SELECT a.thread, a.fn, CAST(a.s AS BIGINT) AS at, CAST(a.e - a.s - coalesce(sum(b.e - b.s), 0) AS BIGINT) AS self_time FROM q a LEFT JOIN q b ON a.thread = b.thread AND b.depth = a.depth + 1 AND b.s >= a.s AND b.s < a.e GROUP BY a.thread, a.fn, a.depth, a.s, a.e")
+def sibling_self_time(spark, sf):
+    """agg.self_time where a depth has several activations of a thread: every second line of an order is a parent, the line before it its child"""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("l_orderkey")
+    n = F.row_number().over(by.orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")).cast("long")
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("thread"), F.col("l_suppkey").alias("fn"), n.alias("n"), F.count("*").over(by).alias("m"))
+    at = F.expr("((n + 1) DIV 2) * 1000")
+    up = li.where("n % 2 = 0").select("thread", "fn", F.lit(1).cast("long").alias("depth"), at.alias("start"), (at + 500 + F.col("fn") % 7).alias("end"))
+    down = li.where("n % 2 = 1 AND n < m").select("thread", "fn", F.lit(2).cast("long").alias("depth"), (at + 10).alias("start"), (at + 100 + F.col("fn") % 11).alias("end"))
+    out = islands.self_of_pairs(up.unionByName(down), ["thread"])
+    return out.select("thread", "fn", F.col("start").alias("at"), (F.col("end") - F.col("start") - F.col("child")).alias("self_time"))
+
+
 @query(views("tick") + """, e AS (SELECT log, t, ord, fn, first_value(CASE WHEN fn = 'purchase' THEN t END IGNORE NULLS) OVER (PARTITION BY log ORDER BY t, ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS released FROM tick) SELECT log, ord, t AS acquired, released FROM e WHERE fn = 'signup'""")
 def acquire_release(spark, sf):
     """win.acquire_release: a signup acquires, the next purchase releases, null is the end of the body"""
@@ -141,12 +156,7 @@ def response_check(spark, sf):
 @query(views("line") + ", p AS (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM line) SELECT doc_id, count(*) AS pairs, min(line_no) AS first_line FROM p WHERE regexp_matches(line, '^[A-Z][a-z]+ ') AND regexp_matches(prev, '^[A-Z][a-z]+ ') AND regexp_extract(line, '^([A-Z][a-z]+) ', 1) <> regexp_extract(prev, '^([A-Z][a-z]+) ', 1) GROUP BY doc_id")
 def seq_pair(spark, sf):
     """win.wallclock_pair, rule sequential-awaits: neighbouring lines that name different things"""
-    from pyspark.sql import Window
-
-    p = line(spark, sf).withColumn("prev", F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no")))
-    first = lambda c: F.regexp_extract(c, "^([A-Z][a-z]+) ", 1)
-    hit = p.where((first("line") != "") & (first("prev") != "") & (first("line") != first("prev")))
-    return hit.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.min("line_no").alias("first_line"))
+    return ledger.different_neighbours(line(spark, sf), "doc_id", "line_no", "line", "^([A-Z][a-z]+) ")
 
 
 @query(views("act") + ", c AS (SELECT parent AS id, sum(dur) AS d FROM act WHERE parent IS NOT NULL GROUP BY 1) SELECT act.pid, count(*) AS stalls, max(act.id) AS last_id FROM act LEFT JOIN c USING (id) WHERE greatest(dur - coalesce(d, 0), 0) >= 120 GROUP BY act.pid")
@@ -159,7 +169,7 @@ def stall_slice(spark, sf):
 @query(views("act") + " SELECT thread, fn, count(*) AS slices, round(sum(dur), 4) + 0.0 AS total_s, max(t) - min(t) AS span FROM act GROUP BY ALL")
 def suspend_resume(spark, sf):
     """win.suspend_resume: the slices of one activation, a user's calls of one function, are summed"""
-    return act(spark, sf).groupBy("thread", "fn").agg(F.count("*").alias("slices"), r(F.sum("dur")).alias("total_s"), (F.max("t") - F.min("t")).alias("span"))
+    return ledger.slices(act(spark, sf), ["thread", "fn"])
 
 
 _STALL = f"""s AS (SELECT thread AS log, t // {7 * DAY} AS stretch, fn, n % 5 AS depth, t FROM act), k AS (SELECT CAST(log AS VARCHAR) || '/' || CAST(stretch AS VARCHAR) AS k, fn, depth, t FROM s),
@@ -179,9 +189,7 @@ def segment_stalls(spark, sf):
 @query(views("tick") + ", d AS (SELECT log, fn, count(*) AS n, (SELECT count(*) FROM tick x WHERE x.log = tick.log) AS all_n FROM tick GROUP BY log, fn) SELECT log, fn, n FROM (SELECT log, fn, n, row_number() OVER (PARTITION BY log ORDER BY n DESC, fn DESC) AS i FROM d WHERE n * 100 >= 20 * all_n) WHERE i = 1")
 def flush_fallback(spark, sf):
     """win.flush_fallback: the function that is there in most samples of a stretch, if in enough of them"""
-    t = tick(spark, sf)
-    d = t.groupBy("log", "fn").agg(F.count("*").alias("n")).join(t.groupBy("log").agg(F.count("*").alias("all_n")), "log").where("n * 100 >= 20 * all_n")
-    return d.groupBy("log").agg(F.max(F.struct("n", "fn")).alias("m")).select("log", "m.fn", "m.n")
+    return ledger.usual_function(tick(spark, sf), "log", "fn")
 
 
 @query(views("tick") + ", c AS (SELECT log FROM tick WHERE fn = 'signup' GROUP BY log HAVING count(*) <= 9), " + _RUNS + ' SELECT log, fn, min("s") AS "start", max("e") AS "end", CAST(sum(k) AS BIGINT) AS samples FROM (SELECT log, fn, run, min(t) AS s, max(t) AS e, count(*) AS k FROM m GROUP BY ALL) WHERE log IN (SELECT log FROM c) GROUP BY log, fn')
