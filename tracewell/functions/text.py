@@ -1,12 +1,13 @@
 """Scalar text functions of the engine.
 
-Column functions are built-in expressions. The bracket-aware ones need a stack, so they are plain Python,
-with Arrow-batched wrappers at the end of the module.
+Column functions are built-in expressions. The bracket-aware ones need a stack, so they are plain Python;
+vec_... at the end of the module are the same over columns, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,8 +62,8 @@ def rust_module(rel: Column, root: Column) -> Column:
 
 
 def parse_default(text: Column) -> Column:
-    """fn.parse_default: the seconds that a default's text begins with."""
-    return duration(F.regexp_extract(text, r"^\s*([0-9.]+\s*[a-zµ]+)", 1))
+    """fn.parse_default: the seconds that a default's text begins with, in ms, s or min."""
+    return duration(F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?\s*(?:ms|s|min))\b", 1))
 
 
 def duration(text: Column) -> Column:
@@ -259,6 +260,15 @@ def parse_duration(text: str, lang: str = "python") -> float | None:
             number, unit = (a, b) if a[0].isdigit() else (b, a)
             hit = (m.start(), k, float(number.replace("_", "")) * units[unit])
             best = min(best, hit) if best else hit
+    for m in re.finditer(r"\b(wait_for|timeout|sleep_for|withTimeout)\s*\(", text):
+        # the deadline is a bare number: the second argument of wait_for, the first of the others
+        close = matching_paren(text, m.end() - 1)
+        args = split_top(text[m.end() : close if close >= 0 else len(text)])
+        mine = args[1:2] if m[1] == "wait_for" else args[:1]
+        if mine and re.fullmatch(r"[0-9][0-9_]*(?:\.[0-9]+)?", mine[0]):
+            hit = (m.start(), len(forms), float(mine[0].replace("_", "")) * (1e-3 if m[1] == "withTimeout" or lang in MILLISECOND_LANGS else 1.0))
+            best = min(best, hit) if best else hit
+            break
     bare = re.search(rf"\b(?:timeout|deadline|connect_timeout|read_timeout|total|seconds)\w*\s*[=:]\s*{n}(?![\w.])", text)
     if bare and (best is None or bare.start() < best[0]):
         return float(bare[1].replace("_", "")) * (1e-3 if lang in MILLISECOND_LANGS else 1.0)
@@ -270,8 +280,11 @@ def sleep_duration(text: str, lang: str = "python") -> float | None:
     found = parse_duration(text, lang)
     if found is not None:
         return found
-    m = re.search(r"\b(?:sleep|delay|setTimeout|wait)\w*\s*\(\s*(?:[^(),]*,\s*)?([0-9][0-9_]*(?:\.[0-9]+)?)\s*\)", text)
-    return float(m[1].replace("_", "")) * (1e-3 if lang in MILLISECOND_LANGS else 1.0) if m else None
+    m = re.search(r"\b(usleep|[sS]leep|delay|setTimeout|wait)\w*\s*\(\s*(?:[^(),]*,\s*)?([0-9][0-9_]*(?:\.[0-9]+)?)\s*\)", text)
+    if not m:
+        return None
+    unit = 1e-6 if m[1] == "usleep" else 1e-3 if m[1] == "delay" or lang in MILLISECOND_LANGS else 1.0
+    return float(m[2].replace("_", "")) * unit
 
 
 def resolve_constants(text: str, values: dict[str, float]) -> str:
@@ -329,3 +342,30 @@ def joined_lines(lines: list[str]) -> list[tuple[int, str]]:
     if held:
         out.append((first, held))
     return out
+
+
+# -- the same functions over columns: Arrow batches, null in and null out --------------------------------------------------
+
+
+def _over_columns(f: Callable, kind: str) -> Callable[..., Column]:
+    """f over columns; rows travel in Arrow batches, and one with a null argument gives null."""
+
+    def row(*values):
+        return None if any(v is None for v in values) else f(*values)
+
+    return lambda *columns: F.udf(row, kind, useArrow=True)(*columns)
+
+
+vec_split_top = _over_columns(split_top, "array<string>")
+vec_argc = _over_columns(argc, "int")
+vec_matching_paren = _over_columns(matching_paren, "int")
+vec_normalize = _over_columns(normalize, "string")
+vec_expand_braced = _over_columns(lambda spec, sep: [{"alias": a, "path": p} for a, p in expand_braced(spec, sep)], "array<struct<alias: string, path: string>>")
+#: `most` is null where a rest parameter leaves it open.
+vec_arity = _over_columns(lambda params: (lambda a: {"least": a[0], "most": None if a[1] == float("inf") else float(a[1]), "takes_self": a[2]})(arity(params)), "struct<least: int, most: double, takes_self: boolean>")
+vec_duration = _over_columns(parse_duration, "double")
+vec_sleep = _over_columns(sleep_duration, "double")
+vec_resolve_constants = _over_columns(lambda text, values: resolve_constants(text, dict(values)), "string")
+vec_retry_decorator = _over_columns(lambda text: (lambda d: d and {"attempts": d[0], "backoff": d[1]})(retry_decorator(text)), "struct<attempts: int, backoff: string>")
+vec_loop_count = _over_columns(lambda header: dict(zip(("kind", "bound"), loop_count(header))), "struct<kind: string, bound: int>")
+vec_joined_lines = _over_columns(lambda text: [{"line": n, "text": t} for n, t in joined_lines(text.split("\n"))], "array<struct<line: int, text: string>>")

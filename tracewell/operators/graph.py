@@ -7,6 +7,8 @@ come to the driver.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +19,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that the session names."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tracewell-checkpoints")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="tracewell-"))
     return df.checkpoint(eager=True)
 
 
@@ -131,17 +136,18 @@ def once_in_cycles(edges: DataFrame) -> DataFrame:
 def worst(values: DataFrame, edges: DataFrame, combine: Callable[[Column, Column], Column]) -> DataFrame:
     """graph.wait, graph.amp: (node, value) as the greatest of a node's own value and combine(edge, callee's value).
 
-    Edges must be acyclic, or inside a cycle add nothing (`once_in_cycles`). A round settles one more level.
+    Edges must be acyclic, or inside a cycle add nothing (`once_in_cycles`), and combine must not fall as the callee's value
+    rises. A round follows the calls of the nodes whose value rose in the one before.
     """
-    now = cut(values.select("node", "value"))
-    n = None
+    now = cut(values.groupBy("node").agg(F.max("value").alias("value")))
+    risen = now
     while True:
-        offer = edges.join(now.select(F.col("node").alias("dst"), F.col("value").alias("_v")), "dst").select(F.col("src").alias("node"), combine(F.col("w"), F.col("_v")).alias("value"))
-        now = cut(values.select("node", "value").unionByName(offer).groupBy("node").agg(F.max("value").alias("value")))
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.hash("node", "value").cast("long")).alias("s")).first()
-        if n == (mark["n"], mark["s"]):
+        offer = edges.join(risen.select(F.col("node").alias("dst"), F.col("value").alias("_v")), "dst").select(F.col("src").alias("node"), combine(F.col("w"), F.col("_v")).alias("value"))
+        best = offer.groupBy("node").agg(F.max("value").alias("_o"))
+        risen = cut(best.join(now, "node", "left").where("_o > value OR value IS NULL AND _o IS NOT NULL").select("node", F.col("_o").alias("value")))
+        if risen.isEmpty():
             return now
-        n = (mark["n"], mark["s"])
+        now = cut(now.join(risen.select("node"), "node", "left_anti").unionByName(risen))
 
 
 def ancestors(tree: DataFrame, limit: int | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +19,78 @@ def rounded(c: Column, n: int = 4) -> Column:
     return F.round(c, n) + F.lit(0.0)
 
 
-def p95_exclusive(df: DataFrame, keys: list[str], value: str, out: str = "p95") -> DataFrame:
-    """The last of 20 exclusive quantiles per group: position 0.95 * (n + 1), carried on beyond the largest value.
+#: Groups of more rows have their order statistics bracketed first, by so much on either side of the share asked for.
+WHOLE_ROWS, BRACKET = 4_096, 0.002
+
 
-    Two order statistics decide it, so only the ranks are shuffled: no list of a group's values is ever built.
+def order_values(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """One row per group: keys, _n, and for each name its struct (a, b): the values at the rank that its function of _n gives and at the next.
+
+    A sketch of each group brackets the ranks; rows below a bracket are only counted, and those inside it, some thousandths of
+    a large group, are counted by value and put in order. The brackets are twenty times wider than the sketch's error, so the
+    values are exact, and no group is sorted or held as a whole.
     """
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn("_i", F.row_number().over(w.orderBy("_v"))).withColumn("_n", F.count("*").over(w))
-    at = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(19 * (F.col("_n") + 1) / 20)))
-    delta = 19 * (F.col("_n") + 1) - 20 * at
-    part = F.when(F.col("_n") == 1, F.col("_v")).when(F.col("_i") == at, F.col("_v") * (20 - delta) / 20).when(F.col("_i") == at + 1, F.col("_v") * delta / 20).otherwise(F.lit(0.0))
-    return ranked.groupBy(*keys).agg(F.sum(part).alias(out))
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    ends = [x for share, _ in wanted.values() for x in (max(0.0, share - BRACKET), min(1.0, share + BRACKET))]
+    stat = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, 10_000).alias("_q")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_q")
+    j = v.join(stat, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]))
+    cells = []
+    for i, name in enumerate(wanted):
+        lo, hi = F.col("_q")[2 * i], F.col("_q")[2 * i + 1]
+        small = F.col("_n") <= WHOLE_ROWS
+        cells.append(F.when(small | F.col("_v").between(lo, hi), F.struct(F.lit(name).alias("name"), F.lit(1).alias("in"), F.col("_v").alias("v"))).when(F.col("_v") < lo, F.struct(F.lit(name).alias("name"), F.lit(0).alias("in"), F.lit(None).cast(v.schema["_v"].dataType).alias("v"))))
+    c = j.select(*keys, "_n", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("_c")).groupBy(*keys, "_n", "_c").agg(F.count("*").alias("_m"))
+    w = Window.partitionBy(*keys, "_c.name").orderBy("_c.in", "_c.v").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("_to", F.sum("_m").over(w)).withColumn("_from", F.col("_to") - F.col("_m"))
+    at = lambda f, step: F.max(F.when((F.col("_from") < f(F.col("_n")) + step) & (F.col("_to") >= f(F.col("_n")) + step), F.col("_c.v")))
+    own = lambda name, x: F.max(F.when(F.col("_name") == name, F.col(x)))
+    per = None
+    for name, (_, f) in wanted.items():
+        one = c.where(F.col("_c.name") == name).groupBy(*keys, "_n").agg(F.lit(name).alias("_name"), at(f, 0).alias("a"), at(f, 1).alias("b"))
+        per = one if per is None else per.unionByName(one)
+    return per.groupBy(*keys, "_n").agg(*[F.struct(own(name, "a").alias("a"), own(name, "b").alias("b")).alias(name) for name in wanted])
+
+
+def _p95_rank(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.least(n - 1, F.floor(19 * (n + 1) / 20)))
+
+
+def _p95(name: str) -> Column:
+    delta = 19 * (F.col("_n") + 1) - 20 * _p95_rank(F.col("_n"))
+    a, b = F.col(f"{name}.a"), F.col(f"{name}.b")
+    return F.when(F.col("_n") == 1, a).otherwise(a * (20 - delta) / 20 + b * delta / 20)
+
+
+def _median(name: str) -> Column:
+    a, b = F.col(f"{name}.a").cast("double"), F.col(f"{name}.b").cast("double")
+    return F.when(F.col("_n") % 2 == 1, a).otherwise(0.5 * a + 0.5 * b)
+
+
+P95 = (0.95, _p95_rank)
+MEDIAN = (0.5, lambda n: F.floor((n - 1) / 2) + 1)
+
+
+def p95_exclusive(df: DataFrame, keys: list[str], value: str, out: str = "p95") -> DataFrame:
+    """The last of 20 exclusive quantiles per group: position 0.95 * (n + 1), carried on beyond the largest value."""
+    return order_values(df, keys, value, {"_p": P95}).select(*keys, _p95("_p").alias(out))
+
+
+def tails(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, p50, p95) per group: the median and the exclusive 95th percentile."""
+    return order_values(df, keys, value, {"_h": MEDIAN, "_p": P95}).select(*keys, _median("_h").alias("p50"), _p95("_p").alias("p95"))
+
+
+def _with(base: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """base with the columns of more for equal keys, nulls among them equal."""
+    on = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
+    return base.alias("_l").join(more.alias("_r"), reduce(lambda x, y: x & y, on), "left").select("_l.*", *[F.col(f"_r.{c}") for c in more.columns if c not in keys])
 
 
 def fn_stats(act: DataFrame, key: str = "fn") -> DataFrame:
     """agg.fn_stats: calls, total, p50, exclusive p95 and max per function."""
-    base = act.groupBy(key).agg(F.count("*").alias("calls"), rounded(F.sum("dur")).alias("total_s"), rounded(F.expr("percentile(dur, 0.5)")).alias("p50_s"), rounded(F.max("dur")).alias("max_s"))
-    tail = p95_exclusive(act, [key], "dur", "p95_s").select(key, rounded(F.col("p95_s")).alias("p95_s"))
-    return base.join(tail, key, "left")
+    base = act.groupBy(key).agg(F.count("*").alias("calls"), rounded(F.sum("dur")).alias("total_s"), rounded(F.max("dur")).alias("max_s"))
+    tail = tails(act, [key], "dur").select(key, rounded(F.col("p50")).alias("p50_s"), rounded(F.col("p95")).alias("p95_s"))
+    return _with(base, tail, [key])
 
 
 def self_time(act: DataFrame) -> DataFrame:
@@ -44,21 +101,26 @@ def self_time(act: DataFrame) -> DataFrame:
 
 def io_stats(io: DataFrame, keys: list[str]) -> DataFrame:
     """agg.io_stats: count, errors, p50, max and the first five targets."""
-    return io.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.sum(F.col("error").cast("long")).alias("errors"),
-        rounded(F.expr("percentile(dur, 0.5)")).alias("p50_s"),
-        rounded(F.max("dur")).alias("max_s"),
-        F.array_join(F.slice(F.sort_array(F.collect_set("target")), 1, 5), ",").alias("targets"),
-    )
+    base = io.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("error").cast("long")).alias("errors"), rounded(F.max("dur")).alias("max_s"))
+    half = order_values(io, keys, "dur", {"_h": MEDIAN}).select(*keys, rounded(_median("_h")).alias("p50_s"))
+    return _with(_with(base, half, keys), first_five(io, keys, "target", "targets"), keys)
+
+
+def first_five(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, out): the first five distinct values of each group, joined by commas; a group's values are numbered, never listed as a whole."""
+    distinct = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    ranked = distinct.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).where("_i <= 5")
+    return ranked.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(value)), ",").alias(out))
 
 
 def external_calls(io: DataFrame, callers: DataFrame, top: int = 50) -> DataFrame:
     """agg.external: per (system, target) counts, quantiles and five callers; slowest first."""
-    base = io.groupBy("system", "target").agg(F.count("*").alias("n"), F.sum(F.col("error").cast("long")).alias("errors"), rounded(F.expr("percentile(dur, 0.5)")).alias("p50_s"), rounded(F.max("dur")).alias("max_s"))
-    tail = p95_exclusive(io, ["system", "target"], "dur", "p95_s").withColumn("p95_s", rounded(F.col("p95_s")))
-    who = io.join(callers, "parent", "left").groupBy("system", "target").agg(F.array_join(F.slice(F.sort_array(F.collect_set("caller")), 1, 5), ",").alias("callers"))
-    return base.join(tail, ["system", "target"]).join(who, ["system", "target"]).orderBy(F.desc("max_s"), "system", "target").limit(top)
+    keys = ["system", "target"]
+    base = io.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("error").cast("long")).alias("errors"), rounded(F.max("dur")).alias("max_s"))
+    tail = tails(io, keys, "dur").select(*keys, rounded(F.col("p50")).alias("p50_s"), rounded(F.col("p95")).alias("p95_s"))
+    who = first_five(io.join(callers, "parent"), keys, "caller", "callers").select(*keys, "callers")
+    out = _with(_with(base, tail, keys), who, keys).withColumn("callers", F.coalesce("callers", F.lit("")))
+    return out.select(*keys, "n", "errors", "p50_s", "max_s", "p95_s", "callers").orderBy(F.desc("max_s"), *keys).limit(top)
 
 
 def fit_power(points: DataFrame, keys: list[str], size: str = "n", dur: str = "dur") -> DataFrame:
