@@ -204,3 +204,58 @@ def test_single_call_truth_table(spark, count, idle, run, pid, paired, stalls):
     assert len(got) == stalls
     if stalls == 1:
         assert (got[0].start, got[0].end) == (0.0, 0.6)
+
+
+def test_self_time_keeps_activations_without_children(spark):
+    """Three activations of one thread at a depth, one of them with a child; then two threads, random nests and a plain loop."""
+    rows = [(1, "a", 1, 0, 10), (1, "b", 2, 2, 4), (1, "c", 1, 20, 30), (1, "d", 1, 30, 31)]
+    r = random.Random(9)
+    for thread in (2, 3):
+        at = 0
+        for _ in range(12):
+            start, width = at, r.randrange(10, 60)
+            at = start + width + r.randrange(3)
+            rows.append((thread, "p", 1, start, start + width))
+            inner = start
+            while r.random() < 0.6 and inner + 5 < start + width:
+                rows.append((thread, "q", 2, inner, inner + 3))
+                inner += 3 + r.randrange(3)
+    got = islands.self_of_pairs(spark.createDataFrame(rows, "thread long, fn string, depth long, start long, end long"), ["thread"]).collect()
+    want = sorted((t, f, d, s, e, sum(y - x for u, _, k, x, y in rows if u == t and k == d + 1 and s <= x < e)) for t, f, d, s, e in rows)
+    assert sorted((g.thread, g.fn, g.depth, g.start, g.end, g.child) for g in got) == want
+
+
+def test_sweep_equals_a_plain_sweep(spark):
+    r = random.Random(5)
+    rows = [(k, s, s + r.randrange(200)) for k in ("x", "y") for s in (r.randrange(3000) for _ in range(300))]
+    got = dict(map(tuple, islands.sweep(spark.createDataFrame(rows, "k string, start long, end long"), "k", parts=16).collect()))
+    for k in ("x", "y"):
+        own = sorted([(s, 1) for q, s, _ in rows if q == k] + [(e, -1) for q, _, e in rows if q == k])
+        now = peak = 0
+        for _, step in own:
+            now += step
+            peak = max(peak, now)
+        assert got[k] == peak
+
+
+def test_order_values_of_large_and_tied_groups(spark):
+    r = random.Random(2)
+    rows = [("one", 5.0)] + [("tied", 3.0)] * 9000 + [("wide", r.expovariate(1)) for _ in range(20_001)] + [(None, float(i)) for i in range(50)] + [("wide", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {x.k: x for x in stats.tails(df, ["k"], "v").collect()}
+    for k in ("one", "tied", "wide", None):
+        v = sorted(x for q, x in rows if q == k and x is not None)
+        n = len(v)
+        at = max(1, min(n - 1, 19 * (n + 1) // 20))
+        delta = 19 * (n + 1) - 20 * at
+        p95 = v[0] if n == 1 else v[at - 1] * (20 - delta) / 20 + v[at] * delta / 20
+        half = v[n // 2] if n % 2 else 0.5 * v[n // 2 - 1] + 0.5 * v[n // 2]
+        assert (got[k].p50, got[k].p95) == (pytest.approx(half, abs=1e-12), pytest.approx(p95, abs=1e-12)), k
+
+
+def test_ids_are_taken_apart(spark):
+    from tracewell.operators import ledger
+
+    ids = [("a@b@12:7", ("a@b", 12, 7)), ("nothing", ("", None, None))]
+    got = {r.id: tuple(r.p) for r in spark.createDataFrame([(i,) for i, _ in ids], "id string").select("id", ledger.id_parts(F.col("id")).alias("p")).collect()}
+    assert got == dict(ids)

@@ -5,11 +5,17 @@ import struct
 
 from pyspark.sql import functions as F
 
-from tracewell.plans.source_queries import OTLP
 from tracewell.sources import otlp, python_ast, recordings
 from tracewell.streaming import ticks
 
 
+#: Two spans of one trace, as a collector writes them.
+OTLP = {"resourceSpans": [{"scopeSpans": [{"spans": [
+    {"traceId": "5e" * 16, "spanId": "77" * 8, "parentSpanId": "78" * 8, "name": "reserve", "kind": 3, "startTimeUnixNano": "400", "endTimeUnixNano": "950", "status": {"code": 2}, "attributes": [{"key": "seats", "value": {"intValue": "4"}}]},
+    {"traceId": "5e" * 16, "spanId": "79" * 8, "name": "quote", "kind": "SPAN_KIND_INTERNAL", "startTimeUnixNano": "100", "endTimeUnixNano": "1200", "attributes": []},
+]}]}]}
+
+
 def varint(n):
     n &= (1 << 64) - 1
     out = b""
@@ -26,11 +32,11 @@ def field(n, kind, body):
 
 def test_protobuf_spans():
     attr = lambda k, v: field(9, 2, field(1, 2, k) + field(2, 2, v))
-    span = field(1, 2, b"\x0a" * 16) + field(2, 2, b"\x0b" * 8) + field(5, 2, b"GET") + field(6, 0, varint(3)) + field(7, 1, struct.pack("<Q", 10)) + field(8, 1, struct.pack("<Q", 2010)) + attr(b"n", field(3, 0, varint(-5))) + attr(b"d", field(4, 1, struct.pack("<d", 1.5)))
+    span = field(1, 2, bytes(range(16))) + field(2, 2, bytes(range(60, 68))) + field(5, 2, b"POST /cart") + field(6, 0, varint(3)) + field(7, 1, struct.pack("<Q", 333)) + field(8, 1, struct.pack("<Q", 777)) + attr(b"left", field(3, 0, varint(-12))) + attr(b"rate", field(4, 1, struct.pack("<d", 0.25)))
     body = field(1, 2, field(2, 2, field(2, 2, span)))
     for data in (body, gzip.compress(body)):
         (s,) = otlp.load_body(data)
-        assert (s["name"], s["kind"], s["end_ns"] - s["start_ns"], s["attrs"]) == ("GET", 3, 2000, {"n": -5, "d": 1.5})
+        assert (s["name"], s["kind"], s["end_ns"] - s["start_ns"], s["attrs"]) == ("POST /cart", 3, 444, {"left": -12, "rate": 0.25})
 
 
 def test_json_lines_and_errors(spark):
@@ -105,3 +111,22 @@ def test_streams(spark, tmp_path):
     q = ticks.sessions(ticks.read_ticks(spark, str(src))).writeStream.format("memory").queryName("runs").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination(120)
     assert sorted(r.ticks for r in spark.table("runs").collect()) == [2, 3]
+
+
+def test_sinks(spark, tmp_path):
+    """Relations replace their own table, ledgers append, test results replace those of their files only."""
+    from tracewell.sources import sinks
+
+    folder = str(tmp_path)
+    for n in (3, 2):
+        sinks.write_relations({"functions": spark.range(n), "edges": spark.range(1)}, folder)
+    assert spark.read.parquet(f"{folder}/functions").count() == 2
+    for seq in (1, 2):
+        sinks.append_rounds(spark.createDataFrame([("f", seq)], "finding string, seq long"), f"{folder}/ledger")
+    assert spark.read.parquet(f"{folder}/ledger").count() == 2
+    row = lambda *x: spark.createDataFrame(x, "test string, outcome string, file string")
+    sinks.overwrite_tests(row(("t1", "failed", "a"), ("t2", "passed", "b")), f"{folder}/tests")
+    sinks.overwrite_tests(row(("t1", "passed", "a")), f"{folder}/tests")
+    assert {tuple(r) for r in spark.read.parquet(f"{folder}/tests").select("test", "outcome", "file").collect()} == {("t1", "passed", "a"), ("t2", "passed", "b")}
+    (doc,) = sinks.document(spark.range(1), "nodes").collect()
+    assert (doc.relation, json.loads(doc.row)) == ("nodes", {"id": 0})

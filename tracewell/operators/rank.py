@@ -31,7 +31,8 @@ def lookup(c: Column, values: dict, default=None) -> Column:
 
 
 def round_half(c: Column, n: int = 3) -> Column:
-    return F.round(c, n) + F.lit(0.0)
+    """Half up; a half that binary arithmetic leaves just short of one counts as a half."""
+    return F.round(c + 1e-9, n) + F.lit(0.0)
 
 
 def score(severity: Column, confidence: Column, evidence: Column, rule: Column, hotspot: Column) -> Column:
@@ -80,8 +81,9 @@ def by_function(items: DataFrame, function: str, order: list, most: int = PER_IT
 
 
 def take(items: DataFrame, low_tail: Column, n: int = PER_ROUND) -> DataFrame:
-    """sort.queue: low tail last, then by falling score."""
-    return items.withColumn("_tail", low_tail.cast("int")).orderBy("_tail", F.desc("score"), "id").limit(n).drop("_tail")
+    """sort.queue: low tail last, then by falling score; ids and functions break ties."""
+    ties = [c for c in ("id", "function") if c in items.columns]
+    return items.withColumn("_tail", low_tail.cast("int")).orderBy("_tail", F.desc("score"), *ties).limit(n).drop("_tail")
 
 
 def first_fit(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:

@@ -8,7 +8,7 @@ from ..operators import ledger, rank
 from .adapters import find, r, some, table, views
 from .catalogue import query, whole
 
-_SCORE = "round(CASE severity WHEN 'high' THEN 5.0 WHEN 'medium' THEN 3.0 WHEN 'low' THEN 1.0 ELSE 0.5 END::DOUBLE * CASE confidence WHEN 'exact' THEN 1.0 WHEN 'scip' THEN 1.0 WHEN 'unique' THEN 0.9 ELSE 0.5 END::DOUBLE * CASE status WHEN 'F' THEN 1.5 WHEN 'O' THEN 1.0 ELSE 0.7 END::DOUBLE * CASE WHEN rule < 'Brand#3' THEN 1.2 ELSE 1.0 END::DOUBLE + least(quantity / 10, 1.0::DOUBLE), 3) + 0.0"
+_SCORE = "round(CASE severity WHEN 'high' THEN 5.0 WHEN 'medium' THEN 3.0 WHEN 'low' THEN 1.0 ELSE 0.5 END::DOUBLE * CASE confidence WHEN 'exact' THEN 1.0 WHEN 'scip' THEN 1.0 WHEN 'unique' THEN 0.9 ELSE 0.5 END::DOUBLE * CASE status WHEN 'F' THEN 1.5 WHEN 'O' THEN 1.0 ELSE 0.7 END::DOUBLE * CASE WHEN rule < 'Brand#3' THEN 1.2 ELSE 1.0 END::DOUBLE + least(quantity / 10, 1.0::DOUBLE) + 1e-9, 3) + 0.0"
 _FIND = views("find") + f", f AS (SELECT *, {_SCORE} AS score FROM find WHERE ord % 7 = 0)"
 
 
@@ -33,7 +33,7 @@ _EVIDENCE = ("confirmed", "measured", "not-verifiable", "not-exercised", "not-ob
     views("find")
     + """, w AS (SELECT severity, confidence, file % 6 AS e, line % 5 AS k, quantity FROM find)
 SELECT severity, confidence, CAST(e AS INTEGER) AS e, CAST(k AS INTEGER) AS k, count(*) AS n, round(max(CASE severity WHEN 'high' THEN 5 WHEN 'medium' THEN 3 WHEN 'low' THEN 1 ELSE 0.5 END::DOUBLE * CASE confidence WHEN 'exact' THEN 1 WHEN 'scip' THEN 1 WHEN 'unique' THEN 0.9 ELSE 0.5 END::DOUBLE
- * CASE e WHEN 0 THEN 1.5 WHEN 1 THEN 1.2 WHEN 4 THEN 0.3 ELSE 1 END::DOUBLE * CASE k WHEN 0 THEN 1.6 WHEN 1 THEN 1.5 WHEN 2 THEN 1.3 WHEN 3 THEN 0.8 ELSE 1 END::DOUBLE + least(quantity / 10, 1)), 3) + 0.0 AS hi FROM w GROUP BY ALL"""
+ * CASE e WHEN 0 THEN 1.5 WHEN 1 THEN 1.2 WHEN 4 THEN 0.3 ELSE 1 END::DOUBLE * CASE k WHEN 0 THEN 1.6 WHEN 1 THEN 1.5 WHEN 2 THEN 1.3 WHEN 3 THEN 0.8 ELSE 1 END::DOUBLE + least(quantity / 10, 1)) + 1e-9, 3) + 0.0 AS hi FROM w GROUP BY ALL"""
 )
 def weighed_scores(spark, sf):
     """fn.score from the tables of severities, confidences, evidence and rules"""
@@ -67,7 +67,7 @@ _UNIQUE = ", u AS (SELECT function, min(ord) AS id, score FROM f GROUP BY functi
     _FIND
     + _UNIQUE
     + """, n AS (SELECT *, row_number() OVER (PARTITION BY function ORDER BY score DESC, id) AS rn FROM u), g AS (SELECT function, arg_min(id, rn) AS id, count(*) AS n, list(score ORDER BY rn) AS ss FROM n WHERE rn <= 8 GROUP BY function)
-SELECT function, id, n, list_reduce(ss, lambda a, x: round(a + 0.25 * x, 3)) + 0.0 AS score FROM g UNION ALL SELECT function, id, 1, score FROM n WHERE rn > 8"""
+SELECT function, id, n, list_reduce(ss, lambda a, x: round(a + 0.25 * x + 1e-9, 3)) + 0.0 AS score FROM g UNION ALL SELECT function, id, 1, score FROM n WHERE rn > 8"""
 )
 def by_function(spark, sf, whole=False):
     """agg.by_function: overflow findings are items of their own"""
@@ -75,7 +75,7 @@ def by_function(spark, sf, whole=False):
     return rank.by_function(u, "function", [F.desc("score"), "id"])
 
 
-@query(_FIND + _UNIQUE + " SELECT function, id, score FROM u ORDER BY CASE WHEN score < 2 THEN 1 ELSE 0 END, score DESC, id LIMIT 6")
+@query(_FIND + _UNIQUE + " SELECT function, id, score FROM u ORDER BY CASE WHEN score < 2 THEN 1 ELSE 0 END, score DESC, id, function LIMIT 6")
 def take(spark, sf, whole=False):
     """sort.queue; the slots of a round are operators.scoring.round_slots"""
     u = _scored(spark, sf, whole).groupBy("function", "score").agg(F.min("ord").alias("id"))
