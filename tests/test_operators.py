@@ -30,6 +30,23 @@ def test_closure_and_components(edges):
     assert dict(map(tuple, graph.components(df).collect())) == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_in_rows_with_loops_and_nulls(spark, seed):
+    """Rings in a row, each calling the next or the one before, nodes that only call themselves, and edges without an end."""
+    r = random.Random(seed)
+    names = r.sample(range(100), 30)
+    e = {(names[k], names[k + 1 if (k + 1) % 5 else k - 4]) for k in range(30)}
+    e |= {(names[k], names[k + 5]) if seed else (names[k + 5], names[k]) for k in range(0, 25, 5)}
+    e |= {(200, names[0]), (names[7], 201), (201, 201), (202, 202)}
+    c = closure_of(e)
+    want = {a: min([d for x, d in c if x == a and (d, a) in c]) for a, b in c if (b, a) in c}
+    df = spark.createDataFrame([*e, *list(e)[:3], (None, 5), (5, None)], "src long, dst long")
+    assert dict(map(tuple, graph.components(df).collect())) == want
+    assert len(set(want.values())) == 8
+    assert graph.components(df.where("src = 200")).count() == 0
+    assert graph.components(df.where("src = -1")).count() == 0
+
+
 def test_reach_and_roots(spark, edges):
     e, df = edges
     c = closure_of(e)

@@ -1,6 +1,6 @@
 """Reachability, components and worst paths over edge tables.
 
-Recursive joins run as a driver loop of declared joins; a round cuts lineage with
+Recursive joins run as a driver loop of declared joins; the edges are made once, a round cuts lineage with
 a reliable checkpoint and the loop ends when a round adds nothing. Only counts
 come to the driver.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     """graph.io_reach: nodes from which `start` can be reached (edges src -> dst), start included; one frontier a round."""
+    return _reach(start, cut(edges.select("src", "dst")))
+
+
+def _reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     seen = cut(start.select("node").distinct())
     front = seen
     while True:
@@ -51,25 +56,53 @@ def closure(edges: DataFrame) -> DataFrame:
         n = m
 
 
+def _trimmed(e: DataFrame) -> DataFrame:
+    """The edges between nodes with a way in and a way out, again and again until none goes: the cyclic core and what lies between."""
+    n = e.count()
+    while n:
+        both = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
+        e = cut(e.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        m = e.count()
+        if m == n:
+            break
+        n = m
+    return e
+
+
+def _colours(e: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that reaches it, itself included. A round follows the nodes whose colour fell."""
+    now = cut(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().select("node", F.col("node").alias("colour"), F.lit(True).alias("_fell")))
+    while True:
+        fell = now.where("_fell").select(F.col("node").alias("src"), "colour")
+        if fell.isEmpty():
+            return now.drop("_fell")
+        offer = e.join(fell, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("_c"))
+        now = cut(now.join(offer, "node", "left").select("node", F.least("colour", "_c").alias("colour"), F.coalesce(F.col("_c") < F.col("colour"), F.lit(False)).alias("_fell")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """graph.scc: (node, component) of nodes on a cycle; the component is its smallest node.
 
-    Nodes without a way in or out are trimmed first, which leaves the cyclic core and what lies between.
+    Nodes take the smallest node that reaches them as their colour; what goes back to that node inside a colour is one
+    component, and it leaves the graph. All colours go on at once and a round is one join of the edges, so the size of a
+    component only sets the number of rounds, not their rows. Edges with a null end are none.
     """
-    e = cut(edges.select("src", "dst").distinct())
-    n = e.count()
+    e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    looped = e.where("src = dst").select(F.col("src").alias("node")).withColumn("_own", F.lit(True))
+    parts = [looped.where(F.lit(False)).select("node", F.col("node").alias("component"))]
     while True:
-        src, dst = e.select(F.col("src").alias("n")).distinct(), e.select(F.col("dst").alias("n")).distinct()
-        both = src.join(dst, "n", "left_semi")
-        e = cut(e.join(both.withColumnRenamed("n", "src"), "src", "left_semi").join(both.withColumnRenamed("n", "dst"), "dst", "left_semi"))
-        m = e.count()
-        if m == n:
+        e = _trimmed(e)
+        if e.isEmpty():
             break
-        n = m
-    c = closure(e)
-    back = c.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    mutual = c.join(back, ["src", "dst"])
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component"))
+        colour = _colours(e)
+        src, dst = (colour.select(F.col("node").alias(end), F.col("colour").alias(f"_{end}")) for end in ("src", "dst"))
+        inside = cut(e.join(src, "src").join(dst, "dst").where("_src = _dst").select("src", "dst"))
+        found = cut(_reach(colour.where("node = colour"), inside).join(colour, "node").select("node", F.col("colour").alias("component")))
+        big = found.groupBy("component").agg(F.count("*").alias("_n"))
+        parts.append(cut(found.join(big, "component").join(looped, "node", "left").where("_n > 1 OR _own").select("node", "component")))
+        gone = found.select("node")
+        e = cut(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def roots(edges: DataFrame, targets: DataFrame, top: int = 5) -> DataFrame:
@@ -78,12 +111,13 @@ def roots(edges: DataFrame, targets: DataFrame, top: int = 5) -> DataFrame:
     What is carried backward is at most `top` roots per node, not every pair of a node and a root: the smallest
     roots of a node are the smallest of its callers' smallest. A round costs one join and one grouping of the edges.
     """
+    edges = cut(edges.select("src", "dst").distinct())
     called = edges.select(F.col("dst").alias("node")).distinct()
     nodes = edges.select(F.col("src").alias("node")).unionByName(called).unionByName(targets.select("node")).distinct()
     start = cut(nodes.join(called, "node", "left_anti").select("node", F.array("node").alias("best")))
     now, mark = start, None
     while True:
-        offer = edges.select("src", "dst").distinct().join(now.select(F.col("node").alias("src"), "best"), "src").select(F.col("dst").alias("node"), F.explode("best").alias("root"))
+        offer = edges.join(now.select(F.col("node").alias("src"), "best"), "src").select(F.col("dst").alias("node"), F.explode("best").alias("root"))
         known = now.select("node", F.explode("best").alias("root"))
         ranked = offer.unionByName(known).distinct().withColumn("_i", F.row_number().over(Window.partitionBy("node").orderBy("root"))).where(F.col("_i") <= top)
         now = cut(ranked.groupBy("node").agg(F.array_sort(F.collect_list("root")).alias("best")))
@@ -99,7 +133,7 @@ def improve(start: DataFrame, edges: DataFrame, weight: Callable[[Column, str],
 
     A node's rank only ever falls and the edge that lowered it is kept as its witness, so witnesses form no cycle.
     """
-    best = cut(start)
+    edges, best = cut(edges), cut(start)
     while True:
         offers = edges.join(best.select(F.col("node").alias("dst"), "rank"), "dst").select(F.col("src").alias("node"), (F.col("rank") if weight is None else weight(F.col("rank"), "edge")).alias("rank"), F.col("dst").alias("via"), "edge_ord")
         best_offer = offers.groupBy("node").agg(F.min(F.struct("rank", "edge_ord", "via")).alias("o"))
@@ -128,9 +162,10 @@ def witness_paths(best: DataFrame) -> DataFrame:
 
 def once_in_cycles(edges: DataFrame) -> DataFrame:
     """edges (src, dst, w) with w = 1 where both ends are in one component: such a call passes the callee's value on and multiplies nothing."""
+    edges = cut(edges.select("src", "dst", "w"))
     c = components(edges)
     own, other = (c.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst"))
-    return cut(edges.join(own, "src", "left").join(other, "dst", "left").select("src", "dst", F.when(F.col("_src") == F.col("_dst"), F.lit(1)).otherwise(F.col("w")).alias("w")))
+    return edges.join(own, "src", "left").join(other, "dst", "left").select("src", "dst", F.when(F.col("_src") == F.col("_dst"), F.lit(1)).otherwise(F.col("w")).alias("w"))
 
 
 def worst(values: DataFrame, edges: DataFrame, combine: Callable[[Column, Column], Column]) -> DataFrame:
@@ -139,6 +174,7 @@ def worst(values: DataFrame, edges: DataFrame, combine: Callable[[Column, Column
     Edges must be acyclic, or inside a cycle add nothing (`once_in_cycles`), and combine must not fall as the callee's value
     rises. A round follows the calls of the nodes whose value rose in the one before.
     """
+    edges = cut(edges.select("src", "dst", "w"))
     now = cut(values.groupBy("node").agg(F.max("value").alias("value")))
     risen = now
     while True:

@@ -99,11 +99,15 @@ def find(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: What narrows the edges of the queries that are fixed to it; `<query>_whole` takes the edges without it.
+EDGE_CUT = "a.l_quantity = 50 AND b.l_quantity >= 40"
+
+
+def edge(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Call edges between suppliers of consecutive lines of one order; the confidence follows the part. A caller's edges have ordinals of their own."""
     i = table(spark, sf_dir, "lineitem")
-    a = i.where("l_quantity = 50").select("l_orderkey", F.col("l_suppkey").alias("caller"), (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("pa"))
-    b = i.where("l_quantity >= 40").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("callee"))
+    a = some(i, "l_quantity = 50", whole).select("l_orderkey", F.col("l_suppkey").alias("caller"), (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("pa"))
+    b = some(i, "l_quantity >= 40", whole).select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("callee"))
     e = a.join(b, ["l_orderkey", "l_linenumber"]).where("caller <> callee")
     return e.groupBy("caller", "callee").agg((F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000 + F.col("callee")).alias("edge_ord"), F.max(F.when(F.col("pa") % 3 == 0, 1).otherwise(0)).alias("by_name"), F.min(F.col("pa") % 4).cast("int").alias("attempts"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect, graph, ledger
 from ..sources import sinks
-from .adapters import bnd, edge, find, r, some, table, views
+from .adapters import EDGE_CUT, bnd, edge, find, r, some, table, views
 from .catalogue import query, whole
 
 _CTX = "CASE function % 3 WHEN 0 THEN 'async' WHEN 1 THEN 'sync' ELSE 'offloaded' END"
@@ -29,9 +29,9 @@ def blocking_direct(spark, sf):
 s AS (SELECT node, rank FROM b UNION SELECT caller, rank FROM edge JOIN s ON callee = node WHERE by_name = 0 AND caller % 2 = 1), m AS (SELECT node, min(rank) AS rank FROM s GROUP BY node)
 SELECT caller, line, callee, CASE least(rank + by_name, 2) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT e.*, rank, row_number() OVER (PARTITION BY caller, line ORDER BY by_name, edge_ord, callee) AS i FROM e JOIN m ON m.node = callee WHERE caller % 2 = 0 AND callee % 2 = 1) WHERE i = 1"""
 )
-def blocking_chain(spark, sf):
+def blocking_chain(spark, sf, whole=False):
     """rule blocking-in-async (chain), sort.edges_by_conf, sort.boundaries_by_sev, sort.stable_ties: even suppliers are async"""
-    e = edge(spark, sf).withColumn("line", F.col("caller") % 9)
+    e = edge(spark, sf, whole).withColumn("line", F.col("caller") % 9)
     rank = F.when(F.col("category").isin("net", "db", "sleep"), 0).otherwise(1)
     start = bnd(spark, sf).where("function % 2 = 1").groupBy(F.col("function").alias("node")).agg(F.min(rank).alias("rank")).select("node", "rank", F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("edge_ord"))
     sync = e.where("by_name = 0 AND caller % 2 = 1").select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "edge_ord")
@@ -44,9 +44,9 @@ def blocking_chain(spark, sf):
     views("edge", "bnd", recursive=True)
     + ", r AS (SELECT function AS node FROM bnd WHERE category IN ('net', 'db') UNION SELECT caller FROM edge JOIN r ON callee = node) SELECT caller AS function, caller % 9 AS line, CASE WHEN bool_and(by_name = 1) THEN 'low' ELSE 'medium' END AS severity FROM edge WHERE attempts > 0 AND callee IN (SELECT node FROM r) AND caller % 4 <> 0 GROUP BY caller"
 )
-def io_in_loop(spark, sf):
+def io_in_loop(spark, sf, whole=False):
     """rule io-in-loop"""
-    e = edge(spark, sf)
+    e = edge(spark, sf, whole)
     reach = graph.reach(bnd(spark, sf).where("category IN ('net', 'db')").select(F.col("function").alias("node")), e.select(F.col("caller").alias("src"), F.col("callee").alias("dst")))
     calls = e.select(F.col("caller").alias("function"), "callee", (F.col("caller") % 9).alias("line"), F.col("attempts").alias("loop_depth"), (F.col("by_name") == 1).alias("forever"))
     retry = calls.where("function % 4 = 0").select("function", "line").distinct()
@@ -82,9 +82,9 @@ def cpu_heavy(spark, sf):
     views("edge", recursive=True)
     + ", c AS (SELECT caller AS s, callee AS d FROM edge UNION SELECT s, callee FROM c JOIN edge ON d = caller), cyc AS (SELECT s AS node FROM c WHERE s = d) SELECT caller AS function, min(edge_ord) AS edge_ord FROM edge WHERE callee IN (SELECT node FROM cyc) AND caller NOT IN (SELECT node FROM cyc) GROUP BY caller"
 )
-def cpu_heavy_recursion(spark, sf):
+def cpu_heavy_recursion(spark, sf, whole=False):
     """rule cpu-heavy-in-async (recursion): callers outside a cycle that call into one, once each"""
-    e = edge(spark, sf)
+    e = edge(spark, sf, whole)
     cyc = graph.components(e.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))).select("node")
     return e.join(cyc.withColumnRenamed("node", "callee"), "callee", "left_semi").join(cyc.withColumnRenamed("node", "caller"), "caller", "left_anti").groupBy(F.col("caller").alias("function")).agg(F.min("edge_ord").alias("edge_ord"))
 
@@ -164,10 +164,10 @@ def jvm_methods(spark, sf):
 
 
 @query(views("edge") + " SELECT caller, a.s_name AS caller_name, callee, b.s_name AS callee_name FROM edge LEFT JOIN supplier a ON a.s_suppkey = caller LEFT JOIN supplier b ON b.s_suppkey = callee")
-def edges_with_names(spark, sf):
+def edges_with_names(spark, sf, whole=False):
     """proj.map_json"""
     f = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return sinks.edges_with_names(edge(spark, sf).select("caller", "callee"), f)
+    return sinks.edges_with_names(edge(spark, sf, whole).select("caller", "callee"), f)
 
 
 @query("SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_suppkey) - 1 AS call_ord, l_suppkey AS callee FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 0 UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 20 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -198,6 +198,8 @@ def scaffold_skip(spark, sf):
     return p.join(p.where("page_id < 3").select("h").distinct(), "h", "left_semi").select("page_id")
 
 
+for _q in (blocking_chain, io_in_loop, cpu_heavy_recursion, edges_with_names):
+    whole(_q, EDGE_CUT)
 whole(stall_on_stack, "a.l_orderkey % 10 = 0", "o_orderkey % 10 = 0")
 whole(flatten_calls, "o_orderkey % 20 = 0")
 whole(rounding, "l_orderkey % 50 = 0")

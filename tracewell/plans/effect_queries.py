@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import effects, graph
-from .adapters import bnd, edge, r, some, table, views
+from .adapters import EDGE_CUT, bnd, edge, r, some, table, views
 from .catalogue import query, whole
 
 _INF = "CAST('Infinity' AS DOUBLE)"
@@ -29,7 +29,7 @@ SELECT caller, callee, CASE WHEN callee IN (SELECT node FROM r) AND attempts <>
 )
 def deadlines(spark, sf, whole=False):
     """agg.deadlines, rules deadline-cannot-preempt and timeout-budget-exceeded: a deadline of 10 s on every edge with attempts; three attempts run offloaded"""
-    e = edge(spark, sf).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "attempts")
+    e = edge(spark, sf, whole).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "attempts")
     b = bnd(spark, sf)
     own = b.groupBy(F.col("function").alias("node")).agg(F.max(F.coalesce("timeout_s", F.lit(effects.INFINITY))).alias("value"))
     calls = e.select("src", "dst", F.greatest("attempts", F.lit(1)).alias("w"))
@@ -114,9 +114,9 @@ def amplification(spark, sf, whole=False):
     + f""", own AS (SELECT function AS node, max(coalesce(timeout_s, {_INF})) AS v FROM bnd GROUP BY 1), p AS (SELECT node, v FROM own UNION SELECT caller, v FROM edge JOIN p ON callee = node), w AS (SELECT node, max(v) AS v FROM p GROUP BY node)
 SELECT node AS entry, CASE WHEN v < {_INF} THEN v END AS wait_s, v = {_INF} AS hangs FROM w WHERE node NOT IN (SELECT callee FROM edge)"""
 )
-def entries(spark, sf):
+def entries(spark, sf, whole=False):
     """agg.entries, rule hang-reaches-entry: functions that nothing calls"""
-    e = edge(spark, sf).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    e = edge(spark, sf, whole).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
     own = bnd(spark, sf).groupBy(F.col("function").alias("node")).agg(F.max(F.coalesce("timeout_s", F.lit(effects.INFINITY))).alias("value"))
     w = graph.worst(own, e.withColumn("w", F.lit(1)), lambda _, v: v)
     out = w.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
@@ -133,6 +133,7 @@ def io_without_timeout(spark, sf):
 
 
 whole(deadlines, twin=False)
+whole(entries, EDGE_CUT)
 whole(retries, "l_partkey % 20 = 0")
 # its products leave the exact range of doubles, so the two engines would differ by their order
 whole(amplification, "l_partkey % 20 = 0", "site % 5 = 0", twin=False)

@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, ledger
-from .adapters import act, bnd, edge, io, r, some, views
+from .adapters import EDGE_CUT, act, bnd, edge, io, r, some, views
 from .catalogue import query, whole
 
 
-def _edges(spark, sf):
-    return edge(spark, sf).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "edge_ord", "by_name", "attempts")
+def _edges(spark, sf, whole=False):
+    return edge(spark, sf, whole).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "edge_ord", "by_name", "attempts")
 
 
 @query(views("edge", "bnd", recursive=True) + ", r AS (SELECT function AS node FROM bnd WHERE category IN ('net', 'db') UNION SELECT caller FROM edge JOIN r ON callee = node) SELECT node FROM r")
-def io_reach(spark, sf):
+def io_reach(spark, sf, whole=False):
     """graph.io_reach, graph.edges"""
     start = bnd(spark, sf).where("category IN ('net', 'db')").select(F.col("function").alias("node"))
-    return graph.reach(start, _edges(spark, sf))
+    return graph.reach(start, _edges(spark, sf, whole))
 
 
 @query(views("edge", "bnd", recursive=True) + ", r AS (SELECT function AS target, function AS node FROM bnd UNION SELECT target, caller FROM edge JOIN r ON callee = node) SELECT target, array_to_string(list_transform(list_sort(list(DISTINCT node))[1:5], lambda x: CAST(x AS VARCHAR)), ',') AS roots FROM r WHERE node NOT IN (SELECT callee FROM edge) GROUP BY target")
-def roots(spark, sf):
+def roots(spark, sf, whole=False):
     """graph.roots, topk.roots5"""
     t = bnd(spark, sf).select(F.col("function").alias("node"))
-    return graph.roots(_edges(spark, sf), t).select("target", F.array_join(F.col("roots").cast("array<string>"), ",").alias("roots"))
+    return graph.roots(_edges(spark, sf, whole), t).select("target", F.array_join(F.col("roots").cast("array<string>"), ",").alias("roots"))
 
 
 @query(views("edge", recursive=True) + ", c AS (SELECT caller AS s, callee AS d FROM edge UNION SELECT s, callee FROM c JOIN edge ON d = caller) SELECT a.s AS node, least(min(a.d), a.s) AS component FROM c a JOIN c b ON a.s = b.d AND a.d = b.s GROUP BY a.s")
-def scc(spark, sf):
+def scc(spark, sf, whole=False):
     """graph.scc, rule recursion"""
-    return graph.components(_edges(spark, sf))
+    return graph.components(_edges(spark, sf, whole))
 
 
 _RANK = "CASE category WHEN 'net' THEN 0 WHEN 'db' THEN 0 WHEN 'sleep' THEN 0 ELSE 1 END"
@@ -42,9 +42,9 @@ _RANK = "CASE category WHEN 'net' THEN 0 WHEN 'db' THEN 0 WHEN 'sleep' THEN 0 EL
 a AS (SELECT node, min(rank) AS rank FROM s1 GROUP BY node), s2 AS (SELECT node, rank FROM a UNION SELECT caller, CASE WHEN by_name = 1 THEN least(rank + 1, 2) ELSE rank END FROM edge JOIN s2 ON callee = node)
 SELECT node, CASE min(rank) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM s2 GROUP BY node"""
 )
-def blocks_stratified(spark, sf):
+def blocks_stratified(spark, sf, whole=False):
     """graph.blocks: certain edges first, then edges by name with a downgrade"""
-    e = _edges(spark, sf)
+    e = _edges(spark, sf, whole)
     rank = F.when(F.col("category").isin("net", "db", "sleep"), 0).otherwise(1)
     start = bnd(spark, sf).groupBy(F.col("function").alias("node")).agg(F.min(rank).alias("rank")).select("node", "rank", F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("edge_ord"))
     first = graph.improve(start, e.where("by_name = 0"))
@@ -60,7 +60,7 @@ p AS (SELECT node, node AS last, 1 AS len FROM m WHERE d <= 6 UNION ALL SELECT p
 )
 def block_path(spark, sf, whole=False):
     """graph.block_path, graph.io_chain: shortest witness chains to a boundary; of at most six calls as the twin has it, or of any length"""
-    e = _edges(spark, sf)
+    e = _edges(spark, sf, whole)
     start = bnd(spark, sf).select(F.col("function").alias("node")).distinct().select("node", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("edge_ord"))
     best = graph.improve(start, e, lambda rk, _: rk + 1)
     # the witness of a node is its first edge toward a node one step nearer
@@ -77,7 +77,7 @@ _DAG = "SELECT caller, callee, attempts FROM edge WHERE caller > callee AND by_n
 
 def _weighted(spark, sf, w, whole):
     """Certain edges to a smaller id, as the twins have it, or every edge with calls inside a cycle counted once."""
-    e = _edges(spark, sf).withColumn("w", w)
+    e = _edges(spark, sf, whole).withColumn("w", w)
     return graph.once_in_cycles(e) if whole else e.where("src > dst AND by_name = 0").select("src", "dst", "w")
 
 
@@ -169,20 +169,22 @@ def io_under(spark, sf):
 
 
 @query(views("edge", "bnd") + ", c AS (SELECT caller AS function, callee, edge_ord, row_number() OVER (PARTITION BY callee ORDER BY by_name, attempts DESC, edge_ord, caller) AS i FROM edge JOIN bnd ON bnd.function = callee WHERE category = 'net') SELECT function, callee AS origin, i AS ord FROM c WHERE i <= 3")
-def derive_callers(spark, sf):
+def derive_callers(spark, sf, whole=False):
     """graph.derive, topk.derived3, rule propagated"""
     net = bnd(spark, sf).where("category = 'net'").select(F.col("function").alias("callee"))
-    return ledger.derived(edge(spark, sf), net, ["by_name", F.desc("attempts"), "edge_ord", "caller"])
+    return ledger.derived(edge(spark, sf, whole), net, ["by_name", F.desc("attempts"), "edge_ord", "caller"])
 
 
 @query(views("edge", "bnd", recursive=True) + ", r AS (SELECT function AS node FROM bnd UNION SELECT caller FROM edge JOIN r ON callee = node WHERE by_name = 0) SELECT caller, callee, callee IN (SELECT node FROM r) AS cannot_preempt FROM edge WHERE attempts >= 2")
-def cannot_preempt(spark, sf):
+def cannot_preempt(spark, sf, whole=False):
     """graph.cannot_preempt, graph.async_blocks: a deadline over a callee that blocks is useless"""
-    e = _edges(spark, sf)
+    e = _edges(spark, sf, whole)
     blocks = graph.reach(bnd(spark, sf).select(F.col("function").alias("node")), e.where("by_name = 0")).withColumn("_b", F.lit(True))
     return e.where("attempts >= 2").join(blocks, e["dst"] == blocks["node"], "left").select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.coalesce("_b", F.lit(False)).alias("cannot_preempt"))
 
 
+for _q in (io_reach, roots, scc, blocks_stratified, derive_callers, cannot_preempt):
+    whole(_q, EDGE_CUT)
 whole(block_path, twin=False)
 whole(wait_worst, twin=False)
 whole(amp_best, twin=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals, ledger, resolve
-from .adapters import act, bnd, edge, find, fnrange, ival, line, link, some, table, tick, views
+from .adapters import EDGE_CUT, act, bnd, edge, find, fnrange, ival, line, link, some, table, tick, views
 from .catalogue import query, whole
 from .window_queries import gap_windows
 
@@ -175,16 +175,16 @@ def repro_fallback(spark, sf, whole=False):
 
 
 @query(views("edge") + " SELECT callee % 20 AS name, count(*) AS n, array_to_string(list_transform(list_sort(list(caller * 100000 + attempts))[1:5], lambda x: CAST(x AS VARCHAR)), ',') AS callers FROM edge GROUP BY 1")
-def callers_of(spark, sf):
+def callers_of(spark, sf, whole=False):
     """join.callers: names collide on purpose, their callers merge"""
-    e = edge(spark, sf).select((F.col("callee") % 20).alias("name"), (F.col("caller") * 100000 + F.col("attempts")).alias("c"))
+    e = edge(spark, sf, whole).select((F.col("callee") % 20).alias("name"), (F.col("caller") * 100000 + F.col("attempts")).alias("c"))
     return ledger.callers(e, "name", ["c"], F.col("c")).select("name", "n", F.array_join(F.col("callers").cast("array<string>"), ",").alias("callers"))
 
 
 @query(views("edge", "bnd") + ", b AS (SELECT caller % 50 AS line, min(edge_ord) AS first_edge FROM edge GROUP BY 1) SELECT function, category, first_edge FROM bnd LEFT JOIN b ON bnd.function % 50 = b.line")
-def boundary_at(spark, sf):
+def boundary_at(spark, sf, whole=False):
     """join.b_at, join.e_at: the first edge at a site"""
-    first = resolve.first_per_key(edge(spark, sf).withColumn("line", F.col("caller") % 50), ["line"], ["edge_ord"]).select("line", F.col("edge_ord").alias("first_edge"))
+    first = resolve.first_per_key(edge(spark, sf, whole).withColumn("line", F.col("caller") % 50), ["line"], ["edge_ord"]).select("line", F.col("edge_ord").alias("first_edge"))
     return bnd(spark, sf).withColumn("at", F.col("function") % 50).join(first, F.col("at") == first["line"], "left").select("function", "category", "first_edge")
 
 
@@ -221,4 +221,6 @@ def bench_coverage(spark, sf):
     return hit.groupBy("lang").agg(F.count_distinct("item_id").alias("items_found"), F.count("*").alias("matches"))
 
 
+for _q in (callers_of, boundary_at):
+    whole(_q, EDGE_CUT)
 whole(repro_fallback, "l_orderkey % 3 = 0")

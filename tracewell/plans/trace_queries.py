@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ledger, stats
-from .adapters import act, bnd, edge, find, io, r, some, table, views
+from .adapters import EDGE_CUT, act, bnd, edge, find, io, r, some, table, views
 from .catalogue import query, whole
 
 _P95 = """SELECT {k}, sum(CASE WHEN n = 1 THEN v WHEN i = lo THEN v * (20 - (19 * (n + 1) - 20 * lo)) / 20 WHEN i = lo + 1 THEN v * (19 * (n + 1) - 20 * lo) / 20 ELSE 0.0 END) AS p95
@@ -129,11 +129,11 @@ SELECT function, round(CAST(sev AS DOUBLE) + 2 * greatest(coalesce(loop_depth, 0
 FROM (SELECT function, sum(CASE severity WHEN 'high' THEN 5.0 WHEN 'medium' THEN 2.0 WHEN 'low' THEN 0.5 ELSE 1.0 END) AS sev FROM find GROUP BY 1)
 LEFT JOIN (SELECT callee AS function, count(*) AS fan_in FROM edge GROUP BY 1) USING (function) LEFT JOIN (SELECT function, count(*) AS n_bnd FROM bnd GROUP BY 1) USING (function) LEFT JOIN d USING (function) ORDER BY score DESC, function DESC LIMIT 25"""
 )
-def hotspots(spark, sf):
+def hotspots(spark, sf, whole=False):
     """agg.hotspots, topk.hotspots25"""
     f = find(spark, sf)
     depth = f.where("quantity >= 45").groupBy("function").agg(F.max("line").alias("loop_depth"))
-    return stats.hotspots(f, edge(spark, sf), depth, bnd(spark, sf))
+    return stats.hotspots(f, edge(spark, sf, whole), depth, bnd(spark, sf))
 
 
 @query("SELECT o_custkey AS finding, count(*) AS attempts, arg_max(o_orderstatus, o_orderkey) AS verdict, max(o_orderkey) AS seq FROM orders GROUP BY 1")
@@ -163,5 +163,6 @@ def fingerprint(spark, sf):
     return p.groupBy("p_brand").agg(F.sha2(F.array_join(rows, ",").cast("binary"), 256).alias("fingerprint"))
 
 
+whole(hotspots, EDGE_CUT)
 whole(constants_consistent, "p_partkey % 40 = 0")
 whole(instances_of, "c_custkey % 29 = 0")
