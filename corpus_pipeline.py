@@ -33,7 +33,7 @@ def _parts(out: DataFrame, docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. The model learns from the labels of the documents at hand.
 
-    Null and empty texts are scored without savings and stay; without labels all documents stay unless most labels are toxic.
+    Null and empty texts are scored without savings and stay; without labels, or with labels of one class only, all documents stay.
     """
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
     return _parts(scored.where("predicted = 0").select(*COLUMNS), docs)

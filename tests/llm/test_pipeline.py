@@ -66,5 +66,12 @@ def test_stage_on_awkward_rows(spark, tmp_path, name, stage):
     assert stage(spark, extra.limit(0), str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 1, 1), (2, 0, 1)], [(1, None, None)]])
+def test_no_document_goes_without_usable_labels(spark, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark).select(*c.COLUMNS)
+    assert c.toxicity(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_run(spark):
     assert c.run(spark, f"{ROOT}/sf0.001").count() > 0

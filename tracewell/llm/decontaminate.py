@@ -188,9 +188,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", text:
     A row with a null id is scanned and its id stays null. Repeated rows and repeated items give repeated matches. A text may be
     of any length; an empty table gives no row. Ids are integers: one that is no number counts as null.
     """
-    rows = benchmark.select(F.col(item_ids).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator()
+    rows = benchmark.select(F.col(item_ids).try_cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator()
     items = [(r["i"], c) for r in rows if (c := canonical(r["t"]))]
-    slim = lean(docs.select(named(ids).cast("long").alias("doc_id"), named(text).alias("text")))
+    slim = lean(docs.select(named(ids).try_cast("long").alias("doc_id"), named(text).alias("text")))
     parts = [slim.mapInArrow(_scan(b, percent), "doc_id long, item_id long, edits long, at long") for b in blocks(items, block_chars)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -203,4 +203,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", **
     """
     own = fresh(docs, "leak_id")
     hit = find_leaks(docs, benchmark, ids, **kw).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(hit, named(ids).cast("long") == F.col(own), "left_anti")
+    return docs.join(hit, named(ids).try_cast("long") == F.col(own), "left_anti")

@@ -67,7 +67,7 @@ def _points(docs: DataFrame, ids: str, text: str, keep: list[str]) -> DataFrame:
         (size / F.greatest(F.length(t), F.lit(1))).alias("width"),
         F.log2(size / (F.length(t) - F.length(F.translate(t, "\n", "")) + 1) + 1).alias("line"),
         # rows without an id are told apart by where they were read; the checkpoint keeps that
-        F.shiftright(F.coalesce(named(ids).cast("long"), F.xxhash64(F.monotonically_increasing_id())), 1).alias("_tie"),
+        F.shiftright(F.coalesce(named(ids).try_cast("long"), F.xxhash64(F.monotonically_increasing_id())), 1).alias("_tie"),
     )
 
 

@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
     may be of any length. Ids are integers: an id that is no number counts as null. Input columns named like an output are replaced.
     """
     spark = docs.sparkSession
-    slim = lean(docs.select(named(ids).cast("long").alias("id"), named(text).alias("text")).where("id IS NOT NULL"))
+    slim = lean(docs.select(named(ids).try_cast("long").alias("id"), named(text).alias("text")).where("id IS NOT NULL"))
     n = slim.count()
     signed = cut(gathered(slim, n, PART_TEXTS).mapInArrow(_sign, "id long, digest binary, bands binary"))
     copies = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.max("bands").alias("bands"))
@@ -332,6 +332,6 @@ def near_duplicates(docs: DataFrame, ids: str = "doc_id", text: str = "text", le
     sizes = _per(known, "class_id", F.count("*").alias("class_size"))
     known = known.join(sizes, "class_id")
     own = fresh(docs, "near_id")
-    out = docs.select(*map(named, without(docs, OUT))).join(known.withColumnRenamed("id", own), named(ids).cast("long") == F.col(own), "left").drop(own)
-    found = {"class_id": F.coalesce("class_id", named(ids).cast("long")), "class_size": F.coalesce("class_size", F.lit(1)).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}
+    out = docs.select(*map(named, without(docs, OUT))).join(known.withColumnRenamed("id", own), named(ids).try_cast("long") == F.col(own), "left").drop(own)
+    found = {"class_id": F.coalesce("class_id", named(ids).try_cast("long")), "class_size": F.coalesce("class_size", F.lit(1)).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}
     return out.select(*map(named, without(docs, OUT)), *[found[c].alias(c) for c in OUT])

@@ -139,8 +139,8 @@ def _score(model: QualityModel, cut: float, at: int, n: int):
 def score_quality(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS, cut: float = 0.7, only: list[str] | None = None) -> DataFrame:
     """docs (or the columns in `only`), plus held_out boolean, score double in 0..1 and predicted int (score >= cut).
 
-    Learns from at most sample_rows labelled rows whose crc32 of the id modulo `folds` is not `held`. A null
-    or empty text has no feature and gets the score of the constant. A null id is in fold 0. Without labels every score is 0.5.
+    Learns from at most sample_rows labelled rows whose crc32 of the id modulo `folds` is not `held` (at most toxicity.SAMPLE_BYTES of text,
+    none over toxicity.SAMPLE_TEXT). A null or empty text has no feature and gets the score of the constant. A null id is in fold 0. Without labels every score is 0.5.
     Repeated rows are scored alike, an empty table gives none, and a text may be of any length.
     Input columns named like an output are replaced.
     """

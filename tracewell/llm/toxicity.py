@@ -38,8 +38,8 @@ STEPS = (1, 2, 3, 4)
 LEAST_ODDS, LEAST_GAIN = 1.5, 20.0
 #: Bytes that a match itself costs; share of the toxic rows from which a whole word is a passage of its own.
 MATCH_COST, WHOLE_SHARE = 3, 0.05
-#: Bytes of labelled texts that the driver takes for fitting, at most.
-SAMPLE_BYTES = 64 << 20
+#: Bytes of labelled texts that the driver takes for fitting, at most, and of one of them. A longer text is not learned from; no other row is lost by it.
+SAMPLE_BYTES, SAMPLE_TEXT = 64 << 20, 1 << 20
 OUT = ["held_out", "score", "predicted"]
 _EDGE = b".,;:!?#*$%&|<>\"'()[]{}-"
 
@@ -133,7 +133,7 @@ def originals(texts: list[str | None]) -> list[int]:
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
-    """Trains dictionaries and calibration on the texts that are no copies; without both classes every score is the share of toxic rows."""
+    """Trains dictionaries and calibration on the texts that are no copies; without both classes nothing is known and every score is next to 0."""
     own = originals(texts)
     texts, toxic = [texts[i] for i in own], [toxic[i] for i in own]
     y = np.array(toxic, float)
@@ -180,15 +180,15 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     if 0 < y.sum() < len(y):
         model.weights = logistic((x - model.mean) / model.scale, y)
     else:
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        model.weights = np.concatenate([[math.log(share / (1 - share))], np.zeros(x.shape[1])])
+        model.weights = np.concatenate([[-30.0], np.zeros(x.shape[1])])
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, ids: str = "doc_id", text: str = "text", most_bytes: int = SAMPLE_BYTES) -> list[tuple[str | None, int]]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, ids: str = "doc_id", text: str = "text", most_bytes: int = SAMPLE_BYTES, most_text: int = SAMPLE_TEXT) -> list[tuple[str | None, int]]:
     """(text, label) of at most `rows` labelled ids outside the held-out fold, those with the smallest hashes, and no more than `most_bytes` of text.
 
-    An id that repeats gives its smallest text, so the driver takes one text per id.
+    An id that repeats gives its smallest text, so the driver takes one text per id. Texts of more than `most_text` bytes are not
+    taken, and they take no room from others: `most_bytes` only ends the sample after that many bytes of shorter texts.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col(ids).isNotNull())
@@ -199,8 +199,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
         .limit(rows)
     )
     texts = docs.select(F.col(ids).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
-    # the window is over at most `rows` rows
-    sized = texts.withColumn("_bytes", F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(Window.orderBy(F.xxhash64("_id"), "_id")))
+    # the window is over at most `rows` rows of at most `most_text` bytes
+    sized = texts.where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= most_text).withColumn("_bytes", F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(Window.orderBy(F.xxhash64("_id"), "_id")))
     got = sized.where(F.col("_bytes") <= most_bytes).select("_id", "_text", "_label").collect()
     return [(r["_text"], int(r["_label"])) for r in sorted(got, key=lambda r: (r["_id"], r["_text"] or ""))]
 
@@ -219,9 +219,9 @@ def _score(model: ToxicityModel, cut: float, at: int, n: int):
 def score_toxicity(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS, cut: float = 0.5, only: list[str] | None = None) -> DataFrame:
     """docs (or the columns in `only`), plus held_out boolean, score double in 0..1 and predicted int (score >= cut).
 
-    Learns from at most sample_rows labelled rows whose crc32 of the id modulo `folds` is not `held`. A null
-    or wordless text is scored like any other text without savings. A null id is in fold 0. With no usable label, or one class
-    only, every row has the share of toxic rows as its score. Repeated rows are scored alike, an empty table gives none, and a
+    Learns from at most sample_rows labelled rows whose crc32 of the id modulo `folds` is not `held` (at most SAMPLE_BYTES of text, none
+    over SAMPLE_TEXT). A null or wordless text is scored like any other text without savings. A null id is in fold 0. With no usable label, or one class
+    only, nothing tells toxic from ordinary text: every score is next to 0 and no row is predicted toxic. Repeated rows are scored alike, an empty table gives none, and a
     text may be of any length. Input columns named like an output are replaced.
     """
     rows = labelled(docs, labels, label, folds, held, sample_rows, ids, text)
