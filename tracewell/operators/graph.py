@@ -27,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _round(df: DataFrame, key: str) -> DataFrame:
+    """df cut as one round of several that are put together later: it must not claim to be dealt by its key, as each round is dealt into parts of its own number."""
+    rest = [c for c in df.columns if c != key]
+    return cut(df.select(F.struct(key).alias("_key"), *rest)).select(F.col("_key")[key].alias(key), *rest)
+
+
 def reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     """graph.io_reach: nodes from which `start` can be reached (edges src -> dst), start included; one frontier a round."""
     return _reach(start, cut(edges.select("src", "dst")))
@@ -106,26 +112,86 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def roots(edges: DataFrame, targets: DataFrame, top: int = 5) -> DataFrame:
-    """graph.roots: for each target the first `top` callers without callers that reach it, as (target, roots).
+    """graph.roots: (target, root, place) of the first `top` callers without callers that reach a target, entries first, then by hops, then by id.
+
+    edges: src, dst; targets: node, and both may carry nothing else; `entries` are the nodes whose `entry` is true in edges' `src_entry`, if that
+    column is there. A node without callers is no root of itself.
+
+    A node carries labels (not entry, hops, root), at most `top` of them: what is among the first of a node is among the first of one of its
+    callers, since a call adds one hop to all of a caller's labels alike. Only nodes whose labels changed are followed in a round, and only what they offer
+    is joined with the labels that their callees have; labels of earlier rounds are not written again.
+    """
+    entry = F.col("src_entry") if "src_entry" in edges.columns else F.lit(False)
+    e = cut(edges.select("src", "dst", entry.alias("entry")).distinct())
+    called = e.select(F.col("dst").alias("node")).distinct()
+    label = lambda hops, root: F.struct((~F.col("entry")).alias("later"), hops.cast("int").alias("hops"), root.alias("root"))
+    sources = e.groupBy(F.col("src").alias("node")).agg(F.max("entry").alias("entry")).join(called, "node", "left_anti")
+    front = _round(sources.select("node", F.array(label(F.lit(0), F.col("node"))).alias("labels")), "node")
+    log, number = front.withColumn("number", F.lit(0)), 0
+    pairs = cut(e.select("src", "dst").distinct())
+    while True:
+        offer = pairs.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.explode("labels").alias("x"))
+        offer = offer.groupBy("node", "x.root", "x.later").agg(F.min(F.col("x.hops") + 1).alias("hops"))
+        touched = offer.select("node").distinct()
+        had = log.join(touched, "node", "left_semi").groupBy("node").agg(F.max_by("labels", "number").alias("had"))
+        old = had.select("node", F.explode("had").alias("x")).select("node", "x.root", "x.later", "x.hops")
+        both = offer.unionByName(old).groupBy("node", "root", "later").agg(F.min("hops").alias("hops"))
+        ranked = both.withColumn("_i", F.row_number().over(Window.partitionBy("node").orderBy("later", "hops", "root"))).where(F.col("_i") <= top)
+        now = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("later", "hops", "root"))).alias("labels"))
+        front = _round(now.join(had, "node", "left").where("had IS NULL OR labels <> had").select("node", "labels"), "node")
+        if front.isEmpty():
+            break
+        number += 1
+        log = log.unionByName(front.withColumn("number", F.lit(number)))
+    last = log.join(targets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max_by("labels", "number").alias("labels"))
+    return last.select(F.col("node").alias("target"), F.posexplode("labels").alias("place", "x")).where("x.root <> target").select("target", F.col("x.root").alias("root"), "place")
 
-    What is carried backward is at most `top` roots per node, not every pair of a node and a root: the smallest
-    roots of a node are the smallest of its callers' smallest. A round costs one join and one grouping of the edges.
+
+def async_blocks(functions: DataFrame, direct: DataFrame, calls: DataFrame, blocks: DataFrame) -> DataFrame:
+    """graph.async_blocks: (node, path) of the asynchronous functions that block, with the path by which they do.
+
+    functions: node, is_async; direct: node, line of a blocking boundary that is called in an asynchronous context; calls: src, dst, line of calls in
+    such a context; blocks: node, via of the functions that block, with the next on the way or null, as `improve` gives them.
+
+    An asynchronous function blocks if one of its calls is a blocking boundary, a synchronous function that blocks, or an asynchronous
+    function that does so itself. The first two kinds start the loop, the third carries it on over the nodes found in the round before. A
+    function's way goes over its first such call, by line and then callee, among those whose callee was found in an earlier round, so that
+    no way leads in a circle.
     """
-    edges = cut(edges.select("src", "dst").distinct())
-    called = edges.select(F.col("dst").alias("node")).distinct()
-    nodes = edges.select(F.col("src").alias("node")).unionByName(called).unionByName(targets.select("node")).distinct()
-    start = cut(nodes.join(called, "node", "left_anti").select("node", F.array("node").alias("best")))
-    now, mark = start, None
+    kind = cut(functions.select("node", "is_async").distinct())
+    asks = kind.where("is_async").select(F.col("node").alias("src"))
+    inner = calls.select("src", "dst", "line").join(asks, "src", "left_semi").join(kind.select(F.col("node").alias("dst"), F.col("is_async").alias("to_async")), "dst")
+    e = cut(inner)
+    blocking = cut(blocks.select("node", "via").distinct())
+    sync = e.where("NOT to_async").join(blocking.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "line", F.col("dst").alias("via"))
+    own = direct.select("node", "line").join(asks.withColumnRenamed("src", "node"), "node", "left_semi").select("node", "line", F.lit(None).cast(e.schema["dst"].dataType).alias("via"))
+    # a boundary comes before a call of the same line
+    first = own.unionByName(sync).groupBy("node").agg(F.min(F.struct("line", F.col("via").isNotNull().alias("call"), "via")).alias("w"))
+    front = _round(first.select("node", F.lit(0).alias("round"), F.col("w.line").alias("line"), F.col("w.via").alias("via")), "node")
+    found, number = front, 0
+    onward = e.where("to_async").select("src", "dst", "line")
     while True:
-        offer = edges.join(now.select(F.col("node").alias("src"), "best"), "src").select(F.col("dst").alias("node"), F.explode("best").alias("root"))
-        known = now.select("node", F.explode("best").alias("root"))
-        ranked = offer.unionByName(known).distinct().withColumn("_i", F.row_number().over(Window.partitionBy("node").orderBy("root"))).where(F.col("_i") <= top)
-        now = cut(ranked.groupBy("node").agg(F.array_sort(F.collect_list("root")).alias("best")))
-        row = now.agg(F.sum(F.size("best")).alias("n"), F.sum(F.hash("node", "best").cast("long")).alias("h")).first()
-        if (row["n"], row["h"]) == mark:
+        number += 1
+        near = onward.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+        # all callees that were found so far, of which the first call counts
+        step = onward.withColumnRenamed("src", "node").join(near, "node", "left_semi").join(found.select(F.col("node").alias("dst")), "dst", "left_semi")
+        front = _round(step.groupBy("node").agg(F.min(F.struct("line", "dst")).alias("w")).select("node", F.lit(number).alias("round"), F.col("w.line").alias("line"), F.col("w.dst").alias("via")), "node")
+        if front.isEmpty():
             break
-        mark = (row["n"], row["h"])
-    return targets.select(F.col("node").alias("target")).distinct().join(now.select(F.col("node").alias("target"), F.col("best").alias("roots")), "target")
+        found = found.unionByName(front)
+    # synchronous functions on the way are followed by the witnesses of their own
+    tree = cut(found.select("node", "via").unionByName(blocking.join(kind.where("NOT is_async"), "node", "left_semi").select("node", "via")))
+    return witness_paths(tree).join(found.select("node"), "node", "left_semi")
+
+
+def cannot_preempt(calls: DataFrame, functions: DataFrame, blocks: DataFrame, ways: DataFrame) -> DataFrame:
+    """graph.cannot_preempt: calls (src, dst, offloaded, ...) with `path`, the way by which the callee blocks, or null if a deadline can end it.
+
+    ways: node, path of `async_blocks`; blocks as there. What is offloaded can always be left alone.
+    """
+    sync = witness_paths(blocks.select("node", "via")).join(functions.where("NOT is_async").select("node"), "node", "left_semi")
+    way = sync.unionByName(ways.select("node", "path")).select(F.col("node").alias("dst"), F.col("path").alias("_path"))
+    return calls.join(way, "dst", "left").withColumn("path", F.when(~F.col("offloaded"), F.col("_path"))).drop("_path")
 
 
 def improve(start: DataFrame, edges: DataFrame, weight: Callable[[Column, str], Column] | None = None) -> DataFrame:

@@ -36,4 +36,4 @@ def whole(f: Query, *cuts: str, twin: bool = True) -> None:
         ORACLES[name] = sql
 
 
-from . import detect_queries, effect_queries, graph_queries, join_queries, rank_queries, rule_queries, source_queries, trace_queries, window_queries  # noqa: E402, F401
+from . import boundary_queries, detect_queries, effect_queries, graph_queries, join_queries, rank_queries, rule_queries, source_queries, trace_queries, window_queries  # noqa: E402, F401

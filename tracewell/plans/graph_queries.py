@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, ledger
-from .adapters import EDGE_CUT, act, bnd, edge, io, r, some, views
+from ..operators import forest, graph, ledger
+from .adapters import EDGE_CUT, act, bnd, call, edge, io, r, some, stop, views
 from .catalogue import query, whole
 
 
@@ -20,11 +20,66 @@ def io_reach(spark, sf, whole=False):
     return graph.reach(start, _edges(spark, sf, whole))
 
 
-@query(views("edge", "bnd", recursive=True) + ", r AS (SELECT function AS target, function AS node FROM bnd UNION SELECT target, caller FROM edge JOIN r ON callee = node) SELECT target, array_to_string(list_transform(list_sort(list(DISTINCT node))[1:5], lambda x: CAST(x AS VARCHAR)), ',') AS roots FROM r WHERE node NOT IN (SELECT callee FROM edge) GROUP BY target")
-def roots(spark, sf, whole=False):
-    """graph.roots, topk.roots5"""
+def _roots_sql(view: str, targets: str, entry: str, most: int) -> str:
+    """Roots by a walk of at most `most` calls, which the graphs here do not need."""
+    return (
+        views(*view.split(), recursive=True)
+        + f""", e AS (SELECT DISTINCT caller, callee FROM {view.split()[0]}), w AS ({targets}), r AS (SELECT target, target AS node, 0 AS d FROM w UNION SELECT target, caller, d + 1 FROM e JOIN r ON callee = node WHERE d < {most}),
+n AS (SELECT target, node, min(d) AS d FROM r WHERE node <> target AND node NOT IN (SELECT callee FROM e) GROUP BY ALL),
+o AS (SELECT target, node AS root, row_number() OVER (PARTITION BY target ORDER BY NOT ({entry}), d, node) - 1 AS place FROM n) SELECT target, root, CAST(place AS INTEGER) AS place FROM o WHERE place < 5"""
+    )
+
+
+@query(_roots_sql("edge bnd", "SELECT DISTINCT function AS target FROM bnd", "node % 11 = 0", 60))
+def roots(spark, sf):
+    """graph.roots, topk.roots5 over the narrow edges: entries first, then by hops"""
     t = bnd(spark, sf).select(F.col("function").alias("node"))
-    return graph.roots(_edges(spark, sf, whole), t).select("target", F.array_join(F.col("roots").cast("array<string>"), ",").alias("roots"))
+    return graph.roots(_edges(spark, sf).withColumn("src_entry", F.col("src") % 11 == 0), t)
+
+
+@query(_roots_sql("call stop", "SELECT node AS target FROM stop", "node % 11 = 0", 14))
+def roots_whole(spark, sf):
+    """graph.roots, topk.roots5 over all consecutive lines: entries first, then by hops"""
+    e = call(spark, sf).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), (F.col("caller") % 11 == 0).alias("src_entry"))
+    return graph.roots(e, stop(spark, sf))
+
+
+_WAYS = """, sync AS (SELECT caller, callee, line FROM call WHERE caller % 3 <> 0 AND callee % 3 <> 0 AND NOT offloaded),
+lv AS (SELECT node, 0 AS d FROM stop WHERE node % 3 <> 0 UNION SELECT caller, d + 1 FROM sync JOIN lv ON callee = node WHERE d < 20), m AS (SELECT node, min(d) AS d FROM lv GROUP BY node),
+bv AS (SELECT a.node, CASE WHEN a.d = 0 THEN NULL ELSE (SELECT arg_min(callee, (line, callee)) FROM sync JOIN m b ON b.node = callee WHERE caller = a.node AND b.d = a.d - 1) END AS via FROM m a),
+ac AS (SELECT caller, callee, line FROM call WHERE caller % 3 = 0 AND NOT offloaded),
+z AS (SELECT node, line, 0 AS k, CAST(NULL AS BIGINT) AS via FROM stop WHERE node % 3 = 0 UNION ALL SELECT caller, line, 1, callee FROM ac JOIN bv ON node = callee),
+al AS (SELECT DISTINCT node, 0 AS d FROM z UNION SELECT caller, d + 1 FROM ac JOIN al ON callee = node WHERE d < 20), ar AS (SELECT node, min(d) AS d FROM al GROUP BY node),
+aw AS (SELECT node, arg_min({'v': via}, (line, k, coalesce(via, 0))).v AS via FROM z GROUP BY node
+  UNION ALL SELECT a.node, arg_min(callee, (line, callee)) FROM ar a JOIN ac ON caller = a.node JOIN ar b ON b.node = callee AND b.d < a.d WHERE a.d > 0 GROUP BY a.node),
+tree AS (SELECT node, via FROM aw UNION ALL SELECT node, via FROM bv),
+p AS (SELECT node, via AS last, CAST(node AS VARCHAR) AS path FROM tree UNION ALL SELECT p.node, tree.via, path || '>' || CAST(tree.node AS VARCHAR) FROM p JOIN tree ON p.last = tree.node),
+way AS (SELECT node, path FROM p WHERE last IS NULL)"""
+
+
+def _ways(spark, sf):
+    """(functions, calls, ways of the synchronous functions that block, ways of the asynchronous ones) over all consecutive lines."""
+    e = graph.cut(call(spark, sf).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "line", "offloaded"))
+    functions = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).unionByName(stop(spark, sf).select("node")).distinct().withColumn("is_async", F.col("node") % 3 == 0)
+    held = e.where("NOT offloaded").select("src", "dst", "line")
+    start = stop(spark, sf).where("node % 3 <> 0").select("node", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("edge_ord"))
+    blocks = graph.improve(start, held.where("src % 3 <> 0 AND dst % 3 <> 0").withColumnRenamed("line", "edge_ord"), lambda rank, _: rank + 1).select("node", "via")
+    return functions, e, blocks, graph.async_blocks(functions, stop(spark, sf), held, blocks)
+
+
+@query(views("call", "stop", recursive=True) + _WAYS + " SELECT node, path FROM way WHERE node % 3 = 0")
+def async_ways(spark, sf):
+    """graph.async_blocks: asynchronous functions that block, with the way"""
+    *_, ways = _ways(spark, sf)
+    return ways.select("node", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(views("call", "stop", recursive=True) + _WAYS + " SELECT caller, callee, CASE WHEN NOT offloaded THEN path END AS path FROM call LEFT JOIN way ON node = callee")
+def preempt_ways(spark, sf):
+    """graph.cannot_preempt: every call with the way by which no deadline can end it"""
+    functions, e, blocks, ways = _ways(spark, sf)
+    found = graph.cannot_preempt(e, functions, blocks, ways)
+    return found.select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(views("edge", recursive=True) + ", c AS (SELECT caller AS s, callee AS d FROM edge UNION SELECT s, callee FROM c JOIN edge ON d = caller) SELECT a.s AS node, least(min(a.d), a.s) AS component FROM c a JOIN c b ON a.s = b.d AND a.d = b.s GROUP BY a.s")
@@ -111,43 +166,31 @@ _ANC = "anc AS (SELECT id, parent AS anc, 1 AS depth FROM act WHERE parent IS NO
 @query(views("act", recursive=True) + f", {_ANC} SELECT id, owner FROM (SELECT anc.id, anc.anc AS owner, row_number() OVER (PARTITION BY anc.id ORDER BY depth) AS i FROM anc JOIN act a ON a.id = anc.anc WHERE a.fn IN ('signup', 'purchase')) WHERE i = 1")
 def owner_ancestor(spark, sf):
     """join.owner, graph.span_owner: the nearest ancestor that is mapped"""
-    a = act(spark, sf)
-    anc = graph.ancestors(a.select("id", "parent")).join(a.where("fn IN ('signup', 'purchase')").select(F.col("id").alias("anc")), "anc")
-    return anc.groupBy("id").agg(F.min_by("anc", "depth").alias("owner"))
+    return forest.nearest(act(spark, sf), F.col("fn").isin("signup", "purchase"))
 
 
 @query(views("act", recursive=True) + f", {_ANC} SELECT a.id AS root, count(*) AS n FROM anc JOIN act a ON a.id = anc.anc JOIN act d ON d.id = anc.id WHERE a.fn = 'signup' AND d.fn = 'error' GROUP BY a.id")
 def descendants_named(spark, sf):
     """graph.descendants_named"""
-    a = act(spark, sf)
-    anc = graph.ancestors(a.select("id", "parent"))
-    up = a.where("fn = 'signup'").select(F.col("id").alias("anc"))
-    down = a.where("fn = 'error'").select("id")
-    return anc.join(up, "anc").join(down, "id").groupBy(F.col("anc").alias("root")).agg(F.count("*").alias("n"))
+    return forest.descendants(act(spark, sf), F.col("fn") == "signup", F.col("fn") == "error")
 
 
 @query(views("act", recursive=True) + f", {_ANC}, k AS (SELECT x.fn, anc.id, count(*) AS d FROM anc JOIN act x ON x.id = anc.id JOIN act y ON y.id = anc.anc AND y.fn = x.fn GROUP BY ALL) SELECT fn, max(d) + 1 AS depth FROM k GROUP BY fn")
 def recursion_depth(spark, sf):
     """graph.recursion_depth"""
-    a = act(spark, sf)
-    anc = graph.ancestors(a.select("id", "parent")).join(a.select("id", "fn"), "id").join(a.select(F.col("id").alias("anc"), F.col("fn").alias("fa")), "anc")
-    return anc.where("fn = fa").groupBy("fn", "id").agg(F.count("*").alias("d")).groupBy("fn").agg((F.max("d") + 1).alias("depth"))
+    return forest.nesting(act(spark, sf), "fn")
 
 
 @query(views("act", recursive=True) + f", {_ANC} SELECT anc.id, max(a.n) AS upstream FROM anc JOIN act a ON a.id = anc.anc GROUP BY anc.id")
 def upstream_max(spark, sf):
     """graph.upstream_max"""
-    a = act(spark, sf)
-    return graph.ancestors(a.select("id", "parent")).join(a.select(F.col("id").alias("anc"), "n"), "anc").groupBy("id").agg(F.max("n").alias("upstream"))
+    return forest.upstream(act(spark, sf), F.col("n"))
 
 
 @query(views("act", recursive=True) + f", {_ANC} SELECT act.id, CAST(coalesce(max(depth), 0) AS INTEGER) AS depth, coalesce(string_agg(p.fn, '>' ORDER BY depth DESC), '') AS stack FROM act LEFT JOIN anc ON anc.id = act.id LEFT JOIN act p ON p.id = anc.anc GROUP BY act.id")
 def span_stack(spark, sf):
     """graph.span_depth, graph.stack_of: outer to inner"""
-    a = act(spark, sf)
-    anc = graph.ancestors(a.select("id", "parent")).join(a.select(F.col("id").alias("anc"), "fn"), "anc")
-    s = anc.groupBy("id").agg(F.max("depth").alias("d"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "fn")), asc=False), lambda x: x["fn"]), ">").alias("s"))
-    return a.select("id").join(s, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("depth"), F.coalesce("s", F.lit("")).alias("stack"))
+    return forest.stacks(act(spark, sf), F.col("fn"))
 
 
 @query(
@@ -177,13 +220,13 @@ def derive_callers(spark, sf, whole=False):
 
 @query(views("edge", "bnd", recursive=True) + ", r AS (SELECT function AS node FROM bnd UNION SELECT caller FROM edge JOIN r ON callee = node WHERE by_name = 0) SELECT caller, callee, callee IN (SELECT node FROM r) AS cannot_preempt FROM edge WHERE attempts >= 2")
 def cannot_preempt(spark, sf, whole=False):
-    """graph.cannot_preempt, graph.async_blocks: a deadline over a callee that blocks is useless"""
+    """A deadline over a callee that reaches a boundary is useless: the plain reach; `preempt_ways` has the ways"""
     e = _edges(spark, sf, whole)
     blocks = graph.reach(bnd(spark, sf).select(F.col("function").alias("node")), e.where("by_name = 0")).withColumn("_b", F.lit(True))
     return e.where("attempts >= 2").join(blocks, e["dst"] == blocks["node"], "left").select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.coalesce("_b", F.lit(False)).alias("cannot_preempt"))
 
 
-for _q in (io_reach, roots, scc, blocks_stratified, derive_callers, cannot_preempt):
+for _q in (io_reach, scc, blocks_stratified, derive_callers, cannot_preempt):
     whole(_q, EDGE_CUT)
 whole(block_path, twin=False)
 whole(wait_worst, twin=False)

@@ -30,38 +30,43 @@ def pattern_counts(spark, sf):
     return hits.groupBy("rule", "severity").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("lines"))
 
 
-# Lines of source, some that show a rule and some that nearly do; each part is a line of a file.
+# Lines of source, some that show rules and some that nearly do. What each must show is stated here by hand, so that a wrong pattern is no agreement.
 SNIPPETS = (
-    ("python", "jobs = asyncio.Queue()"), ("python", "jobs = asyncio.Queue(maxsize=40)"), ("rust", "let (tx, rx) = mpsc::channel();"), ("java", "var q = new LinkedBlockingQueue<Job>();"),
-    ("go", "work := make(chan int, 50000)"), ("go", "work := make(chan int, 50)"), ("typescript", "unitPrice: double"), ("python", "balance: float"), ("python", "balance: Decimal"),
-    ("python", "spent = time.time() - t0"), ("python", "spent = time.monotonic() - t0"), ("javascript", "const ms = Date.now() - began;"), ("java", "long d = System.currentTimeMillis() - begin;"), ("rust", "let d = SystemTime::now().elapsed();"),
-    ("rust", "let n: u32 = line.parse().unwrap();"), ("rust", "let n: u32 = line.parse()?;"), ("go", "n, _ := strconv.Atoi(arg)"), ("python", "P = re.compile('(a+)+b')"), ("python", "P = re.compile('a+b')"),
-    ("python", "rows = db.run('select id from orders')"), ("python", "rows = db.run('select id from orders where id = 3')"), ("rust", "let all = q.fetch_all(&pool);"), ("java", "return repo.findAll();"), ("javascript", "await users.find({})"),
-    ("python", "asyncio.create_task(poll())"), ("python", "task = asyncio.create_task(poll())"), ("rust", "tokio::spawn(run());"), ("java", "new Thread(job).start();"),
-    ("python", "cur.execute(f\"delete from t where k = {key}\")"), ("python", "cur.execute(\"delete from t where k = ?\", key)"), ("javascript", "db.query(`select * from t where k = ${key}`)"), ("java", "st.executeQuery(\"select 1 where k = \" + key)"), ("go", "db.Query(fmt.Sprintf(q, key))"),
-    ("python", "http.get(f\"/find?name={name}\")"), ("javascript", "fetch(`/find?name=${name}`)"), ("python", "conn.execute('update t set a = 1')"), ("python", "await asyncio.gather(*jobs)"), ("go", "  go handle(c)"),
-    ("python", "threading.Thread(target=run)"), ("go", "    defer f.Close()"), ("rust", "sock.read(&mut buf).unwrap();"), ("go", "res, _ := http.Get(url)"), ("python", "with requests.Session() as s:"), ("rust", "let c = reqwest::Client::new();"), ("python", "# asyncio.Queue()"),
+    ("python", "jobs = asyncio.Queue()", "unbounded-channel/low"), ("python", "jobs = asyncio.Queue(maxsize=40)", ""), ("python", "jobs = queue.Queue(0)", "unbounded-channel/low"), ("python", "last = deque()", "unbounded-channel/low"),
+    ("python", "last = deque(maxlen=9)", ""), ("rust", "let (tx, rx) = mpsc::channel();", "unbounded-channel/low"), ("rust", "let (tx, rx) = mpsc::sync_channel(8);", ""), ("rust", "let (tx, rx) = tokio::sync::mpsc::channel(8);", ""),
+    ("rust", "let (tx, rx) = unbounded_channel::<Job>();", "unbounded-channel/low"), ("java", "var q = new LinkedBlockingQueue<Job>();", "unbounded-channel/low"), ("java", "var q = new LinkedBlockingQueue<Job>(64);", ""), ("java", "var q = new SynchronousQueue<Job>();", ""),
+    ("go", "work := make(chan int, 50000)", "unbounded-channel/low"), ("go", "work := make(chan int, 50)", ""), ("go", "work := make([]int, 50000)", ""),
+    ("typescript", "unitPrice: double", "float-money/medium"), ("python", "balance: float", "float-money/medium"), ("python", "balance: Decimal", ""), ("java", "double amountDue = 0;", "float-money/medium"), ("java", "double angle = 0;", ""), ("python", "tax = float(row)", "float-money/medium"),
+    ("python", "spent = time.time() - t0", "wallclock-interval/medium"), ("python", "spent = time.monotonic() - t0", ""), ("python", "until = time.time() + 5", ""), ("javascript", "const ms = Date.now() - began;", "wallclock-interval/medium"), ("javascript", "const ms = performance.now() - began;", ""),
+    ("java", "long d = System.currentTimeMillis() - begin;", "wallclock-interval/medium"), ("rust", "let d = SystemTime::now().elapsed();", "wallclock-interval/medium"), ("rust", "let d = Instant::now().elapsed();", ""),
+    ("rust", "let n: u32 = line.parse().unwrap();", "panic-on-external-data/medium"), ("rust", "let n: u32 = line.parse()?;", ""), ("rust", "let c: C = serde_json::from_str(&body).expect(\"json\");", "panic-on-external-data/medium"), ("go", "n, _ := strconv.Atoi(arg)", "panic-on-external-data/medium"), ("go", "n, err := strconv.Atoi(arg)", ""),
+    ("python", "P = re.compile('(a+)+b')", "redos-regex/medium"), ("python", "P = re.compile('a+b')", ""), ("python", "P = re.compile('(ab)+')", ""),
+    ("python", "rows = db.run('select id from orders')", "unbounded-query/low"), ("python", "rows = db.run('select id from orders where id = 3')", ""), ("python", "users = User.objects.all()", "unbounded-query/low"), ("rust", "let all = q.fetch_all(&pool);", "unbounded-query/low"), ("rust", "let one = q.fetch_one(&pool);", ""),
+    ("java", "return repo.findAll();", "unbounded-query/low"), ("java", "return repo.findAll(page);", ""), ("javascript", "await users.find({})", "unbounded-query/low"), ("javascript", "await users.find({ id })", ""),
+    ("python", "asyncio.create_task(poll())", "fire-and-forget-task/medium"), ("python", "task = asyncio.create_task(poll())", ""), ("rust", "tokio::spawn(run());", "fire-and-forget-task/low"), ("rust", "let h = tokio::spawn(run());", ""), ("java", "new Thread(job).start();", "fire-and-forget-task/low"),
+    ("python", "cur.execute(f\"delete from t where k = {key}\")", "sql-injection/high"), ("python", "cur.execute(\"delete from t where k = ?\", key)", "uncommitted-write/medium"), ("python", "cur.execute('select ' + what)", "sql-injection/high"), ("javascript", "db.query(`select * from t where k = ${key}`)", "sql-injection/high"), ("javascript", "db.query('select 1')", ""),
+    ("java", "st.executeQuery(\"select 1 where k = \" + key)", "sql-injection/high"), ("go", "db.Query(fmt.Sprintf(q, key))", "sql-injection/high"), ("go", "db.Query(q, key)", ""),
+    ("python", "http.get(f\"/find?name={name}\")", "unsanitized-url-query/medium"), ("python", "http.get(f\"/find/{name}\")", ""), ("javascript", "fetch(`/find?name=${name}`)", "unsanitized-url-query/medium"), ("javascript", "fetch(`/find/${name}`)", ""),
+    ("python", "conn.execute('update t set a = 1')", "uncommitted-write/medium"), ("python", "conn.execute('update t set a = 1'); conn.commit()", ""), ("python", "await asyncio.gather(*jobs)", "unbounded-concurrency/medium"), ("python", "await asyncio.gather(a, b)", ""), ("go", "  go handle(c)", "unbounded-concurrency/medium"), ("go", "  going(c)", ""),
+    ("python", "threading.Thread(target=run)", "unbounded-threads/medium"), ("go", "    defer f.Close()", "defer-in-loop/low"), ("go", "defer f.Close()", ""), ("rust", "sock.read(&mut buf).unwrap();", "panic-on-io-error/medium"), ("rust", "sock.read(&mut buf)?;", ""), ("go", "res, _ := http.Get(url)", "ignored-io-error/low"), ("go", "res, err := http.Get(url)", ""),
+    ("python", "with requests.Session() as s:", "client-per-call/medium"), ("rust", "let c = reqwest::Client::new();", "client-per-call/medium"), ("python", "# asyncio.Queue()", ""),
 )
 _LIT = lambda x: "'" + x.replace("'", "''") + "'"
-_CODE = "code AS (SELECT p_partkey % 100 AS file, p_partkey AS line_no, [" + ", ".join(_LIT(g) for g, _ in SNIPPETS) + f"][1 + p_partkey % {len(SNIPPETS)}] AS lang, [" + ", ".join(_LIT(x) for _, x in SNIPPETS) + f"][1 + p_partkey % {len(SNIPPETS)}] AS line FROM part)"
 
 
 def _code(spark, sf):
     """Source lines: a part is a line of one of a hundred files."""
     p = table(spark, sf, "part")
     pick = (F.col("p_partkey") % len(SNIPPETS) + 1).cast("int")
-    return p.select((F.col("p_partkey") % 100).alias("file"), F.col("p_partkey").alias("line_no"), F.element_at(F.array(*[F.lit(g) for g, _ in SNIPPETS]), pick).alias("lang"), F.element_at(F.array(*[F.lit(x) for _, x in SNIPPETS]), pick).alias("line"))
+    return p.select((F.col("p_partkey") % 100).alias("file"), F.col("p_partkey").alias("line_no"), F.element_at(F.array(*[F.lit(s[0]) for s in SNIPPETS]), pick).alias("lang"), F.element_at(F.array(*[F.lit(s[1]) for s in SNIPPETS]), pick).alias("line"))
 
 
-def _rule_sql(x) -> str:
-    langs = f" AND lang IN ({', '.join(map(_LIT, x.langs))})" if x.langs else ""
-    unless = f" AND NOT regexp_matches(line, {_LIT(x.unless)})" if x.unless else ""
-    return f"SELECT file, {_LIT(x.name)} AS rule, {_LIT(x.severity)} AS severity, lang, line_no FROM code WHERE regexp_matches(line, {_LIT(x.pattern)}){unless}{langs} AND NOT regexp_matches(line, '^\\s*(//|#|\\*|/\\*|--)')"
-
-
-@query("WITH " + _CODE + " SELECT rule, severity, lang, count(*) AS n FROM (" + " UNION ".join(map(_rule_sql, rules.SOURCE_RULES)) + ") GROUP BY ALL")
+@query(
+    f"SELECT split_part(shown, '/', 1) AS rule, split_part(shown, '/', 2) AS severity, lang, count(*) AS n FROM (SELECT [{', '.join(_LIT(s[2]) for s in SNIPPETS)}][1 + p_partkey % {len(SNIPPETS)}] AS shown, "
+    f"[{', '.join(_LIT(s[0]) for s in SNIPPETS)}][1 + p_partkey % {len(SNIPPETS)}] AS lang FROM part) WHERE shown <> '' GROUP BY ALL"
+)
 def source_rules(spark, sf):
-    """The pattern rules of every language over source lines: unbounded-channel to client-per-call"""
+    """The pattern rules of every language over source lines: unbounded-channel to client-per-call; the twin has what each line must show"""
     lines = _code(spark, sf).where(~F.col("line").rlike(rules.COMMENT))
     return rules.hits(lines, rules.SOURCE_RULES, ["file", "lang"], "lang").groupBy("rule", "severity", "lang").agg(F.count("*").alias("n"))
 
