@@ -13,7 +13,7 @@ def test_matches_twin(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, f"{ROOT}/sf0.001").count() > 0
+    assert catalogue.QUERIES[name](spark, f"{ROOT}/sf0.01").count() > 0
 
 
 def test_entry(spark):

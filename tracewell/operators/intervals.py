@@ -6,20 +6,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _up(x: Column, level: int) -> Column:
+    """x / 2^level, rounded down."""
+    return F.shiftright(x.cast("long"), level)
+
+
+def cover(start: Column, end: Column, levels: int) -> Column:
+    """The aligned blocks struct(level, block) that make up the whole numbers from start to end: at most two of each length, and none if end < start."""
+    found = []
+    for k in range(levels):
+        lo, hi = -_up(-start.cast("long"), k), _up(end.cast("long") + 1, k)
+        odd = lo % 2 != 0
+        block = lambda x, k=k: F.struct(F.lit(k).alias("level"), x.alias("block"))
+        found += [F.when(odd & (lo < hi), block(lo)), F.when((hi % 2 != 0) & (lo + odd.cast("long") < hi), block(hi - 1))]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def holders(at: Column, levels: int) -> Column:
+    """The aligned blocks struct(level, block) that hold a number, one of each length."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), _up(at, k).alias("block")) for k in range(levels)])
+
+
+def _levels(longest: int | None) -> int:
+    return (longest or 0).bit_length()
+
+
+def _first_around(points: DataFrame, ranges: DataFrame, key: str, at: str, order: list[Column]) -> DataFrame:
+    """points with `_best`, the first range around each in this order, without those that have none.
+
+    A range is dealt to the blocks that it is made of, a point to those that hold it. All points of a block lie in all ranges of the block, so
+    only the first range of a block is kept: a point meets one row per length of block, however many ranges there are.
+    """
+    r = ranges.where(F.col("start") <= F.col("end"))
+    levels = _levels(r.agg(F.max(F.col("end") - F.col("start") + 1).alias("n")).first()["n"])
+    best = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in r.columns if c != key])
+    index = r.withColumn("_b", F.explode(cover(F.col("start"), F.col("end"), levels))).groupBy(key, "_b").agg(F.min(best).alias("_best")) if levels else r.select(key, F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("block")).alias("_b"), best.alias("_best"))
+    return points.withColumn("_b", F.explode(holders(F.col(at), max(levels, 1)))).join(index, [key, "_b"]).drop("_b")
+
+
+def _one_each(hits: DataFrame, points: DataFrame, ranges: DataFrame, key: str, ids: list[str]) -> DataFrame:
+    """The least `_best` per ids, as the columns of points and ranges."""
+    rest = [c for c in points.columns if c not in ids]
+    won = hits.groupBy(*ids).agg(F.min(F.struct("_best", *rest)).alias("_x"))
+    return won.select(*ids, *[F.col(f"_x.{c}").alias(c) for c in rest], *[F.col(f"_x._best.{c}").alias(c) for c in ranges.columns if c != key])
+
+
 def enclosing_smallest(points: DataFrame, ranges: DataFrame, key: str, at: str, ids: list[str]) -> DataFrame:
-    """join.location: (key, at) -> the smallest range of that key around it, the later start among equals."""
-    w = Window.partitionBy(*ids).orderBy(F.col("end") - F.col("start"), F.desc("start"), "fn")
-    hit = points.join(ranges, key).where((F.col("start") <= F.col(at)) & (F.col(at) <= F.col("end")))
-    return hit.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
+    """join.location: (key, at) -> the smallest range of that key around it, the later start among equals, then the smaller fn. Whole numbers only."""
+    hits = _first_around(points, ranges, key, at, [F.col("end") - F.col("start"), -F.col("start"), F.col("fn")])
+    return _one_each(hits, points, ranges, key, ids)
 
 
 def slack_asof(points: DataFrame, ranges: DataFrame, key: str, at: str, ids: list[str], slack: int = 8) -> DataFrame:
-    """join.attr_slack: the smallest range around the point, else the nearest start within `slack` after it."""
-    inside = (F.col("start") <= F.col(at)) & (F.col(at) <= F.col("end"))
-    ahead = (F.col("start") > F.col(at)) & (F.col("start") <= F.col(at) + slack)
-    w = Window.partitionBy(*ids).orderBy(F.when(inside, 0).otherwise(1), F.when(inside, F.col("end") - F.col("start")).otherwise(F.col("start")), "fn")
-    hit = points.join(ranges, key).where(inside | ahead)
-    return hit.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
+    """join.attr_slack: the smallest range around the point, else the nearest start within `slack` after it; the smaller fn among equals."""
+    order = lambda ahead, measure: [F.lit(ahead), measure.cast("long"), F.col("fn")]
+    inside = _first_around(points, ranges, key, at, order(0, F.col("end") - F.col("start")))
+    # the numbers after a point are blocks as well, and each keeps its first start
+    best = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order(1, F.col("start")))], *[F.col(c) for c in ranges.columns if c != key])
+    starts = ranges.withColumn("_b", F.explode(holders(F.col("start"), _levels(slack)))).groupBy(key, "_b").agg(F.min(best).alias("_best"))
+    ahead = points.withColumn("_b", F.explode(cover(F.col(at) + 1, F.col(at) + slack, _levels(slack)))).join(starts, [key, "_b"]).drop("_b")
+    return _one_each(inside.unionByName(ahead), points, ranges, key, ids)
 
 
 def bins(start: Column, end: Column, width: int) -> Column:

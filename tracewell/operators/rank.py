@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The queue's weights, by severity, confidence and evidence.
 SEVERITY_WEIGHT = {"high": 5.0, "medium": 3.0, "low": 1.0, "info": 0.5}
@@ -100,17 +101,74 @@ def first_fit(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:
         yield i, b
 
 
-def batches(items: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """agg.batches: first-fit packing per key under the batch limits; a group is a file's items, so it is small."""
-    import pandas as pd
+class _Rooms:
+    """A tournament tree over the open batches: every node knows the most room below it, so the first batch with room is found by going down."""
+
+    def __init__(self):
+        self.n, self.size, self.most = 0, 1, [(0, 0, 0)] * 2
+
+    def _set(self, at: int, room: tuple[int, int, int]) -> None:
+        at += self.size
+        self.most[at] = room
+        while at > 1:
+            at //= 2
+            a, b = self.most[2 * at], self.most[2 * at + 1]
+            best = (max(a[0], b[0]), max(a[1], b[1]), max(a[2], b[2]))
+            if self.most[at] == best:
+                break
+            self.most[at] = best
+
+    def _first(self, need: tuple[int, int, int]) -> int | None:
+        todo = [1]
+        while todo:
+            at = todo.pop()
+            room = self.most[at]
+            if room[0] >= need[0] and room[1] >= need[1] and room[2] >= need[2]:
+                if at >= self.size:
+                    return at - self.size
+                todo += (2 * at + 1, 2 * at)
+        return None
+
+    def put(self, findings: int, chars: int) -> int:
+        """The number of the first batch that takes the item, a new one if there is none."""
+        at = self._first((1, findings, chars))
+        if at is None or at >= self.n:
+            at, self.n = self.n, self.n + 1
+            if at == self.size:  # twice as many leaves
+                old = self.most[self.size :]
+                self.size *= 2
+                self.most = [(0, 0, 0)] * (2 * self.size)
+                for i, room in enumerate(old):
+                    self._set(i, room)
+            room = (BATCH_FUNCTIONS, BATCH_FINDINGS, BATCH_CHARS)
+        else:
+            room = self.most[self.size + at]
+        self._set(at, (room[0] - 1, room[1] - findings, room[2] - chars))
+        return at
+
 
-    def pack(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(order).reset_index(drop=True)
-        df["batch"] = [b for _, b in first_fit(zip(df["findings"], df["chars"]))]
-        return df
+def batches(items: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """agg.batches: items (findings, chars, ...) with `batch`, packed first-fit per key in the order of a column.
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields) + ", batch long"
-    return items.groupBy(*keys).applyInPandas(pack, schema)
+    An item goes into the first batch that has room for it, or opens one. An item that is over a limit by itself opens a batch too,
+    which then has no room. Keys are sorted streams: a task holds the rooms of one key's batches and never its items. A null number counts as 0.
+    """
+    import pyarrow as pa
+
+    def pack(it):
+        key, rooms = None, _Rooms()
+        for batch in it:
+            cols = {c: batch.column(c).to_pylist() for c in (*keys, "findings", "chars")}
+            out = []
+            for own, findings, chars in zip(zip(*(cols[k] for k in keys)), cols["findings"], cols["chars"]):
+                if own != key:
+                    key, rooms = own, _Rooms()
+                out.append(rooms.put(int(findings or 0), int(chars or 0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "batch"])
+
+    schema = T.StructType([*items.schema.fields, T.StructField("batch", T.LongType())])
+    rest = [c for c in items.columns if c not in (*keys, order)]
+    return items.repartition(*keys).sortWithinPartitions(*keys, order, *rest).mapInArrow(pack, schema)
 
 
 def status(verdict: Column, evidence: Column, proof: Column) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Power fits need so many sizes, such a span of sizes and such a slowest median (agg.fit_power).
 MIN_SIZES, MIN_SPAN, MIN_MAX_DUR = 4, 10.0, 0.001
 #: A fit projects from this exponent and quality on (agg.projections).
@@ -19,36 +21,74 @@ def rounded(c: Column, n: int = 4) -> Column:
     return F.round(c, n) + F.lit(0.0)
 
 
-#: Groups of more rows have their order statistics bracketed first, by so much on either side of the share asked for.
+#: Groups of more rows have their order statistics bracketed first, by so much on either side of the share asked for. A bracket with more
+#: different values than NARROW is narrowed again, by PARTS to one, until it has no more.
 WHOLE_ROWS, BRACKET = 4_096, 0.002
+NARROW, PARTS = 4_096, 256
+
+
+def _same(keys: list[str], other: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, other)])
 
 
 def order_values(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
     """One row per group: keys, _n, and for each name its struct (a, b): the values at the rank that its function of _n gives and at the next.
 
     A sketch of each group brackets the ranks; rows below a bracket are only counted, and those inside it, some thousandths of
-    a large group, are counted by value and put in order. The brackets are twenty times wider than the sketch's error, so the
-    values are exact, and no group is sorted or held as a whole.
+    a large group, are counted by value. The brackets are twenty times wider than the sketch's error, so the values are exact. A bracket that still has
+    many values is narrowed round by round, all groups in one; what is put in order in the end is at most NARROW values of a group and rank.
     """
     v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     ends = [x for share, _ in wanted.values() for x in (max(0.0, share - BRACKET), min(1.0, share + BRACKET))]
-    stat = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, 10_000).alias("_q")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_q")
-    j = v.join(stat, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]))
+    own = [f"_k{i}" for i in range(len(keys))]
+    stat = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, 10_000).alias("_q"))
+    # one row a group, used twice: the rows are read twice and not three times
+    stat = cut(stat.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], "_n", "_q"))
+    largest = stat.agg(F.max("_n").alias("n")).first()["n"] or 0
+    j = v.join(stat, _same(keys, own))
     cells = []
     for i, name in enumerate(wanted):
         lo, hi = F.col("_q")[2 * i], F.col("_q")[2 * i + 1]
-        small = F.col("_n") <= WHOLE_ROWS
-        cells.append(F.when(small | F.col("_v").between(lo, hi), F.struct(F.lit(name).alias("name"), F.lit(1).alias("in"), F.col("_v").alias("v"))).when(F.col("_v") < lo, F.struct(F.lit(name).alias("name"), F.lit(0).alias("in"), F.lit(None).cast(v.schema["_v"].dataType).alias("v"))))
-    c = j.select(*keys, "_n", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("_c")).groupBy(*keys, "_n", "_c").agg(F.count("*").alias("_m"))
-    w = Window.partitionBy(*keys, "_c.name").orderBy("_c.in", "_c.v").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("_to", F.sum("_m").over(w)).withColumn("_from", F.col("_to") - F.col("_m"))
-    at = lambda f, step: F.max(F.when((F.col("_from") < f(F.col("_n")) + step) & (F.col("_to") >= f(F.col("_n")) + step), F.col("_c.v")))
-    own = lambda name, x: F.max(F.when(F.col("_name") == name, F.col(x)))
-    per = None
-    for name, (_, f) in wanted.items():
-        one = c.where(F.col("_c.name") == name).groupBy(*keys, "_n").agg(F.lit(name).alias("_name"), at(f, 0).alias("a"), at(f, 1).alias("b"))
-        per = one if per is None else per.unionByName(one)
-    return per.groupBy(*keys, "_n").agg(*[F.struct(own(name, "a").alias("a"), own(name, "b").alias("b")).alias(name) for name in wanted])
+        cell = lambda inside, x, name=name: F.struct(F.lit(name).alias("name"), F.lit(inside).alias("in"), x.alias("v"))
+        cells.append(F.when((F.col("_n") <= WHOLE_ROWS) | F.col("_v").between(lo, hi), cell(1, F.col("_v"))).when(F.col("_v") < lo, cell(0, F.lit(None).cast(v.schema["_v"].dataType))))
+    c = j.select(*keys, "_n", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("_c")).groupBy(*keys, "_n", F.col("_c.name").alias("_name"), F.col("_c.in").alias("_in"), F.col("_c.v").alias("_v")).agg(F.count("*").alias("_m"))
+    rank = reduce(lambda acc, x: F.when(F.col("_name") == x[0], x[1][1](F.col("_n"))).otherwise(acc), wanted.items(), F.lit(None)).cast("long")
+    group = [*keys, "_n", "_name"]
+    # ties apart, a bracket has no more different values than rows; only very large groups can have too many
+    if 3 * BRACKET * largest > NARROW:
+        c = cut(c)
+        while (c.where("_in = 1").groupBy(*group).agg(F.count("*").alias("d")).agg(F.max("d").alias("d")).first()["d"] or 0) > NARROW:
+            c = cut(_narrowed(c, group, rank))
+    seen = c.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("_in") == 0, F.col("_m"))), F.lit(0)).alias("_below"), F.sort_array(F.collect_list(F.when(F.col("_in") == 1, F.struct("_v", "_m")))).alias("_in")).withColumn("_r", rank)
+    none = F.lit(None).cast(v.schema["_v"].dataType)
+
+    def step(acc: Column, x: Column) -> Column:
+        to = acc["to"] + x["_m"]
+        holds = lambda r: (acc["to"] < r) & (to >= r)
+        return F.struct(to.alias("to"), F.when(holds(F.col("_r")), x["_v"]).otherwise(acc["a"]).alias("a"), F.when(holds(F.col("_r") + 1), x["_v"]).otherwise(acc["b"]).alias("b"))
+
+    ranked = seen.withColumn("_x", F.aggregate("_in", F.struct(F.col("_below").alias("to"), none.alias("a"), none.alias("b")), step))
+    pick = lambda name: F.max(F.when(F.col("_name") == name, F.struct(F.col("_x.a").alias("a"), F.col("_x.b").alias("b")))).alias(name)
+    return ranked.groupBy(*keys, "_n").agg(*[pick(name) for name in wanted])
+
+
+def _narrowed(c: DataFrame, group: list[str], rank: Column) -> DataFrame:
+    """The counted values c with each bracket cut to the one part, or two, of PARTS that hold the rank and the next; what lies below is added up."""
+    own = [f"_g{i}" for i in range(len(group))]
+    parts = [i / PARTS for i in range(1, PARTS)]
+    low = F.coalesce(F.sum(F.when(F.col("_in") == 0, F.col("_m"))), F.lit(0))
+    info = c.groupBy(*group).agg(low.alias("_below"), F.percentile_approx(F.when(F.col("_in") == 1, F.col("_v")), parts, 10_000).alias("_q")).withColumn("_r", rank - F.col("_below"))
+    info = info.select(*[F.col(g).alias(o) for g, o in zip(group, own)], "_below", "_q", "_r")
+    inside = c.where("_in = 1").join(info, _same(group, own)).withColumn("_part", F.size(F.filter("_q", lambda q: q < F.col("_v"))))
+    # at most PARTS rows of a group go through the window
+    w = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    held = inside.groupBy(*group, "_part", "_below", "_r").agg(F.sum("_m").alias("_s")).withColumn("_to", F.sum("_s").over(w)).withColumn("_from", F.col("_to") - F.col("_s"))
+    held = held.where((F.col("_from") < F.col("_r") + 1) & (F.col("_to") >= F.col("_r")))
+    ends = held.groupBy(*group).agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi"), F.min(F.col("_from") + F.col("_below")).alias("_under"))
+    ends = ends.select(*[F.col(g).alias(o) for g, o in zip(group, own)], "_lo", "_hi", "_under")
+    kept = inside.drop(*own).join(ends, _same(group, own)).where("_part BETWEEN _lo AND _hi").select(*group, "_in", "_v", "_m")
+    under = ends.select(*[F.col(o).alias(g) for g, o in zip(group, own)], F.lit(0).alias("_in"), F.lit(None).cast(c.schema["_v"].dataType).alias("_v"), F.col("_under").alias("_m"))
+    return kept.unionByName(under)
 
 
 def _p95_rank(n: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect, graph, ledger
 from ..sources import sinks
-from .adapters import EDGE_CUT, bnd, edge, find, r, some, table, views
+from .adapters import EDGE_CUT, bnd, call, edge, find, r, some, table, views
 from .catalogue import query, whole
 
 _CTX = "CASE function % 3 WHEN 0 THEN 'async' WHEN 1 THEN 'sync' ELSE 'offloaded' END"
@@ -89,6 +89,20 @@ def cpu_heavy_recursion(spark, sf, whole=False):
     return e.join(cyc.withColumnRenamed("node", "callee"), "callee", "left_semi").join(cyc.withColumnRenamed("node", "caller"), "caller", "left_anti").groupBy(F.col("caller").alias("function")).agg(F.min("edge_ord").alias("edge_ord"))
 
 
+@query(
+    views("call", recursive=True)
+    + """, e AS (SELECT DISTINCT caller, callee, min(line) OVER (PARTITION BY caller, callee) AS line FROM call), k AS (SELECT DISTINCT callee AS a FROM e WHERE caller > callee),
+f AS (SELECT a, a AS node FROM k UNION SELECT a, callee FROM f JOIN e ON caller = node), b AS (SELECT a, a AS node FROM k UNION SELECT a, caller FROM b JOIN e ON callee = node),
+cyc AS (SELECT DISTINCT f.node FROM f JOIN b ON f.a = b.a AND f.node = b.node WHERE f.node <> f.a UNION SELECT DISTINCT f.a FROM f JOIN e ON caller = f.node AND callee = f.a WHERE f.node <> f.a)
+SELECT caller AS function, min(line) AS line FROM e WHERE callee IN (SELECT node FROM cyc) AND caller NOT IN (SELECT node FROM cyc) GROUP BY caller"""
+)
+def cpu_heavy_recursion_whole(spark, sf):
+    """rule cpu-heavy-in-async (recursion) over all consecutive lines: callers outside a cycle that call into one, once each"""
+    e = graph.cut(call(spark, sf))
+    cyc = graph.components(e.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))).select("node")
+    return e.join(cyc.withColumnRenamed("node", "callee"), "callee", "left_semi").join(cyc.withColumnRenamed("node", "caller"), "caller", "left_anti").groupBy(F.col("caller").alias("function")).agg(F.min("line").alias("line"))
+
+
 @query(views("bnd") + f" SELECT function, category FROM bnd WHERE function % 5 <> 0 AND {_CTX} <> 'offloaded'")
 def injected(spark, sf):
     """pred.injected"""
@@ -198,7 +212,7 @@ def scaffold_skip(spark, sf):
     return p.join(p.where("page_id < 3").select("h").distinct(), "h", "left_semi").select("page_id")
 
 
-for _q in (blocking_chain, io_in_loop, cpu_heavy_recursion, edges_with_names):
+for _q in (blocking_chain, io_in_loop, edges_with_names):
     whole(_q, EDGE_CUT)
 whole(stall_on_stack, "a.l_orderkey % 10 = 0", "o_orderkey % 10 = 0")
 whole(flatten_calls, "o_orderkey % 20 = 0")

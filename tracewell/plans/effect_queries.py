@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import effects, graph
-from .adapters import EDGE_CUT, bnd, edge, r, some, table, views
+from .adapters import bnd, call, edge, r, some, stop, table, views
 from .catalogue import query, whole
 
 _INF = "CAST('Infinity' AS DOUBLE)"
@@ -123,6 +123,20 @@ def entries(spark, sf, whole=False):
     return out.select(F.col("node").alias("entry"), F.when(F.col("value") < effects.INFINITY, F.col("value")).alias("wait_s"), (F.col("value") == effects.INFINITY).alias("hangs"))
 
 
+@query(
+    views("call", "stop", recursive=True)
+    + f""", e AS (SELECT DISTINCT caller, callee FROM call), own AS (SELECT node, CASE WHEN line % 5 = 0 THEN {_INF} ELSE line % 7 + 1.0 END AS v FROM stop),
+p AS (SELECT node, v FROM own UNION SELECT caller, v FROM e JOIN p ON callee = node), w AS (SELECT node, max(v) AS v FROM p GROUP BY node)
+SELECT node AS entry, CASE WHEN v < {_INF} THEN v END AS wait_s, v = {_INF} AS hangs FROM w WHERE node NOT IN (SELECT callee FROM e)"""
+)
+def entries_whole(spark, sf):
+    """agg.entries, rule hang-reaches-entry over all consecutive lines: parts that nothing calls"""
+    e = call(spark, sf).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(1).alias("w"))
+    own = stop(spark, sf).select("node", F.when(F.col("line") % 5 == 0, F.lit(effects.INFINITY)).otherwise(F.col("line") % 7 + 1.0).alias("value"))
+    w = graph.worst(own, e, lambda _, v: v).join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+    return w.select(F.col("node").alias("entry"), F.when(F.col("value") < effects.INFINITY, F.col("value")).alias("wait_s"), (F.col("value") == effects.INFINITY).alias("hangs"))
+
+
 @query("SELECT c_mktsegment AS category, CASE WHEN c_custkey % 4 = 0 OR (c_custkey % 3 = 0 AND c_custkey % 5 = 0) THEN 'bounded' WHEN c_custkey % 7 = 0 THEN 'low' ELSE 'medium' END AS verdict, count(*) AS n FROM customer GROUP BY ALL")
 def io_without_timeout(spark, sf):
     """pred.bounded, rule io-without-timeout"""
@@ -133,7 +147,6 @@ def io_without_timeout(spark, sf):
 
 
 whole(deadlines, twin=False)
-whole(entries, EDGE_CUT)
 whole(retries, "l_partkey % 20 = 0")
 # its products leave the exact range of doubles, so the two engines would differ by their order
 whole(amplification, "l_partkey % 20 = 0", "site % 5 = 0", twin=False)

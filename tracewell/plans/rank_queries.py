@@ -86,7 +86,7 @@ def take(spark, sf, whole=False):
 def batches_first_fit(spark, sf):
     """agg.batches: packing is sequential, so there is no SQL twin; tests hold it against a plain loop"""
     f = find(spark, sf).groupBy("file", "function").agg(F.count("*").alias("findings"), F.sum(F.col("quantity") * 20).cast("long").alias("chars"))
-    return rank.batches(f.where("findings <= 24"), ["file"], "function").select("file", "function", "findings", "chars", "batch")
+    return rank.batches(f, ["file"], "function").select("file", "function", "findings", "chars", "batch")
 
 
 @query("SELECT o_custkey AS finding, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) = 1 AS proof, CASE arg_max(o_orderstatus, o_orderkey) WHEN 'F' THEN 'confirmed' WHEN 'P' THEN 'rejected' ELSE 'open' END AS verdict, CASE WHEN arg_max(o_orderstatus, o_orderkey) = 'F' THEN 'proven' WHEN arg_max(o_orderstatus, o_orderkey) = 'P' THEN 'rejected' WHEN max(o_totalprice) > 300000 THEN 'observed' WHEN max(o_totalprice) > 200000 THEN 'not-observed' ELSE 'unverified' END AS status FROM orders GROUP BY 1")

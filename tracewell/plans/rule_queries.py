@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import rules
+from ..operators import rules, scopes
 from .adapters import line, r, some, table, views
 from .catalogue import query, whole
 
@@ -80,6 +80,31 @@ def regex_constants(spark, sf):
     return rules.regex_constants(table(spark, sf, "part").select((k % 50).alias("file"), k.alias("line_no"), text.alias("line")))
 
 
+# Bodies of Rust functions; the last two numbers say by hand in which line of the body a guard is bound and where it is held over an await, 0 for a clean one.
+BODIES = (
+    ("let g = state.lock().unwrap();\n    send(&g).await;", 1, 2),
+    ("let g = state.lock().unwrap();\n    drop(g);\n    send().await;", 0, 0),
+    ("{\n    let g = state.lock().unwrap();\n    g.push(1);\n    }\n    send().await;", 0, 0),
+    ("{\n    let mut g = map.write().expect(\"poisoned\");\n    if g.is_empty() {\n    fill(&mut g).await?;\n    }\n    }", 2, 4),
+    ("let g = state.lock().await;\n    send(&g).await;", 0, 0),
+    ("let n = state.lock().unwrap().len();\n    send(n).await;", 0, 0),
+    ("if ready {\n    let g = table.read()?;\n    use_it(&g);\n    } else { wait().await; }\n    let h = table.read()?;\n    log(\"}\");\n    h.get(1).fetch().await;", 5, 7),
+    ("let g = state.lock().unwrap();\n    note(\".await\"); // send(&g).await", 0, 0),
+    ("send().await;\n    let g = state.lock().unwrap();\n    g.push(2);", 0, 0),
+)
+_AT = f"1 + p_partkey % {len(BODIES)}"
+
+
+@query(f"SELECT p_partkey AS file, 'f' || p_partkey AS function, [{', '.join(str(b[1]) for b in BODIES)}][{_AT}] + 1 AS line_no, [{', '.join(str(b[2]) for b in BODIES)}][{_AT}] + 1 AS await_line FROM part WHERE [{', '.join(str(b[1]) for b in BODIES)}][{_AT}] > 0")
+def lock_scopes(spark, sf):
+    """rule lock-across-await (rust): every part is a file with one function; the twin has what each body must show"""
+    p = table(spark, sf, "part")
+    body = F.element_at(F.array(*[F.lit(b[0]) for b in BODIES]), (F.col("p_partkey") % len(BODIES) + 1).cast("int"))
+    whole_text = F.concat(F.lit("async fn f"), F.col("p_partkey"), F.lit("() {\n    "), body, F.lit("\n}"))
+    lines = p.select(F.col("p_partkey").alias("file"), F.posexplode(F.split(whole_text, "\n", -1)).alias("p", "line")).withColumn("line_no", F.col("p") + 1)
+    return scopes.locks_across_await(lines).select("file", "function", "line_no", "await_line")
+
+
 @query("SELECT p_partkey FROM part WHERE p_size % 3 = 0")
 def backoff_without_jitter(spark, sf):
     """rule backoff-without-jitter with its own patterns, over bodies of which a third has no jitter, a third has one and a third never retries"""

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import otlp, recordings
-from .adapters import micros, r, table
+from ..operators import scoring
+from ..operators.graph import cut
+from ..sources import manifests, otlp, recordings, stores
+from .adapters import act, find, micros, r, table, views
 from .catalogue import query
 
 
@@ -161,3 +163,64 @@ def profile_kinds(spark, sf):
     for more in (_coverages(spark, sf), _sampled(spark, sf), _evented(spark, sf), _chrome(spark, sf)):
         docs = docs.unionByName(more)
     return docs.groupBy(recordings.profile_kind(F.col("value")).alias("kind")).agg(F.count("*").cast("int").alias("n"))
+
+
+def _stores(spark, sf) -> str:
+    """A new shared folder with a trace store per process: its activations, a stall for every long one, and two settings."""
+    import uuid
+
+    a = cut(act(spark, sf).select("pid", "id", "parent", "thread", "fn", "dur", "n"))
+    where = f"{spark.sparkContext.getCheckpointDir()}/stores-{uuid.uuid4().hex}".removeprefix("file:")
+    cell = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}), r'(?s)^\{"x":(.*)\}$', 1)
+    row = lambda *cols: F.concat(F.lit("["), F.concat_ws(",", *map(cell, cols)), F.lit("]"))
+    calls = a.select("pid", F.lit("calls").alias("relation"), row(F.col("id"), F.col("parent"), F.col("thread"), F.lit("app.py"), F.col("n"), F.col("fn"), F.col("id") % 2, F.lit(0.5), F.col("dur"), F.col("dur") / 2, F.lit(1), F.col("dur"), F.create_map(F.lit("n"), F.col("n"))).alias("row"))
+    frame = F.array(F.array(F.lit("app.py"), F.col("n").cast("string"), F.col("fn")))
+    stalls = a.where("n % 3 = 0").select("pid", F.lit("stalls").alias("relation"), row(F.col("id"), F.lit("app.py"), F.col("n"), F.col("fn"), F.col("dur"), F.lit(1.5), frame).alias("row"))
+    meta = a.select("pid").distinct().select("pid", F.lit("meta").alias("relation"), row(F.lit("command"), F.concat(F.lit("run "), F.col("pid"))).alias("row"))
+    stores.write_stores(calls.unionByName(stalls).unionByName(meta).repartition("pid"), where)
+    return where
+
+
+@query(views("act") + " SELECT pid, id, parent, fn AS qualname, n AS line, id % 2 = 1 AS is_coro, dur, CAST(n AS DOUBLE) AS size FROM act")
+def store_calls(spark, sf):
+    """src.sqlite: activations written to a store per process and read back"""
+    c = stores.stores(spark, _stores(spark, sf)).where("error IS NULL")
+    return c.select("pid", "id", "parent", "qualname", F.col("line").cast("long").alias("line"), "is_coro", "dur", F.col("shapes")["n"].alias("size"))
+
+
+@query(views("act") + " SELECT pid, fn AS qualname, count(*) AS stalls, round(sum(dur), 4) + 0.0 AS total_s, max(n) AS deepest FROM act WHERE n % 3 = 0 GROUP BY ALL")
+def store_stalls(spark, sf):
+    """src.sqlite: the stalls of the stores, with their stacks"""
+    s = stores.stores(spark, _stores(spark, sf), "stalls").where("error IS NULL")
+    top = F.max(F.element_at("stack", 1)["line"]).cast("long")
+    return s.groupBy("pid", "qualname").agg(F.count("*").alias("stalls"), r(F.sum("dur")).alias("total_s"), top.alias("deepest"))
+
+
+@query(views("act") + " SELECT DISTINCT pid, key, CASE key WHEN 'pid' THEN CAST(pid AS VARCHAR) ELSE 'run ' || CAST(pid AS VARCHAR) END AS value FROM act, (SELECT unnest(['pid', 'command']) AS key)")
+def store_meta(spark, sf):
+    """src.sqlite: the settings of the stores"""
+    return stores.stores(spark, _stores(spark, sf), "meta").where("error IS NULL").select("pid", "key", "value")
+
+
+@query(
+    views("find")
+    + """, f AS (SELECT DISTINCT function, rule, file, line FROM find WHERE severity = 'high'), x AS (SELECT DISTINCT function, rule, file, CASE WHEN quantity > 25 THEN line END AS line FROM find WHERE status = 'F'),
+e AS (SELECT rule, EXISTS (SELECT 1 FROM f WHERE f.function = x.function AND f.rule = x.rule AND f.file = x.file AND (x.line IS NULL OR f.line = x.line)) AS found FROM x),
+w AS (SELECT rule, count(*) AS false_positives FROM (SELECT DISTINCT function, rule FROM find WHERE severity = 'low' AND quantity = 1) a WHERE EXISTS (SELECT 1 FROM f WHERE f.function = a.function AND f.rule = a.rule) GROUP BY rule),
+s AS (SELECT rule, count(*) AS expected, count(*) FILTER (found) AS found FROM e GROUP BY rule)
+SELECT rule, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found, CASE WHEN expected > 0 THEN round(found / expected, 4) + 0.0 END AS recall, coalesce(false_positives, 0) AS false_positives FROM s FULL JOIN w USING (rule)"""
+)
+def corpus_score(spark, sf):
+    """src.corpus, join.eval_match, agg.score_eval: a manifest per supplier, read back and held against its findings"""
+    all_ = find(spark, sf).select("function", "rule", "file", "line", "severity", "status", "quantity")
+    case = F.col("function").cast("string")
+    entry = lambda *parts: _text("      - {rule: ", F.col("rule"), ', function: "f', case, '"', *parts, "}")
+    file = _text("f", F.col("file"), ".py")
+    want = all_.where("status = 'F'").select("function", entry(", file: ", file, F.when(F.col("quantity") > 25, _text(", line: ", F.col("line"))).otherwise("")).alias("e"), F.lit(0).alias("k"))
+    bad = all_.where("severity = 'low' AND quantity = 1").select("function", entry().alias("e"), F.lit(1).alias("k"))
+    listed = want.unionByName(bad).distinct().groupBy("function").agg(F.sort_array(F.collect_list(F.when(F.col("k") == 0, F.col("e")))).alias("want"), F.sort_array(F.collect_list(F.when(F.col("k") == 1, F.col("e")))).alias("bad"))
+    head = lambda name: F.lit(f"    {name}:")
+    docs = listed.select(F.col("function").alias("manifest"), F.array_join(F.concat(F.array(F.lit("# a case"), F.lit("cases:"), _text("  - id: s", case), F.lit("    note: none"), head("expected")), "want", F.array(head("must_be_absent")), "bad"), "\n").alias("value"))
+    expected, absent = manifests.corpus(docs)
+    found = all_.where("severity = 'high'").select(_text("s", case).alias("case"), "rule", _text("f", case).alias("function"), _text("src/", file).alias("file"), "line")
+    return scoring.score_eval(found, expected, absent).withColumn("recall", r(F.col("recall")))

@@ -116,6 +116,13 @@ def constants_consistent(spark, sf, whole=False):
     return stats.constants(some(table(spark, sf, "part"), "p_partkey % 40 = 0", whole).withColumnRenamed("p_brand", "name"), "name", "p_size")
 
 
+@query("SELECT p_partkey // 3 AS name, min(p_size % 4) AS value FROM part GROUP BY 1 HAVING min(p_size % 4) = max(p_size % 4)")
+def constants_consistent_whole(spark, sf):
+    """agg.constants: every part is a definition, three of a name"""
+    p = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 3).alias("name"), (F.col("p_size") % 4).alias("value"))
+    return stats.constants(p, "name", "value")
+
+
 @query("SELECT c_nationkey AS receiver, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN max(c_mktsegment) END AS cls FROM customer WHERE c_custkey % 29 = 0 GROUP BY 1")
 def instances_of(spark, sf, whole=False):
     """agg.instances"""
@@ -164,5 +171,4 @@ def fingerprint(spark, sf):
 
 
 whole(hotspots, EDGE_CUT)
-whole(constants_consistent, "p_partkey % 40 = 0")
 whole(instances_of, "c_custkey % 29 = 0")
