@@ -156,6 +156,27 @@ def coverage_counts(spark, sf):
     return recordings.coverage(_coverages(spark, sf)).select("url", "function", "count")
 
 
+@query(
+    """SELECT path, id, qualname, CAST(sum(CASE id WHEN 1 THEN s_suppkey WHEN 2 THEN 2 * s_suppkey ELSE 5 END) AS BIGINT) AS count
+FROM (SELECT '/n' || s_nationkey || '.js' AS path, s_suppkey FROM supplier), (VALUES (1, 'app.load'), (2, 'util.helper'), (3, 'app.save')) AS f(id, qualname) GROUP BY ALL"""
+)
+def coverage_functions(spark, sf):
+    """src.coverage, proj.lines: nested, renamed and anonymous functions of a script matched with the map's; a script a nation, a document a supplier"""
+    # a source of forty lines of twenty characters, so that an offset tells its line
+    at = lambda a, b, n: F.struct(F.lit(20 * a - 20).alias("startOffset"), F.lit(20 * b - 1).alias("endOffset"), n.cast("long").alias("count"))
+    own = lambda name, a, b, n: F.struct(F.lit(name).alias("functionName"), F.array(at(a, b, n), at(a, a, F.lit(1))).alias("ranges"))
+    k = F.col("s_suppkey")
+    # the module's wrapper, a function and a closure in it, one by its name alone, one that is known by its lines and one inside it that has the name
+    f = F.array(own("", 1, 40, F.lit(1)), own("load", 5, 12, k), own("", 7, 8, F.lit(900)), own("helper", 15, 19, 2 * k), own("renamed", 22, 25, F.lit(3)), own("save", 23, 24, F.lit(5)), own("other", 30, 31, F.lit(7)))
+    doc = F.struct(F.array(F.struct(_text("file:///n", F.col("s_nationkey"), ".js").alias("url"), f.alias("functions"))).alias("result"))
+    docs = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("profile"), F.to_json(doc).alias("value"))
+    path = table(spark, sf, "supplier").select(_text("/n", F.col("s_nationkey"), ".js").alias("path")).distinct()
+    sources = path.select("path", F.array_join(F.array_repeat(F.lit("x" * 19), 40), "\n").alias("content"))
+    known = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(q).alias("qualname"), F.lit(a).alias("start"), F.lit(b).alias("end")) for i, q, a, b in ((1, "app.load", 5, 12), (2, "util.helper", 15, 20), (3, "app.save", 22, 25))])
+    functions = path.select("path", F.explode(known).alias("x")).select("path", "x.*")
+    return recordings.coverage_of_functions(docs, sources, functions)
+
+
 @query("SELECT 'cpuprofile' AS kind, CAST(count(*) AS INTEGER) AS n FROM supplier UNION ALL SELECT 'coverage', CAST(count(*) AS INTEGER) FROM supplier UNION ALL SELECT 'speedscope', CAST(2 * count(DISTINCT l_orderkey) AS INTEGER) FROM lineitem UNION ALL SELECT 'chrome', CAST(count(DISTINCT l_orderkey) AS INTEGER) FROM lineitem")
 def profile_kinds(spark, sf):
     """src.profile_kind"""

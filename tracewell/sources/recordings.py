@@ -10,16 +10,27 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, islands
+from ..operators import graph, intervals, islands
 
 # Seconds per unit of a speedscope profile.
 UNITS = {"nanoseconds": 1e-9, "microseconds": 1e-6, "milliseconds": 1e-3, "seconds": 1.0, "none": 1.0}
-TESTS_DIRS = "(^|/)(tests?|spec|__tests__|testdata|fixtures)(/|$)"
-SKIP_DIRS = r"(^|/)(\.git|node_modules|target|dist|build|vendor|\.venv|venv|__pycache__|site-packages)(/|$)"
-GENERATED = r"(_pb2\.py|\.pb\.go|\.min\.js|_generated\.\w+|\.g\.dart)$"
+# Directories that are not looked at, those that hold tests, and the names of tests and generated files.
+SKIPPED = (
+    ".git .hg .svn .audit node_modules target vendor dist build out .venv venv env __pycache__ .tox .mypy_cache .pytest_cache obj "
+    ".gradle .idea .vscode Pods DerivedData .next .nuxt coverage bower_components site-packages .terraform"
+).split()
+TESTING = "test tests __tests__ spec specs testdata fixtures e2e benches".split()
+TEST_FILE = r"(^|/)test_[^/]*\.py$|_test\.(py|go)$|\.(test|spec)\.[cm]?[jt]sx?$|Tests?\.java$"
+GENERATED = r"\.(min|bundle|pb|g|generated|designer)\.\w+$|_pb2(_grpc)?\.py$"
+# End of the fixed values.
 MAX_FILE_BYTES = 2_000_000
 
 
+def _below(names: list[str]) -> str:
+    """A pattern of paths that lead through a directory of one of these names."""
+    return "(^|/)(" + "|".join(n.replace(".", "[.]") for n in names) + ")/"
+
+
 def source_files(spark: SparkSession, root: str, include_tests: bool = False) -> DataFrame:
     """src.files, src.size_guard: (path, length, content, skipped_large) of the source files below a root.
 
@@ -29,9 +40,9 @@ def source_files(spark: SparkSession, root: str, include_tests: bool = False) ->
 
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.col("path")
-    f = f.where(~path.rlike(SKIP_DIRS) & ~path.rlike(GENERATED)).withColumn("lang", language_of(path)).where("lang IS NOT NULL")
+    f = f.where(~path.rlike(_below(SKIPPED)) & ~path.rlike(GENERATED)).withColumn("lang", language_of(path)).where("lang IS NOT NULL")
     if not include_tests:
-        f = f.where(~path.rlike(TESTS_DIRS) & ~path.rlike(r"(^|/)(test_[^/]*|[^/]*_test\.\w+|[^/]*\.(spec|test)\.\w+)$"))
+        f = f.where(~path.rlike(_below(TESTING)) & ~path.rlike(TEST_FILE))
     big = F.col("length") > MAX_FILE_BYTES
     return f.select("path", "lang", "length", F.when(~big, F.col("content")).alias("content"), big.alias("skipped_large"))
 
@@ -93,6 +104,34 @@ def coverage(docs: DataFrame, text: str = "value") -> DataFrame:
     return r.groupBy("url", F.col("f.functionName").alias("function"), F.col("f.ranges")[0]["startOffset"].alias("offset")).agg(F.sum(F.col("f.ranges")[0]["count"]).alias("count"))
 
 
+def coverage_of_functions(docs: DataFrame, sources: DataFrame, functions: DataFrame, profile: str = "profile", text: str = "value") -> DataFrame:
+    """src.coverage: (path, id, qualname, count) of the map's functions: exact call counts, added up over documents.
+
+    sources: path, content; functions: path, id, qualname, start, end (lines). The offsets of a script's functions become lines; the function of
+    the map is the smallest around the first line, and it takes the one script function that has its name, else its lines: closures and
+    the wrapper of the module share its lines but are not it. Among equals the first one counts. Scripts without a source give none.
+    """
+    from ..functions.text import uri_path
+
+    kind = "result array<struct<url: string, functions: array<struct<functionName: string, ranges: array<struct<startOffset: int, endOffset: int, count: bigint>>>>>>"
+    scripts = docs.select(profile, F.posexplode(F.from_json(text, kind)["result"]).alias("script", "r")).select(profile, "script", uri_path(F.col("r.url")).alias("path"), F.posexplode("r.functions").alias("ord", "f"))
+    own = F.col("f.ranges")[0]
+    seen = scripts.select(profile, "script", "path", "ord", F.col("f.functionName").alias("name"), own["startOffset"].alias("from"), F.greatest(own["startOffset"], own["endOffset"] - 1).alias("to"), own["count"].alias("count"))
+    # a line is the range of offsets from its first character to its end
+    cut_up = sources.select("path", F.posexplode(F.split("content", "\n", -1)).alias("p", "_l")).withColumn("_n", F.length("_l") + 1)
+    after = F.sum("_n").over(Window.partitionBy("path").orderBy("p"))
+    lines = cut_up.select("path", (F.col("p") + 1).alias("fn"), (after - F.col("_n")).alias("start"), (after - 1).alias("end"))
+    ids = [profile, "script", "ord"]
+    line_of = lambda at: intervals.enclosing_smallest(seen.select(*ids, "path", F.col(at).alias("at")), lines, "path", "at", ids).select(*ids, F.col("fn").alias(f"{at}_line"))
+    placed = seen.join(line_of("from"), ids).join(line_of("to"), ids)
+    around = intervals.enclosing_smallest(placed, functions.withColumnRenamed("id", "fn"), "path", "from_line", ids)
+    short = lambda c: F.element_at(F.split(c, r"[.]|::"), -1)
+    name = F.coalesce("name", F.lit(""))
+    by_name, by_lines = (name != "") & (short(F.col("qualname")) == short(name)), (F.col("start") == F.col("from_line")) & (F.col("end") == F.col("to_line"))
+    best = around.where(by_name | by_lines).groupBy(profile, "script", "path", "fn", "qualname").agg(F.min_by("count", F.struct(~by_name, ~by_lines, "ord")).alias("count"))
+    return best.groupBy("path", F.col("fn").alias("id"), "qualname").agg(F.sum("count").alias("count"))
+
+
 def chrome_events(docs: DataFrame, name: str = "profile", text: str = "value") -> DataFrame:
     """src.chrome: begin and end events; an array that was never closed is closed, complete events become pairs.
 
