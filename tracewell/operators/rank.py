@@ -102,48 +102,47 @@ def first_fit(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:
 
 
 class _Rooms:
-    """A tournament tree over the open batches: every node knows the most room below it, so the first batch with room is found by going down."""
+    """A tournament tree over the batches. A node knows, for every number of findings, the most characters that a batch below it takes beside
+    as many; so the first batch with room is found by going down once, without trying any in vain."""
 
     def __init__(self):
-        self.n, self.size, self.most = 0, 1, [(0, 0, 0)] * 2
+        import numpy as np
+
+        self.np, self.n, self.size = np, 0, 1
+        self.most = np.full((2, BATCH_FINDINGS + 1), -1, np.int64)
+        self.room: list[tuple[int, int, int]] = []
 
     def _set(self, at: int, room: tuple[int, int, int]) -> None:
-        at += self.size
-        self.most[at] = room
-        while at > 1:
+        functions, findings, chars = room
+        leaf = self.most[self.size + at]
+        leaf[:] = -1
+        if functions > 0 and findings >= 0 and chars >= 0:
+            leaf[: findings + 1] = chars
+        at = (self.size + at) // 2
+        while at:
+            self.np.maximum(self.most[2 * at], self.most[2 * at + 1], out=self.most[at])
             at //= 2
-            a, b = self.most[2 * at], self.most[2 * at + 1]
-            best = (max(a[0], b[0]), max(a[1], b[1]), max(a[2], b[2]))
-            if self.most[at] == best:
-                break
-            self.most[at] = best
-
-    def _first(self, need: tuple[int, int, int]) -> int | None:
-        todo = [1]
-        while todo:
-            at = todo.pop()
-            room = self.most[at]
-            if room[0] >= need[0] and room[1] >= need[1] and room[2] >= need[2]:
-                if at >= self.size:
-                    return at - self.size
-                todo += (2 * at + 1, 2 * at)
-        return None
 
     def put(self, findings: int, chars: int) -> int:
         """The number of the first batch that takes the item, a new one if there is none."""
-        at = self._first((1, findings, chars))
-        if at is None or at >= self.n:
+        if findings <= BATCH_FINDINGS and self.most[1, findings] >= chars:
+            at = 1
+            while at < self.size:
+                at = 2 * at if self.most[2 * at, findings] >= chars else 2 * at + 1
+            at -= self.size
+        else:
             at, self.n = self.n, self.n + 1
+            self.room.append((BATCH_FUNCTIONS, BATCH_FINDINGS, BATCH_CHARS))
             if at == self.size:  # twice as many leaves
-                old = self.most[self.size :]
+                leaves = self.most[self.size :]
                 self.size *= 2
-                self.most = [(0, 0, 0)] * (2 * self.size)
-                for i, room in enumerate(old):
-                    self._set(i, room)
-            room = (BATCH_FUNCTIONS, BATCH_FINDINGS, BATCH_CHARS)
-        else:
-            room = self.most[self.size + at]
-        self._set(at, (room[0] - 1, room[1] - findings, room[2] - chars))
+                self.most = self.np.full((2 * self.size, BATCH_FINDINGS + 1), -1, self.np.int64)
+                self.most[self.size : self.size + len(leaves)] = leaves
+                for i in range(self.size - 1, 0, -1):
+                    self.np.maximum(self.most[2 * i], self.most[2 * i + 1], out=self.most[i])
+        room = self.room[at]
+        self.room[at] = (room[0] - 1, room[1] - findings, room[2] - chars)
+        self._set(at, self.room[at])
         return at
 
 
@@ -151,7 +150,7 @@ def batches(items: DataFrame, keys: list[str], order: str) -> DataFrame:
     """agg.batches: items (findings, chars, ...) with `batch`, packed first-fit per key in the order of a column.
 
     An item goes into the first batch that has room for it, or opens one. An item that is over a limit by itself opens a batch too,
-    which then has no room. Keys are sorted streams: a task holds the rooms of one key's batches and never its items. A null number counts as 0.
+    which then has no room. Keys are sorted streams: a task holds the rooms of one key's batches and never its items. A null number, or one below 0, counts as 0.
     """
     import pyarrow as pa
 
@@ -163,7 +162,7 @@ def batches(items: DataFrame, keys: list[str], order: str) -> DataFrame:
             for own, findings, chars in zip(zip(*(cols[k] for k in keys)), cols["findings"], cols["chars"]):
                 if own != key:
                     key, rooms = own, _Rooms()
-                out.append(rooms.put(int(findings or 0), int(chars or 0)))
+                out.append(rooms.put(max(0, int(findings or 0)), max(0, int(chars or 0))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "batch"])
 
     schema = T.StructType([*items.schema.fields, T.StructField("batch", T.LongType())])
