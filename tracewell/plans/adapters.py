@@ -119,7 +119,7 @@ def call(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = i.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("pa"))
     b = i.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("pb"))
     pairs = a.join(b, ["l_orderkey", "l_linenumber"]).where("pa <> pb").withColumns({"lo": F.least("pa", "pb"), "hi": F.greatest("pa", "pb")})
-    back = (F.col("lo") % 50 == 0) & (F.col("l_orderkey") % 3 == 0)
+    back = (F.col("lo") % 50 == 0) & (F.col("l_orderkey") % 4 == 1)
     ends = pairs.select(F.when(back, F.col("hi")).otherwise(F.col("lo")).alias("caller"), F.when(back, F.col("lo")).otherwise(F.col("hi")).alias("callee"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"))
     return ends.groupBy("caller", "callee").agg(F.min("line").alias("line"), (F.min("line") % 5 == 0).alias("offloaded"))
 
@@ -166,7 +166,7 @@ SQL = {
     "edge": """edge AS (SELECT a.l_suppkey AS caller, b.l_suppkey AS callee, min(b.l_orderkey * 8 + b.l_linenumber) * 10000000 + b.l_suppkey AS edge_ord, max(CASE WHEN a.l_partkey % 3 = 0 THEN 1 ELSE 0 END) AS by_name, CAST(min(a.l_partkey % 4) AS INTEGER) AS attempts
       FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity = 50 AND b.l_quantity >= 40 AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)""",
     "call": """call AS (SELECT caller, callee, min(line) AS line, min(line) % 5 = 0 AS offloaded FROM (SELECT CASE WHEN back THEN hi ELSE lo END AS caller, CASE WHEN back THEN lo ELSE hi END AS callee, line
-      FROM (SELECT *, lo % 50 = 0 AND l_orderkey % 3 = 0 AS back FROM (SELECT b.l_orderkey, least(a.l_partkey, b.l_partkey) AS lo, greatest(a.l_partkey, b.l_partkey) AS hi, b.l_orderkey * 8 + b.l_linenumber AS line
+      FROM (SELECT *, lo % 50 = 0 AND l_orderkey % 4 = 1 AS back FROM (SELECT b.l_orderkey, least(a.l_partkey, b.l_partkey) AS lo, greatest(a.l_partkey, b.l_partkey) AS hi, b.l_orderkey * 8 + b.l_linenumber AS line
       FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey))) GROUP BY 1, 2)""",
     "stop": "stop AS (SELECT p_partkey AS node, p_partkey * 7919 % 5000 AS line FROM part WHERE p_size <= 3)",
     "bnd": """bnd AS (SELECT s_suppkey AS function, CASE s_nationkey % 4 WHEN 0 THEN 'net' WHEN 1 THEN 'db' WHEN 2 THEN 'fs' ELSE 'sleep' END AS category,
