@@ -161,3 +161,16 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(e, "u long, v long")).collect()))
     assert got == {5: 1, 4: 1, 3: 1, 1: 1, 9: 8, 8: 8} | {100 + i: 100 for i in range(41)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_ids_that_are_no_numbers_count_as_null(spark):
+    """Such a row is a class of its own, is scanned for leaks, and gets a shard like any other."""
+    from tracewell.llm import decontaminate, kd_shard, near_dups
+
+    long = "one passage that both of these rows hold word for word " * 4
+    docs = spark.createDataFrame([("abc", long), ("7", long), ("8", "something else entirely")], "doc_id string, text string")
+    classes = sorted((r.doc_id, r.class_id, r.class_size) for r in near_dups.near_duplicates(docs).collect())
+    assert classes == [("7", 7, 1), ("8", 8, 1), ("abc", None, 1)]
+    items = spark.createDataFrame([(1, long)], "item_id int, text string")
+    assert sorted((r.doc_id or -1, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()) == [(-1, 1), (7, 1)]
+    assert kd_shard.shard(docs).count() == 3
