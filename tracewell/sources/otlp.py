@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPAN = "trace_id string, span_id string, parent_id string, name string, kind int, start_ns bigint, end_ns bigint, attrs map<string,string>, status int"
+_NAMES = [c.split(" ")[0] for c in SPAN.replace("map<string,string>", "map").split(", ")]
 # Fixed values of the format: span kinds and status codes by name.
 KINDS = ["SPAN_KIND_UNSPECIFIED", "SPAN_KIND_INTERNAL", "SPAN_KIND_SERVER", "SPAN_KIND_CLIENT", "SPAN_KIND_PRODUCER", "SPAN_KIND_CONSUMER"]
 STATUS = ["STATUS_CODE_UNSET", "STATUS_CODE_OK", "STATUS_CODE_ERROR"]
@@ -178,27 +179,39 @@ def load_body(data: bytes) -> list[dict]:
         return [s for part in data.splitlines() if part.strip() for s in decode_json(json.loads(part))]
 
 
-def _row(s: dict) -> tuple:
+def row(s: dict) -> tuple:
+    """A span in the order of SPAN."""
     text = lambda v: v if isinstance(v, str) else json.dumps(v)
     return (s["trace_id"], s["span_id"], s["parent_id"], s["name"], s["kind"], s["start_ns"], s["end_ns"], {k: text(v) for k, v in s["attrs"].items()}, s["status"])
 
 
-def spans(files: DataFrame) -> DataFrame:
-    """Spans of binary files (path, content); a file that cannot be read gives no span. Use parse_errors for those."""
+def bodies(files: DataFrame, at: str | None = None) -> DataFrame:
+    """src.otlp_file, src.parse_error_isolation: path, the spans' columns and error of binary files (path, content), a stream of them too.
+
+    A file that cannot be read is one row with its error. `at` names a column of times of the files that each row keeps.
+    """
+    kept = [at] if at else []
 
     def run(batches):
         import pandas as pd
 
         for df in batches:
             rows = []
-            for body in df["content"]:
+            for path, body, *time in zip(df["path"], df["content"], *(df[c] for c in kept)):
                 try:
-                    rows += [_row(s) for s in load_body(bytes(body))]
-                except (ValueError, KeyError, IndexError, OSError, struct.error):
-                    continue
-            yield pd.DataFrame(rows, columns=["trace_id", "span_id", "parent_id", "name", "kind", "start_ns", "end_ns", "attrs", "status"])
+                    rows += [(path, *row(s), None, *time) for s in load_body(bytes(body))]
+                except (ValueError, KeyError, IndexError, TypeError, AttributeError, OSError, EOFError, struct.error) as e:
+                    rows.append((path, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}", *time))
+            out = pd.DataFrame(rows, columns=["path", *_NAMES, "error", *kept])
+            whole = ("kind", "start_ns", "end_ns", "status")
+            yield pd.DataFrame({c: out[c].astype("Int64") if c in whole else out[c] if c in kept else out[c].astype(object) for c in out})
 
-    return files.select("content").mapInPandas(run, SPAN)
+    return files.select("path", "content", *kept).mapInPandas(run, f"path string, {SPAN}, error string" + (f", {at} timestamp" if at else ""))
+
+
+def spans(files: DataFrame) -> DataFrame:
+    """Spans of binary files (path, content); a file that cannot be read gives no span. Use bodies for those."""
+    return bodies(files).where("error IS NULL").drop("path", "error")
 
 
 def parse_errors(files: DataFrame, reader=load_body) -> DataFrame:
