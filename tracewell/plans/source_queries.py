@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring
 from ..operators.graph import cut
-from ..sources import manifests, otlp, recordings, stores
+from ..sources import manifests, otlp, recordings, stores, wire
 from .adapters import act, find, micros, r, table, views
 from .catalogue import query
 
@@ -186,12 +186,88 @@ def profile_kinds(spark, sf):
     return docs.groupBy(recordings.profile_kind(F.col("value")).alias("kind")).agg(F.count("*").cast("int").alias("n"))
 
 
-def _stores(spark, sf) -> str:
-    """A new shared folder with a trace store per process: its activations, a stall for every long one, and two settings."""
+def _folder(spark, name: str) -> str:
+    """A new folder that all executors share."""
     import uuid
 
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}".removeprefix("file:")
+
+
+def _once(x, f):
+    """f of a value that is computed once, however often f has it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _varint(n):
+    """A number below 2^28 as the wire has it."""
+
+    def bytes_(n):
+        byte = lambda k, more: F.lpad(F.hex(F.shiftright(n, 7 * k).bitwiseAND(127) + (128 if more else 0)), 2, "0")
+        upto = lambda k: F.concat(*[byte(i, i < k) for i in range(k + 1)])
+        return F.unhex(F.when(n < 1 << 7, upto(0)).when(n < 1 << 14, upto(1)).when(n < 1 << 21, upto(2)).otherwise(upto(3)))
+
+    return _once(n, bytes_)
+
+
+def _tag(number: int, kind: int):
+    """A field's number, below sixteen, and its wire type."""
+    return F.unhex(F.lit(f"{number << 3 | kind:02x}"))
+
+
+def _field(number: int, body):
+    """A length-delimited field."""
+    return _once(body, lambda b: F.concat(_tag(number, 2), _varint(F.length(b).cast("long")), b))
+
+
+def _number(number: int, n):
+    return F.concat(_tag(number, 0), _varint(n.cast("long")))
+
+
+def _fixed64(number: int, n):
+    little = F.regexp_replace(F.lpad(F.hex(n), 16, "0"), "(..)(..)(..)(..)(..)(..)(..)(..)", "$8$7$6$5$4$3$2$1")
+    return F.concat(_tag(number, 1), F.unhex(little))
+
+
+@query("SELECT 'src/l' || l_linenumber || '.py' AS file, CAST(l_orderkey % 2000 AS INTEGER) AS line0, 'pkg p' || l_partkey || '().' AS symbol, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS roles FROM lineitem")
+def index_occurrences(spark, sf):
+    """src.scip, src.protowire: an index per supplier, written in its wire format and read back"""
+    i = table(spark, sf, "lineitem")
+    span = F.concat(_varint(F.col("l_orderkey") % 2000), _varint(F.lit(4).cast("long")), _varint(F.lit(300).cast("long")))
+    one = F.concat(_field(1, span), _field(2, _text("pkg p", F.col("l_partkey"), "().").cast("binary")), F.when(F.col("l_returnflag") == "N", _number(3, F.lit(1))).otherwise(F.unhex(F.lit(""))))
+    doc = i.groupBy("l_suppkey", "l_linenumber").agg(F.listagg(_field(2, one)).alias("body"))
+    doc = doc.select("l_suppkey", _field(2, F.concat(_field(1, _text("src/l", F.col("l_linenumber"), ".py").cast("binary")), F.col("body"))).alias("body"))
+    files = doc.groupBy("l_suppkey").agg(F.listagg("body").alias("content")).select(_text("s", F.col("l_suppkey"), "/index.scip").alias("path"), "content")
+    where = _folder(spark, "indexes")
+    wire.write_files(files, where)
+    return wire.wire_files(spark, where, "occurrences").where("error IS NULL").drop("path", "error")
+
+
+def _requests(spark, sf) -> str:
+    """A folder with an export request in protobuf per user: a span for each event, whose parent is the user's event before it."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf, "events").withColumn("ns", micros("ts") * 1000).withColumn("before", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")))
+    id_ = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    tenant = F.concat(_field(1, F.lit("tenant").cast("binary")), _field(2, _number(3, F.col("user_id") % 9)))
+    parent = F.when(F.col("before").isNull(), F.unhex(F.lit(""))).otherwise(_field(4, id_(F.col("before"))))
+    span = F.concat(_field(1, F.unhex(F.lpad(F.hex("user_id"), 32, "0"))), _field(2, id_(F.col("event_id"))), parent, _field(5, F.col("event_type").cast("binary")), _number(6, F.when(F.col("event_type") == "view", 2).otherwise(3)), _fixed64(7, F.col("ns")), _fixed64(8, F.col("ns") + F.col("event_id") * 7), _field(9, tenant))
+    body = e.groupBy("user_id").agg(F.listagg(_field(2, span)).alias("spans"))
+    where = _folder(spark, "requests")
+    wire.write_files(body.select(_text("u", F.col("user_id") % 16, "/", F.col("user_id"), ".pb").alias("path"), _field(1, _field(2, F.col("spans"))).alias("content")), where)
+    return where
+
+
+@query("SELECT lpad(lower(to_hex(event_id)), 16, '0') AS span_id, coalesce(lpad(lower(to_hex(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id))), 16, '0'), '') AS parent_id, event_type AS name, CASE WHEN event_type = 'view' THEN 2 ELSE 3 END AS kind, CAST(event_id * 7 AS BIGINT) AS dur_ns, CAST(user_id % 9 AS VARCHAR) AS tenant FROM events")
+def request_spans(spark, sf):
+    """src.otlp_pb: export requests written in protobuf and read back"""
+    s = wire.wire_files(spark, _requests(spark, sf), "spans").where("error IS NULL")
+    return s.select("span_id", "parent_id", "name", "kind", (F.col("end_ns") - F.col("start_ns")).alias("dur_ns"), F.col("attrs")["tenant"].alias("tenant"))
+
+
+def _stores(spark, sf) -> str:
+    """A new shared folder with a trace store per process: its activations, a stall for every long one, and two settings."""
     a = cut(act(spark, sf).select("pid", "id", "parent", "thread", "fn", "dur", "n"))
-    where = f"{spark.sparkContext.getCheckpointDir()}/stores-{uuid.uuid4().hex}".removeprefix("file:")
+    where = _folder(spark, "stores")
     cell = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}), r'(?s)^\{"x":(.*)\}$', 1)
     row = lambda *cols: F.concat(F.lit("["), F.concat_ws(",", *map(cell, cols)), F.lit("]"))
     calls = a.select("pid", F.lit("calls").alias("relation"), row(F.col("id"), F.col("parent"), F.col("thread"), F.lit("app.py"), F.col("n"), F.col("fn"), F.col("id") % 2, F.lit(0.5), F.col("dur"), F.col("dur") / 2, F.lit(1), F.col("dur"), F.create_map(F.lit("n"), F.col("n"))).alias("row"))
