@@ -12,18 +12,23 @@ import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; one of this machine only where all of Spark is in one process."""
     if not spark.sparkContext.getCheckpointDir():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="tracewell-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder that the session names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

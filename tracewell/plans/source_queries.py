@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scoring
-from ..operators.graph import cut
+from ..operators.graph import cut, shared_folder
 from ..sources import manifests, otlp, recordings, stores, wire
 from .adapters import act, find, micros, r, table, views
 from .catalogue import query
@@ -190,7 +190,7 @@ def _folder(spark, name: str) -> str:
     """A new folder that all executors share."""
     import uuid
 
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}".removeprefix("file:")
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}".removeprefix("file:")
 
 
 def _once(x, f):
