@@ -40,6 +40,24 @@ def test_lexicon_does_not_change_results():
     assert [plain.encode(t) for t in texts] == [quick.encode(t) for t in texts]
 
 
+def test_lexicon_comes_from_the_vocabulary_and_not_from_rows(spark, library):
+    sc = spark.sparkContext
+    docs = frame(spark, documents())
+    sc.setJobGroup("lexicon", "no row is read before the codec runs")
+    try:
+        lexicon_bpe.bpe_codec(docs, PATH)
+        assert not sc.statusTracker().getJobIdsForGroup("lexicon")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    with open(PATH) as f:
+        spec = f.read()
+    lexicon, words = lexicon_bpe.Lexicon.mapped(lexicon_bpe.compile_lexicon(spec)), lexicon_bpe.vocabulary_words(lexicon_bpe.Bpe(spec))
+    assert len(words) > 20_000
+    for w in words[::97]:
+        if lexicon_bpe.Bpe.split(w) == [w]:
+            assert lexicon.get(w.encode()) == library.encode(w, add_special_tokens=False).ids
+
+
 def test_automaton_is_minimal_and_exact():
     words = {w.encode(): [n] for n, w in enumerate(["talking", "walking", "king", "talk", "walk", "walked", "talked", "a"])}
     lex = lexicon_bpe.Lexicon.mapped(lexicon_bpe.Lexicon.build(words).to_bytes())

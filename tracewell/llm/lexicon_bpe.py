@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Frequent words are compiled into a shared-suffix automaton whose arcs carry the
+The words of the vocabulary are compiled into a shared-suffix automaton whose arcs carry the
 number of words that leave a state before them. The sum along a word's path is
 the word's rank, and the rank leads to its id sequence, so states with one
 suffix language are shared although the outputs differ. The automaton is a
@@ -30,8 +30,6 @@ from pyspark.sql import types as T
 
 from .tables import beside, small, without
 
-#: Rows sampled for the lexicon's words, and words kept.
-SAMPLE_ROWS, LEXICON_WORDS = 4_000, 60_000
 #: Distinct words that a worker remembers at once.
 MEMO = 300_000
 OUT = ["ids", "decoded"]
@@ -239,12 +237,24 @@ def _bpe(spec: str, lexicon: bytes) -> Bpe:
     return Bpe(spec, lexicon)
 
 
-def compile_lexicon(spec: str, texts: list[str], most: int = LEXICON_WORDS) -> bytes:
-    from collections import Counter
+def vocabulary_words(bpe: Bpe) -> list[str]:
+    """The whole words that have an id of their own."""
+    code = {c: b for b, c in enumerate(bpe.alphabet)}
+    words = []
+    for token in bpe.vocab:
+        if token.endswith(_END) and token != _END:
+            try:
+                words.append(bytes(map(code.__getitem__, token[: -len(_END)])).decode())
+            except (KeyError, UnicodeDecodeError):  # no text has such a word
+                continue
+    return words
+
 
+def compile_lexicon(spec: str, texts: list[str] | None = None) -> bytes:
+    """The lexicon of the vocabulary's own words, or of those in `texts`."""
     bpe = Bpe(spec)
-    count = Counter(w for t in texts for w in Bpe.split(t) if len(w) <= 64)
-    return Lexicon.build({w.encode("utf-8", "surrogatepass"): bpe.merge(w) for w, n in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:most]}).to_bytes()
+    words = vocabulary_words(bpe) if texts is None else {w for t in texts for w in Bpe.split(t)}
+    return Lexicon.build({w.encode("utf-8", "surrogatepass"): bpe.merge(w) for w in words}).to_bytes()
 
 
 def _run(spec: str, lexicon: bytes, at: int, kept: int, digest: bool):
@@ -275,26 +285,18 @@ def _run(spec: str, lexicon: bytes, at: int, kept: int, digest: bool):
     return run
 
 
-def sample_texts(docs: DataFrame, text: str, rows: int) -> list[str]:
-    """About `rows` texts, chosen by a hash of the text; only the lexicon's hit rate depends on them."""
-    total = max(1, docs.count())
-    share = min(1.0, rows / total)
-    got = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.col(text).alias("t")).distinct().limit(2 * rows).collect()
-    return [r["t"] for r in got if r["t"]]
-
-
-def bpe_codec(docs: DataFrame, spec_path: str, text: str = "text", sample_rows: int = SAMPLE_ROWS, digest: bool = False) -> DataFrame:
+def bpe_codec(docs: DataFrame, spec_path: str, text: str = "text", digest: bool = False) -> DataFrame:
     """docs but for the text, plus ids array<int> and decoded string; with digest: n_tokens, ids_sha256 and decoded_sha256 instead.
 
     The ids equal those of the vocabulary's own library without special tokens added; special tokens
     that stand in a text are recognised. decoded is its decode() with special tokens kept. Null and empty
     texts give no ids and an empty string. A text may be of any length; words are merged in n log n. Repeated
     rows are coded alike and an empty table gives none.
-    Input columns named like an output are replaced. spec_path is read on the driver; its content travels with the task.
+    Input columns named like an output are replaced. spec_path is read on the driver; its content travels with the task. The lexicon is made from it alone, no row is read for it.
     """
     with open(spec_path, encoding="utf-8") as f:
         spec = f.read()
-    lexicon = compile_lexicon(spec, sample_texts(docs, text, sample_rows))
+    lexicon = compile_lexicon(spec)
     outs = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else OUT
     kinds = [T.LongType(), T.StringType(), T.StringType()] if digest else [T.ArrayType(T.IntegerType()), T.StringType()]
     base, at, n = beside(docs, outs, text, without(docs, [text]))
