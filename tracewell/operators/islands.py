@@ -59,7 +59,7 @@ def sweep(intervals: DataFrame, key: str, parts: int = 1024) -> DataFrame:
 def paired(events: DataFrame, keys: list[str], order: list, opens: Column, name: str, at: str) -> DataFrame:
     """win.evented, win.chrome_pairs: each opening with the next closing at its depth.
 
-    The depth is a running sum, so matching needs one more window and no stack.
+    The depth is a running sum, so matching needs one more window and no stack. Events that are dealt by their keys stay where they are.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     d = events.withColumn("_open", opens).withColumn("_sum", F.sum(F.when(F.col("_open"), 1).otherwise(-1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -73,16 +73,18 @@ def self_of_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """pairs plus `child`: the time of the pairs one level deeper inside.
 
     Parents and children of a level stand in one order of time, and a child belongs to the last parent that began
-    before it, so the cost is one sort and not the pairs of a level.
+    before it, so the cost is one sort and not the pairs of a level. A pair is a parent of its own level and a child of the one above,
+    and what its parent is told comes by a window: no row leaves its key's part.
     """
-    span = F.struct("start", "end")
-    parents = pairs.select(*keys, "depth", F.col("start").alias("_at"), F.lit(0).alias("_kind"), span.alias("_p"), F.lit(None).cast(pairs.schema["end"].dataType).alias("_d"))
-    inner = pairs.select(*keys, (F.col("depth") - 1).cast(pairs.schema["depth"].dataType).alias("depth"), F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(parents.schema["_p"].dataType).alias("_p"), (F.col("end") - F.col("start")).alias("_d"))
-    w = Window.partitionBy(*keys, "depth").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    owned = parents.unionByName(inner).withColumn("_o", F.last("_p", ignorenulls=True).over(w)).where("_kind = 1 AND _at < _o.end")
-    told = owned.groupBy(*keys, "depth", F.col("_o.start").alias("start"), F.col("_o.end").alias("end")).agg(F.sum("_d").alias("_c"))
-    out = pairs.join(told, [*keys, "depth", "start", "end"], "left")
-    return out.select(*pairs.columns, F.coalesce("_c", F.lit(0)).alias("child"))
+    level, took = pairs.schema["depth"].dataType, F.col("end") - F.col("start")
+    row = F.struct(*pairs.columns)
+    roles = F.array(F.struct(F.col("depth").alias("depth"), F.lit(0).alias("kind")), F.struct((F.col("depth") - 1).cast(level).alias("depth"), F.lit(1).alias("kind")))
+    both = pairs.select(*keys, row.alias("_row"), F.col("start").alias("_at"), took.alias("_took"), F.explode(roles).alias("_x")).select(*keys, "_row", "_at", "_took", F.col("_x.depth").alias("_depth"), F.col("_x.kind").alias("_kind"))
+    w = Window.partitionBy(*keys, "_depth").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("_o", F.last(F.when(F.col("_kind") == 0, F.struct("_row.start", "_row.end")), ignorenulls=True).over(w)).where("_kind = 0 OR _at < _o.end")
+    inside = own.withColumns({"_start": F.col("_o.start"), "_end": F.col("_o.end")}).drop("_o")
+    told = inside.withColumn("child", F.sum(F.when(F.col("_kind") == 1, F.col("_took"))).over(Window.partitionBy(*keys, "_depth", "_start", "_end")))
+    return told.where("_kind = 0").select("_row.*", F.coalesce("child", F.lit(0)).alias("child"))
 
 
 def next_after(events: DataFrame, keys: list[str], order: list, wanted: Column, at: str, out: str) -> DataFrame:

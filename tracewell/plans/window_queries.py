@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import islands, ledger, stats
-from .adapters import act, ival, line, r, table, tick, views
+from .adapters import act, by_order, ival, line, r, table, tick, views
 from .catalogue import query
 
 HOUR = 3_600_000_000
@@ -81,9 +81,9 @@ def _nested(spark, sf):
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"))
-    i = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("thread"), F.col("l_suppkey").alias("fn"), n.cast("long").alias("n"))
-    opened = i.select("thread", "fn", (F.col("n") * 10).alias("at"), F.lit(True).alias("open"))
-    return opened.unionByName(i.select("thread", "fn", (100_000 - F.col("n") * 10).alias("at"), F.lit(False).alias("open")))
+    i = by_order(spark, sf).select(F.col("l_orderkey").alias("thread"), F.col("l_suppkey").alias("fn"), n.cast("long").alias("n"))
+    event = lambda at, open_: F.struct(at.alias("at"), F.lit(open_).alias("open"))
+    return i.select("thread", "fn", F.explode(F.array(event(F.col("n") * 10, True), event(100_000 - F.col("n") * 10, False))).alias("x")).select("thread", "fn", "x.at", "x.open")
 
 
 _PAIRS = """li AS (SELECT l_orderkey AS thread, l_suppkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS n FROM lineitem),
@@ -117,11 +117,11 @@ def sibling_self_time(spark, sf):
 
     by = Window.partitionBy("l_orderkey")
     n = F.row_number().over(by.orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")).cast("long")
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("thread"), F.col("l_suppkey").alias("fn"), n.alias("n"), F.count("*").over(by).alias("m"))
-    at = F.expr("((n + 1) DIV 2) * 1000")
-    up = li.where("n % 2 = 0").select("thread", "fn", F.lit(1).cast("long").alias("depth"), at.alias("start"), (at + 500 + F.col("fn") % 7).alias("end"))
-    down = li.where("n % 2 = 1 AND n < m").select("thread", "fn", F.lit(2).cast("long").alias("depth"), (at + 10).alias("start"), (at + 100 + F.col("fn") % 11).alias("end"))
-    out = islands.self_of_pairs(up.unionByName(down), ["thread"])
+    li = by_order(spark, sf).select(F.col("l_orderkey").alias("thread"), F.col("l_suppkey").alias("fn"), n.alias("n"), F.count("*").over(by).alias("m"))
+    at, up = F.expr("((n + 1) DIV 2) * 1000"), F.col("n") % 2 == 0
+    pick = lambda a, b: F.when(up, a).otherwise(b)
+    pairs = li.where(up | (F.col("n") < F.col("m"))).select("thread", "fn", pick(F.lit(1), F.lit(2)).cast("long").alias("depth"), pick(at, at + 10).alias("start"), pick(at + 500 + F.col("fn") % 7, at + 100 + F.col("fn") % 11).alias("end"))
+    out = islands.self_of_pairs(pairs, ["thread"])
     return out.select("thread", "fn", F.col("start").alias("at"), (F.col("end") - F.col("start") - F.col("child")).alias("self_time"))
 
 
