@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring
 from ..operators.graph import cut, shared_folder
+from ..operators.parts import dealt, parts_of
 from ..sources import manifests, otlp, recordings, stores, wire
-from .adapters import act, find, micros, r, table, views
+from .adapters import act, by_order, find, micros, r, table, views
 from .catalogue import query
 
 
@@ -23,7 +24,9 @@ def _text(*parts):
 
 def _orders(spark, sf) -> DataFrame:
     """(profile, m): an order and the number of its lines."""
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("profile")).agg(F.count("*").cast("int").alias("m"))
+    i = table(spark, sf, "lineitem")
+    # by the name that the documents have, so that their events stay in the parts of their lines
+    return dealt(i.select(F.col("l_orderkey").cast("string").alias("profile")), parts_of(i.count()), "profile").groupBy("profile").agg(F.count("*").cast("int").alias("m"))
 
 
 def _spans(spark, sf) -> DataFrame:
@@ -54,7 +57,7 @@ def otlp_explode(spark, sf):
 
 def _sampled(spark, sf) -> DataFrame:
     """One sampled profile an order: a line is a sample as deep as its number, as long as its quantity, in the order's unit."""
-    i = table(spark, sf, "lineitem")
+    i = by_order(spark, sf)
     x = F.struct(F.sequence(F.lit(0), F.col("l_linenumber").cast("int") - 1).alias("s"), F.col("l_quantity").alias("w"))
     d = i.groupBy(F.col("l_orderkey").alias("profile")).agg(F.collect_list(x).alias("xs"))
     unit = F.when(F.col("profile") % 2 == 0, "milliseconds").otherwise("seconds")

@@ -48,9 +48,9 @@ def source_files(spark: SparkSession, root: str, include_tests: bool = False) ->
 
 
 def profile_kind(text: Column) -> Column:
-    """src.profile_kind: by the keys at the top of the document; null where none fits."""
+    """src.profile_kind: by the keys at the top of the document; null where none fits. A list has no keys, so it is not searched for them."""
     has = lambda k: F.get_json_object(text, f"$.{k}").isNotNull()
-    return F.when(has("nodes") & has("samples"), "cpuprofile").when(has("profiles") & has("shared"), "speedscope").when(has("result"), "coverage").when(has("traceEvents") | text.rlike(r"^\s*\["), "chrome")
+    return F.when(text.rlike(r"^\s*\["), "chrome").when(has("nodes") & has("samples"), "cpuprofile").when(has("profiles") & has("shared"), "speedscope").when(has("result"), "coverage").when(has("traceEvents"), "chrome")
 
 
 def speedscope(docs: DataFrame, name: str = "profile", text: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
