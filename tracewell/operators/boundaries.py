@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Rows of an index that are sent to every task; a larger index is joined by exchange.
 SMALL_INDEX = 20_000
 EVERY = "*"
@@ -324,18 +326,27 @@ def classify(calls: DataFrame, imports: DataFrame, ids: list[str], rules: dict[s
     keyed = spark.createDataFrame(rows, "lang string, key string, ordinal int, number int")
     keyed = F.broadcast(keyed) if len(rows) <= SMALL_INDEX else keyed
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    shown_as = {c: text(c) for c in ("path", "name", "call_kind", "receiver")} | {"lang": F.col("lang"), "file": F.col("file"), "receiver_type": F.col("receiver_type"), "awaited": F.coalesce("awaited", F.lit(False)).alias("awaited")}
+    shown_as = {c: text(c) for c in ("path", "name", "call_kind", "receiver")} | {"lang": F.col("lang"), "file": F.col("file"), "receiver_type": text("receiver_type"), "awaited": F.coalesce("awaited", F.lit(False)).alias("awaited")}
     c = calls.select(*[k for k in ids if k not in shown_as], *shown_as.values())
+    # what the rules look at is the same for many calls: each is tried once, and calls meet the rules that fit by equality
+    shape = ["lang", "path", "name", "call_kind", "receiver", "receiver_type", "awaited"]
+    seen = c.select(*shape).where("lang IS NOT NULL").distinct()
     parts = F.split("path", r"\.")
     found = F.array_distinct(F.array(F.lit(EVERY), F.concat(F.lit("name:"), "name"), F.concat(F.lit("head:"), F.get(parts, F.lit(0))), F.concat(F.lit("tail:"), F.element_at(parts, -1))))
-    candidates = c.withColumn("key", F.explode(found)).join(keyed, ["lang", "key"])
+    candidates = seen.withColumn("key", F.explode(found)).join(keyed, ["lang", "key"])
     flat = [r for table in rules.values() for r in table]
     patterns = {p: k for k, p in enumerate(sorted({r.imports for r in flat if r.imports}))}
     needs = F.element_at(F.array(*[F.lit(patterns.get(r.imports, -1)) for r in flat]), F.col("number") + 1)
     fits = reduce(lambda acc, k: F.when(F.col("number") == k, _holds(flat[k])).otherwise(acc), range(len(flat)), F.lit(False))
-    candidates = candidates.where(fits).withColumn("_needs", needs)
-    candidates = candidates.join(imported_rules(imports, rules), "file", "left").where((F.col("_needs") < 0) | F.array_contains("has", F.col("_needs")))
-    best = candidates.groupBy(*ids).agg(F.min(F.struct("ordinal", "number")).alias("_b"), F.first("lang").alias("lang"))
+    fitting = cut(candidates.where(fits).groupBy(*shape).agg(F.collect_set(F.struct("ordinal", "number", needs.alias("needs"))).alias("_fit")))
+    fitting = F.broadcast(fitting) if fitting.count() <= SMALL_INDEX else fitting
+    candidates = c.join(fitting, shape)
+    shown_by = F.filter("_fit", lambda x: (x["needs"] < 0) | F.array_contains("has", x["needs"]))
+    candidates = candidates.join(imported_rules(imports, rules), "file", "left").withColumn("_b", F.array_min(shown_by)).where("_b IS NOT NULL")
+    # ordinal and number as one whole number, which a hash table can hold the least of; the number tells the language too
+    best = candidates.groupBy(*ids).agg(F.min(F.shiftleft(F.col("_b.ordinal").cast("long"), 32) + F.col("_b.number")).alias("_b"))
+    best = best.select(*ids, F.struct(F.shiftright("_b", 32).cast("int").alias("ordinal"), F.col("_b").bitwiseAND(0xFFFFFFFF).cast("int").alias("number")).alias("_b"))
+    best = best.withColumn("lang", F.element_at(F.array(*[F.lit(lang) for lang, t in rules.items() for _ in t]), F.col("_b.number") + 1))
     shown = F.element_at(
         F.array(
             *[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.category).alias("category"), F.lit(r.blocking).alias("blocking"), F.lit(r.confidence).alias("confidence"), F.lit(r.default_timeout).cast("string").alias("default_timeout"), F.lit(r.default_client).alias("default_client"), F.lit(r.client_level).alias("client_level")) for r in flat]

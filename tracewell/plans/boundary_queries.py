@@ -90,14 +90,14 @@ _LIST = lambda k: "[" + ", ".join(_LIT(s[k]) for s in SAMPLES) + "]"  # noqa: E7
 def boundary_rules(spark, sf):
     """join.rule_match: the boundary tables of nine languages over every line item as a call of its supplier's source, with and without the import that a rule asks for"""
     i = table(spark, sf, "lineitem")
-    at = (F.col("l_partkey") % len(SAMPLES) + 1).cast("int")
+    # lines that share their numbers and sample are one call so many times; all else follows from these four
+    i = i.groupBy("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_partkey") % len(SAMPLES) + 1).cast("int").alias("sample")).agg(F.count("*").alias("times"))
+    at = F.col("sample")
     pick = lambda k, kind="string": F.element_at(F.array(*[F.lit(s[k]).cast(kind) for s in SAMPLES]), at)
     # a file holds the calls of one sample of one supplier, so that it imports one library
     file = F.concat_ws("/", F.col("l_suppkey"), at)
-    calls = i.select("l_orderkey", "l_linenumber", file.alias("file"), (F.col("l_suppkey") % 2 == 0).alias("importing"), pick(0).alias("lang"), pick(1).alias("path"), pick(2).alias("call_kind"), pick(3).alias("receiver"), pick(4).alias("receiver_type"), pick(5, "boolean").alias("awaited"), pick(6).alias("imported"))
+    calls = i.select("l_orderkey", "l_linenumber", "times", file.alias("file"), (F.col("l_suppkey") % 2 == 0).alias("importing"), pick(0).alias("lang"), pick(1).alias("path"), pick(2).alias("call_kind"), pick(3).alias("receiver"), pick(4).alias("receiver_type"), pick(5, "boolean").alias("awaited"), pick(6).alias("imported"))
     calls = calls.withColumn("name", F.element_at(F.split("path", r"\."), -1))
     imports = calls.where("importing").select("file", "imported")
-    # lines that share a number of an order and all else are one call so many times
-    calls = calls.groupBy(*[c for c in calls.columns if c not in ("importing", "imported")]).agg(F.count("*").alias("times"))
     found = boundaries.classify(calls, imports, ["l_orderkey", "l_linenumber", "file", "path", "times"])
     return found.groupBy("lang", "path", "kind", "category").agg(F.sum("times").alias("n"))
