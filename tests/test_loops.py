@@ -48,3 +48,9 @@ def test_first_roots_come_late(spark):
     e = edges(spark, late + near).selectExpr("*", "src >= 1000 AND src < 2000 AS src_entry")
     got = sorted((r.place, r.root) for r in graph.roots(e, nodes(spark, 2006)).collect())
     assert got == [(0, 1000), (1, 1001), (2, 1002), (3, 0), (4, 1)]
+
+
+def test_rounds_of_components(spark, exchanges):
+    got = graph.components(edges(spark, CHAIN + RING + [(N, 100), (104, 50)])).collect()
+    assert {tuple(r) for r in got} == {(100 + i, 100) for i in range(N + 1)}
+    one_exchange_a_round(exchanges)
