@@ -54,3 +54,15 @@ def test_rounds_of_components(spark, exchanges):
     got = graph.components(edges(spark, CHAIN + RING + [(N, 100), (104, 50)])).collect()
     assert {tuple(r) for r in got} == {(100 + i, 100) for i in range(N + 1)}
     one_exchange_a_round(exchanges)
+
+
+def test_rounds_of_worst_and_reach(spark, exchanges):
+    own = spark.createDataFrame([(N, 5.0), (3, 9.0), (77, None)], "node long, value double")
+    e = edges(spark, CHAIN)
+    got = graph.worst(own, e.selectExpr("*", "1 AS w"), lambda _, v: v)
+    assert {tuple(r) for r in got.collect()} == {(77, None), *((i, 9.0 if i <= 3 else 5.0) for i in range(N + 1))}
+    one_exchange_a_round(exchanges)
+    exchanges.clear()
+    assert {r.node for r in graph.reach(nodes(spark, N, 88), e).collect()} == {88, *range(N + 1)}
+    one_exchange_a_round(exchanges)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"

@@ -131,7 +131,7 @@ SELECT node AS entry, CASE WHEN v < {_INF} THEN v END AS wait_s, v = {_INF} AS h
 )
 def entries_whole(spark, sf):
     """agg.entries, rule hang-reaches-entry over all consecutive lines: parts that nothing calls"""
-    e = call(spark, sf).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(1).alias("w"))
+    e = graph.cut(call(spark, sf).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(1).alias("w")))
     own = stop(spark, sf).select("node", F.when(F.col("line") % 5 == 0, F.lit(effects.INFINITY)).otherwise(F.col("line") % 7 + 1.0).alias("value"))
     w = graph.worst(own, e, lambda _, v: v).join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
     return w.select(F.col("node").alias("entry"), F.when(F.col("value") < effects.INFINITY, F.col("value")).alias("wait_s"), (F.col("value") == effects.INFINITY).alias("hangs"))
