@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fresh, lean, named, small
+from .tables import fresh, lean, named, small, spare
 
 #: Edits allowed per hundred characters of an item.
 BUDGET = 6
@@ -165,6 +165,7 @@ def _scan(items: list[tuple[int, str]], percent: int):
                     rows.append((who, items[k][0], d, end))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], OUT)
+        spare()
 
     return run
 

@@ -102,6 +102,10 @@ class Flat:
         return at, self.hash_bytes(self.start[at], self.end[at + n - 1])
 
 
+#: Bytes of text in one flat view, at most, where it shares a worker with much else: its sums and powers take some 50 times that.
+FLAT_BYTES = 1 << 18
+
+
 def batches(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cuts 0..len(sizes) into runs of at most `most` bytes, or of one long text."""
     at = total = 0

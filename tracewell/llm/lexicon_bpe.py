@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import beside, small, without
+from .tables import beside, small, spare, without
 
 #: Distinct words that a worker remembers at once.
 MEMO = 300_000
+#: Rows that a worker codes at once: their texts, ids and decoded texts live together.
+SLICE = 64
 OUT = ["ids", "decoded"]
 
 # Fixed values of the vocabulary file's format: its word pattern, white space, and the byte alphabet.
@@ -263,7 +265,7 @@ def _run(spec: str, lexicon: bytes, at: int, kept: int, digest: bool):
     def run(it):
         bpe = _bpe(spec, lexicon)
         bpe.memo.clear()  # a worker outlives its task; its memory should not
-        for batch in small(it):
+        for batch in small(it, SLICE):
             n, ids, decoded = [], [], []
             for t in batch.column(at).to_pylist():
                 got = bpe.encode(t)
@@ -281,6 +283,7 @@ def _run(spec: str, lexicon: bytes, at: int, kept: int, digest: bool):
             else:
                 yield pa.record_batch([*cols, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*keep, "ids", "decoded"])
         bpe.memo.clear()
+        spare()
 
     return run
 

@@ -34,14 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .flat import Flat, batches, mix64, words_of
-from .tables import cut, fresh, gathered, lean, named, small, without
+from .flat import FLAT_BYTES, Flat, batches, mix64, words_of
+from .tables import cut, fresh, gathered, lean, named, small, spare, without
 
 SHINGLE, LEAST = 5, 0.8
 REGISTERS, ROWS = 512, 8
 BANDS = REGISTERS // ROWS
 #: Texts, or pairs of them, in one part of a table that workers read, at least.
 PART_TEXTS = 4_000
+#: Points that a worker generates at once: some ten arrays of that length live together.
+POINTS = 1 << 16
 OUT = ["class_id", "class_size", "n_links"]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = 0xD1B54A32D192ED03
@@ -78,7 +80,7 @@ def bag_minhash(doc: np.ndarray, h: np.ndarray, n: np.ndarray, n_docs: int, m: i
         size = np.exp2(np.ceil(np.log2(np.maximum(1.0, 1.2 * expect + 1)))).astype(np.int64)
         for k in np.unique(size).tolist():
             rows = todo[size == k]
-            for part in np.array_split(rows, max(1, len(rows) * k >> 20)):
+            for part in np.array_split(rows, max(1, -(-len(rows) * k // POINTS))):
                 time, step = np.zeros(len(part)), 0
                 while len(part):
                     x = mix64(seed[part][:, None] + _STEP * np.arange(step + 1, step + k + 1, dtype=np.uint64)[None, :])
@@ -142,12 +144,13 @@ def _sign(it):
                 seen.add(d)
                 fresh.append(i)
         keys: list[bytes | None] = [None] * len(texts)
-        for lo, hi in batches([len(joined[i]) for i in fresh]):
+        for lo, hi in batches([len(joined[i]) for i in fresh], FLAT_BYTES):
             flat = Flat([joined[i] for i in fresh[lo:hi]])
             bands = band_keys(bag_minhash(*shingles(flat), flat.n_docs))
             for i, row in zip(fresh[lo:hi], bands):
                 keys[i] = row.tobytes()
         yield pa.record_batch([ids, pa.array(digest, pa.binary()), pa.array(keys, pa.binary())], ["id", "digest", "bands"])
+    spare()
 
 
 def _deal(it):
@@ -205,13 +208,14 @@ def _squeeze(it):
     for batch in small(it):
         joined = [b" ".join(words_of(t)) for t in batch.column(1).to_pylist()]
         parts = [np.zeros((0, len(SKETCH) + len(PRINTS)), np.int64)]
-        for lo, hi in batches([len(j) for j in joined]):
+        for lo, hi in batches([len(j) for j in joined], FLAT_BYTES):
             flat = Flat(joined[lo:hi])
             doc, h, n = shingles(flat)
             first, second = (bag_minhash(doc, x, n, flat.n_docs) for x in (h, h ^ _SECOND))
             parts.append(np.hstack([sketches(first), sketches(second), prints(band_keys(first))]))
         sk = np.concatenate(parts)
         yield pa.record_batch([batch.column(0), pa.array([z.compress(j) for j in joined], pa.binary()), *(pa.array(sk[:, k]) for k in range(sk.shape[1]))], ["id", "z", *SKETCH, *PRINTS])
+    spare()
 
 
 def bag(z: bytes) -> Counter:
@@ -237,6 +241,7 @@ def _verify(it):
                 last, held = u[i], bag(zu[i])
             sim.append(overlap(held, bag(zv[i])))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], ["u", "v", "sim"])
+    spare()
 
 
 def _per(df: DataFrame, key: str, *aggs) -> DataFrame:

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import Flat, batches, words_of
-from .tables import fresh, named, text_bytes, without
+from .flat import FLAT_BYTES, Flat, batches, words_of
+from .tables import fresh, named, spare, text_bytes, without
 
 WINDOW, MER = 13, 3
 CHUNK_BYTES = 8 << 20
@@ -85,7 +85,7 @@ class _Chunk:
         self.hit: list[np.ndarray] = []
         seen, first, last, mini = self.seen, self.first, self.last, self.mini
         sent = [j if i is not None else b"" for j, i in zip(self.joined, self.ids)]
-        for lo, hi in batches([len(x) for x in sent]):
+        for lo, hi in batches([len(x) for x in sent], FLAT_BYTES):
             flat = Flat(sent[lo:hi])
             a, b, key = super_kmers(flat, k)
             if not len(a):
@@ -128,6 +128,7 @@ def _unpack(blob: bytes, n: int) -> list[bytes]:
 def _outward(ids: str, text: str, k: int, n_buckets: int):
     def run(key, table):
         chunk = _Chunk(table, ids, text, k)
+        del chunk.joined, chunk.hit
         strings = list(chunk.seen)
         bucket = (np.frombuffer(chunk.mini, np.uint64) % np.uint64(n_buckets)).astype(np.int64)
         first, last = np.frombuffer(chunk.first, np.int64), np.frombuffer(chunk.last, np.int64)
@@ -136,6 +137,8 @@ def _outward(ids: str, text: str, k: int, n_buckets: int):
         rows = []
         for part in np.split(order, cuts) if len(order) else []:
             rows.append((int(bucket[part[0]]), _pack([_steps(part.astype(np.int32)), _steps(first[part]), (last[part] - first[part]).tobytes(), b"\n".join([strings[i] for i in part.tolist()])])))
+        del chunk, strings
+        spare()
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -160,7 +163,7 @@ def _count(k: int):
         starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in payload])])
         counts = np.concatenate([[0], np.cumsum([len(n) for n in split_at])])
         hashes, strings, places, stops, words = [], [], [], [], []
-        for lo, hi in batches([len(p) for p in payload]):
+        for lo, hi in batches([len(p) for p in payload], FLAT_BYTES):
             flat = Flat(payload[lo:hi])
             at, h = flat.grams(k)
             own = flat.doc[at]
@@ -202,6 +205,7 @@ def _count(k: int):
         cuts = np.flatnonzero(np.diff(own[sort])) + 1
         for part in np.split(sort, cuts) if len(sort) else []:
             rows.append((chunks[int(own[part[0]])], _pack([number[string[told[part]]].astype(np.int32).tobytes(), offset[part].tobytes(), gmin[told[part]].tobytes()])))
+        spare()
         return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -210,6 +214,8 @@ def _count(k: int):
 def _remove(ids: str, text: str, k: int, keep: list[str], kinds: dict[str, pa.DataType]):
     def run(key, docs, replies):
         chunk = _Chunk(docs, ids, text, k)
+        del chunk.seen, chunk.first, chunk.last, chunk.mini
+        spare()
         told = [_unpack(b, 3) for b in replies.column("blob").to_pylist()]
         sizes = [j.count(b" ") + 1 if j else 0 for j in chunk.joined]
         gone: list[np.ndarray | None] = [None] * len(sizes)

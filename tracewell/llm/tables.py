@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,13 @@ def small(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def spare() -> None:
+    """Gives freed memory back to the system: a worker outlives its task, and what its allocators keep adds to the next stage's need."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library's own, where it has one
+        trim(0)
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id falls into fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(0))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import beside, fold, small
+from .tables import beside, fold, small, spare
 
 #: Labelled rows that the dictionaries and the calibration learn from, at most.
 SAMPLE_ROWS = 6_000
@@ -212,6 +212,7 @@ def _score(model: ToxicityModel, cut: float, at: int, n: int):
             score = model.score([model.features(t) for t in texts]) if texts else np.zeros(0)
             cols = [batch.column(i) for i in range(n)]
             yield pa.record_batch([*cols, pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32())], [*batch.schema.names[:n], "score", "predicted"])
+        spare()
 
     return run
 
