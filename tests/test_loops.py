@@ -1,8 +1,10 @@
 """Rounds of the graph loops: tables that are dealt alike meet without an exchange, so a round exchanges only what it offers."""
 
+import duckdb
 import pytest
 
 from tracewell.operators import graph
+from tracewell.plans import catalogue
 
 N = 14
 CHAIN = [(i, i + 1) for i in range(N)]
@@ -50,6 +52,23 @@ def test_first_roots_come_late(spark):
     assert got == [(0, 1000), (1, 1001), (2, 1002), (3, 0), (4, 1)]
 
 
+def test_roots_take_every_edge(spark, tmp_path):
+    """Lines of small quantities are calls too, in the query and in its twin."""
+    orders = [(1, 2, 3), (4, 2), (11, 3), (5, 6, 5)]
+    lines = [(o, n, s, 7 * o + n, float(1 + 9 * n)) for o, suppliers in enumerate(orders) for n, s in enumerate(suppliers, 1)]
+    tables = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double"),
+        "supplier": spark.createDataFrame([(i, i, 1000.0 if i in (3, 6) else 5000.0) for i in range(12)], "s_suppkey long, s_nationkey int, s_acctbal double"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = [(3, 1, 1), (3, 4, 2), (3, 11, 0)]
+    assert sorted(tuple(r) for r in catalogue.QUERIES["roots"](spark, str(tmp_path)).collect()) == want
+    assert sorted(con.sql(catalogue.ORACLES["roots"]).fetchall()) == want
+
+
 def test_rounds_of_components(spark, exchanges):
     got = graph.components(edges(spark, CHAIN + RING + [(N, 100), (104, 50)])).collect()
     assert {tuple(r) for r in got} == {(100 + i, 100) for i in range(N + 1)}
