@@ -3,6 +3,7 @@
 import json
 import re
 
+import duckdb
 import pandas as pd
 import pytest
 
@@ -45,6 +46,49 @@ def test_pairs_of_few_rows_are_spread(spark, monkeypatch, name):
     assert len(sizes) >= sum(sizes) // 100 and max(sizes) <= max(3_000, 4 * sum(sizes) // len(sizes))
 
 
+def test_pairs_of_like_rows_take_little_disk(spark, tmp_path):
+    """Columns pack what is made list by list."""
+    catalogue.QUERIES["visible_whole"](spark, f"{ROOT}/sf0.1").write.parquet(f"{tmp_path}/out")
+    made = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert made < 0.8 * spark.read.parquet(f"{tmp_path}/out").count()
+
+
+def test_pairs_are_unfolded_in_a_step_of_their_own(spark):
+    """Compiled as one step with the join, a task would hold what one row of it makes with all others."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = plan(catalogue.QUERIES["visible_whole"](spark, f"{ROOT}/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    steps = [re.search(rf"\*\((\d+)\) {x}", found)[1] for x in ("Generate explode\\(c_custkey", "BroadcastHashJoin \\[nation")]
+    assert steps[0] != steps[1]
+
+
+@pytest.mark.parametrize("most", [8, 256])
+def test_lists_lose_no_pair(spark, monkeypatch, tmp_path, most):
+    """Null, negative and repeated keys, nations without one side, and one nation with nearly all."""
+    monkeypatch.setattr(parts, "VALUES_A_LIST", most)
+    nation = lambda i: None if i % 17 == 0 else i % 5 if i % 7 == 0 else 3
+    key = lambda i: None if i % 13 == 0 else i - 40 if i % 11 else 7
+    con = duckdb.connect()
+    for name, at, n in (("supplier", "s", 90), ("customer", "c", 2_500)):
+        rows = [(key(i), nation(i) if i % 19 else (8 if at == "s" else 9)) for i in range(n)]
+        spark.createDataFrame(rows, f"{at}_{'supp' if at == 's' else 'cust'}key long, {at}_nationkey int").write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for q in ("visible", "visible_whole"):
+        got = catalogue.QUERIES[q](spark, str(tmp_path)).groupBy("cand", "caller").count().collect()
+        want = con.sql(f"select cand, caller, count(*) from ({catalogue.ORACLES[q]}) group by all").fetchall()
+        assert {tuple(r) for r in got} == set(want) and (q == "visible" or any(r.caller is None for r in got))
+
+
+@pytest.mark.parametrize("name", ["supplier", "customer"])
+def test_pairs_with_an_empty_side(spark, tmp_path, name):
+    for t in ("supplier", "customer"):
+        df = spark.read.parquet(f"{ROOT}/sf0.001/{t}.parquet")
+        (df.limit(0) if t == name else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert catalogue.QUERIES["visible_whole"](spark, str(tmp_path)).count() == 0
+
+
 def test_spans_leave_a_worker_in_bounded_batches():
     class Files:
         def select(self, *_):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import rules, scopes
-from ..operators.parts import pairs_between, parts_of_pairs
+from ..operators import parts, rules, scopes
+from ..operators.parts import listed, pairs_between, parts_of_pairs
 from .adapters import line, r, some, table, views
 from .catalogue import query, whole
 
@@ -176,10 +176,16 @@ def visible(spark, sf, whole=False):
 
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
     c = some(table(spark, sf, "customer"), "c_custkey % 50 = 0", whole).select("c_custkey", F.col("c_nationkey").alias("nation"))
-    # a nation is one key of 25: the few suppliers go to every task, and the callers are dealt by the pairs that they make
-    j = c.repartition(parts_of_pairs(c, pairs_between(s, c, ["nation"]))).join(F.broadcast(s), "nation")
-    a, b = F.col("s_suppkey"), F.col("c_custkey")
-    return j.where(resolve.visible(a % 2 != 0, a % 10 == b % 10, a % 4 == b % 4)).select(a.alias("cand"), b.alias("caller"))
+    pairs, widest = pairs_between(s, c, ["nation"]), s.groupBy("nation").count().agg(F.max("count")).first()[0] or 1
+    # what is visible follows from the nation and the keys' last digits in base 20, so all of a list is visible to all of another or to none
+    s, c = s.withColumn("s_like", F.col("s_suppkey") % 20), c.withColumn("c_like", F.col("c_custkey") % 20)
+    # a nation is one key of 25: the few suppliers go to every task, and lists of callers are dealt by the pairs that they make
+    callers = listed(c, ["nation", "c_like"], "c_custkey", max(8, min(parts.VALUES_A_LIST, parts.PAIRS_A_PART // widest // 8 * 8)))
+    n, a, b = parts_of_pairs(c, pairs), F.col("s_like"), F.col("c_like")
+    lists = callers.repartition(n).join(F.broadcast(listed(s, ["nation", "s_like"], "s_suppkey")), "nation")
+    # coalesce ends the step of the join: compiled as one with it, a task would hold all pairs of a list of callers at once, not those of two lists
+    lists = lists.where(resolve.visible(a % 2 != 0, a % 10 == b % 10, a % 4 == b % 4)).coalesce(n)
+    return lists.select(F.explode("s_suppkey").alias("cand"), "c_custkey").select("cand", F.explode("c_custkey").alias("caller"))
 
 
 @query("SELECT system, target, count(*) AS n FROM (SELECT CASE event_type WHEN 'purchase' THEN 'db' WHEN 'view' THEN 'http' WHEN 'error' THEN 'rpc' ELSE 'messaging' END AS system, 'k' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS VARCHAR) AS target FROM events WHERE event_type <> 'signup') GROUP BY ALL")
